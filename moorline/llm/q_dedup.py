@@ -27,9 +27,9 @@ sizes AS (SELECT doc_id, len(s)::BIGINT AS n, s FROM sets),
 reps AS (SELECT min(doc_id) AS rep, any_value(n) AS n, any_value(s) AS s, list_sort(s) AS k FROM sizes WHERE n > 0 GROUP BY list_sort(s)),
 shingles AS (SELECT rep, n, unnest(s) AS g FROM reps),
 common AS (
-  SELECT a.rep AS u, b.rep AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS both
+  SELECT a.rep AS u, b.rep AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS inter
   FROM shingles a JOIN shingles b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
-links AS (SELECT u, v FROM common WHERE 100 * both >= 75 * (nu + nv - both)),
+links AS (SELECT u, v FROM common WHERE 100 * inter >= 75 * (nu + nv - inter)),
 both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
 reach AS (
   SELECT rep AS id, rep AS at FROM reps
