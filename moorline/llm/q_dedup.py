@@ -32,10 +32,10 @@ common AS (
 links AS (SELECT u, v FROM common WHERE 100 * inter >= 75 * (nu + nv - inter)),
 both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
 reach AS (
-  SELECT rep AS id, rep AS at FROM reps
+  SELECT rep AS id, rep AS dst FROM reps
   UNION
-  SELECT reach.id, both_ways.v FROM reach JOIN both_ways ON reach.at = both_ways.u),
-comps AS (SELECT id, min(at) AS component_id FROM reach GROUP BY id)
+  SELECT reach.id, both_ways.v FROM reach JOIN both_ways ON reach.dst = both_ways.u),
+comps AS (SELECT id, min(dst) AS component_id FROM reach GROUP BY id)
 SELECT z.doc_id, z.n AS n_shingles, coalesce(c.component_id, z.doc_id) AS component_id, z.doc_id = coalesce(c.component_id, z.doc_id) AS kept
 FROM sizes z LEFT JOIN reps r ON z.n > 0 AND r.k = list_sort(z.s) LEFT JOIN comps c ON c.id = r.rep
 """,

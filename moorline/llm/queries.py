@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_dedup",)
+MODULES = ("catalog", "q_dedup")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
