@@ -1,15 +1,64 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""Corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
+
+A filtering stage drops what its operator rejects and nothing else, and returns the
+columns it was given; packing, the last, returns pieces of sequences.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from moorline.llm import compression, ecoc, minhash, packing, winnow
+from moorline.llm.shared import shared_dir, table
+
+LEAST_LANGUAGE_SCORE = 0.3  #: below it the best language is no better than a guess
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier scores at its threshold or above."""
+    model = compression.fit(docs, table(spark, sf_dir, "labels"))
+    scored = compression.score(docs, model, carry=True)
+    return scored.where(F.col("quality_score") >= model.p.threshold).select(docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language is told apart."""
+    found = ecoc.predict(docs, ecoc.fit(docs), carry=True)
+    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one of smallest id. Rows without an id stay, once for each text."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark passage."""
+    hits = winnow.contamination(docs.withColumn("_body", F.col("text")), table(spark, sf_dir, "benchmark"))
+    return hits.where(~F.col("contaminated")).withColumnRenamed("_body", "text").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of cost-balanced token sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("packing", pack)]
 
-STAGES: list = []
+#: Models and tokenizers have no SQL form; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages over ``documents``, each but the last written to the shared folder and reread."""
+    docs = table(spark, sf_dir, "documents")
+    at = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
