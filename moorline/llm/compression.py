@@ -13,6 +13,7 @@ every score is that class's share. Repeated rows and extra columns have no effec
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,7 +54,7 @@ class Model:
         return self
 
     def features(self, raw: bytes) -> tuple[float, float, float]:
-        """(normalised difference, compressed size for each byte under the better dictionary, the same of its upper quarter)."""
+        """(normalised difference, compressed size for each byte under the better dictionary, shortness)."""
         if not raw:
             return 0.0, 0.0, 0.0
         step, sizes = self.p.chunk, []
@@ -67,8 +68,8 @@ class Model:
 
 
 def _design(f: np.ndarray) -> np.ndarray:
-    d, c, s = f[:, 0] * 10, f[:, 1] * 2, f[:, 2]
-    return np.stack([np.ones(len(f)), d, c, s, d * s, d * d, c * c], axis=1)
+    d, c, s = np.clip(f[:, 0], -0.4, 0.4) * 10, f[:, 1] * 2, f[:, 2]
+    return np.stack([np.ones(len(f)), d, c, s, d * s, c * s], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -95,13 +96,20 @@ def _dictionary(texts: list[bytes], p: Params) -> bytes:
         return b"".join(chunks)[-p.dictionary :] or b" "
 
 
+def _own_lines(texts: list[str]) -> list[str]:
+    """Texts without lines that several of them share: boilerplate says nothing about the class it was sampled in."""
+    counts = Counter(line for t in texts for line in set(t.split("\n")))
+    return ["\n".join(x for x in t.split("\n") if counts[x] == 1) for t in texts]
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     rows = sample_texts(docs, balanced_ids(labels, "quality", p.folds, p.held_out, p.per_class), p.longest)
-    good, bad = ([t.encode() for t, y in rows if y == v] for v in (1, 0))
+    own = _own_lines([t for t, _ in rows])
+    good, bad = ([(t.encode(), o.encode()) for (t, y), o in zip(rows, own, strict=True) if y == v] for v in (1, 0))
     if not good or not bad:
-        return Model(b"", b"", np.array([30.0 if good else -30.0 if bad else 0.0, 0, 0, 0, 0, 0, 0]), p)
-    model = Model(_dictionary(good[::2], p), _dictionary(bad[::2], p), np.zeros(7), p).open()
-    rest = [(t, 1) for t in good[1::2] or good] + [(t, 0) for t in bad[1::2] or bad]
+        return Model(b"", b"", np.array([30.0 if good else -30.0 if bad else 0.0, 0, 0, 0, 0, 0]), p)
+    model = Model(_dictionary([o for _, o in good[::2]], p), _dictionary([o for _, o in bad[::2]], p), np.zeros(6), p).open()
+    rest = [(t, 1) for t, _ in good[1::2] or good] + [(t, 0) for t, _ in bad[1::2] or bad]
     f = np.array([model.features(t) for t, _ in rest])
     model.weights = _logistic(_design(f), np.array([y for _, y in rest]))
     del model.compressors

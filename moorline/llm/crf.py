@@ -40,8 +40,10 @@ class Params:
     support: int = 6  #: toxic texts a unit must be in
     purity: float = 0.98  #: share of toxic texts among a unit's texts, classes weighted equally
     slots: int = 1 << 18  #: hashed feature weights
+    others: int = 40_000  #: clean sentences in the fit
     chain: int = 32  #: longest sentence in words
-    epochs: int = 6
+    epochs: int = 3  #: over the sentences of a round
+    rounds: int = 3  #: after each, clean sentences that the model finds suspicious join the fit
     rate: float = 0.5
     l2: float = 1e-6
     span: float = 0.5
@@ -177,13 +179,20 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Crf:
     with_toxic = np.unique(sentence[y])
     rng = np.random.default_rng(0)
     others = np.setdiff1d(np.arange(len(tokens.begin)), with_toxic)
-    others = rng.permutation(others)[: max(20_000, 4 * len(with_toxic))]
+    others = rng.permutation(others)[: max(p.others, 4 * len(with_toxic))]
     train = np.concatenate([with_toxic, others])
     square, sq = np.full(p.slots, 1e-2), np.full(7, 1e-2)
-    for epoch in range(p.epochs):
+    clean = np.ones(len(tokens.begin), dtype=bool)
+    clean[with_toxic] = False
+    for epoch in range(p.epochs * p.rounds):
+        if epoch and epoch % p.epochs == 0:
+            worst = np.zeros(len(tokens.begin))
+            np.maximum.at(worst, sentence, marginals(crf, tokens, features))
+            hard = np.flatnonzero(clean & (worst > 0.02))
+            train = np.union1d(train, hard[np.argsort(-worst[hard], kind="stable")][: p.others])
         rng.shuffle(train)
-        for at in range(0, len(train), 512):
-            pick = train[at : at + 512]
+        for at in range(0, len(train), 1024):
+            pick = train[at : at + 1024]
             begin, length = tokens.begin[pick], tokens.length[pick]
             width = int(length.max())
             places = begin[:, None] + np.arange(width)
