@@ -41,17 +41,19 @@ from moorline.llm.textarrays import SPACE, as_long, mix, ngram_hashes, row_range
 
 @dataclass(frozen=True)
 class Params:
-    """Bands are cut from the first ``bands`` x ``rows`` of ``size`` signature values. At similarity 0.75, 32 bands of 4 miss a pair with odds of 5e-6."""
+    """Bands are cut from ``bands`` x ``rows`` signature values. At similarity 0.75, 32 bands of 4 miss a pair with odds of 5e-6."""
 
     k: int = 5
     percent: int = 75
     bands: int = 32
     rows: int = 4
-    size: int = 256
     small_bucket: int = 10  #: buckets up to this size yield all their pairs
     pivots: int = 4  #: central members that each member of a larger bucket meets
     tile: int = 256  #: members in each side of a tile of the last step
-    slack: float = 0.1  #: how far below the threshold a signature estimate may lie and still be confirmed (3.7 standard errors of a 256-slot estimate)
+    slack: float = 0.1  #: how far below the threshold a signature estimate may lie and still be compared (3.7 standard errors of 256 slots)
+    size: int = 256  #: slots of the last step's first look
+    fine: int = 2048  #: signature slots of the last step
+    fine_slack: float = 0.04  #: the same for these (4 standard errors)
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +120,7 @@ def superminhash(h: np.ndarray, owner: np.ndarray, n_rows: int, m: int) -> np.nd
     return sig.reshape(n_rows, m)
 
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sketch binary, bands array<long>"
+_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 def _signer(p: Params):
@@ -128,7 +130,7 @@ def _signer(p: Params):
                 n = part.num_rows
                 h, owner = shingle_sets(part.column(1), p.k)
                 size = np.bincount(owner, minlength=n)
-                sig = superminhash(h, owner, n, p.size)
+                sig = superminhash(h, owner, n, p.bands * p.rows)
                 at = row_ranges(owner, n)
                 sums = np.zeros((2, len(h) + 1), dtype=np.uint64)
                 np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), out=sums[0, 1:])
@@ -137,19 +139,17 @@ def _signer(p: Params):
                 bits = mix(sig.view(np.uint64))
                 bands = np.full((n, p.bands), 0, dtype=np.uint64)
                 for j in range(p.rows):
-                    bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + bits[:, j : p.bands * p.rows : p.rows])
+                    bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + bits[:, j :: p.rows])
                 bands = mix(bands + np.arange(p.bands, dtype=np.uint64))
-                sketch = (bits & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array(size.astype(np.int64)),
                         pa.array(as_long(a)),
                         pa.array(as_long(b)),
-                        pa.array([x.tobytes() for x in sketch], type=pa.binary()),
                         pa.ListArray.from_arrays(np.arange(0, n * p.bands + 1, p.bands, dtype=np.int32), pa.array(as_long(bands.ravel()))),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "sketch", "bands"],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
     return run
@@ -190,6 +190,20 @@ def _alike(a: Column, b: Column, p: Params) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * p.percent
 
 
+def _fine(p: Params):
+    """Longer sketches of the few documents that the last step compares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 16):
+                h, owner = shingle_sets(part.column(1), p.k)
+                bits = mix(superminhash(h, owner, part.num_rows, p.fine).view(np.uint64))
+                sketch = (bits & np.uint64(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sketch], type=pa.binary())], names=["id", "sketch"])
+
+    return run
+
+
 def _tiler(p: Params):
     def run(key, left, right):  # noqa: ANN001
         import pandas as pd
@@ -197,28 +211,37 @@ def _tiler(p: Params):
         found = {"u": [], "v": []}
         if len(left) and len(right):
             a, b = (np.frombuffer(b"".join(x.sketch), dtype=np.uint8).reshape(len(x), -1) for x in (left, right))
-            least = p.percent / 100 - p.slack
+            bands_a, bands_b = (np.stack(x.bands.to_list()) for x in (left, right))
+            band = int(np.flatnonzero(bands_a[0] == key[0])[0])
+            comp, size = right.comp.to_numpy(), right.n.to_numpy()
             for i in range(len(left)):
-                likely = (a[i] == b).mean(axis=1) >= least
-                n, m = left.n.iat[i], right.n.to_numpy()
-                likely &= (right.comp.to_numpy() != left.comp.iat[i]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * p.percent)
-                found["v"] += right.id.to_numpy()[likely].tolist()
-                found["u"] += [left.id.iat[i]] * int(likely.sum())
+                n = left.n.iat[i]
+                at = (comp != left.comp.iat[i]) & (np.minimum(n, size) * 100 >= np.maximum(n, size) * p.percent)
+                at &= ~(bands_a[i, :band] == bands_b[:, :band]).any(axis=1)  # the pair has met in an earlier bucket
+                at = np.flatnonzero(at)
+                at = at[(a[i, : p.size] == b[at, : p.size]).mean(axis=1) >= p.percent / 100 - p.slack]
+                at = at[(a[i] == b[at]).mean(axis=1) >= p.percent / 100 - p.fine_slack]
+                found["v"] += right.id.to_numpy()[at].tolist()
+                found["u"] += [left.id.iat[i]] * len(at)
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
     return run
 
 
-def _rest(large: DataFrame, comps: DataFrame, signed: DataFrame, p: Params) -> DataFrame:
+def _rest(large: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """Pairs still to confirm in large buckets that hold several components: members outside the bucket's first component against all members."""
     at = large.join(comps.withColumnRenamed("component_id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     spread = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "low")
-    open_ = cut(at.join(spread, "key").join(signed.select(F.col("doc_id").alias("id"), "sketch"), "id"), "open")
+    open_ = cut(at.join(spread, "key"), "open")
     if open_.isEmpty():
         return open_.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    ids = open_.select("id").distinct()
+    own = texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(_fine(p), "id long, sketch binary")
+    own = cut(own.join(classes.select(F.col("rep").alias("id"), "bands"), "id"), "fine")
     tiles = F.ceil(F.col("cnt") / p.tile).cast("int")
     mine = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    cols = ["key", "id", "n", "comp", "sketch"]
+    cols = ["key", "id", "n", "comp", "sketch", "bands"]
+    open_ = open_.join(own, "id")
     left = open_.where("comp <> low").withColumn("i", mine).select(*cols, "i", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("j")).toDF(*cols, "i", "j")
     right = open_.withColumn("j", mine).select(*cols, "j", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("i")).toDF(*cols, "j", "i")
     pairs = left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInPandas(_tiler(p), "u long, v long")
@@ -232,7 +255,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     classes = (
         signed.where("n_shingles > 0")
         .groupBy("set_a", "set_b", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
         .where("rep is not null")
     )
     classes = cut(classes, "classes")
@@ -257,7 +280,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     by_id = by_id.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     links = cut(confirm(pairs, by_id, p), "links")
     comps = connected_components(links)
-    rest = cut(_rest(large, comps, classes.select(F.col("rep").alias("doc_id"), "sketch"), p), "rest")
+    rest = cut(_rest(large, comps, classes, texts, p), "rest")
     if not rest.isEmpty():
         again = rest.select(F.col("u").alias("doc_id")).union(rest.select(F.col("v").alias("doc_id"))).distinct()
         more = confirm(rest, texts.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]), p)
