@@ -118,11 +118,11 @@ def scan_sql(known: tuple[tuple[str, str], ...] = SENTENCES, rules: tuple[tuple[
         last = f"s{n}"
     return rf"""
 WITH cut AS (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.!?;]+(\s|\z)', chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g'), chr(10)), x -> trim(x)), x -> x <> '') AS s
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.!?;]+(\s|\z)', chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s
   FROM documents),
-ids AS (SELECT doc_id, len(s)::BIGINT AS n_sentences, list_filter(list_transform(s, x -> coalesce(list_position([{texts}], x), 0)), i -> i > 0) AS spots FROM cut),
-s0 AS (SELECT doc_id, n_sentences, coalesce(array_to_string(list_transform(spots, i -> ([{names}])[i]), ''), '') AS sequence, coalesce(array_to_string(list_transform(spots, i -> ([{names}])[i]), ''), '') AS rest, []::VARCHAR[] AS found FROM ids),
+ids AS (SELECT doc_id, len(s)::BIGINT AS n_sentences, list_filter(list_transform(s, lambda x: coalesce(list_position([{texts}], x), 0)), lambda i: i > 0) AS spots FROM cut),
+s0 AS (SELECT doc_id, n_sentences, coalesce(array_to_string(list_transform(spots, lambda i: ([{names}])[i]), ''), '') AS sequence, coalesce(array_to_string(list_transform(spots, lambda i: ([{names}])[i]), ''), '') AS rest, []::VARCHAR[] AS found FROM ids),
 {", ".join(steps)},
-uniq AS (SELECT doc_id, n_sentences, sequence, rest, list_filter(found, (x, i) -> list_position(found, x) = i) AS found FROM {last})
+uniq AS (SELECT doc_id, n_sentences, sequence, rest, list_filter(found, lambda x, i: list_position(found, x) = i) AS found FROM {last})
 SELECT doc_id, n_sentences, sequence, coalesce(array_to_string(found, ','), '') AS licenses, len(found)::BIGINT AS n_licenses, replace(rest, '|', '') AS unmatched FROM uniq
 """
