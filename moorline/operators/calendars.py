@@ -15,7 +15,7 @@ def calendar(spark: SparkSession, first: str, last: str, holidays: DataFrame) ->
     """
     span = F.sequence(F.date_sub(F.to_date(F.lit(first)), 40), F.date_add(F.to_date(F.lit(last)), 40))
     days = spark.range(1).select(F.explode(span).alias("date"))
-    days = days.join(F.broadcast(holidays.select("date", F.col("name").alias("holiday_name")).dropDuplicates(["date"])), "date", "left")
+    days = days.join(holidays.select("date", F.col("name").alias("holiday_name")).dropDuplicates(["date"]), "date", "left")
     md = F.month("date") * 100 + F.dayofmonth("date")
     dow = F.dayofweek("date")
     fixed = F.when((md >= 1229) | (md <= 103), "newyear").when(md.between(813, 816), "obon").when(F.col("holiday_name").isNotNull(), "holiday").when(dow == 1, "sun").when(dow == 7, "sat")

@@ -75,7 +75,7 @@ def leave_one_out_mae(values: DataFrame, groups: dict[str, list[str]], value: st
     x = values
     for name, by in groups.items():
         s = values.groupBy(*by).agg(F.sum(value).alias(f"s_{name}"), F.count(F.lit(1)).alias(f"c_{name}"))
-        x = x.join(F.broadcast(s), by) if by else x.join(F.broadcast(s))
+        x = x.join(s, by) if by else x.join(F.broadcast(s))
     total = F.try_divide(F.col("s_all") - F.col(value), F.col("c_all") - 1)
     out = []
     for name in groups:

@@ -113,7 +113,7 @@ def newest_issue(points: DataFrame, issues: DataFrame) -> DataFrame:
     ask = points.select("t").distinct().select(F.col("t").alias("_time"), F.lit(1).alias("_p"), F.lit(None).cast("timestamp_ntz").alias("_i"), "t")
     w = Window.orderBy("_time", "_p").rowsBetween(Window.unboundedPreceding, 0)
     times = rows.unionByName(ask).withColumn("issued_hour", F.max("_i").over(w)).where("_p = 1").select("t", "issued_hour")
-    return points.join(F.broadcast(times), "t")
+    return points.join(times, "t")
 
 
 def lead_of(issued: Column, hour: Column, leads: int) -> Column:

@@ -44,7 +44,7 @@ def pack(ledger: DataFrame, rows: DataFrame, snapshots: DataFrame) -> DataFrame:
 def unpack(ledger: DataFrame, arrays: DataFrame) -> DataFrame:
     """Long rows of array snapshots. A short array means stations not registered yet; a longer or unequal one is an error."""
     size = ledger.groupBy("system_id").agg((F.max("idx") + 1).alias("_size"))
-    a = arrays.join(F.broadcast(size), "system_id")
+    a = arrays.join(size, "system_id")
     same = (F.size("bikes") == F.size("docks")) & (F.size("bikes") == F.size("flags")) & (F.size("bikes") == F.size("reported_age_s")) & (F.size("bikes") <= F.col("_size"))
     zipped = F.arrays_zip(*VALUES)
     a = a.withColumn("_z", F.when(same, zipped).otherwise(F.raise_error(F.lit("arrays of unequal length, or longer than the ledger")).cast(a.select(zipped.alias("z")).schema["z"].dataType)))

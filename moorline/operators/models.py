@@ -43,7 +43,7 @@ def conditional_leave_one_out(rows: DataFrame, name: str = "p_loo") -> DataFrame
     out, rates = rows, []
     for i, by in enumerate(levels):
         sums = rows.groupBy(*by).agg(F.sum("w").alias(f"_w{i}"), F.sum(F.col("w") * F.col("y")).alias(f"_y{i}"))
-        out = out.join(F.broadcast(sums), by) if by else out.join(F.broadcast(sums))
+        out = out.join(sums, by) if by else out.join(F.broadcast(sums))
         rest = F.col(f"_w{i}") - F.col("w")
         rates.append(F.when(rest > 0, (F.col(f"_y{i}") - F.col("w") * F.col("y")) / rest))
     return out.withColumn(name, F.coalesce(*rates, F.lit(0.5))).drop(*[f"_{c}{i}" for c in "wy" for i in range(3)])

@@ -23,7 +23,7 @@ def daily_quality(systems: DataFrame, snapshots: DataFrame, errors: DataFrame, o
     per = s.groupBy("system_id", "day").agg(F.count(F.lit(1)).alias("n_snapshots"), F.max(age_s(F.col("_next"), F.col("observed_at"))).alias("max_gap_s"), F.count_if("is_anomalous").alias("n_anomalies"))
     days = s.select("day").distinct()
     err = errors.groupBy("system_id", F.to_date(F.col("started_at") + F.make_dt_interval(hours=F.lit(offset_h))).alias("day")).agg(F.count(F.lit(1)).alias("n_errors"))
-    every = days.join(F.broadcast(systems))
+    every = systems.crossJoin(days)
     out = every.join(per, ["system_id", "day"], "left").join(err, ["system_id", "day"], "left").na.fill(0, ["n_snapshots", "n_anomalies", "n_errors"])
     return out.select("system_id", "day", F.expr("86400 div cadence_s").alias("n_expected"), "n_snapshots", "max_gap_s", "n_anomalies", "n_errors")
 

@@ -37,7 +37,7 @@ def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str,
     """
     lengths = [r[0] for r in prefixes.select(F.length(prefix)).distinct().collect()]  # a few lengths of a reference list
     cuts = rows.select(*key, text, F.explode(F.array_distinct(F.array(*[F.substring(text, 1, n) for n in lengths]))).alias(prefix))
-    found = cuts.join(F.broadcast(prefixes), prefix)
+    found = cuts.join(prefixes, prefix)
     best = found.groupBy(*key).agg(F.max_by(F.struct(*prefixes.columns), F.length(prefix)).alias("_m"))
     return rows.join(best, key, "left").select(*rows.columns, "_m.*")
 

@@ -90,11 +90,10 @@ def interpolate(horizons: Column, p1000: Column, at: Column) -> Column:
     z = F.arrays_zip(horizons.alias("h"), p1000.alias("p"))
     below = F.filter(z, lambda x: x["h"] <= at)
     above = F.filter(z, lambda x: x["h"] >= at)
-    a, b = F.element_at(below, -1), F.element_at(above, 1)
     a, b = F.get(below, F.size(below) - 1), F.get(above, F.lit(0))
     line = a["p"] + (b["p"] - a["p"]) * (at - a["h"]) / (b["h"] - a["h"])
     value = F.when(F.size(below) == 0, b["p"]).when(F.size(above) == 0, a["p"]).when(a["h"] == b["h"], a["p"]).otherwise(line)
-    return F.when((F.size(horizons) == F.size(p1000)) & (F.size(horizons) > 0), F.round(value / 1000, 3))
+    return F.when((F.size(horizons) == F.size(p1000)) & (F.size(horizons) > 0), F.floor(value + 0.5) / 1000)
 
 
 def forecast_horizon(in_min: Column, age_min: Column) -> Column:
