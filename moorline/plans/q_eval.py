@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moorline.config import SPARSE
@@ -14,11 +14,22 @@ from moorline.plans import q_models as MQ
 from moorline.sources import tables as T
 
 KEYS = E.KEYS
-P, Y, W = F.col("p1000") / 1000, F.col("y"), F.col("w")
+
+
+def P() -> Column:  # noqa: N802
+    return F.col("p1000") / 1000
+
+
+def Y() -> Column:  # noqa: N802
+    return F.col("y")
+
+
+def W() -> Column:  # noqa: N802
+    return F.col("w")
 
 
 def eva_01_scores(spark: SparkSession, d: str) -> DataFrame:
-    return MQ.rows(spark, d).groupBy("system_id", "h_min").agg(F.round(E.brier(P, Y, W), 9).alias("brier"), F.round(E.log_loss(P, Y, W), 6).alias("log_loss"), F.round(E.positives(Y, W), 9).alias("positives"))
+    return MQ.rows(spark, d).groupBy("system_id", "h_min").agg(F.round(E.brier(P(), Y(), W()), 9).alias("brier"), F.round(E.log_loss(P(), Y(), W()), 6).alias("log_loss"), F.round(E.positives(Y(), W()), 9).alias("positives"))
 
 
 def eva_02_reliability(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +55,7 @@ def eva_05_decision(spark: SparkSession, d: str) -> DataFrame:
 
 def eva_06_skill(spark: SparkSession, d: str) -> DataFrame:
     x = MQ.rows(spark, d).withColumn("b0", M.persistence(F.col("bikes")))
-    s = x.groupBy("system_id", "h_min").agg(E.brier(P, Y, W).alias("v"), E.brier(F.col("b0"), Y, W).alias("r"))
+    s = x.groupBy("system_id", "h_min").agg(E.brier(P(), Y(), W()).alias("v"), E.brier(F.col("b0"), Y(), W()).alias("r"))
     return s.select("system_id", "h_min", F.round(E.skill(F.col("v"), F.col("r")), 9).alias("skill"))
 
 
@@ -57,7 +68,7 @@ def eva_08_harness(spark: SparkSession, d: str) -> DataFrame:
     """All baselines fitted on fit days, scored on the same rows, weighted and not."""
     x = MQ.with_baselines(spark, d).withColumn("p_b0", M.persistence(F.col("bikes"))).select("system_id", "h_min", "y", "w", "p_b0", "p_b1", "p_b2")
     long = E.unpivot_models(x, ["p_b0", "p_b1", "p_b2"], ["system_id", "h_min", "y", "w"])
-    return long.groupBy("model", "system_id", "h_min").agg(F.count(F.lit(1)).alias("n"), F.round(E.brier(F.col("p"), Y, W), 6).alias("brier"), F.round(F.avg(F.pow(F.col("p") - Y, 2)), 6).alias("brier_plain"))
+    return long.groupBy("model", "system_id", "h_min").agg(F.count(F.lit(1)).alias("n"), F.round(E.brier(F.col("p"), Y(), W()), 6).alias("brier"), F.round(F.avg(F.pow(F.col("p") - Y(), 2)), 6).alias("brier_plain"))
 
 
 def served_log(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +92,7 @@ def eva_09_served(spark: SparkSession, d: str) -> DataFrame:
     one = F.lit(1.0)
     sets = [[F.col(c) for c in ("model_version", "system_id", "target", "h_min", "bucket")], [F.col(c) for c in ("model_version", "system_id", "target", "h_min")]]
     keys = [F.col(c) for c in ("model_version", "system_id", "target", "h_min", "bucket")]
-    return x.groupingSets(sets, *keys).agg(F.count(F.lit(1)).alias("n"), F.round(E.brier(P, Y, one), 9).alias("brier"), F.round(E.brier(M.persistence(F.col("count")), Y, one), 9).alias("brier_b0"))
+    return x.groupingSets(sets, *keys).agg(F.count(F.lit(1)).alias("n"), F.round(E.brier(P(), Y(), one), 9).alias("brier"), F.round(E.brier(M.persistence(F.col("count")), Y(), one), 9).alias("brier_b0"))
 
 
 def eva_10_log_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +141,12 @@ def eva_14_arriving(spark: SparkSession, d: str) -> DataFrame:
     return o.where(~F.dayofweek(target).isin(1, 7)).groupBy("system_id", "h_min").agg(F.count(F.lit(1)).alias("n"))
 
 
-HOUR, DAY = timegrid.local(F.col("observed_at"), 9), timegrid.local_date(F.col("observed_at"), 9)
+def HOUR() -> Column:  # noqa: N802
+    return timegrid.local(F.col("observed_at"), 9)
+
+
+def DAY() -> Column:  # noqa: N802
+    return timegrid.local_date(F.col("observed_at"), 9)
 
 
 def eda_01_availability(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +158,7 @@ def eda_02_missingness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eda_03_hourly(spark: SparkSession, d: str) -> DataFrame:
-    return explore.hourly(T.obs_long(spark, d), F.hour(HOUR), DAY)
+    return explore.hourly(T.obs_long(spark, d), F.hour(HOUR()), DAY())
 
 
 def eda_04_spread(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +171,7 @@ def eda_05_flow_loss(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eda_06_rebalancing(spark: SparkSession, d: str) -> DataFrame:
-    return explore.rebalancing(T.obs_long(spark, d), T.stations(spark, d), F.hour(HOUR))
+    return explore.rebalancing(T.obs_long(spark, d), T.stations(spark, d), F.hour(HOUR()))
 
 
 def eda_07_extremes(spark: SparkSession, d: str) -> DataFrame:

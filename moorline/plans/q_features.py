@@ -86,7 +86,7 @@ def fea_04_cyclic(spark: SparkSession, d: str) -> DataFrame:
     o = o.join(F.broadcast(days.select("date", F.col("dow_type").alias("dow"))), "date").join(F.broadcast(days.select(F.col("date").alias("next"), F.col("dow_type").alias("dow_next"))), "next")
     o = o.withColumn("h_min", F.explode(F.array(*[F.lit(h) for h in SPARSE.horizons_min])))
     sin, cos = calendars.cyclic(F.col("minute") + F.col("h_min"))
-    return o.select(*KEYS, "observed_at", "h_min", F.round(sin, 6).alias("sin_target"), F.round(cos, 6).alias("cos_target"), calendars.target_dow(F.col("dow"), F.col("dow_next"), F.col("minute"), F.col("h_min")).alias("target_dow"))
+    return o.select(*KEYS, "observed_at", "h_min", (F.round(sin, 6) + 0.0).alias("sin_target"), (F.round(cos, 6) + 0.0).alias("cos_target"), calendars.target_dow(F.col("dow"), F.col("dow_next"), F.col("minute"), F.col("h_min")).alias("target_dow"))
 
 
 def fea_05_static(spark: SparkSession, d: str) -> DataFrame:
@@ -344,7 +344,7 @@ ORACLE = {
     "fea_02_dow_ids": f"WITH {EVENT_DAYS} SELECT dow_type, CASE dow_type WHEN 'sat' THEN 0 WHEN 'sun_holiday' THEN 1 ELSE 2 END AS dow_id, count(*) AS n FROM events JOIN edays ON date = (ts + INTERVAL 9 HOUR)::DATE GROUP BY ALL",
     "fea_03_business_days": f"WITH {CAL} SELECT year(date)::INT AS year, day_type, count(*) AS n, count(*) FILTER (is_day_before_holiday) AS n_before, count(*) FILTER (is_last_business_day) AS n_last FROM cal GROUP BY ALL",
     "fea_04_cyclic": f"""WITH {T.OBS}, {EVENT_DAYS}, x AS (SELECT *, (observed_at + INTERVAL 9 HOUR)::DATE AS date, (hour(observed_at + INTERVAL 9 HOUR) * 60 + minute(observed_at + INTERVAL 9 HOUR))::INT AS m, unnest([360, 720, 1440]) AS h_min FROM obs)
-SELECT system_id, station_id, observed_at, h_min, round(sin(2 * pi() * ((m + h_min) % 1440) / 1440), 6) AS sin_target, round(cos(2 * pi() * ((m + h_min) % 1440) / 1440), 6) AS cos_target, CASE WHEN m + h_min >= 1440 THEN b.dow_type ELSE a.dow_type END AS target_dow
+SELECT system_id, station_id, observed_at, h_min, round(sin(2 * pi() * ((m + h_min) % 1440) / 1440), 6) + 0.0::DOUBLE AS sin_target, round(cos(2 * pi() * ((m + h_min) % 1440) / 1440), 6) + 0.0::DOUBLE AS cos_target, CASE WHEN m + h_min >= 1440 THEN b.dow_type ELSE a.dow_type END AS target_dow
 FROM x JOIN edays a ON a.date = x.date JOIN edays b ON b.date = x.date + 1""",
     "fea_05_static": f"""WITH {T.OBS}, {T.STATIONS}, x AS (SELECT system_id, station_id, min(observed_at) AS f, max(observed_at) AS t FROM obs GROUP BY ALL)
 SELECT x.system_id, x.station_id, lat, lon, pref_code, is_charging, round((epoch_us(t) - epoch_us(f)) / 86400000000.0::DOUBLE, 6) AS station_age_days FROM x LEFT JOIN stations s ON s.system_id = x.system_id AND s.station_id = x.station_id""",
