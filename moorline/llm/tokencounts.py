@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moorline.llm.packing import encoder
+from moorline.llm.shared import cut
 
 BLOCK = 1024  #: lengths in a block of the suffix sums
 
@@ -41,7 +42,7 @@ def token_lengths(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") ->
 def histogram(lengths: DataFrame) -> DataFrame:
     """One row for each length: its documents, and sums over longer and over shorter documents."""
     counts = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK).cast("long"))
-    counts = counts.withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    counts = cut(counts.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")), "lengths")  # read twice below: the texts are encoded once
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
