@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _decoded(encoding: str):  # noqa: ANN202
+    """Text of a binary column: the JVM reader takes only a few encodings."""
+
+    @F.pandas_udf("string")
+    def run(content: pd.Series) -> pd.Series:
+        return content.map(lambda x: bytes(x).decode(encoding))
+
+    return run
+
+
 def holidays_csv(spark: SparkSession, path: str, least: int = 100, known: list[str] | None = None) -> DataFrame:
     """date, name from a Shift_JIS list of YYYY/M/D,name rows. Too few rows, doubled dates or unknown names are errors."""
-    rows = spark.read.schema("date string, name string").option("encoding", "Shift_JIS").option("header", True).csv(path)
-    rows = rows.select(F.to_date("date", "yyyy/M/d").alias("date"), F.trim("name").alias("name"))
+    lines = F.split(_decoded("shift_jis")("content"), r"\r?\n")
+    rows = spark.read.format("binaryFile").load(path).select(F.posexplode(lines).alias("pos", "line")).where("pos > 0 and trim(line) <> ''")
+    rows = rows.select(F.from_csv("line", F.lit("date string, name string")).alias("r")).select(F.to_date("r.date", "yyyy/M/d").alias("date"), F.trim("r.name").alias("name"))
     return check_holidays(rows, least, known)
 
 
