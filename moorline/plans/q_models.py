@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from moorline.operators import models as M
 from moorline.operators import timegrid
 from moorline.plans import q_features as Q
+from moorline.plans.q_ingest import scratch
 from moorline.sources import tables as T
 
 KEYS = M.KEYS
@@ -94,6 +95,9 @@ def calibrated_trend(spark: SparkSession, d: str) -> DataFrame:
     t = trend(spark, d).where("rate is not null").withColumn("target", F.lit("bike"))
     yes = t.withColumn("y", F.lit(1)).withColumn("w", F.col("n_ok").cast("double"))
     both = yes.unionByName(t.withColumn("y", F.lit(0)).withColumn("w", (F.col("n") - F.col("n_ok")).cast("double"))).where("w > 0")
+    path = scratch(spark, "trend")  # the fits pass over these rows many times
+    both.write.parquet(path)
+    both = spark.read.schema(both.schema).parquet(path)
     return M.calibrated(both, M.calibrate(both, "y", "w"))
 
 

@@ -29,7 +29,7 @@ def view(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_stations(spark: SparkSession, d: str) -> DataFrame:
-    """Every station with made-up state, for map queries that need many points."""
+    """Every station with a state that follows from its id, for map queries that need many points."""
     s = T.stations(spark, d).where(~F.col("geo_suspect"))
     k = F.col("station_id").cast("long")
     return s.select(*KEYS, "lat", "lon", (k % 21).cast("int").alias("bikes"), (k % 17).cast("int").alias("docks"), (k % 23 != 0).alias("is_present"))
