@@ -129,3 +129,23 @@ def to_served(log: DataFrame) -> DataFrame:
     z = F.arrays_zip("horizons_min", "p_bike_x1000", "p_dock_x1000")
     rows = log.select("model_version", *KEYS, "t", F.explode(z).alias("z"))
     return rows.select("model_version", *KEYS, "t", F.col("z.horizons_min").alias("h_min"), F.col("z.p_bike_x1000").alias("p_bike"), F.col("z.p_dock_x1000").alias("p_dock"))
+
+
+def ablation_by_days(rows: DataFrame, k: str, full: str, ablated: str) -> DataFrame:
+    """By contributing days k: relative loss without the component, and how many (system, horizon) pairs are not worse with it."""
+    e = lambda c: F.sum(F.col("w") * F.pow(F.col(c) / 1000 - F.col("y"), 2))
+    pairs = rows.groupBy(F.col(k).alias("k"), "system_id", "h_min").agg(e(full).alias("full"), e(ablated).alias("ablated"))
+    return pairs.groupBy("k").agg((F.sum("ablated") / F.sum("full") - 1).alias("gain"), F.count_if(F.col("full") <= F.col("ablated")).alias("n_not_worse"), F.count(F.lit(1)).alias("n_pairs"))
+
+
+def choose_floor(measured: DataFrame, helped: Column) -> DataFrame:
+    """The smallest k from which on every k was helped; null when the largest was not."""
+    x = measured.withColumn("helped", helped)
+    last_bad = x.agg(F.max(F.when(~F.col("helped"), F.col("k"))).alias("bad"), F.max("k").alias("top"))
+    return x.join(last_bad).agg(F.min(F.when(F.col("bad").isNull() | (F.col("k") > F.col("bad")), F.col("k"))).alias("floor"))
+
+
+def tree_budget(candidates: DataFrame, within: float = 0.01) -> DataFrame:
+    """The fewest trees whose improvement is within a point of the largest candidate's: candidates(trees, improvement)."""
+    top = candidates.agg(F.max_by("improvement", "trees").alias("reference"))
+    return candidates.join(top).where(F.col("improvement") >= F.col("reference") - within).agg(F.min("trees").alias("trees"), F.max("reference").alias("reference"))

@@ -174,3 +174,10 @@ def encode(df: DataFrame, vocabularies: dict[str, tuple[str, ...]], flags: list[
     for c in flags:
         df = df.withColumn(c, F.col(c).cast("int").cast("double"))
     return df
+
+
+def refuse_if_mixed(cover: DataFrame, part: str, whole: str, most_pp: float = 3.0) -> DataFrame:
+    """The coverage table, or an error when days of different coverage are mixed."""
+    s = spread_pp(cover, part, whole)
+    bad = F.raise_error(F.format_string("coverage differs by %.2f points between days", F.col("spread_pp"))).cast("boolean")
+    return cover.join(s).where(F.when(F.col("spread_pp") > most_pp, bad).otherwise(True)).drop("spread_pp")

@@ -114,6 +114,21 @@ def eva_11_port_sums(spark: SparkSession, d: str) -> DataFrame:
     return p.select("system_id", "station_id", F.round("full", 6).alias("full"), F.round("ablated", 6).alias("ablated"))
 
 
+def eva_11_floor(spark: SparkSession, d: str) -> DataFrame:
+    """The days from which a component helps: gain above 0 and three pairs not worse."""
+    x = MQ.rows(spark, d).withColumn("days", F.col("p1000") % 7).withColumn("full", F.when(F.col("days") >= 3, F.col("y") * 400 + F.col("p1000") * 3 / 5).otherwise(F.col("p1000") * 1.0))
+    m = E.ablation_by_days(x, "days", "full", "q1000")
+    return E.choose_floor(m, (F.col("gain") > 0.02) & (F.col("n_not_worse") >= 3))
+
+
+def eva_13_tree_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Fewest trees within a point of the largest candidate, by Brier improvement over persistence."""
+    x = MQ.rows(spark, d).withColumn("trees", F.explode(F.array(*[F.lit(t) for t in (20, 70, 150, 300)])))
+    p = (F.col("y") * F.least(F.col("trees"), F.lit(100)) + F.col("p1000") * 0.3) / 400
+    s = x.withColumn("p", p).groupBy("trees").agg(E.brier(F.col("p"), Y(), W()).alias("v"), E.brier(M.persistence(F.col("bikes")), Y(), W()).alias("r"))
+    return E.tree_budget(s.select("trees", E.skill(F.col("v"), F.col("r")).alias("improvement"))).select("trees", F.round("reference", 9).alias("reference"))
+
+
 def eva_12_border(spark: SparkSession, d: str) -> DataFrame:
     table = E.border(MQ.table(spark, d)).select("system_id", "h_min", "bucket", "to_forest", "at_border")
     x = MQ.rows(spark, d).join(F.broadcast(table), ["system_id", "h_min", "bucket"])
@@ -232,6 +247,11 @@ SELECT 'v1' AS model_version, system_id, target, h_min, bucket, count(*) AS n, r
     "eva_10_log_selection": """SELECT event_id, ts + to_minutes(event_id % 50) AS generated_at FROM events WHERE date_trunc('hour', ts) >= TIMESTAMP '2024-01-09 14:00:00' AND date_trunc('hour', ts) < TIMESTAMP '2024-01-10 15:00:00'
   AND ts + to_minutes(event_id % 50) >= TIMESTAMP '2024-01-09 15:00:00' AND ts + to_minutes(event_id % 50) < TIMESTAMP '2024-01-10 15:00:00'""",
     "eva_11_port_sums": f"WITH {MQ.ROWS} SELECT system_id, station_id, round(sum(w * pow(p1000 / 1000.0::DOUBLE - y, 2)), 6) AS full, round(sum(w * pow(q1000 / 1000.0::DOUBLE - y, 2)), 6) AS ablated FROM rows GROUP BY ALL",
+    "eva_11_floor": f"""WITH {MQ.ROWS}, x AS (SELECT *, p1000 % 7 AS k, CASE WHEN p1000 % 7 >= 3 THEN y * 400 + p1000 * 3 / 5.0::DOUBLE ELSE p1000 END AS f FROM rows),
+p AS (SELECT k, system_id, h_min, sum(w * pow(f / 1000.0::DOUBLE - y, 2)) AS a, sum(w * pow(q1000 / 1000.0::DOUBLE - y, 2)) AS b FROM x GROUP BY ALL), m AS (SELECT k, sum(b) / sum(a) - 1 > 0.02 AND count(*) FILTER (a <= b) >= 3 AS ok FROM p GROUP BY 1)
+SELECT min(k) FILTER (k > coalesce((SELECT max(k) FROM m WHERE NOT ok), -1)) AS floor FROM m""",
+    "eva_13_tree_budget": f"""WITH {MQ.ROWS}, x AS (SELECT *, unnest([20, 70, 150, 300]) AS trees FROM rows), s AS (SELECT trees, 1 - sum(w * pow((y * least(trees, 100) + p1000 * 0.3::DOUBLE) / 400 - y, 2)) / sum(w * pow((bikes >= 1)::INT - y, 2)) AS i FROM x GROUP BY 1), t AS (SELECT arg_max(i, trees) AS r FROM s)
+SELECT min(trees) AS trees, round(max(r), 9) AS reference FROM s, t WHERE i >= r - 0.01""",
     "eva_12_border": f"""WITH {MQ.GATE}, b AS (SELECT *, to_forest AND (NOT coalesce(lag(to_forest) OVER h, true) OR NOT coalesce(lead(to_forest) OVER h, true) OR NOT coalesce(lag(to_forest) OVER k, true) OR NOT coalesce(lead(to_forest) OVER k, true)) AS at_border FROM tab
   WINDOW h AS (PARTITION BY system_id, bucket ORDER BY h_min), k AS (PARTITION BY system_id, h_min ORDER BY bucket)), g AS (SELECT to_forest, at_border, abs(p1000 - q1000) AS x FROM rows r JOIN b USING (system_id, h_min, bucket))
 SELECT to_forest, at_border, count(*) AS n, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.9) AS p90, max(x) AS largest FROM g GROUP BY ALL""",
