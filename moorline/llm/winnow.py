@@ -41,7 +41,7 @@ from moorline.llm.textarrays import ALNUM, as_long, ngram_hashes, row_ranges, sl
 class Params:
     span: int = 10  #: words in a window: shared runs of this length are always found
     k: int = 5  #: words in a fingerprint
-    max_windows: int = 4_000_000  #: most item windows that are broadcast (16 bytes each)
+    max_windows: int = 1_000_000  #: most item windows that are broadcast (about 100 bytes each on the driver, 24 in a task)
 
     @property
     def window(self) -> int:
