@@ -35,14 +35,17 @@ from moorline.llm.textarrays import ALNUM, mix, slices, text_buffer, word_bounds
 class Params:
     folds: int = 3
     held_out: int = 1
-    per_class: int = 3000
+    per_class: int = 2000
     longest: int = 32_000
-    support: int = 6  #: toxic texts a unit must be in
+    support: int = 3  #: toxic texts a unit must be in, and one more for every ``support_each`` toxic texts
+    support_each: int = 500
     purity: float = 0.98  #: share of toxic texts among a unit's texts, classes weighted equally
     slots: int = 1 << 18  #: hashed feature weights
     others: int = 40_000  #: clean sentences in the fit
     chain: int = 32  #: longest sentence in words
-    epochs: int = 3  #: over the sentences of a round
+    epochs: int = 3  #: over the sentences of a round, and more when they are few
+    updates: int = 250  #: gradient steps a round at least
+    batch: int = 1024
     rounds: int = 3  #: after each, clean sentences that the model finds suspicious join the fit
     rate: float = 0.5
     l2: float = 1e-6
@@ -161,7 +164,7 @@ def tag(rows: list[tuple[str, int]], p: Params) -> tuple[Tokens, np.ndarray]:
         pairs = np.unique(np.stack([unit, tokens.rows], axis=1), axis=0)
         hit = np.bincount(pairs[label[pairs[:, 1]] == 1][:, 0], minlength=len(values))
         miss = np.bincount(pairs[label[pairs[:, 1]] == 0][:, 0], minlength=len(values)) * share
-        good = (hit >= p.support) & (hit / np.maximum(hit + miss, 1e-9) >= p.purity)
+        good = (hit >= p.support + (label == 1).sum() // p.support_each) & (hit / np.maximum(hit + miss, 1e-9) >= p.purity)
         y |= good[unit] & toxic
     return tokens, y
 
@@ -184,15 +187,16 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Crf:
     square, sq = np.full(p.slots, 1e-2), np.full(7, 1e-2)
     clean = np.ones(len(tokens.begin), dtype=bool)
     clean[with_toxic] = False
-    for epoch in range(p.epochs * p.rounds):
-        if epoch and epoch % p.epochs == 0:
+    epochs = max(p.epochs, -(-p.updates // -(-len(train) // p.batch)))
+    for epoch in range(epochs * p.rounds):
+        if epoch and epoch % epochs == 0:
             worst = np.zeros(len(tokens.begin))
             np.maximum.at(worst, sentence, marginals(crf, tokens, features))
             hard = np.flatnonzero(clean & (worst > 0.02))
             train = np.union1d(train, hard[np.argsort(-worst[hard], kind="stable")][: p.others])
         rng.shuffle(train)
-        for at in range(0, len(train), 1024):
-            pick = train[at : at + 1024]
+        for at in range(0, len(train), p.batch):
+            pick = train[at : at + p.batch]
             begin, length = tokens.begin[pick], tokens.length[pick]
             width = int(length.max())
             places = begin[:, None] + np.arange(width)
