@@ -21,7 +21,8 @@ Steps, each a Spark job over all rows:
 
 Repeated rows are documents like others (equal sets, one class). A null doc_id takes
 part as itself: its component_id is the smallest id of its class, or null, and kept is
-false. Extra columns are ignored. An empty table gives an empty result.
+false. Rows that repeat an id with another text are confirmed by one of their texts.
+Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
