@@ -124,13 +124,18 @@ def fit(docs: DataFrame, p: Params = Params()) -> Model:
     code = codewords(len(languages))
     if len(languages) < 2:
         return Model(languages, code, np.zeros((p.bins, code.shape[1] if len(code) else 1)), np.zeros(1), np.ones(1), p)
-    x = np.stack([np.frombuffer(v, dtype=np.float32) for _, _, v in picked]).astype(np.float64)
+    x = np.frombuffer(b"".join(v for _, _, v in picked), dtype=np.float32).reshape(len(picked), -1)
     y = code[[languages.index(label) for _, label, _ in picked]]
     kept = np.arange(len(x)) % 5 == 0
+    del seen
 
     def solve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mean, middle = x.mean(axis=0), y.mean(axis=0)
-        w = np.linalg.solve((x - mean).T @ (x - mean) + p.ridge * len(x) * np.eye(x.shape[1]), (x - mean).T @ (y - middle))
+        """Ridge regression; only the bins x bins products are held in double precision."""
+        mean, middle = x.mean(axis=0, dtype=np.float64), y.mean(axis=0)
+        centred = x - mean.astype(np.float32)
+        gram = (centred.T @ centred).astype(np.float64)
+        gram.flat[:: len(gram) + 1] += p.ridge * len(x)
+        w = np.linalg.solve(gram, centred.T.astype(np.float64) @ (y - middle))
         return w, middle - mean @ w
 
     w, b = solve(x[~kept], y[~kept])
