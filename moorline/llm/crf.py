@@ -35,7 +35,7 @@ from moorline.llm.textarrays import ALNUM, mix, slices, text_buffer, word_bounds
 class Params:
     folds: int = 3
     held_out: int = 1
-    per_class: int = 2000
+    per_class: int = 3000
     longest: int = 32_000
     support: int = 3  #: toxic texts a unit must be in, and one more for every ``support_each`` toxic texts
     support_each: int = 500
@@ -54,6 +54,7 @@ class Params:
 
 
 PREFIXES, SUFFIX = (3, 4, 5, 6), 3
+BLOCK = 8192  #: sentences that forward-backward pads together
 
 
 def _cut_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: int) -> np.ndarray:
@@ -140,15 +141,15 @@ def marginals(crf: Crf, tokens: Tokens, features: np.ndarray) -> np.ndarray:
     e = crf.emissions(features)
     low = 0
     for width in (4, 8, 16, 32, 64, 1 << 30):
-        pick = np.flatnonzero((tokens.length > low) & (tokens.length <= width))
+        alike = np.flatnonzero((tokens.length > low) & (tokens.length <= width))
         low = width
-        if not len(pick):
-            continue
-        begin, length = tokens.begin[pick], tokens.length[pick]
-        padded, mask = _pad(e, begin, length, int(length.max()))
-        alpha, beta, z = forward_backward(padded, mask, crf.start, crf.move)
-        p = np.exp(np.minimum(alpha[:, :, 1] + beta[:, :, 1] - z[:, None], 0.0))
-        out[(begin[:, None] + np.arange(mask.shape[1]))[mask]] = p[mask]
+        for at in range(0, len(alike), BLOCK):
+            pick = alike[at : at + BLOCK]
+            begin, length = tokens.begin[pick], tokens.length[pick]
+            padded, mask = _pad(e, begin, length, int(length.max()))
+            alpha, beta, z = forward_backward(padded, mask, crf.start, crf.move)
+            p = np.exp(np.minimum(alpha[:, :, 1] + beta[:, :, 1] - z[:, None], 0.0))
+            out[(begin[:, None] + np.arange(mask.shape[1]))[mask]] = p[mask]
     return out
 
 
@@ -161,9 +162,10 @@ def tag(rows: list[tuple[str, int]], p: Params) -> tuple[Tokens, np.ndarray]:
     share = max(1, (label == 1).sum()) / max(1, (label == 0).sum())
     for h in tokens.units():
         values, unit = np.unique(h, return_inverse=True)
-        pairs = np.unique(np.stack([unit, tokens.rows], axis=1), axis=0)
-        hit = np.bincount(pairs[label[pairs[:, 1]] == 1][:, 0], minlength=len(values))
-        miss = np.bincount(pairs[label[pairs[:, 1]] == 0][:, 0], minlength=len(values)) * share
+        pairs = np.unique(unit.astype(np.int64) * len(label) + tokens.rows)  # each unit once for each text
+        bad = label[pairs % len(label)] == 1
+        hit = np.bincount(pairs[bad] // len(label), minlength=len(values))
+        miss = np.bincount(pairs[~bad] // len(label), minlength=len(values)) * share
         good = (hit >= p.support + (label == 1).sum() // p.support_each) & (hit / np.maximum(hit + miss, 1e-9) >= p.purity)
         y |= good[unit] & toxic
     return tokens, y
@@ -178,6 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Crf:
     if not y.any():
         return Crf(crf.weights, -60.0, crf.start, crf.move)
     features = tokens.features(p.slots)
+    tokens.word = tokens.suffix = None
+    tokens.prefix = []
     sentence = np.repeat(np.arange(len(tokens.begin)), tokens.length)
     with_toxic = np.unique(sentence[y])
     rng = np.random.default_rng(0)
