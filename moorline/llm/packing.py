@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,17 +46,24 @@ _ENCODERS: dict = {}
 
 
 def encoder(vocabulary: str):  # noqa: ANN201
-    """A worker's tokenizer, made once. Strings of special tokens are ordinary text."""
+    """A worker's tokenizer, made once, with the special tokens of the JSON file of the same name."""
     if vocabulary not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(vocabulary), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[vocabulary] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(vocabulary.rsplit(".", 1)[0] + ".json"), encoding="utf-8") as file:
+            special = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+        _ENCODERS[vocabulary] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODERS[vocabulary]
 
 
+def encode_text(encode, text: str) -> np.ndarray:  # noqa: ANN001
+    """The ids of encode(text, add_special_tokens=False) of the JSON file: a special token's string in the text is its one id."""
+    return encode.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+
+
 class Packer:
     """Packs remainders block by block; ``out`` gets (doc, start, length, crc, sequence, offset)."""
 
@@ -89,36 +97,27 @@ class Packer:
         c = self.p.capacity
         pieces = sorted(self.left + self.held, key=lambda x: -len(x[2]))
         bins = sum(len(x[2]) for x in pieces) // c
-        room = [c] * bins
+        room, costs = np.full(bins, c), np.zeros(bins)
         filled: list[list] = [[] for _ in range(bins)]
-        costs = [0.0] * bins
-        heap = [(0.0, b) for b in range(bins)]
         spare = []
         for piece in pieces:
-            n, passed, goal = len(piece[2]), [], None
-            while heap and len(passed) < 16:
-                top = heapq.heappop(heap)
-                if room[top[1]] >= n:
-                    goal = top[1]
-                    break
-                passed.append(top)
-            for x in passed:
-                heapq.heappush(heap, x)
-            if goal is None:
+            n = len(piece[2])
+            goal = int(np.where(room >= n, costs, np.inf).argmin()) if bins else None
+            if goal is None or room[goal] < n:
                 spare.append(piece)
                 continue
             filled[goal].append(piece)
             room[goal] -= n
             costs[goal] += self.cost(n)
-            if room[goal]:
-                heapq.heappush(heap, (costs[goal], goal))
+        heap = [(costs[b], b) for b in range(bins) if room[b]]
+        heapq.heapify(heap)
         self.left = []
         spare = spare[::-1]
         while spare:  # cut over the sequences with room left, lowest cost first
             doc, start, ids = spare.pop()
             while len(ids) and heap:
                 _, goal = heapq.heappop(heap)
-                take = min(room[goal], len(ids))
+                take = min(int(room[goal]), len(ids))
                 filled[goal].append((doc, start, ids[:take]))
                 room[goal] -= take
                 costs[goal] += self.cost(take)
@@ -175,7 +174,7 @@ def pack_documents(docs: DataFrame, p: Params = Params()) -> DataFrame:
             ids, texts = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
                 text = texts[i].as_py() or ""
-                tokens = np.append(encode.encode_to_numpy(text, disallowed_special=()), np.uint32(p.close)).astype("<u4", copy=False)
+                tokens = np.append(encode_text(encode, text), np.uint32(p.close)).astype("<u4", copy=False)
                 keys_at[done] = (ids[i].as_py(), len(tokens))
                 packer.add(done, tokens)
                 done += 1

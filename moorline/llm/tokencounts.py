@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moorline.llm.packing import encoder
+from moorline.llm.packing import encode_text, encoder
 from moorline.llm.shared import cut
 
 BLOCK = 1024  #: lengths in a block of the suffix sums
@@ -33,7 +33,7 @@ def token_lengths(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") ->
         encode = encoder(vocabulary)
         for batch in batches:
             texts = batch.column(0)
-            n = np.fromiter((len(encode.encode_to_numpy(texts[i].as_py() or "", disallowed_special=())) for i in range(len(texts))), dtype=np.int64, count=len(texts))
+            n = np.fromiter((len(encode_text(encode, texts[i].as_py() or "")) for i in range(len(texts))), dtype=np.int64, count=len(texts))
             yield pa.RecordBatch.from_arrays([pa.array(n)], names=["n_tokens"])
 
     return docs.select("text").mapInArrow(run, "n_tokens long")
