@@ -20,6 +20,8 @@ extended, each against the windows of its own candidate items.
 
 Null or wordless texts have no words and no hits; repeated rows are rows like
 others; extra columns are ignored; an empty benchmark leaves all documents clean.
+Items with a null item_id count in n_hit and contaminated, and are left out of
+n_items, the digest and items, as they have no name.
 """
 
 from __future__ import annotations
@@ -92,16 +94,23 @@ def item_windows(column: pa.Array, span: int) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _keyed(items: DataFrame) -> DataFrame:
+    """(item, item_id, text): item is never null for an item with words; items without an id are told apart by their text."""
+    own = F.col("item_id").cast("string")
+    return items.select(F.coalesce(F.concat(F.lit("i"), own), F.concat(F.lit("n"), F.sha2("text", 256))).alias("item"), own.alias("item_id"), "text")
+
+
 def window_table(items: DataFrame, p: Params) -> DataFrame:
-    """(item_id, n, window, prints) of the items: distinct windows and their k-gram hashes to look for."""
+    """(item, item_id, n, window) of the keyed items: distinct windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                rows, n, h = item_windows(part.column(1), p.span)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(n.astype(np.int32)), pa.array(as_long(h))], names=["item_id", "n", "window"])
+                rows, n, h = item_windows(part.column(2), p.span)
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(n.astype(np.int32)), pa.array(as_long(h))], names=["item", "item_id", "n", "window"])
 
-    return items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(run, "item_id string, n int, window long").distinct()
+    return items.mapInArrow(run, "item string, item_id string, n int, window long").distinct()
 
 
 def _fingerprints(batch_column: pa.Array, p: Params, short: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,12 +182,12 @@ def _result(keys: list[pa.Array], key_names: list[str], n_words: np.ndarray, n_h
 def _one_pass(docs: DataFrame, windows: DataFrame, prints: DataFrame, p: Params) -> DataFrame:
     """Broadcast plan: the windows' number has been checked."""
     spark = docs.sparkSession
-    rows = windows.orderBy("item_id", "n", "window").toPandas()
+    rows = windows.select("item_id", "n", "window").orderBy("item_id", "n", "window").toPandas()
     names = sorted(set(rows.item_id.dropna()))
     number = {x: i for i, x in enumerate(names)}
-    rows = rows[rows.item_id.notna()]
+    unnamed = len(names)  # the number of all items without an id
     kept = np.unique(prints.where("n = 0").select("print").distinct().toPandas()["print"].to_numpy(dtype=np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast((names, rows.n.to_numpy(dtype=np.int64), rows.window.to_numpy(dtype=np.int64).view(np.uint64), rows.item_id.map(number).to_numpy(dtype=np.int64), kept))
+    shared = spark.sparkContext.broadcast((names, rows.n.to_numpy(dtype=np.int64), rows.window.to_numpy(dtype=np.int64).view(np.uint64), rows.item_id.map(number).fillna(unnamed).to_numpy(dtype=np.int64), kept))
     carried = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +210,7 @@ def _one_pass(docs: DataFrame, windows: DataFrame, prints: DataFrame, p: Params)
                 n_hit, items = np.zeros(part.num_rows, dtype=np.int64), [[] for _ in range(part.num_rows)]
                 for i in np.flatnonzero(likely):
                     n_hit[i], found = extend.hits(words[at[i] : at[i + 1]])
-                    items[i] = [names[x] for x in found]
+                    items[i] = [names[x] for x in found if x < len(names)]
                 yield _result([part.column(part.schema.get_field_index(c)) for c in carried], carried, np.diff(at), n_hit, items)
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
@@ -224,8 +233,8 @@ def _joined(docs: DataFrame, windows: DataFrame, prints: DataFrame, p: Params) -
     short = sorted(r.n for r in windows.where(F.col("n") < p.span).select("n").distinct().collect())  # span - 1 values at most
     keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
     own = keyed.select("_row", "text").mapInArrow(_printer(p, "_row", short), "_row long, n int, print long").distinct()
-    pairs = own.join(prints, ["n", "print"]).select("_row", "item_id").distinct()
-    need = pairs.join(windows, "item_id").select("_row", "item_id", "n", "window")
+    pairs = own.join(prints, ["n", "print"]).select("_row", "item").distinct()
+    need = pairs.join(windows, "item").select("_row", "item_id", "n", "window")
     words = keyed.join(pairs.select("_row").distinct(), "_row", "left_semi").select("_row", "text")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,10 +267,11 @@ def _joined(docs: DataFrame, windows: DataFrame, prints: DataFrame, p: Params) -
 
 def contamination(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
     """docs' columns without text, then n_words, n_hit, n_items, items_sha256, items (sorted ids), contaminated."""
+    items = _keyed(items)
     windows = cut(window_table(items, p), "windows")
     lengths = list(range(1, p.span))
-    prints = items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(_printer(p, "item_id", []), "item_id string, n int, print long")
-    prints = prints.unionByName(windows.where(F.col("n").isin(lengths)).select("item_id", "n", F.col("window").alias("print"))).distinct()
+    prints = items.select("item", "text").mapInArrow(_printer(p, "item", []), "item string, n int, print long")
+    prints = prints.unionByName(windows.where(F.col("n").isin(lengths)).select("item", "n", F.col("window").alias("print"))).distinct()
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     plan = _one_pass if windows.count() <= p.max_windows else _joined
     return plan(docs, windows, prints, p)

@@ -66,3 +66,17 @@ def test_awkward_rows_and_empty_tables(spark, docs, no_docs, most):
 
 def test_columns(docs, spark):
     assert set(DOCS.replace(",", "").split()[::2]) - {"text"} <= set(W.contamination(docs, spark.createDataFrame([(1, "a")], "item_id long, text string")).columns)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_items_without_an_id_count_as_hits(spark, most):
+    """Null ids count in n_hit and contaminated, and are no item of their own."""
+    text = "a1 b2 c3 d4 e5 f6 g7 h8 i9 j10 k11 l12"
+    items = [(None, text), (None, "short one"), (None, None), (5, "z1 z2 z3")]
+    texts = [(1, f"x {text} y"), (2, "say short one and z1 z2 z3"), (3, "say short one"), (4, "nothing here")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for only in (items, items[:3]):
+        bench = spark.createDataFrame(only, "item_id long, text string")
+        got = {r.doc_id: (r.n_hit, r.items, r.n_items, r.contaminated) for r in W.contamination(docs, bench, W.Params(max_windows=most)).collect()}
+        named = [str(i) for i, _ in only if i]
+        assert got == {1: (12, [], 0, True), 2: (2 + 3 * len(named), named, len(named), True), 3: (2, [], 0, True), 4: (0, [], 0, False)}
