@@ -2,7 +2,11 @@
 
 A text is split into sentences (line ends, and . ! ? ; before white space or the end),
 each lower-cased (A-Z) with every run outside a-z0-9 made one space. Known sentences
-become identifiers in order of appearance. Ordered rules then read the identifier
+become identifiers in order of appearance. A known sentence may be wrapped over any
+lines, with comment leaders (which are outside a-z0-9), as long as no blank line and
+none of . ! ? ; stands inside, save where public texts write one ("v. 2.0", "free
+software; you"); it begins and ends where sentences do, and of two that begin alike
+the longer is taken. n_sentences still counts every line end. Ordered rules then read the identifier
 sequence: a rule is a sequence of identifiers that must follow each other among the
 known sentences; where it matches, its licence is found and the identifiers are taken
 out (leaving a gap that later rules cannot bridge), so a specific rule ahead of a
@@ -73,26 +77,51 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 
+#: Neighbouring words of known sentences between which public texts write a full stop or semicolon.
+INNER_STOPS: tuple[tuple[str, str], ...] = (("v", "2"), ("software", "you"), ("foundation", "either"))
+
+STOP = "\x01"  #: a sentence end that a mark made, while line ends stay line ends
+_WRAP = rf" ?\n(?: ?{STOP})? ?"  #: one line end; a ";" at the start of a line is a comment leader
+_GAP, _STOP_GAP = rf"(?: |{_WRAP})", rf"(?: |{_WRAP}| ?{STOP}(?: ?\n)?(?: ?{STOP})? ?)"
+
+
 def _pattern(ids: tuple[str, ...]) -> str:
     return "".join(f"<{x}>" for x in ids)
 
 
-def sentences(text: Column) -> Column:
-    """Normalised, non-empty sentences of a text."""
-    t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    t = F.regexp_replace(t, r"[.!?;]+(\s|\z)", "\n")
-    t = F.regexp_replace(t, r"[^a-z0-9\n]+", " ")
-    return F.filter(F.transform(F.split(t, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+def _wrapped(sentence: str) -> str:
+    """Pattern of a known sentence between sentence or line ends, its words on one line or wrapped."""
+    words = sentence.split()
+    inner = words[0] + "".join((_STOP_GAP if pair in INNER_STOPS else _GAP) + pair[1] for pair in zip(words, words[1:]))
+    return rf"(^|[\n{STOP}]) ?{inner}(?= ?(?:[\n{STOP}]|\z))"
+
+
+def cut_text(text: Column) -> Column:
+    """Words with one space between them, line ends, and STOP where a mark ends a sentence."""
+    t = F.translate(F.coalesce(text, F.lit("")), UPPER + STOP, LOWER + " ")
+    t = F.regexp_replace(t, r"[.!?;]+(\s|\z)", STOP)
+    return F.regexp_replace(t, rf"[^a-z0-9\n{STOP}]+", " ")
+
+
+def sentences(cut: Column) -> Column:
+    """Normalised, non-empty sentences of a cut text."""
+    return F.filter(F.transform(F.split(cut, rf"[\n{STOP}]"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = SENTENCES, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> DataFrame:
     """doc_id, n_sentences, sequence (identifiers met), licenses, n_licenses, unmatched (identifiers no rule took)."""
-    texts = F.array(*[F.lit(s) for _, s in known])
-    names = F.array(*[F.lit(f"<{i}>") for i, _ in known])
+    longest_first = sorted(known, key=lambda x: -len(x[1]))
+    steps = F.array(*[F.struct(F.lit(s).alias("text"), F.lit(_wrapped(s)).alias("pattern"), F.lit(f"$1<{i}>").alias("name")) for i, s in longest_first])
     table = F.array(*[F.struct(F.lit(_pattern(ids)).alias("pattern"), F.lit(lic).alias("license")) for lic, ids in rules])
-    rows = docs.select("doc_id", sentences(F.col("text")).alias("s"))
-    rows = rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.filter(F.transform("s", lambda x: F.array_position(texts, x)), lambda i: i > 0).alias("at"))
-    rows = rows.select("doc_id", "n_sentences", F.array_join(F.transform("at", lambda i: F.element_at(names, i.cast("int"))), "").alias("sequence"))
+    rows = docs.select("doc_id", cut_text(F.col("text")).alias("cut"))
+    rows = rows.select("doc_id", "cut", sentences(F.col("cut")).alias("s"))
+    rows = rows.select("doc_id", "cut", F.size("s").cast("long").alias("n_sentences"), F.array_join("s", " ").alias("line"))
+    some = F.lit(False)
+    for _, s in known:
+        some = some | F.contains("line", F.lit(s))
+    marked = F.aggregate(steps, F.col("cut"), lambda acc, k: F.when(F.contains(F.col("line"), k["text"]), F.regexp_replace(acc, k["pattern"], k["name"])).otherwise(acc))
+    ids = F.array_join(F.regexp_extract_all(marked, F.lit("<[a-z0-9]+>"), F.lit(0)), "")
+    rows = rows.select("doc_id", "n_sentences", F.when(some, ids).otherwise("").alias("sequence"))
     start = F.struct(F.col("sequence").alias("rest"), F.array().cast("array<string>").alias("found"))
     fold = F.aggregate(
         table,
@@ -108,7 +137,7 @@ def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = SENTENCES, rules:
 
 
 def scan_sql(known: tuple[tuple[str, str], ...] = SENTENCES, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> str:
-    """The same in DuckDB SQL: one step for each rule."""
+    """The same in DuckDB SQL for known sentences on one line without inner stops: one step for each rule."""
     texts = ", ".join(f"'{s}'" for _, s in known)
     names = ", ".join(f"'<{i}>'" for i, _ in known)
     steps, last = [], "s0"
