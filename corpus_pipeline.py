@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moorline.llm import compression, ecoc, minhash, packing, winnow
-from moorline.llm.shared import shared_dir, table
+from moorline.llm.shared import cut, shared_dir, table
 
 LEAST_LANGUAGE_SCORE = 0.3  #: below it the best language is no better than a guess
 
@@ -31,10 +31,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of smallest id. Rows without an id stay, once for each text."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])).select(docs.columns)
+    """One row of each near-duplicate group: the one of smallest doc_id, rows without an id last.
+
+    Groups are those of rows, not of ids: every row gets a key of its own, written before it is used. A text
+    without words is near no other; of its rows with equal doc_id and text one stays.
+    """
+    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = minhash.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    ids = keyed.select("_row", "doc_id", F.when(wordless, F.coalesce(F.sha2("text", 256), F.lit("null"))).alias("bare"))
+    group = [F.when(F.col("bare").isNull(), F.col("component_id")).alias("a"), F.col("bare").alias("b"), F.when(F.col("bare").isNotNull(), F.col("doc_id")).alias("c")]
+    first = groups.join(ids, "_row").groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("first"))
+    return keyed.join(first.select("first._row"), "_row", "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,21 @@ def test_rows_without_ids_and_empty_tables(spark, sf_dir):
     empty = spark.createDataFrame([], DOCS)
     for _, stage in C.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_near_duplicates_go_by_row_not_by_id(spark, sf_dir):
+    """Ids shared by different texts and rows without an id: one row of each group, and nobody else is dropped."""
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    near = lambda name: text(name) + " tail"
+    rows = [
+        (5, text("a")), (5, text("b")), (5, near("b")), (6, near("a")), (4, near("c")), (5, text("c")),
+        (None, near("b")), (None, text("d")), (None, near("d")), (None, text("e")), (7, near("e")),
+        (8, ""), (8, ""), (9, ""), (None, None), (None, None), (None, " "),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
+    got = C.near_duplicates(spark, df, sf_dir).select("doc_id", "text").collect()
+    words = lambda t: (t or "").split()[:1]
+    full = sorted((r.doc_id or 0, words(r.text)[0]) for r in got if words(r.text))
+    assert full == [(0, "d0"), (4, "c0"), (5, "a0"), (5, "b0"), (7, "e0")]
+    assert next(r.text for r in got if r.doc_id == 5 and r.text.startswith("a0")) == text("a")
+    assert sorted((str(r.doc_id), r.text or "-") for r in got if not words(r.text)) == sorted([("8", "-"), ("9", "-"), ("None", "-"), ("None", " ")])
