@@ -46,7 +46,7 @@ def str_03_latest(spark: SparkSession, d: str) -> DataFrame:
     _, rows = I.daily_rows(spark, d)
     x = rows.where(F.col("observed_at") < "2024-01-15").select(*KEYS, "observed_at", F.lit(False).alias("is_anomalous"), "bikes", "docks", "flags")
     path = I.scratch(spark, "latest")
-    q = stream_of(spark, x.coalesce(1), "snapshots").writeStream.foreachBatch(S.merge_latest(path)).option("checkpointLocation", I.scratch(spark, "latest-state")).trigger(availableNow=True).start()
+    q = stream_of(spark, x, "snapshots").writeStream.foreachBatch(S.merge_latest(path)).option("checkpointLocation", I.scratch(spark, "latest-state")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{path}/edition={q.lastProgress['batchId'] if q.lastProgress else 0}").select(*KEYS, "observed_at", "bikes", "docks", "flags", "is_present")
 

@@ -257,3 +257,17 @@ def test_grid_floor_and_local_day(spark):
     df = spark.createDataFrame([(at(14 * 60 + 59),), (at(15 * 60 + 3),)], "t timestamp_ntz")
     r = df.select(timegrid.floor_to(F.col("t"), 5).alias("f"), timegrid.local_date(F.col("t"), 9).alias("d"), timegrid.minute_of_day(F.col("t"), 9).alias("m")).collect()
     assert [(x.f, x.d.day, x.m) for x in r] == [(at(14 * 60 + 55), 7, 1439), (at(900), 8, 3)]
+
+
+def test_latest_stream_is_not_written_by_one_task(spark, sf_dir, monkeypatch):
+    from moorline.plans import q_stream
+
+    seen, laid = [], q_stream.stream_of
+
+    def stream_of(spark, df, name):
+        seen.append(df)
+        return laid(spark, df, name)
+
+    monkeypatch.setattr(q_stream, "stream_of", stream_of)
+    assert q_stream.str_03_latest(spark, sf_dir).count() > 0
+    assert "Repartition 1" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
