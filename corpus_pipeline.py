@@ -1,7 +1,8 @@
 """Corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
 A filtering stage drops what its operator rejects and nothing else, and returns the
-columns it was given; packing, the last, returns pieces of sequences.
+columns it was given, which may have any names beside doc_id and text, since rows are
+carried whole; packing, the last, returns pieces of sequences.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moorline.llm import compression, ecoc, minhash, packing, winnow
-from moorline.llm.shared import cut, shared_dir, table
+from moorline.llm.shared import carried, cut, shared_dir, table
 
 LEAST_LANGUAGE_SCORE = 0.3  #: below it the best language is no better than a guess
 
@@ -20,14 +21,13 @@ LEAST_LANGUAGE_SCORE = 0.3  #: below it the best language is no better than a gu
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier scores at its threshold or above."""
     model = compression.fit(docs, table(spark, sf_dir, "labels"))
-    scored = compression.score(docs, model, carry=True)
-    return scored.where(F.col("quality_score") >= model.p.threshold).select(docs.columns)
+    return compression.rate(docs, model).where(F.col("quality_score") >= model.p.threshold).select("own.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose language is told apart."""
-    found = ecoc.predict(docs, ecoc.fit(docs), carry=True)
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    found = ecoc.tell(docs, ecoc.fit(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select("own.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,19 +36,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Groups are those of rows, not of ids: every row gets a key of its own, written before it is used. A text
     without words is near no other; of its rows with equal doc_id and text one stays.
     """
-    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = minhash.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    ids = keyed.select("_row", "doc_id", F.when(wordless, F.coalesce(F.sha2("text", 256), F.lit("null"))).alias("bare"))
+    keyed = cut(carried(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = minhash.near_duplicates(keyed.select(F.col("row").alias("doc_id"), F.col("own.text").alias("text"))).select(F.col("doc_id").alias("row"), "component_id")
+    text, doc_id = F.col("own.text"), F.col("own.doc_id")
+    wordless = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    ids = keyed.select("row", doc_id.alias("doc_id"), F.when(wordless, F.coalesce(F.sha2(text, 256), F.lit("null"))).alias("bare"))
     group = [F.when(F.col("bare").isNull(), F.col("component_id")).alias("a"), F.col("bare").alias("b"), F.when(F.col("bare").isNotNull(), F.col("doc_id")).alias("c")]
-    first = groups.join(ids, "_row").groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("first"))
-    return keyed.join(first.select("first._row"), "_row", "left_semi").select(docs.columns)
+    first = groups.join(ids, "row").groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
+    return keyed.join(first.select("first.row"), "row", "left_semi").select("own.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
-    hits = winnow.contamination(docs.withColumn("_body", F.col("text")), table(spark, sf_dir, "benchmark"))
-    return hits.where(~F.col("contaminated")).withColumnRenamed("_body", "text").select(docs.columns)
+    return winnow.judge(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select("own.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ a logistic calibration fitted on labelled texts that trained neither dictionary.
 The fit uses a bounded sample (``per_class`` texts of each class, none longer than
 ``longest`` characters). Empty or null text compresses to nothing: its features are
 zero and it gets the calibration's value there. When one class has no labelled text
-every score is that class's share. Repeated rows and extra columns have no effect.
+every score is that class's share. Repeated rows have no effect; extra columns may have
+any name: a row is carried whole, and where a result is returned beside the row's own
+columns, an own column of the result's name gives way to it.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moorline.llm.labelled import balanced_ids, sample_texts
-from moorline.llm.shared import fold
+from moorline.llm.shared import carried, carried_schema, fold, released
 
 
 @dataclass(frozen=True)
@@ -116,24 +118,26 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of ``docs(doc_id, text)``; with ``carry``, docs' own columns and score."""
-    p = model.p
+def rate(docs: DataFrame, model: Model) -> DataFrame:
+    """``own`` (each row of ``docs``, whole) and quality_score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kept = docs.columns if carry else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value.good, shared.value.bad, shared.value.weights, shared.value.p)
         if model.good:
             model.open()
         for batch in batches:
-            texts = pc.fill_null(pc.cast(batch.column(batch.schema.get_field_index("text")), pa.binary()), b"")
+            texts = pc.fill_null(pc.cast(batch.column(0).field("text"), pa.binary()), b"")
             f = np.array([model.features(texts[i].as_py()) if model.good else (0.0, 0.0, 0.0) for i in range(batch.num_rows)]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(model.score(f))], names=[*kept, "quality_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(f))], names=["own", "quality_score"])
+
+    return carried(docs).mapInArrow(run, carried_schema(docs, "quality_score double"))
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    out = rows.mapInArrow(run, f"{kinds}, quality_score double")
+
+def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted of each row of ``docs(doc_id, text)``; with ``carry``, docs' own columns and quality_score."""
     if carry:
-        return out
+        return released(rate(docs, model), ["quality_score"])
+    p = model.p
+    out = rate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("own.doc_id", "quality_score")
     return out.select("doc_id", F.coalesce(fold("doc_id", p.folds) == p.held_out, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= p.threshold).cast("int").alias("predicted"))

@@ -9,8 +9,10 @@ a text whose runner-up is close is flagged ambiguous.
 The fit uses a bounded sample (``per_class`` texts a language, none longer than
 ``longest`` characters, the held-out fold excluded); only n-gram shares of that sample
 reach the driver. Null text, or text without a letter, is ``und`` with score 0. With
-one known language all lettered texts get it; with none, all are ``und``. Repeated rows
-and extra columns have no effect.
+one known language all lettered texts get it; with none, all are ``und``. Of more than
+``most_languages`` values of lang (dirty data) those of most documents are learned. Repeated
+rows have no effect; extra columns may have any name: a row is carried whole, and where
+results are returned beside its own columns, an own column of a result's name gives way.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moorline.llm.labelled import balanced_ids
-from moorline.llm.shared import fold
+from moorline.llm.shared import carried, carried_schema, fold, released
 from moorline.llm.textarrays import slices, text_buffer
 
 
@@ -33,6 +35,8 @@ class Params:
     folds: int = 3
     held_out: int = 1
     per_class: int = 700
+    most: int = 12_000  #: sampled texts of all languages together: 8 KB of n-gram shares each reach the driver
+    most_languages: int = 200
     longest: int = 32_000
     bins: int = 2048
     ridge: float = 1e-3
@@ -108,7 +112,7 @@ class Model:
 
 
 def fit(docs: DataFrame, p: Params = Params()) -> Model:
-    ids = balanced_ids(docs.where(F.col("text").isNotNull()), "lang", p.folds, p.held_out, p.per_class)
+    ids = balanced_ids(docs.where(F.col("text").isNotNull()), "lang", p.folds, p.held_out, p.per_class, p.most, p.most_languages)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, p.longest))
     rows = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
 
@@ -145,30 +149,36 @@ def fit(docs: DataFrame, p: Params = Params()) -> Model:
     return Model(languages, code, w.astype(np.float32), b.astype(np.float32), trust, p)
 
 
-def predict(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, ambiguous of each row of ``docs(doc_id, text)``; with ``carry``, docs' own columns, lang_pred, lang_score and ambiguous."""
+def tell(docs: DataFrame, model: Model) -> DataFrame:
+    """``own`` (each row of ``docs``, whole), lang_pred, lang_score and ambiguous."""
     p = model.p
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kept = docs.columns if carry else ["doc_id"]
-    rows = rows.withColumn("_lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    rows = carried(docs).withColumn("lettered", F.coalesce(F.col("own.text").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
+            batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).field("text"), batch.column(1)], names=["own", "text", "lettered"])
             for part in slices(batch, "text", 1 << 19):
-                lettered = part.column(part.schema.get_field_index("_lettered")).to_numpy(zero_copy_only=False).astype(bool)
+                lettered = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 if model.languages:
-                    best, score = model.decode(shares(part.column(part.schema.get_field_index("text")), p.bins))
+                    best, score = model.decode(shares(part.column(1), p.bins))
                     names = [model.languages[i] if ok else "und" for i, ok in zip(best, lettered, strict=True)]
                     score = np.where(lettered, score, 0.0)
                 else:
                     names, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
-                own = [part.column(part.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(names, type=pa.string()), pa.array(score.astype(np.float64)), pa.array(score < p.ambiguous)], names=[*kept, "lang_pred", "lang_score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, type=pa.string()), pa.array(score.astype(np.float64)), pa.array(score < p.ambiguous)], names=["own", *RESULTS])
+
+    return rows.mapInArrow(run, carried_schema(docs, "lang_pred string, lang_score double, ambiguous boolean"))
+
+
+RESULTS = ["lang_pred", "lang_score", "ambiguous"]
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    out = rows.mapInArrow(run, f"{kinds}, lang_pred string, lang_score double, ambiguous boolean")
+
+def predict(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous of each row of ``docs(doc_id, text)``; with ``carry``, docs' own columns, lang_pred, lang_score and ambiguous."""
     if carry:
-        return out
+        return released(tell(docs, model), RESULTS)
+    p = model.p
+    out = tell(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("own.doc_id", *RESULTS)
     return out.select("doc_id", F.coalesce(fold("doc_id", p.folds) == p.held_out, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "ambiguous")

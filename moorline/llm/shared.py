@@ -1,21 +1,24 @@
-"""Session helpers shared by the operators: shared folders, bounded samples, table reads."""
+"""Session helpers shared by the operators: shared folders, rows carried whole, table reads."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; set to a local one only where it is unset."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a local one on a local master and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -38,10 +41,23 @@ def fold(doc_id: str, parts: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts))
 
 
-def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """About ``most`` rows at most, chosen by a hash of ``key``; all rows when there are fewer. One count is run."""
-    n = df.count()
-    if n <= most:
-        return df
-    share = int(most / n * (1 << 32))
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 32)) < F.lit(share))
+def column(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """Each row whole in one column ``own``, so that none of its names can clash with what an operator adds."""
+    return docs.select(F.struct(*[column(c) for c in docs.columns]).alias("own"))
+
+
+def carried_schema(docs: DataFrame, added: str) -> StructType:
+    """``own`` and the added columns (DDL)."""
+    return StructType([StructField("own", docs.schema, False), *StructType.fromDDL(added).fields])
+
+
+def released(rows: DataFrame, results: list[str], without: tuple[str, ...] = ()) -> DataFrame:
+    """The carried columns, then ``results``. A carried column that has the name of a result gives way to it."""
+    taken = {x.lower() for x in (*results, *without)}
+    own = [c for c in rows.schema["own"].dataType.names if c.lower() not in taken]
+    return rows.select(*[F.col("own").getField(c).alias(c) for c in own], *results)

@@ -16,10 +16,11 @@ Two plans, equal in result. While the items' windows number at most
 ``max_windows`` (checked by a count), they are broadcast as sorted hash arrays and
 one pass over the documents does it all, without a shuffle. Beyond that, winnowed
 fingerprints of both sides are joined and only documents that share one are
-extended, each against the windows of its own candidate items.
+extended, against all distinct windows by a second join.
 
 Null or wordless texts have no words and no hits; repeated rows are rows like
-others; extra columns are ignored; an empty benchmark leaves all documents clean.
+others; extra columns may have any name (rows are carried whole; an own column of a
+result's name gives way to it); an empty benchmark leaves all documents clean.
 Items with a null item_id count in n_hit and contaminated, and are left out of
 n_items, the digest and items, as they have no name.
 """
@@ -32,10 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moorline.llm.shared import cut
+from moorline.llm.shared import carried, carried_schema, cut, released
 from moorline.llm.textarrays import ALNUM, as_long, ngram_hashes, row_ranges, slices, text_buffer, word_bounds, word_hashes
 
 
@@ -43,6 +44,7 @@ from moorline.llm.textarrays import ALNUM, as_long, ngram_hashes, row_ranges, sl
 class Params:
     span: int = 10  #: words in a window: shared runs of this length are always found
     k: int = 5  #: words in a fingerprint
+    splits: int = 16  #: parts that a fingerprint or window of the shuffle plan is dealt over
     max_windows: int = 1_000_000  #: most item windows that are broadcast (about 100 bytes each on the driver, 24 in a task)
 
     @property
@@ -188,15 +190,15 @@ def _one_pass(docs: DataFrame, windows: DataFrame, prints: DataFrame, p: Params)
     unnamed = len(names)  # the number of all items without an id
     kept = np.unique(prints.where("n = 0").select("print").distinct().toPandas()["print"].to_numpy(dtype=np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast((names, rows.n.to_numpy(dtype=np.int64), rows.window.to_numpy(dtype=np.int64).view(np.uint64), rows.item_id.map(number).fillna(unnamed).to_numpy(dtype=np.int64), kept))
-    carried = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, n, h, item, kept = shared.value
         extend = _Extender(n, h, item)
         short = {k: v[0] for k, v in extend.by_length.items() if k < p.span}
         for batch in batches:
+            batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).field("text")], names=["own", "text"])
             for part in slices(batch, "text"):
-                words, rows, at = _words(part.column(part.schema.get_field_index("text")))
+                words, rows, at = _words(part.column(1))
                 likely = np.zeros(part.num_rows, dtype=bool)
                 if len(words) >= p.k and len(kept):
                     grams = ngram_hashes(words, p.k)
@@ -211,10 +213,9 @@ def _one_pass(docs: DataFrame, windows: DataFrame, prints: DataFrame, p: Params)
                 for i in np.flatnonzero(likely):
                     n_hit[i], found = extend.hits(words[at[i] : at[i + 1]])
                     items[i] = [names[x] for x in found if x < len(names)]
-                yield _result([part.column(part.schema.get_field_index(c)) for c in carried], carried, np.diff(at), n_hit, items)
+                yield _result([part.column(0)], ["own"], np.diff(at), n_hit, items)
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return docs.mapInArrow(run, f"{kinds}, {_HITS}")
+    return carried(docs).mapInArrow(run, carried_schema(docs, _HITS))
 
 
 def _printer(p: Params, key: str, short: list[int]):
@@ -228,14 +229,19 @@ def _printer(p: Params, key: str, short: list[int]):
 
 
 def _joined(docs: DataFrame, windows: DataFrame, prints: DataFrame, p: Params) -> DataFrame:
-    """Shuffle plan: fingerprints are joined; then each candidate (document, item) is extended and its hit words united."""
-    carried = [c for c in docs.columns if c != "text"]
+    """Shuffle plan: documents that share a fingerprint are extended against the distinct windows, whatever item they come from; items are attached to the windows hit.
+
+    Fingerprints and windows that very many documents hold are dealt over ``splits`` parts,
+    with a copy of the benchmark's side in each.
+    """
     short = sorted(r.n for r in windows.where(F.col("n") < p.span).select("n").distinct().collect())  # span - 1 values at most
-    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    own = keyed.select("_row", "text").mapInArrow(_printer(p, "_row", short), "_row long, n int, print long").distinct()
-    pairs = own.join(prints, ["n", "print"]).select("_row", "item").distinct()
-    need = pairs.join(windows, "item").select("_row", "item_id", "n", "window")
-    words = keyed.join(pairs.select("_row").distinct(), "_row", "left_semi").select("_row", "text")
+    keyed = cut(carried(docs).withColumn("row", F.monotonically_increasing_id()), "keyed")
+    part = F.pmod(F.xxhash64("row"), F.lit(p.splits)).alias("part")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p.splits - 1).cast("long"))).alias("part")
+    own = keyed.select("row", F.col("own.text").alias("text")).mapInArrow(_printer(p, "row", short), "row long, n int, print long").distinct()
+    wanted = prints.select("n", "print").distinct().select("n", "print", copies)
+    rows = own.select("row", "n", "print", part).join(wanted, ["n", "print", "part"], "left_semi").select("row").distinct()
+    words = keyed.select("row", F.col("own.text").alias("text")).join(rows, "row", "left_semi")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = [*short, p.span]
@@ -246,32 +252,41 @@ def _joined(docs: DataFrame, windows: DataFrame, prints: DataFrame, p: Params) -
                     grams = ngram_hashes(hashes, n)
                     whole = np.flatnonzero(rows[: len(grams)] == rows[n - 1 :]) if len(grams) else np.zeros(0, dtype=np.int64)
                     owner = rows[whole]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(np.full(len(whole), n, dtype=np.int32)), pa.array(as_long(grams[whole])), pa.array(whole - at[owner])], names=["_row", "n", "window", "pos"])
-
-    spots = words.mapInArrow(places, "_row long, n int, window long, pos long")
-    found = cut(spots.join(need, ["_row", "n", "window"]), "hits")
-    hit = found.select("_row", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("word")).distinct().groupBy("_row").agg(F.count(F.lit(1)).alias("n_hit"))
-    items = found.groupBy("_row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(np.full(len(whole), n, dtype=np.int32)), pa.array(as_long(grams[whole])), pa.array(whole - at[owner])], names=["row", "n", "window", "pos"])
+
+    spots = words.mapInArrow(places, "row long, n int, window long, pos long").select("*", part)
+    known = windows.select("n", "window").distinct().select("n", "window", copies)
+    found = cut(spots.join(known, ["n", "window", "part"], "left_semi").drop("part"), "hits")
+    before = F.max(F.col("pos") + F.col("n")).over(Window.partitionBy("row").orderBy("pos", "n").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.col("pos") + F.col("n") - F.greatest("pos", F.coalesce(before, "pos")), F.lit(0))
+    hit = found.select("row", fresh.alias("fresh")).groupBy("row").agg(F.sum("fresh").alias("n_hit"))
+    held = found.select("row", "n", "window").distinct().select("row", "n", "window", part)
+    named = windows.where(F.col("item_id").isNotNull()).select("n", "window", "item_id").distinct().select("n", "window", "item_id", copies)
+    items = held.join(named, ["n", "window", "part"]).select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = pa.RecordBatch.from_arrays([*batch.columns, batch.column(0).field("text")], names=["own", "row", "text"])
             for part in slices(batch, "text"):
-                at = _words(part.column(1))[2]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at))], names=["_row", "n_words"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(_words(part.column(2))[2]))], names=["own", "row", "n_words"])
 
-    sizes = keyed.select("_row", "text").mapInArrow(count, "_row long, n_words long")
-    out = keyed.drop("text").join(sizes, "_row").join(hit, "_row", "left").join(items, "_row", "left")
+    sized = keyed.mapInArrow(count, carried_schema(docs, "row long, n_words long"))
+    out = sized.join(hit, "row", "left").join(items, "row", "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(*carried, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"), listed.alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
+    return out.select("own", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"), listed.alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
-    """docs' columns without text, then n_words, n_hit, n_items, items_sha256, items (sorted ids), contaminated."""
+def judge(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
+    """``own`` (each row of ``docs``, whole), n_words, n_hit, n_items, items_sha256, items (sorted ids), contaminated."""
     items = _keyed(items)
     windows = cut(window_table(items, p), "windows")
     lengths = list(range(1, p.span))
     prints = items.select("item", "text").mapInArrow(_printer(p, "item", []), "item string, n int, print long")
     prints = prints.unionByName(windows.where(F.col("n").isin(lengths)).select("item", "n", F.col("window").alias("print"))).distinct()
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     plan = _one_pass if windows.count() <= p.max_windows else _joined
     return plan(docs, windows, prints, p)
+
+
+def contamination(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
+    """docs' columns without text, then n_words, n_hit, n_items, items_sha256, items (sorted ids), contaminated."""
+    return released(judge(docs, items, p), _COLUMNS, without=("text",))

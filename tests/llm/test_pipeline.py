@@ -65,3 +65,19 @@ def test_near_duplicates_go_by_row_not_by_id(spark, sf_dir):
     assert full == [(0, "d0"), (4, "c0"), (5, "a0"), (5, "b0"), (7, "e0")]
     assert next(r.text for r in got if r.doc_id == 5 and r.text.startswith("a0")) == text("a")
     assert sorted((str(r.doc_id), r.text or "-") for r in got if not words(r.text)) == sorted([("8", "-"), ("9", "-"), ("None", "-"), ("None", " ")])
+
+
+CLASHING = "quality_score lang_pred lang_score ambiguous lettered own row bare contaminated n_words n_hit n_items items items_sha256 component_id kept n_shingles first _row _body score".split()
+
+
+def test_clashing_columns(spark, docs, sf_dir):
+    """Extra columns of any name pass through every filtering stage as they are."""
+    few = docs.where("doc_id % 3 = 0")
+    extra = few.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    for name, stage in C.STAGES[:-1]:
+        got = stage(spark, extra, sf_dir)
+        assert got.columns == extra.columns, name
+        rows = got.collect()
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHING), name
+        assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, few, sf_dir).select("doc_id").collect()}, name
+    assert C.pack(spark, extra, sf_dir).count() == C.pack(spark, few, sf_dir).count()
