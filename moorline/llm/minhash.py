@@ -9,20 +9,26 @@ Steps, each a Spark job over all rows:
 
 1. one pass over the texts makes set size, a 128-bit set hash, a SuperMinHash
    signature and its band keys (no text leaves the pass);
-2. documents with equal sets fold into one class by a partial aggregate;
+2. documents with equal sets fold into one class by a partial aggregate; a class has
+   a number of its own, the smallest doc_id of its rows, and one row whose text speaks
+   for it;
 3. band keys shared by two or more classes give candidates. Small buckets yield all
    their pairs. In a large bucket every member meets the bucket's most central
    members (those that share most buckets), chosen by partial aggregates, so that a
    group of n copies costs about n pairs;
-4. candidates are confirmed on the full shingle sets, rebuilt from the texts;
+4. candidates are confirmed on the full shingle sets, rebuilt from the texts. Only the
+   texts of candidate classes are shuffled: a bitmap of fixed greatest size drops the
+   others in the scan. A class in many pairs has its text copied once for every
+   ``share`` of them, so no task holds all pairs of one class;
 5. links become components by distributed union-find. Large buckets that still hold
    more than one component are then compared in tiles of bounded size, with the
    signatures deciding which pairs are worth confirming, and components are rebuilt.
 
-Repeated rows are documents like others (equal sets, one class). A null doc_id takes
-part as itself: its component_id is the smallest id of its class, or null, and kept is
-false. Rows that repeat an id with another text are confirmed by one of their texts.
-Extra columns are ignored. An empty table gives an empty result.
+Repeated rows are documents like others (equal sets, one class). Rows are linked by
+their own texts, never by their ids: rows that repeat an id with another text belong to
+the classes of their texts, and rows with a null doc_id link like others (their
+component_id is the smallest id reachable, null where there is none, and kept is
+false). Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,11 +56,13 @@ class Params:
     rows: int = 4
     small_bucket: int = 10  #: buckets up to this size yield all their pairs
     pivots: int = 4  #: central members that each member of a larger bucket meets
-    tile: int = 256  #: members in each side of a tile of the last step
-    slack: float = 0.1  #: how far below the threshold a signature estimate may lie and still be compared (3.7 standard errors of 256 slots)
+    share: int = 256  #: pairs that one copy of a class's text serves
+    bitmap_bits: int = 1 << 27  #: most bits of the bitmap of candidate classes (16 MB)
+    tile: int = 2048  #: members in each side of a tile of the last step (5 MB)
+    slack: float = 0.13  #: how far below the threshold a signature estimate may lie and still be compared (4.8 standard errors of 256 slots)
     size: int = 256  #: slots of the last step's first look
     fine: int = 2048  #: signature slots of the last step
-    fine_slack: float = 0.04  #: the same for these (4 standard errors)
+    fine_slack: float = 0.046  #: the same for these (4.8 standard errors)
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +129,7 @@ def superminhash(h: np.ndarray, owner: np.ndarray, n_rows: int, m: int) -> np.nd
     return sig.reshape(n_rows, m)
 
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+_SIGNED = "doc_id long, text_a long, text_b long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 def _signer(p: Params):
@@ -145,12 +153,14 @@ def _signer(p: Params):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
+                        part.column(3),
                         pa.array(size.astype(np.int64)),
                         pa.array(as_long(a)),
                         pa.array(as_long(b)),
                         pa.ListArray.from_arrays(np.arange(0, n * p.bands + 1, p.bands, dtype=np.int32), pa.array(as_long(bands.ravel()))),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    names=["doc_id", "text_a", "text_b", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
     return run
@@ -179,10 +189,45 @@ def _verifier(p: Params):
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose full shingle sets are similar enough."""
-    pairs = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    pairs = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a 128-bit hash of the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit("b"), "text").alias("text_b"))
+
+
+def _bit(p_bits: int) -> Column:
+    """Place of a (text_a, text_b, doc_id) in a bitmap, from 1."""
+    return F.pmod(F.xxhash64("text_a", "text_b", "doc_id"), F.lit(p_bits)) + 1
+
+
+def class_texts(ids: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """(*ids' columns, text): the text of each class of ``ids(id, ...)``. Only texts that a bitmap of the wanted classes lets pass are shuffled."""
+    key = ["text_a", "text_b", "doc_id"]
+    wanted = cut(ids.join(classes.select("id", F.col("speaks.*")), "id"), "wanted")
+    bits = min(p.bitmap_bits, 1 << max(15, (16 * wanted.count()).bit_length()))
+    at = _bit(bits)
+    bitmap = wanted.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+    texts = _keyed(docs).withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("place", F.bitmap_bit_position(at))
+    texts = texts.join(F.broadcast(bitmap), "bucket")  # at most bits / 8 bytes
+    byte = F.conv(F.hex(F.substring("bitmap", (F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    texts = texts.where(F.getbit(byte, F.col("place") % 8) == 1).select("doc_id", "text", "text_a", "text_b").dropDuplicates(key)
+    own = texts.select(*[F.col(c).alias(f"t_{c}") for c in key], "text")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"t_{c}"))
+    return wanted.hint("merge").join(own, same).select(*ids.columns, "text")
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """Those of ``pairs(u, v)`` of classes whose full shingle sets are similar enough."""
+    asked = []
+    for end, other in (("u", "v"), ("v", "u")):
+        copies = pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / p.share).alias("copies"))
+        pairs = pairs.join(copies, end).withColumn(f"{end}_part", F.pmod(F.xxhash64(other), "copies")).drop("copies")
+        asked.append(copies.select(F.col(end).alias("id"), F.lit(end).alias("end"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("part")))
+    texts = cut(class_texts(asked[0].unionByName(asked[1]), classes, docs, p), "texts")
+    for end in ("u", "v"):
+        own = texts.where(F.col("end") == end).select(F.col("id").alias(end), F.col("part").alias(f"{end}_part"), F.col("text").alias(f"text_{end}"))
+        pairs = pairs.join(own, [end, f"{end}_part"])
     return pairs.select("u", "v", "text_u", "text_v").mapInArrow(_verifier(p), "u long, v long")
 
 
@@ -229,16 +274,15 @@ def _tiler(p: Params):
     return run
 
 
-def _rest(large: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+def _rest(large: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """Pairs still to confirm in large buckets that hold several components: members outside the bucket's first component against all members."""
     at = large.join(comps.withColumnRenamed("component_id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     spread = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "low")
     open_ = cut(at.join(spread, "key"), "open")
     if open_.isEmpty():
         return open_.select(F.col("id").alias("u"), F.col("id").alias("v"))
-    ids = open_.select("id").distinct()
-    own = texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(_fine(p), "id long, sketch binary")
-    own = cut(own.join(classes.select(F.col("rep").alias("id"), "bands"), "id"), "fine")
+    own = class_texts(open_.select("id").distinct(), classes, docs, p).mapInArrow(_fine(p), "id long, sketch binary")
+    own = cut(own.join(classes.select("id", "bands"), "id"), "fine")
     tiles = F.ceil(F.col("cnt") / p.tile).cast("int")
     mine = F.pmod(F.xxhash64("id"), tiles).cast("int")
     cols = ["key", "id", "n", "comp", "sketch", "bands"]
@@ -251,16 +295,11 @@ def _rest(large: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFra
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs(doc_id, text)``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(texts.mapInArrow(_signer(p), _SIGNED), "signed")
-    classes = (
-        signed.where("n_shingles > 0")
-        .groupBy("set_a", "set_b", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-        .where("rep is not null")
-    )
-    classes = cut(classes, "classes")
-    banded = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), F.col("n_shingles").alias("n"))
+    signed = cut(_keyed(docs).select("doc_id", "text", "text_a", "text_b").mapInArrow(_signer(p), _SIGNED), "signed")
+    speaks = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_a", "text_b"))
+    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(speaks.alias("speaks"), F.first("bands").alias("bands"))
+    classes = cut(classes.select("set_a", "set_b", "n_shingles", F.col("speaks").dropFields("unnamed").alias("speaks"), "bands", F.monotonically_increasing_id().alias("id")), "classes")
+    banded = classes.select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
     held = cut(banded.join(shared, "key"), "held")
     central = held.groupBy("id").agg(F.sum("cnt").alias("score"))
@@ -276,19 +315,15 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     star = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = cut(close.unionByName(star).distinct(), "pairs")
 
-    by_id = texts.join(signed.select("doc_id").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").distinct(), "doc_id", "left_semi")
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    by_id = by_id.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    links = cut(confirm(pairs, by_id, p), "links")
+    links = cut(confirm(pairs, classes, docs, p), "links")
     comps = connected_components(links)
-    rest = cut(_rest(large, comps, classes, texts, p), "rest")
+    rest = cut(_rest(large, comps, classes, docs, p), "rest")
     if not rest.isEmpty():
-        again = rest.select(F.col("u").alias("doc_id")).union(rest.select(F.col("v").alias("doc_id"))).distinct()
-        more = confirm(rest, texts.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]), p)
-        comps = connected_components(cut(links.unionByName(more), "links"))
+        comps = connected_components(cut(links.unionByName(confirm(rest, classes, docs, p)), "links"))
 
-    groups = classes.select("set_a", "set_b", "n_shingles", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    groups = groups.select("set_a", "set_b", F.col("n_shingles").alias("n_set"), F.coalesce("component_id", "rep").alias("root"))
+    placed = classes.join(comps, "id", "left").select("set_a", "set_b", F.col("n_shingles").alias("n_set"), F.coalesce("component_id", "id").alias("label"), F.col("speaks.doc_id").alias("first"))
+    roots = placed.groupBy("label").agg(F.min("first").alias("root"))
+    groups = placed.join(roots, "label").select("set_a", "set_b", "n_set", "root")
     same = (signed.set_a == groups.set_a) & (signed.set_b == groups.set_b) & (signed.n_shingles == groups.n_set)
     out = signed.join(groups, same, "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id")

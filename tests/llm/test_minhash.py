@@ -84,3 +84,27 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "u long, v long").repartition(7)
     rows = {r.id: r.component_id for r in connected_components(edges).collect()}
     assert rows == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
+
+
+def test_rows_link_by_text_not_by_id(spark):
+    """Ids repeated under other texts, and null ids: every row is linked by its own text."""
+    texts = family(5, 120, 3, 4) + family(6, 120, 3, 4) + ["lonely words that nobody else has used here"]
+    ids = [40, 7, None, 30, 7, 8, None, 9, 7]
+    rows = list(enumerate(texts))
+    by_row = components(rows)
+    smallest = {}
+    for i, (_, c) in by_row.items():
+        smallest.setdefault(c, []).append(ids[i])
+    want = sorted((str(ids[i]), n, min((x for x in smallest[c] if x is not None), default=None)) for i, (n, c) in by_row.items())
+    df = spark.createDataFrame([(ids[i], t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
+    got_rows = M.near_duplicates(df).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got_rows) == want
+    assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got_rows)
+
+
+def test_class_in_many_pairs(spark):
+    """A central text copied for every few pairs gives the same groups."""
+    rows = list(enumerate(family(3, 150, 40, 6)))
+    p = M.Params(small_bucket=3, share=4, bitmap_bits=1 << 15)
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
+    assert got(M.near_duplicates(df, p)) == components(rows)
