@@ -3,17 +3,18 @@
 Training tokens come from labelled texts: a unit (a whole word, or its first 4 to 6
 characters) found in toxic texts and practically never in clean ones marks the words
 that carry it inside toxic texts; all other words are clean tokens. Sentences (cut at
-. ! ? or a line end, and at ``chain`` words) with these tags train a two-state CRF
-whose word scores are sums of hashed features (word, first 3 to 6 characters, last 3),
+. ! ? or a line end) with these tags train a two-state CRF whose word scores are sums of hashed features (word, first 3 to 6 characters, last 3),
 by stochastic gradients; the word feature is dropped at random so that unseen endings
 of known stems still count.
 
-Scoring runs forward-backward over every sentence of every whole text. Words whose
-marginal passes ``span`` are offending spans (byte offsets); the text's score is its
+Scoring runs forward-backward over every sentence of every whole text, however long: a
+sentence beyond ``PIECE`` words is read in pieces between which the scores are carried,
+which is exact. In the fit alone longer sentences count as several of ``chain`` words.
+Words whose marginal passes ``span`` are offending spans (byte offsets); the text's score is its
 greatest marginal. Null, empty and wordless texts have score 0 and no spans. The fit
-uses a bounded sample (``per_class`` texts of each class, none longer than ``longest``
-characters, the held-out fold excluded); without toxic units every score is 0.
-Repeated rows and extra columns have no effect.
+uses a bounded sample (``per_class`` texts and ``most_chars`` characters of each class,
+none longer than ``longest`` characters, the held-out fold excluded); without toxic
+units every score is 0. Repeated rows and extra columns have no effect.
 """
 
 from __future__ import annotations
@@ -37,12 +38,14 @@ class Params:
     held_out: int = 1
     per_class: int = 3000
     longest: int = 32_000
-    support: int = 3  #: toxic texts a unit must be in, and one more for every ``support_each`` toxic texts
+    most_chars: int = 8_000_000
+    support: int = 3  #: toxic texts a unit must be in, and one more for every ``support_each`` toxic texts; of a few toxic texts fewer,
     support_each: int = 500
+    support_few: int = 150  #: namely one and one more for every ``support_few`` of them
     purity: float = 0.98  #: share of toxic texts among a unit's texts, classes weighted equally
     slots: int = 1 << 18  #: hashed feature weights
     others: int = 40_000  #: clean sentences in the fit
-    chain: int = 32  #: longest sentence in words
+    chain: int = 64  #: longest sentence of the fit in words
     epochs: int = 3  #: over the sentences of a round, and more when they are few
     updates: int = 250  #: gradient steps a round at least
     batch: int = 1024
@@ -54,7 +57,8 @@ class Params:
 
 
 PREFIXES, SUFFIX = (3, 4, 5, 6), 3
-BLOCK = 8192  #: sentences that forward-backward pads together
+BLOCK = 8192  #: sentences (or pieces of long ones) that forward-backward pads together
+PIECE = 64  #: words of a piece of a long sentence
 
 
 def _cut_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: int) -> np.ndarray:
@@ -68,7 +72,7 @@ def _cut_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: int)
 class Tokens:
     """Words of a slice of texts: bounds, rows, unit hashes and sentence numbers."""
 
-    def __init__(self, column: pa.Array, chain: int) -> None:
+    def __init__(self, column: pa.Array, chain: int | None = None) -> None:
         self.data, self.offsets = text_buffer(column)
         self.n_rows = len(self.offsets) - 1
         self.starts, self.ends, self.rows = word_bounds(self.data, self.offsets, ALNUM)
@@ -84,9 +88,10 @@ class Tokens:
         if n:
             first[0] = True
             first[1:] = (self.rows[1:] != self.rows[:-1]) | np.isin(after[:-1], np.frombuffer(b".!?\n", dtype=np.uint8))
-        begin = np.flatnonzero(first)
-        place = np.arange(n) - np.repeat(begin, np.diff(np.concatenate([begin, [n]])))
-        first |= (place % chain == 0) & (place > 0)
+        if chain:
+            begin = np.flatnonzero(first)
+            place = np.arange(n) - np.repeat(begin, np.diff(np.concatenate([begin, [n]])))
+            first |= (place % chain == 0) & (place > 0)
         self.begin = np.flatnonzero(first)
         self.length = np.diff(np.concatenate([self.begin, [n]]))
 
@@ -133,6 +138,55 @@ def forward_backward(e: np.ndarray, mask: np.ndarray, start: np.ndarray, move: n
     return alpha, beta, np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
 
 
+def _transfer(e: np.ndarray, mask: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Log scores (pieces x state before x last state) of passing through each padded piece."""
+    out = np.stack([np.stack([np.full(len(e), move[a, 0]), move[a, 1] + e[:, 0]], axis=1) for a in (0, 1)], axis=1)
+    for t in range(1, e.shape[1]):
+        n0 = np.logaddexp(out[:, :, 0] + move[0, 0], out[:, :, 1] + move[1, 0])
+        n1 = np.logaddexp(out[:, :, 0] + move[0, 1], out[:, :, 1] + move[1, 1]) + e[:, t, None]
+        on = mask[:, t, None]
+        out = np.stack([np.where(on, n0, out[:, :, 0]), np.where(on, n1, out[:, :, 1])], axis=2)
+    return out
+
+
+def long_marginals(e: np.ndarray, crf: Crf) -> np.ndarray:
+    """Probability of the toxic state for each word of one sentence of any length.
+
+    Pieces of PIECE words are passed through together, once to learn how each carries
+    scores over itself and once with the scores that reach it from both sides; between
+    them the sentence is one pass over its pieces.
+    """
+    pieces = -(-len(e) // PIECE)
+    padded, mask = np.zeros((pieces, PIECE)), np.zeros((pieces, PIECE), dtype=bool)
+    padded.ravel()[: len(e)], mask.ravel()[: len(e)] = e, True
+    over = _transfer(padded, mask, crf.move)
+    # scores of the two states just before each piece: start scores stand in front of the first one
+    left, right = np.zeros((pieces, 2)), np.zeros((pieces, 2))
+    first = forward_backward(padded[:1], mask[:1], crf.start, crf.move)[0][0, -1]
+    for i in range(1, pieces):
+        left[i] = first if i == 1 else np.logaddexp(left[i - 1, 0] + over[i - 1, 0], left[i - 1, 1] + over[i - 1, 1])
+    for i in range(pieces - 2, -1, -1):
+        right[i] = np.logaddexp(over[i + 1, :, 0] + right[i + 1, 0], over[i + 1, :, 1] + right[i + 1, 1])
+    enter = np.logaddexp(left[:, :1] + crf.move[0], left[:, 1:] + crf.move[1])
+    enter[0] = crf.start
+    alpha = np.zeros((pieces, PIECE, 2))
+    alpha[:, 0, 0], alpha[:, 0, 1] = enter[:, 0], enter[:, 1] + padded[:, 0]
+    for t in range(1, PIECE):
+        prev = alpha[:, t - 1]
+        alpha[:, t, 0] = np.logaddexp(prev[:, 0] + crf.move[0, 0], prev[:, 1] + crf.move[1, 0])
+        alpha[:, t, 1] = np.logaddexp(prev[:, 0] + crf.move[0, 1], prev[:, 1] + crf.move[1, 1]) + padded[:, t]
+    beta = np.zeros((pieces, PIECE, 2))
+    last = mask.sum(axis=1) - 1
+    beta[np.arange(pieces), last] = right
+    for t in range(PIECE - 2, -1, -1):
+        n0, n1 = beta[:, t + 1, 0], beta[:, t + 1, 1] + padded[:, t + 1]
+        own = t < last
+        beta[own, t, 0] = np.logaddexp(crf.move[0, 0] + n0, crf.move[0, 1] + n1)[own]
+        beta[own, t, 1] = np.logaddexp(crf.move[1, 0] + n0, crf.move[1, 1] + n1)[own]
+    both = (alpha + beta)[mask]
+    return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700)))
+
+
 def marginals(crf: Crf, tokens: Tokens, features: np.ndarray) -> np.ndarray:
     """Probability of the toxic state for each word, sentence by sentence."""
     out = np.zeros(len(tokens.starts))
@@ -140,7 +194,7 @@ def marginals(crf: Crf, tokens: Tokens, features: np.ndarray) -> np.ndarray:
         return out
     e = crf.emissions(features)
     low = 0
-    for width in (4, 8, 16, 32, 64, 1 << 30):
+    for width in (4, 8, 16, 32, PIECE):
         alike = np.flatnonzero((tokens.length > low) & (tokens.length <= width))
         low = width
         for at in range(0, len(alike), BLOCK):
@@ -150,6 +204,9 @@ def marginals(crf: Crf, tokens: Tokens, features: np.ndarray) -> np.ndarray:
             alpha, beta, z = forward_backward(padded, mask, crf.start, crf.move)
             p = np.exp(np.minimum(alpha[:, :, 1] + beta[:, :, 1] - z[:, None], 0.0))
             out[(begin[:, None] + np.arange(mask.shape[1]))[mask]] = p[mask]
+    for i in np.flatnonzero(tokens.length > PIECE):
+        own = slice(tokens.begin[i], tokens.begin[i] + tokens.length[i])
+        out[own] = long_marginals(e[own], crf)
     return out
 
 
@@ -159,20 +216,22 @@ def tag(rows: list[tuple[str, int]], p: Params) -> tuple[Tokens, np.ndarray]:
     label = np.array([y for _, y in rows])
     toxic = label[tokens.rows] == 1
     y = np.zeros(len(tokens.starts), dtype=bool)
-    share = max(1, (label == 1).sum()) / max(1, (label == 0).sum())
+    n_toxic = int((label == 1).sum())
+    share = max(1, n_toxic) / max(1, (label == 0).sum())
+    least = min(1 + n_toxic // p.support_few, p.support + n_toxic // p.support_each)
     for h in tokens.units():
         values, unit = np.unique(h, return_inverse=True)
         pairs = np.unique(unit.astype(np.int64) * len(label) + tokens.rows)  # each unit once for each text
         bad = label[pairs % len(label)] == 1
         hit = np.bincount(pairs[bad] // len(label), minlength=len(values))
         miss = np.bincount(pairs[~bad] // len(label), minlength=len(values)) * share
-        good = (hit >= p.support + (label == 1).sum() // p.support_each) & (hit / np.maximum(hit + miss, 1e-9) >= p.purity)
+        good = (hit >= least) & (hit / np.maximum(hit + miss, 1e-9) >= p.purity)
         y |= good[unit] & toxic
     return tokens, y
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Crf:
-    rows = sample_texts(docs, balanced_ids(labels, "toxic", p.folds, p.held_out, p.per_class), p.longest)
+    rows = sample_texts(docs, balanced_ids(labels, "toxic", p.folds, p.held_out, p.per_class), p.longest, p.most_chars)
     crf = Crf(np.zeros(p.slots), -4.0, np.zeros(2), np.array([[0.5, -0.5], [0.0, 0.0]]))
     if not rows:
         return Crf(crf.weights, -60.0, crf.start, crf.move)
@@ -249,7 +308,7 @@ def score(docs: DataFrame, crf: Crf, p: Params = Params()) -> DataFrame:
         crf = shared.value
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
-                tokens = Tokens(part.column(1), p.chain)
+                tokens = Tokens(part.column(1))
                 m = marginals(crf, tokens, tokens.features(p.slots))
                 top = np.zeros(part.num_rows)
                 np.maximum.at(top, tokens.rows, m)

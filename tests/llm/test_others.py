@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import assert_same, connect
 from pyspark.sql import functions as F
@@ -114,7 +115,7 @@ def test_codewords_are_apart(n):
 # op6
 def test_toxic_held_out(big_docs, labels):
     s = crf.score(big_docs, crf.fit(big_docs, labels)).join(labels, "doc_id").where("held_out").cache()
-    assert s.where("toxic = 1").agg(F.avg("predicted")).first()[0] > 0.6  # here the marks of one language in three are too few to learn
+    assert s.where("toxic = 1").agg(F.avg("predicted")).first()[0] >= 0.9
     assert s.where("toxic = 0").agg(F.avg("predicted")).first()[0] < 0.05
     r = s.where("predicted = 1").select("doc_id", "spans").join(big_docs, "doc_id").first()
     raw = r.text.encode()
@@ -139,6 +140,109 @@ def test_forward_backward_is_exact():
     assert np.allclose(np.exp(z), total) and np.allclose(np.exp(a[0, :, 1] + b[0, :, 1] - z[0]), ones / total)
 
 
+@pytest.fixture(scope="module")
+def odd_texts(spark, docs, big_docs):
+    rng = np.random.default_rng(3)
+    words = ["Ab", "cd", "éfgh", "ijklmno", "Zo", "x", "quite", "数字", "longerword"]
+    rows = [(i, " ".join(rng.choice(words, n)) + rng.choice([".", "!", "\n", ""])) for i, n in enumerate((1, 5, 63, 64, 65, 128, 129, 700, 3))]
+    rows += [(100, "One two! three four?five six.\nseven"), (101, "a.b.c d"), (102, None), (103, ""), (104, "?!"), (105, "🤬 ok")]
+    rows += [(1000 + r.doc_id, r.text) for r in big_docs.where("doc_id % 61 = 0").collect()]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_quality_equals_brute_force(odd_texts, big_docs, labels):
+    """Own compressor loop, own features and own logistic over the model's dictionaries."""
+    import math
+
+    import zstandard
+
+    m = compression.fit(big_docs, labels)
+    boxes = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (m.good, m.bad)]
+    text = {r.doc_id: (r.text or "").encode() for r in odd_texts.collect()}
+    for r in compression.score(odd_texts, m).collect():
+        raw = text[r.doc_id]
+        d = c = s = 0.0
+        if raw:
+            good, bad = (sum(len(b.compress(raw[i : i + 4096])) for i in range(0, len(raw), 4096)) for b in boxes)
+            d, c, s = (bad - good) / (bad + good), min(1.5, min(good, bad) / len(raw)), 1 / (1 + len(raw) / 256)
+        d = 10 * max(-0.4, min(0.4, d))
+        z = sum(w * x for w, x in zip(m.weights, (1.0, d, 2 * c, s, d * s, 2 * c * s)))
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+        assert r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_language_equals_brute_force(odd_texts, big_docs):
+    """Own n-gram loop over bytes and own loss-weighted decoder."""
+    import math
+
+    m = ecoc.fit(big_docs)
+    bins, mask = m.p.bins, (1 << 64) - 1
+    text = {r.doc_id: r.text for r in odd_texts.collect()}
+    for r in ecoc.predict(odd_texts, m).collect():
+        t = text[r.doc_id]
+        if not any(c.isalpha() for c in t or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in t.encode())
+        count = {}
+        for size in (1, 2, 3):
+            for i in range(len(raw) - size + 1):
+                gram = raw[i : i + size]
+                if gram[0] == 32 and gram[-1] == 32:
+                    continue
+                code = 0
+                for b in gram:
+                    code = (code * 257 + b) & mask
+                slot = ((code * 0x9E3779B97F4A7C15 + size & mask) >> 40) % bins
+                count[slot] = count.get(slot, 0) + 1
+        norm = math.sqrt(sum(count.values()))
+        margins = [4 * (sum(math.sqrt(n) / norm * float(m.weights[s, b]) for s, n in count.items()) + float(m.bias[b])) for b in range(m.code.shape[1])]
+        losses = [sum(float(m.trust[b]) * math.log1p(math.exp(-margins[b] * word[b])) for b in range(len(margins))) for word in m.code]
+        shares = [math.exp(min(losses) - x) for x in losses]
+        best = max(range(len(shares)), key=lambda k: shares[k])
+        assert abs(r.score - shares[best] / sum(shares)) < 1e-4
+        assert r.lang_pred == m.languages[best] or sorted(shares)[-2] > 0.999
+
+
+def test_toxic_equals_brute_force(spark, odd_texts, big_docs, labels):
+    """Own tokeniser and a plain chain, word by word, over whole sentences of any length."""
+    import math
+    import re
+
+    m = crf.fit(big_docs, labels)
+    rng = np.random.default_rng(1)
+    m = crf.Crf(m.weights + rng.normal(0, 0.4, len(m.weights)).astype(np.float32), m.bias, m.start, m.move)  # so that scores lie everywhere
+    text = {r.doc_id: r.text or "" for r in odd_texts.collect()}
+    soft, words = {}, sorted({w for t in text.values() for w in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", t)})
+    tokens = crf.Tokens(pa.array(words))
+    soft = dict(zip(words, crf.Crf.emissions(m, tokens.features(crf.Params().slots)).tolist(), strict=True))
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+    def chain(e):
+        a = [[m.start[0], m.start[1] + e[0]]]
+        for x in e[1:]:
+            a.append([add(a[-1][0] + m.move[0, s], a[-1][1] + m.move[1, s]) + (x if s else 0.0) for s in (0, 1)])
+        b = [[0.0, 0.0]]
+        for x in e[:0:-1]:
+            b.insert(0, [add(m.move[s, 0] + b[0][0], m.move[s, 1] + x + b[0][1]) for s in (0, 1)])
+        z = add(*a[-1])
+        return [math.exp(u[1] + v[1] - z) for u, v in zip(a, b, strict=True)]
+
+    for r in crf.score(odd_texts, m).collect():
+        t, top, spans, sentence = text[r.doc_id], 0.0, [], []
+        found = list(re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", t))
+        for i, w in enumerate(found):
+            sentence.append(w)
+            if i + 1 == len(found) or t[w.end()] in ".!?\n":
+                for x, q in zip(sentence, chain([soft[y.group()] for y in sentence]), strict=True):
+                    top = max(top, q)
+                    if q >= 0.5:
+                        spans.append((len(t[: x.start()].encode()), len(t[: x.end()].encode()), q))
+                sentence = []
+        assert abs(r.score - top) < 1e-6
+        assert list(zip(r.spans[::2], r.spans[1::2], strict=True)) == [s[:2] for s in spans] or any(abs(s[2] - 0.5) < 1e-6 for s in spans)
+
+
 # op7
 @pytest.mark.parametrize("n", [0, 1, 2, 127, 128, 129, 5000, 70_000])
 def test_codecs_round_trip(n):
@@ -170,6 +274,33 @@ def test_pages(spark):
     assert np.frombuffer(bytes(other.samples), dtype=np.uint16).tolist() == list(range(300, 306))
 
 
+def _directory(*tags):
+    return struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags) + bytes(4) + bytes(64)
+
+
+def test_broken_files_give_error_rows(spark):
+    good = tiff.write_tiff([(np.arange(600, dtype=np.uint8).reshape(20, 30), tiff.Scheme(c, 1, t)) for c in (tiff.LZW, tiff.DEFLATE, tiff.PACKBITS) for t in (None, (16, 16))])
+    base = [(256, 8), (257, 8), (258, 8), (259, 1)]
+    bad = [
+        _directory(*base, (322, 0), (323, 8), (324, 8), (325, 64)),  # a tile width of zero
+        _directory((256, 1 << 30), (257, 1 << 30), (258, 8), (259, 1), (273, 8), (279, 16)),  # a huge page of a small strip
+        _directory((256, 0), (257, 8), (258, 8), (259, 1), (273, 8), (279, 16)),
+        _directory(*base, (273, 1 << 31), (279, 64)),  # a strip beyond the end
+        _directory(*base, (278, 2), (273, 8), (279, 64)),  # too few strips
+        struct.pack("<2sHI", b"II", 42, 1 << 30),
+        b"II*", b"", b"MM\x00*",
+    ]
+    rng = np.random.default_rng(0)
+    for _ in range(300):  # bytes changed at random, files cut anywhere
+        x = bytearray(good)
+        for at in rng.integers(0, 400 if rng.random() < 0.7 else len(x), rng.integers(1, 6)):
+            x[at] = rng.integers(0, 256)
+        bad.append(bytes(x[: len(x) if rng.random() < 0.7 else rng.integers(0, len(x))]))
+    rows = tiff.tiff_pages(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(bad)], "id long, content binary"), "id", "content").collect()
+    assert {r.id for r in rows} == set(range(len(bad)))
+    assert all(r.error for r in rows if r.id < 9)
+
+
 def test_text_media(docs, no_docs):
     rows = tiff.text_media(docs).collect()
     text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
