@@ -5,7 +5,8 @@ chunky samples, no compression, LZW, deflate and PackBits, horizontal predictor.
 writer stores 8-bit greyscale pages with any of these.
 
 ``tiff_pages`` gives a row for each page of each file; a file that is null, empty or
-broken gives one row whose ``error`` says why, so no file is lost silently. Repeated
+broken gives one row whose ``error`` says why (sizes are held against the file's length
+before anything is allocated), so no file is lost silently and none ends the job. Repeated
 files give repeated rows; an empty table gives none.
 """
 
@@ -30,6 +31,7 @@ PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 3
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 11: 4, 12: 8, 13: 4}
 CLEAR, END = 256, 257
+MOST_EXPANDED = 2048  #: most decoded bytes for each stored one: no codec here exceeds it (deflate reaches 1032, LZW 1365)
 
 
 def packbits_decode(data: bytes) -> bytes:
@@ -213,6 +215,8 @@ def write_tiff(pages: list[tuple[np.ndarray, Scheme]]) -> bytes:
 
 def _value(data: bytes, order: str, kind: int, count: int, at: int) -> list[int]:
     size = _SIZES.get(kind, 1)
+    if size * count > len(data):
+        raise ValueError("values beyond the end of the file")
     if size * count > 4:
         at = struct.unpack_from(f"{order}I", data, at)[0]
     code = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 13: "I"}.get(kind)
@@ -232,6 +236,8 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
             raise ValueError("directory chain loops")
         seen.add(at)
         n = struct.unpack_from(f"{order}H", data, at)[0]
+        if at + 2 + 12 * n + 4 > len(data):
+            raise ValueError("directory beyond the end of the file")
         tags = {}
         for i in range(n):
             tag, kind, count = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * i)
@@ -253,14 +259,21 @@ def page_samples(data: bytes, order: str, tags: dict[int, list[int]]) -> np.ndar
     else:
         bw, bl = width, min(height, tags.get(ROWS_PER_STRIP, [height])[0])
         starts, sizes = tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
-    across = -(-width // bw)
+    if min(width, height, samples, bw, bl) < 1:
+        raise ValueError("a size of zero")
+    across, down = -(-width // bw), -(-height // bl)
+    if len(starts) != len(sizes) or len(starts) != across * down:
+        raise ValueError(f"{len(starts)} blocks for {across} x {down}")
+    block_bytes = bw * bl * samples * bits // 8
+    if block_bytes > MOST_EXPANDED * max(1, max(sizes)) or any(a + n > len(data) for a, n in zip(starts, sizes, strict=True)):
+        raise ValueError("blocks larger than the file allows")
     out = np.zeros((height, width, samples), dtype=np.uint8 if bits == 8 else np.uint16)
     for i, (start, size) in enumerate(zip(starts, sizes, strict=True)):
         raw = data[start : start + size]
         if compression == LZW:
             raw = lzw_decode(raw)
         elif compression in (DEFLATE, OLD_DEFLATE):
-            raw = zlib.decompress(raw)
+            raw = zlib.decompressobj().decompress(raw, block_bytes)
         elif compression == PACKBITS:
             raw = packbits_decode(raw)
         elif compression != NONE:
@@ -297,7 +310,7 @@ def tiff_pages(files: DataFrame, key: str, content: str) -> DataFrame:
                 try:
                     for n, (tags, image) in enumerate(read_pages(batch.column(1)[i].as_py() or b"")):
                         rows.append((own, n, image.shape[1], image.shape[0], image.shape[2], image.dtype.itemsize * 8, tags.get(COMPRESSION, [NONE])[0], image.tobytes(), None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                except Exception as e:  # whatever a broken file raises is its own row's error, never the job's
                     rows.append((own, len(rows), None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
