@@ -13,8 +13,8 @@ takes rows only into itself.
 
 A null doc_id is hashed as the empty string. Null text has size 8 and the crc of no
 bytes. Repeated rows share a shard and take a slot each. Slots number a shard's rows
-without gaps: rows are counted in blocks of ids, block counts are summed, and rows are
-numbered inside their block, so no task holds a shard.
+without gaps: rows are dealt by ranges of shard and id, numbered inside their range, and
+the ranges' counts are summed, so no task holds a shard.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moorline.llm.shared import cut
+
 
 @dataclass(frozen=True)
 class Node:
@@ -95,16 +97,22 @@ def _chosen(key: Column, node: Node, at: Column) -> Column:
     return out
 
 
-def with_slots(df: DataFrame, shard: str, key: str, ties: tuple[str, ...] = (), block: int = 1 << 16) -> DataFrame:
-    """df with ``slot``: the place of each row in its shard by key, then by ``ties``, gapless from 0."""
-    df = df.withColumn("_block", F.floor(F.col(key) / block))
-    counts = df.groupBy(shard, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy(F.col("_block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col(shard).alias("_s"), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(shard, "_block").orderBy(key, *ties)
-    numbered = df.withColumn("_at", F.row_number().over(inside) - 1)
-    out = numbered.join(counts, (F.col(shard) == F.col("_s")) & F.col("_block").eqNullSafe(F.col("_b")))
-    return out.withColumn("slot", F.col("_before") + F.col("_at")).drop("_block", "_at", "_s", "_b", "_before")
+def with_slots(df: DataFrame, shard: str, key: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with ``slot``: the place of each row in its shard by key, then by ``ties``, gapless from 0.
+
+    Rows are dealt by ranges of (shard, key, ties, a written random number), so neither
+    sparse nor null nor repeated keys crowd a part; each part numbers its rows, and the parts'
+    counts (at most parts + shards rows) are summed. Both tables are written, so a part that
+    is made again holds the same rows.
+    """
+    df = cut(df.withColumn("any", F.rand(7)), "rows")
+    order = [shard, key, *ties, "any"]
+    df = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).drop("any").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "dealt")
+    counts = df.groupBy(shard, "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy(shard).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(shard).alias("s"), F.col("part").alias("p"), F.col("first"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    out = df.join(F.broadcast(counts), (F.col(shard) == F.col("s")) & (F.col("part") == F.col("p")))
+    return out.withColumn("slot", F.col("before") + F.col("at") - F.col("first")).drop("part", "at", "s", "p", "first", "before")
 
 
 def shard_documents(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
