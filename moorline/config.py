@@ -32,9 +32,10 @@ class Config:
     profile_days: int = 28
     gap_systems: tuple[str, ...] = ()
     dynamic_systems: tuple[str, ...] = ()
+    age_systems: tuple[str, ...] = ()  #: those that report how old a count is
 
 
 DEFAULT = Config()
 
 #: Steps for the driver's event table, where one entity is seen about twice a day.
-SPARSE = Config(horizons_min=(360, 720, 1440), step_min=360, staleness_s=86_400, lags_min=(360, 720, 1440), deltas_min=(720, 1440), roll_min=1440, flow_min=1440, change_cap_min=4320, slot_min=360, gap_systems=("a",), dynamic_systems=("b",), sample_rate=0.25)
+SPARSE = Config(horizons_min=(360, 720, 1440), step_min=360, staleness_s=86_400, lags_min=(360, 720, 1440), deltas_min=(720, 1440), roll_min=1440, flow_min=1440, change_cap_min=4320, slot_min=360, gap_systems=("a",), dynamic_systems=("b",), age_systems=("b",), sample_rate=0.25)

@@ -34,6 +34,15 @@ def as_of_label(points: DataFrame, obs: DataFrame, payload: list[str], out: str
     return rows.withColumn(out, F.max("_seen").over(running)).where("_point = 1").select(*keys, F.col("_t").alias(t), out)
 
 
+def with_truth(rows: DataFrame, obs: DataFrame, payload: list[str], out: str = "truth", t: str = "t", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The label as-of for rows that keep all their columns: they travel through the running window themselves, so nothing is joined back."""
+    seen = obs.select(*keys, F.col("observed_at").alias("_time"), F.lit(0).alias("_point"), F.struct("observed_at", "fetched_at", *payload).alias("_seen"))
+    seen = seen.withColumn("_row", F.lit(None).cast(rows.schema))
+    ask = rows.select(*keys, F.col(t).alias("_time"), F.lit(1).alias("_point"), F.lit(None).cast(seen.schema["_seen"].dataType).alias("_seen"), F.struct(*rows.columns).alias("_row"))
+    running = Window.partitionBy(*keys).orderBy("_time", "_point").rowsBetween(Window.unboundedPreceding, 0)
+    return seen.unionByName(ask).withColumn(out, F.max("_seen").over(running)).where("_point = 1").select("_row.*", out)
+
+
 def gather(df: DataFrame, struct: str, field: str, missing: int = -1):  # noqa: ANN201
     """A field of an as-of result, or the sentinel where nothing was found."""
     return F.coalesce(F.col(f"{struct}.{field}"), F.lit(missing))

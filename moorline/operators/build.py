@@ -1,4 +1,9 @@
-"""The sample table: one lazy plan from observations to labelled, weighted feature rows."""
+"""The sample table: one lazy plan from observations to labelled, weighted feature rows.
+
+Everything a row holds was known at its time t: states by arrival, profiles and capacity
+estimates of the edition of the day before, weather of issues available by then. Only
+labels look ahead.
+"""
 
 from __future__ import annotations
 
@@ -8,71 +13,140 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moorline.config import Config
-from moorline.operators import asof, calendars, exclude, features, labels, sampling, timegrid
+from moorline.operators import asof, calendars, exclude, features, labels, reference, sampling, timegrid
 
 KEYS = features.KEYS
+FLOW = ["rentals", "returns", "n_changes", "since_change_min"]
+STRATUM, FEATURE_SET = "uniform", "v1"
 
 
 @dataclass(frozen=True)
 class Inputs:
     obs: DataFrame
-    stations: DataFrame  #: keys, lat, lon, capacity, capacity_est, pref_code, is_charging, geo_suspect
+    stations: DataFrame  #: keys, lat, lon, capacity (declared), pref_code, muni_code, region_id, is_charging
     edges: DataFrame
-    profile: DataFrame  #: cells of the edition before the day
-    days: DataFrame  #: calendar: date, dow_type
+    daily: DataFrame | None  #: daily profiles: keys, day, dow_type, slot15 and sums; an edition is the sum of its last ``profile_days``
+    capacities: DataFrame  #: keys, day, capacity_max: the daily maxima that estimates come from
+    days: DataFrame  #: calendar: date, holiday_name, day_type, dow_type, is_day_before_holiday, is_last_business_day
+    issues: DataFrame | None  #: issued_hour, available_at
+    cells: DataFrame | None  #: issued_hour, lat_idx, lon_idx and arrays by lead: precip_mm, temp_c, wind_kmh
     config: Config
 
 
+def sample_columns(c: Config) -> list[str]:
+    """The ordered columns of a sample; serving rows lack the labels and the sampling columns."""
+    return [
+        *KEYS, "t", "h_min",
+        "y_bike", "y_dock",
+        "weight", "stratum", "feature_set",
+        "minute_of_day", "sin_t", "cos_t", "dow", "day_type", "dow_type", "is_holiday", "is_day_before_holiday", "is_last_business_day", "month", "sin_target", "cos_target", "target_dow_type",
+        "lat", "lon", "pref_code", "muni_code", "region_id", "is_charging", "station_age_days", "capacity", "urban_density",
+        "bikes", "docks", "gap", "fill_ratio", "is_over_capacity", "staleness_s", "feed_delay_s",
+        *[f"lag_{m}" for m in c.lags_min], *[f"delta_{m}" for m in c.deltas_min], "roll_mean", "roll_min", "roll_max",
+        "rentals", "returns", "n_changes", "since_change_min",
+        "bikes_yesterday", "y_bike_yesterday", "y_dock_yesterday",
+        "nb_count_near", "nb_count", "nb_bikes", "nb_docks", "nb_empty", "nb_fill", "nb_count_near_same", "nb_bikes_same", "nb_docks_same",
+        "precip_now", "precip_target", "temp_c", "wind_kmh",
+        "prof_p_bike", "prof_p_dock", "prof_mean", "prof_std", "prof_rentals", "prof_returns", "prof_n_days",
+    ]
+
+
+LABEL_COLUMNS = ("y_bike", "y_dock", "weight", "stratum", "feature_set")
+
+
 def grid_state(points: DataFrame, x: Inputs) -> DataFrame:
-    """As-of state of every entity at every grid point, with validity and capacity. Other features derive from it."""
+    """As-of state of every entity at every grid point, with flow, validity and capacity. Other features derive from it."""
     c = x.config
-    s = asof.as_of_feature(points, x.obs, ["bikes", "docks", "flags", "reported_age_s"])
+    flow = features.flow(x.obs, c.flow_min, c.change_cap_min, keep=["bikes", "docks", "flags", "reported_age_s"])
+    s = asof.as_of_feature(points, flow, ["bikes", "docks", "flags", "reported_age_s", *FLOW])
     s = s.withColumn("valid", asof.valid("seen", "t", c.staleness_s))
     s = s.withColumn("bikes", asof.gather(s, "seen", "bikes")).withColumn("docks", asof.gather(s, "seen", "docks"))
-    cap = x.stations.select(*KEYS, features.capacity(F.col("system_id"), F.col("capacity"), F.col("capacity_est"), c.dynamic_systems).alias("capacity"))
-    return s.join(cap, KEYS, "left")
+    known = x.stations.select(*KEYS, F.col("capacity").alias("_declared")).join(reference.capacity_editions(x.capacities), KEYS, "full")
+    s = s.join(known, KEYS, "left")
+    estimate = F.try_element_at("estimates", F.date_sub(timegrid.local_date(F.col("t"), c.local_offset_h), 1))
+    return s.withColumn("capacity", features.capacity(F.col("system_id"), F.col("_declared"), estimate, c.dynamic_systems)).drop("_declared", "estimates")
 
 
-def point_features(state: DataFrame, x: Inputs, keep: Column) -> DataFrame:
-    """Features that do not depend on the horizon, of the base points that ``keep`` selects.
+def point_features(state: DataFrame, points: DataFrame, x: Inputs, keep: Column) -> DataFrame:
+    """Features that do not depend on the horizon, of the base points that ``keep(keys, t)`` selects.
 
-    Windows run over the whole grid; everything joined later sees kept points only.
+    Windows run over the whole grid; neighbours, weather and attributes are joined for kept
+    points only.
     """
     c = x.config
+    t = F.col("t")
     f = features.rolling(features.lags(state, c.step_min, c.lags_min, c.deltas_min), c.step_min, c.roll_min)
-    f = f.withColumn("base_reason", exclude.base_reason("seen", "t", c.staleness_s)).where(F.col("base_reason").isNull() & keep)
-    flow = features.flow(x.obs, c.flow_min, c.change_cap_min).withColumnRenamed("observed_at", "_o").withColumnRenamed("fetched_at", "_f")
-    f = f.withColumn("_o", F.col("seen.observed_at")).withColumn("_f", F.col("seen.fetched_at")).join(flow, [*KEYS, "_o", "_f"], "left").drop("_o", "_f")
-    f = features.yesterday(state, f, {"bikes_yesterday": F.col("bikes")})
-    f = features.join_neighbours(f, features.neighbour_sums(state, x.edges, c.near_m, c.far_m))
+    f = features.yesterday_lags(f, c.step_min, c.horizons_min)
+    f = f.where(keep & exclude.base_reason("seen", "t", c.staleness_s).isNull()).select("*", *[F.col(f"seen.{n}").alias(n) for n in FLOW])
+    f = features.join_neighbours(f, features.neighbour_sums(state, x.edges, c.near_m, c.far_m, points.where(keep)))
     f = f.withColumn("fill_ratio", features.fill_ratio(F.col("bikes"), F.col("capacity"))).withColumn("gap", features.gap(F.col("system_id"), F.col("capacity"), F.col("bikes"), F.col("docks"), c.gap_systems))
-    f = f.withColumn("is_over_capacity", F.col("bikes") > F.col("capacity")).withColumn("feed_delay_s", F.floor((timegrid.micros(F.col("t")) - timegrid.micros(F.col("seen.observed_at"))) / 1_000_000))
-    minute = timegrid.minute_of_day(F.col("t"), c.local_offset_h)
-    sin, cos = calendars.cyclic(minute)
-    return f.withColumn("minute_of_day", minute).withColumn("sin_t", sin).withColumn("cos_t", cos)
+    f = f.withColumn("is_over_capacity", F.col("bikes") > F.col("capacity")).withColumn("staleness_s", F.when(F.col("system_id").isin(*c.age_systems), F.col("seen.reported_age_s")))
+    f = f.withColumn("feed_delay_s", F.floor((timegrid.micros(t) - timegrid.micros(F.col("seen.observed_at"))) / 1_000_000))
+    f = f.withColumn("minute_of_day", timegrid.minute_of_day(t, c.local_offset_h))
+    sin, cos = calendars.cyclic(F.col("minute_of_day"))
+    f = f.withColumn("sin_t", sin).withColumn("cos_t", cos)
+    return with_weather(with_calendar(with_attributes(f, x), x), points, x)
+
+
+def with_attributes(f: DataFrame, x: Inputs) -> DataFrame:
+    """Static columns: position, codes (negative is unknown), charging, age since first seen, and how many entities stand around."""
+    code = lambda n: F.when(F.col(n) >= 0, F.col(n)).alias(n)
+    known = x.stations.select(*KEYS, "lat", "lon", code("pref_code"), code("muni_code"), code("region_id"), "is_charging")
+    density = x.edges.where(F.col("distance_m") <= x.config.far_m).groupBy(*KEYS).agg(F.count(F.lit(1)).cast("int").alias("urban_density"))
+    first = x.obs.groupBy(*KEYS).agg(F.min("observed_at").alias("_first"))
+    facts = first.join(known, KEYS, "left").join(density, KEYS, "left").na.fill(0, ["urban_density"])
+    age = (timegrid.micros(F.col("t")) - timegrid.micros(F.col("_first"))) / 86_400_000_000
+    return f.join(facts, KEYS, "left").withColumn("station_age_days", age).drop("_first")
+
+
+def with_calendar(f: DataFrame, x: Inputs) -> DataFrame:
+    """The base day's attributes; days are numbered from Monday."""
+    days = x.days.select(F.col("date").alias("_date"), F.weekday("date").alias("dow"), "day_type", "dow_type", F.col("holiday_name").isNotNull().alias("is_holiday"), "is_day_before_holiday", "is_last_business_day", F.month("date").alias("month"))
+    return f.withColumn("_date", timegrid.local_date(F.col("t"), x.config.local_offset_h)).join(F.broadcast(days), "_date", "left").drop("_date")
+
+
+def with_weather(f: DataFrame, points: DataFrame, x: Inputs) -> DataFrame:
+    """Weather of the newest issue available at t in the entity's cell: arrays stay until horizons are known."""
+    c = x.config
+    f = features.newest_issue(f, x.issues, points)
+    f = f.withColumn("lat_idx", F.rint(F.col("lat") / c.weather_lat).cast("int")).withColumn("lon_idx", F.rint(F.col("lon") / c.weather_lon).cast("int"))
+    f = f.join(x.cells.withColumnsRenamed({"temp_c": "_temp", "wind_kmh": "_wind"}), ["issued_hour", "lat_idx", "lon_idx"], "left").drop("lat_idx", "lon_idx")
+    lead = lambda hour: features.lead_of(F.col("issued_hour"), hour, c.weather_leads)
+    t = F.col("t")
+    near = lead(features.nearest_hour(t))
+    return f.withColumn("precip_now", F.get("precip_mm", lead(features.containing_hour(t)))).withColumn("temp_c", F.get("_temp", near)).withColumn("wind_kmh", F.get("_wind", near)).drop("_temp", "_wind")
+
+
+def with_targets(f: DataFrame, x: Inputs) -> DataFrame:
+    """One row for each horizon, with target-time calendar, rain, yesterday's outcome and the profile of the day before's edition."""
+    c = x.config
+    f = f.withColumn("_h", F.explode("history")).select("*", "_h.*").drop("_h", "history").withColumn("target", F.col("t") + timegrid.minutes(F.col("h_min")))
+    sin, cos = calendars.cyclic(F.col("minute_of_day") + F.col("h_min"))
+    f = f.withColumn("sin_target", sin).withColumn("cos_target", cos)
+    f = f.withColumn("precip_target", F.get("precip_mm", features.lead_of(F.col("issued_hour"), features.containing_hour(F.col("target")), c.weather_leads))).drop("precip_mm", "issued_hour")
+    return with_target_profile(f, x)
 
 
-def with_targets(f: DataFrame, x: Inputs, t_max: Column | None = None) -> DataFrame:
-    """One row for each horizon, with target-time calendar and profile features."""
+def with_target_profile(f: DataFrame, x: Inputs) -> DataFrame:
+    """target_dow_type and the profile columns of rows with keys, t, minute_of_day, h_min and target."""
     c = x.config
-    f = f.withColumn("h_min", F.explode(F.array(*[F.lit(h) for h in c.horizons_min]))).withColumn("target", F.col("t") + timegrid.minutes(F.col("h_min")))
     f = f.withColumn("_date", timegrid.local_date(F.col("target"), c.local_offset_h))
     f = f.join(F.broadcast(x.days.select(F.col("date").alias("_date"), F.col("dow_type").alias("target_dow_type"))), "_date", "left").drop("_date")
     f = f.withColumn("_slot", features.target_slot(F.col("minute_of_day"), F.col("h_min"), c.slot_min))
-    cells = x.profile.select(*KEYS, F.col("dow_type").alias("target_dow_type"), F.col("slot15").alias("_slot"), F.col("n_days").cast("int").alias("prof_n_days"), *[e.alias(n) for n, e in features.profile_ratios().items()])
-    return f.join(cells, [*KEYS, "target_dow_type", "_slot"], "left").na.fill(0, ["prof_n_days"]).drop("_slot")
+    edition = F.date_sub(timegrid.local_date(F.col("t"), c.local_offset_h), 1)
+    return features.with_profile(f, x.daily, c.profile_days, edition, "_slot", "target_dow_type").drop("_slot")
 
 
 def build_samples(points: DataFrame, x: Inputs, sampled: bool = True) -> DataFrame:
-    """Labelled samples of a grid: base and target exclusions, sampling, weights, labels."""
+    """Labelled samples of a grid: base and target exclusions, sampling, weights, labels; columns of ``sample_columns``."""
     c = x.config
     key = (F.col("system_id"), F.col("station_id"), F.date_format("t", "yyyy-MM-dd HH:mm:ss"))
     keep = sampling.accepted(c.sample_rate, *key) if sampled else F.lit(True)
-    f = with_targets(point_features(grid_state(points, x), x, keep), x)
-    truth = asof.as_of_label(f.select(*KEYS, "target").distinct(), x.obs, ["bikes", "docks", "flags"], t="target")
-    f = f.join(truth, [*KEYS, "target"]).where(exclude.target_reason("truth", "target", c.staleness_s, "seen").isNull())
+    f = with_targets(point_features(grid_state(points, x), points, x, keep), x)
+    f = asof.with_truth(f, x.obs, ["bikes", "docks", "flags"], t="target").where(exclude.target_reason("truth", "target", c.staleness_s, "seen").isNull())
     f = f.withColumn("y_bike", labels.y_bike(F.col("truth.bikes"), F.col("truth.flags"))).withColumn("y_dock", labels.y_dock(F.col("truth.docks"), F.col("truth.flags")))
-    return sampling.with_weight(f, c.sample_rate if sampled else 1.0).drop("seen", "truth", "valid", "base_reason")
+    f = sampling.with_weight(f, c.sample_rate if sampled else 1.0).withColumn("stratum", F.lit(STRATUM)).withColumn("feature_set", F.lit(FEATURE_SET))
+    return f.select(*sample_columns(c))
 
 
 def build_now(x: Inputs, at: str, back_min: int) -> DataFrame:
@@ -81,6 +155,6 @@ def build_now(x: Inputs, at: str, back_min: int) -> DataFrame:
     entities = x.obs.select(*KEYS).distinct()
     start = F.to_timestamp_ntz(F.lit(at)) - timegrid.minutes(back_min)
     times = F.sequence(start, F.to_timestamp_ntz(F.lit(at)), timegrid.minutes(c.step_min))
-    state = grid_state(entities.withColumn("t", F.explode(times)), x)
-    f = point_features(state, x, F.col("t") == F.to_timestamp_ntz(F.lit(at)))
-    return with_targets(f, x).drop("seen", "valid", "base_reason")
+    points = entities.withColumn("t", F.explode(times))
+    f = point_features(grid_state(points, x), points, x, F.col("t") == F.to_timestamp_ntz(F.lit(at)))
+    return with_targets(f, x).select(*[n for n in sample_columns(c) if n not in LABEL_COLUMNS])

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moorline.operators.labels import y_bike, y_dock
 from moorline.operators.timegrid import micros, minutes
 
 KEYS = ["system_id", "station_id"]
 US = 60_000_000  #: microseconds in a minute
+SUMS = ("n", "n_suspended", "n_bike_ok", "n_dock_ok", "sum_bikes", "sum_bikes_sq", "sum_rentals", "sum_returns")  #: of a profile cell
 
 
 def capacity(system: Column, declared: Column, estimate: Column, dynamic: tuple[str, ...]) -> Column:
@@ -45,27 +47,33 @@ def rolling(state: DataFrame, step_min: int, roll_min: int, value: str = "bikes"
     return state.withColumn("roll_mean", F.avg(v).over(w)).withColumn("roll_min", F.min(v).over(w)).withColumn("roll_max", F.max(v).over(w))
 
 
-def flow(obs: DataFrame, window_min: int, cap_min: int) -> DataFrame:
+def flow(obs: DataFrame, window_min: int, cap_min: int, keep: list[str] | None = None) -> DataFrame:
     """Native-cadence flow at each observation: rentals, returns and changes over the half-open (at - window, at], and minutes since the last change.
 
-    Changes are between consecutive observed rows of an entity; its first row changes nothing.
+    Changes are between consecutive observed rows of an entity; its first row changes nothing. With ``keep`` all observations stay, with those columns;
+    the flow of unobserved ones is null.
     """
-    seen = obs.where(F.col("bikes") != -1).withColumn("_us", micros(F.col("observed_at")))
-    order = Window.partitionBy(*KEYS).orderBy("observed_at", "fetched_at")
+    observed = F.col("bikes") != -1
+    seen = (obs if keep else obs.where(observed)).withColumn("_us", micros(F.col("observed_at")))
+    seen = seen.withColumn("_ok", observed)
+    keys = [*KEYS, "_ok"] if keep else KEYS
+    order = Window.partitionBy(*keys).orderBy("observed_at", "fetched_at")
     seen = seen.withColumn("_d", F.col("bikes") - F.lag("bikes").over(order)).withColumn("_n", F.row_number().over(order))
-    back = Window.partitionBy(*KEYS).orderBy("_us").rangeBetween(-window_min * US + 1, 0)
-    running = Window.partitionBy(*KEYS).orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-window_min * US + 1, 0)
+    running = Window.partitionBy(*keys).orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
     total = lambda c: F.coalesce(F.sum(c).over(back), F.lit(0)).cast("int")
     last = F.max(F.when(F.col("_d") != 0, F.col("_us"))).over(running)
     since = F.least(F.coalesce((F.col("_us") - last) / US, F.lit(float(cap_min))), F.lit(float(cap_min)))
+    known = lambda c: F.when(F.col("_ok"), c) if keep else c
     return seen.select(
         *KEYS,
         "observed_at",
         "fetched_at",
-        total(F.greatest(-F.col("_d"), F.lit(0))).alias("rentals"),
-        total(F.greatest("_d", F.lit(0))).alias("returns"),
-        total((F.col("_d") != 0).cast("int")).alias("n_changes"),
-        F.when(F.max("_n").over(running) >= 2, since).alias("since_change_min"),
+        *(keep or []),
+        known(total(F.greatest(-F.col("_d"), F.lit(0)))).alias("rentals"),
+        known(total(F.greatest("_d", F.lit(0)))).alias("returns"),
+        known(total((F.col("_d") != 0).cast("int"))).alias("n_changes"),
+        known(F.when(F.max("_n").over(running) >= 2, since)).alias("since_change_min"),
     )
 
 
@@ -75,17 +83,22 @@ def yesterday(state: DataFrame, points: DataFrame, fields: dict[str, Column], sh
     return points.join(old, [*KEYS, "t"], "left")
 
 
-def neighbour_sums(state: DataFrame, edges: DataFrame, near_m: int, far_m: int) -> DataFrame:
+def neighbour_sums(state: DataFrame, edges: DataFrame, near_m: int, far_m: int, points: DataFrame | None = None) -> DataFrame:
     """Aggregates over each entity's neighbours at each time, all systems and own system.
 
     ``edges(system_id, station_id, nb_system_id, nb_station_id, distance_m, same_system)``;
     ``state(keys, t, bikes, docks, capacity)``. Within near_m: sums of bikes and docks (-1
     counts 0). Within far_m: how many are empty, and the mean fill ratio. Only known
     neighbours count; staleness does not matter here. Points without neighbours have no
-    row: sums are then 0 and means null (``join_neighbours``).
+    row: sums are then 0 and means null (``join_neighbours``). With ``points(keys, t)`` only
+    their neighbours' states are looked at, by an equi-join on (neighbour, t).
     """
     nb = state.select(F.col("system_id").alias("nb_system_id"), F.col("station_id").alias("nb_station_id"), "t", "bikes", "docks", F.when(F.col("bikes") >= 0, fill_ratio(F.col("bikes"), F.col("capacity"))).alias("fill"))
-    rows = edges.where(F.col("distance_m") <= far_m).join(nb, ["nb_system_id", "nb_station_id"])
+    around = edges.where(F.col("distance_m") <= far_m)
+    if points is None:
+        rows = around.join(nb, ["nb_system_id", "nb_station_id"])
+    else:
+        rows = points.select(*KEYS, "t").join(around, KEYS).join(nb, ["nb_system_id", "nb_station_id", "t"])
     near = F.col("distance_m") <= near_m
     known = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))
     out = []
@@ -95,6 +108,7 @@ def neighbour_sums(state: DataFrame, edges: DataFrame, near_m: int, far_m: int)
             F.sum(F.when(near & own, known("docks")).otherwise(0)).alias(f"nb_docks{suffix}"),
             F.count_if((F.col("bikes") == 0) & own).alias(f"nb_empty{suffix}"),
             F.count_if(own).alias(f"nb_count{suffix}"),
+            F.count_if(near & own).alias(f"nb_count_near{suffix}"),
             F.avg(F.when(own, F.col("fill"))).alias(f"nb_fill{suffix}"),
         ]
     return rows.groupBy(*KEYS, "t").agg(*out)
@@ -106,14 +120,49 @@ def join_neighbours(points: DataFrame, sums: DataFrame) -> DataFrame:
     return out.na.fill(0, counts)
 
 
-def newest_issue(points: DataFrame, issues: DataFrame) -> DataFrame:
-    """The newest weather issue available at each time: points(t) gains issued_hour. An issue with two times counts from the later one."""
+def newest_issue(points: DataFrame, issues: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+    """The newest weather issue available at each time (of ``grid``, where given: a cheaper source of the same times): points(t) gains issued_hour. An issue with two times counts from the later one."""
     once = issues.groupBy("issued_hour").agg(F.max("available_at").alias("_time"))
     rows = once.select("_time", F.lit(0).alias("_p"), F.col("issued_hour").alias("_i"), F.lit(None).cast("timestamp_ntz").alias("t"))
-    ask = points.select("t").distinct().select(F.col("t").alias("_time"), F.lit(1).alias("_p"), F.lit(None).cast("timestamp_ntz").alias("_i"), "t")
-    w = Window.orderBy("_time", "_p").rowsBetween(Window.unboundedPreceding, 0)
+    ask = (grid if grid is not None else points).select("t").distinct().select(F.col("t").alias("_time"), F.lit(1).alias("_p"), F.lit(None).cast("timestamp_ntz").alias("_i"), "t")
+    w = Window.orderBy("_time", "_p").rowsBetween(Window.unboundedPreceding, 0)  # no key: one row for each grid time and issue, whatever the entities
     times = rows.unionByName(ask).withColumn("issued_hour", F.max("_i").over(w)).where("_p = 1").select("t", "issued_hour")
-    return points.join(times, "t")
+    return points.join(F.broadcast(times), "t")
+
+
+def yesterday_lags(state: DataFrame, step_min: int, horizons_min: tuple[int, ...]) -> DataFrame:
+    """bikes_yesterday (at t - 1 day) and history(h_min, y_bike_yesterday, y_dock_yesterday) at t + h - 1 day for each horizon.
+
+    Row lags over the dense grid (``state`` holds bikes, docks, flags, valid): a row lag is a
+    time lag, so nothing is joined. What was not valid is null; only states known by t are read.
+    """
+    w = Window.partitionBy(*KEYS).orderBy("t")
+    old = lambda back, c: F.lag(F.when(F.col("valid"), c), back // step_min).over(w) if back else F.when(F.col("valid"), c)
+    both = F.struct(y_bike(F.col("bikes"), F.col("seen.flags")).alias("bike"), y_dock(F.col("docks"), F.col("seen.flags")).alias("dock"))
+    out = state.withColumn("bikes_yesterday", old(1440, F.col("bikes")))
+    for h in horizons_min:
+        out = out.withColumn(f"_y{h}", old(1440 - h, both))
+    history = F.array(*[F.struct(F.lit(h).alias("h_min"), F.col(f"_y{h}.bike").alias("y_bike_yesterday"), F.col(f"_y{h}.dock").alias("y_dock_yesterday")) for h in horizons_min])
+    return out.withColumn("history", history).drop(*[f"_y{h}" for h in horizons_min])
+
+
+def with_profile(rows: DataFrame, daily: DataFrame, days: int, edition: Column, slot: str, dow: str) -> DataFrame:
+    """Profile ratios of each row's cell (entity, ``dow``, ``slot``) in the edition of a day: the sums of the ``days`` days up to it.
+
+    A daily profile enters the running sums on its day and leaves them ``days`` later, and rows
+    travel through that window themselves: one shuffle on the cell, no edition is stored or
+    copied. A cell without days has prof_n_days 0 and null ratios.
+    """
+    cell = [*KEYS, "dow_type", "slot15"]
+    enter = daily.select(*cell, "day", F.lit(0).alias("_ask"), F.lit(1).cast("long").alias("n_days"), *SUMS)
+    leave = daily.select(*cell, F.date_add("day", days).alias("day"), F.lit(0).alias("_ask"), F.lit(-1).cast("long").alias("n_days"), *[(-F.col(c)).alias(c) for c in SUMS])
+    none = [F.lit(0).cast("long").alias(c) for c in ("n_days", *SUMS)]
+    ask = rows.select(*KEYS, F.col(dow).alias("dow_type"), F.col(slot).alias("slot15"), edition.alias("day"), F.lit(1).alias("_ask"), *none, F.struct(*rows.columns).alias("_row"))
+    steps = enter.unionByName(leave).withColumn("_row", F.lit(None).cast(ask.schema["_row"].dataType))
+    running = Window.partitionBy(*cell).orderBy("day", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    sums = steps.unionByName(ask)
+    sums = sums.select("_ask", "_row", *[F.sum(c).over(running).alias(c) for c in ("n_days", *SUMS)]).where("_ask = 1")
+    return sums.select("_row.*", F.col("n_days").cast("int").alias("prof_n_days"), *[e.alias(n) for n, e in profile_ratios().items()])
 
 
 def lead_of(issued: Column, hour: Column, leads: int) -> Column:
@@ -145,7 +194,7 @@ def profile_ratios(n: str = "n") -> dict[str, Column]:
         "prof_p_bike": F.col("n_bike_ok") / d,
         "prof_p_dock": F.col("n_dock_ok") / d,
         "prof_mean": mean,
-        "prof_std": F.sqrt(F.greatest(F.col("sum_bikes_sq") / d - mean * mean, F.lit(0.0))),
+        "prof_std": F.when(d.isNotNull(), F.sqrt(F.greatest(F.col("sum_bikes_sq") / d - mean * mean, F.lit(0.0)))),
         "prof_rentals": F.col("sum_rentals") / d,
         "prof_returns": F.col("sum_returns") / d,
     }

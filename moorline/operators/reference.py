@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moorline.operators import features
+
 KEYS = ["system_id", "station_id"]
 EARTH_M = 6_371_000.0
 
@@ -57,6 +59,13 @@ def capacity_estimate(daily: DataFrame, days: int = 7) -> DataFrame:
     return rows.select(*KEYS, "day", F.max("capacity_max").over(w).alias("capacity_est"), F.count("capacity_max").over(w).cast("int").alias("days_used"))
 
 
+def capacity_editions(daily: DataFrame, days: int = 7) -> DataFrame:
+    """Each entity's estimates by edition, as a map from the edition's day: the greatest daily maximum of the ``days`` days up to it. Editions without such a day are absent."""
+    each = daily.select(*KEYS, F.explode(F.sequence("day", F.date_add("day", days - 1))).alias("edition"), "capacity_max")
+    each = each.groupBy(*KEYS, "edition").agg(F.max("capacity_max").alias("estimate"))
+    return each.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("edition", "estimate"))).alias("estimates"))
+
+
 def stations_edition(ledger: DataFrame, attributes: DataFrame, estimates: DataFrame) -> DataFrame:
     """Ledger with current attributes and capacity estimate; has_attributes tells unseen ones."""
     out = ledger.join(attributes.withColumn("_has", F.lit(True)), KEYS, "left").join(estimates, KEYS, "left")
@@ -79,7 +88,7 @@ def activity(arrays: DataFrame, ledger: DataFrame, now: Column, seen_h: int = 25
     return out.withColumn("is_active", F.coalesce(F.col("last_seen_at") >= now - F.make_dt_interval(hours=F.lit(inactive_h)), F.lit(False)))
 
 
-SUMS = ("n", "n_suspended", "n_bike_ok", "n_dock_ok", "sum_bikes", "sum_bikes_sq", "sum_rentals", "sum_returns")
+SUMS = features.SUMS
 
 
 def daily_profile(points: DataFrame, by: list[str]) -> DataFrame:

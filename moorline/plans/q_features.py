@@ -32,7 +32,7 @@ EVENT_DAYS = """edays AS (SELECT date, CASE WHEN monthday >= 1229 OR monthday <=
 
 
 def state(spark: SparkSession, d: str) -> DataFrame:
-    return build.grid_state(G.grid_points(spark, d), inputs(spark, d))
+    return build.grid_state(G.grid_points(spark, d), inputs(spark, d, daily=False))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -41,11 +41,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 def usable_points(spark: SparkSession, d: str) -> DataFrame:
     """Grid points for profiles: a fresh observed row exists; suspended ones stay."""
-    o = T.obs_long(spark, d)
-    s = asof.as_of_feature(G.grid_points(spark, d), o, ["bikes", "docks", "flags"])
-    s = s.where(asof.valid("seen", "t", SPARSE.staleness_s)).select(*KEYS, "t", "seen.*")
-    flow = features.flow(o, SPARSE.flow_min, SPARSE.change_cap_min).select(*KEYS, "observed_at", "fetched_at", "rentals", "returns")
-    s = s.join(flow, [*KEYS, "observed_at", "fetched_at"], "left")
+    s = state(spark, d).where("valid").select(*KEYS, "t", "seen.*")
     days = event_days(spark, d).select(F.col("date").alias("day"), "dow_type")
     s = s.withColumn("day", timegrid.local_date(F.col("t"), 9)).withColumn("slot15", F.floor(timegrid.minute_of_day(F.col("t"), 9) / SPARSE.slot_min).cast("int"))
     return s.join(F.broadcast(days), "day")
@@ -59,8 +55,12 @@ def profile(spark: SparkSession, d: str, last: str = "2024-01-20") -> DataFrame:
     return reference.sum_dailies(dailies(spark, d).where(F.col("day") <= last))
 
 
-def inputs(spark: SparkSession, d: str) -> build.Inputs:
-    return build.Inputs(T.obs_long(spark, d), T.stations(spark, d), edges(spark, d), profile(spark, d), event_days(spark, d), SPARSE)
+def inputs(spark: SparkSession, d: str, daily: bool = True) -> build.Inputs:
+    k = F.col("station_id").cast("long")
+    stations = T.stations(spark, d).select("*", (k % 40 - 1).cast("int").alias("muni_code"), F.when(F.col("system_id") == "a", k % 9).cast("int").alias("region_id"))
+    o = T.obs_long(spark, d)
+    maxima = reference.daily_capacity_max(o, timegrid.local_date(F.col("observed_at"), 9))
+    return build.Inputs(o, stations, edges(spark, d), dailies(spark, d) if daily else None, maxima, event_days(spark, d), *weather(spark, d), SPARSE)
 
 
 def fea_01_calendar(spark: SparkSession, d: str) -> DataFrame:
@@ -151,9 +151,12 @@ def weather(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
     issues = e.select(hour.alias("issued_hour"), (hour + F.make_dt_interval(mins=35 + F.col("event_id") % 50)).alias("available_at"))
     cells = reference.weather_cells(T.stations(spark, d), SPARSE.weather_lat, SPARSE.weather_lon).select("lat_idx", "lon_idx")
+    hours = F.sequence(F.to_timestamp_ntz(F.lit("2023-12-31 00:00:00")), F.to_timestamp_ntz(F.lit("2024-02-02 00:00:00")), F.expr("INTERVAL 1 HOUR"))
+    rows = cells.withColumn("issued_hour", F.explode(hours)).join(issues.select("issued_hour").distinct(), "issued_hour", "left_semi")
     start = (timegrid.micros(F.col("issued_hour")) / 3_600_000_000).cast("long")
-    rows = issues.select("issued_hour").distinct().join(F.broadcast(cells))
-    return issues, rows.withColumn("precip_mm", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: ((start + k * 3 + F.col("lat_idx")) % 37).cast("double")))
+    by_lead = lambda value: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: value(k).cast("double"))
+    rows = rows.withColumn("precip_mm", by_lead(lambda k: (start + k * 3 + F.col("lat_idx")) % 37))
+    return issues, rows.withColumn("temp_c", by_lead(lambda k: (start + k * 5 + F.col("lon_idx")) % 41 - 5)).withColumn("wind_kmh", by_lead(lambda k: (start + k * 7) % 29))
 
 
 def fea_14_weather(spark: SparkSession, d: str) -> DataFrame:
@@ -168,22 +171,23 @@ def fea_14_weather(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fea_15_profile_lookup(spark: SparkSession, d: str) -> DataFrame:
-    p = G.grid_points(spark, d).where(F.col("t") >= "2024-01-22").withColumn("minute_of_day", timegrid.minute_of_day(F.col("t"), 9))
-    x = build.with_targets(p, inputs(spark, d))
-    return x.select(*KEYS, "t", "h_min", "prof_n_days", *[F.round(c, 6).alias(c) for c in ("prof_p_bike", "prof_p_dock", "prof_mean", "prof_std", "prof_rentals", "prof_returns")])
+    p = G.grid_points(spark, d).withColumn("minute_of_day", timegrid.minute_of_day(F.col("t"), 9))
+    p = p.withColumn("h_min", F.explode(F.array(*[F.lit(h) for h in SPARSE.horizons_min]))).withColumn("target", F.col("t") + timegrid.minutes(F.col("h_min")))
+    x = build.with_target_profile(p, inputs(spark, d))
+    return x.select(*KEYS, "t", "h_min", "prof_n_days", *[F.round(c, 9).alias(c) for c in ("prof_p_bike", "prof_p_dock", "prof_mean", "prof_std", "prof_rentals", "prof_returns")])
 
 
-SAMPLE_COLUMNS = ("bikes", "docks", "capacity", "lag_360", "delta_1440", "roll_min", "roll_max", "rentals", "returns", "n_changes", "bikes_yesterday", "nb_bikes", "nb_count", "target_dow_type", "prof_n_days", "minute_of_day")
+def rounded(df: DataFrame) -> DataFrame:
+    """Floating columns at nine digits (angles at six), without negative zeros."""
+    return df.select(*[(F.round(n, 6 if n[:4] in ("sin_", "cos_") else 9) + F.lit(0.0)).alias(n) if kind == "double" else F.col(n) for n, kind in df.dtypes])
 
 
 def fea_16_samples(spark: SparkSession, d: str) -> DataFrame:
-    x = build.build_samples(G.grid_points(spark, d), inputs(spark, d))
-    return x.select(*KEYS, "t", "h_min", *SAMPLE_COLUMNS, "y_bike", "y_dock", "weight", F.round("fill_ratio", 9).alias("fill_ratio"), F.round("prof_p_bike", 9).alias("prof_p_bike"))
+    return rounded(build.build_samples(G.grid_points(spark, d), inputs(spark, d)))
 
 
 def fea_17_point_build(spark: SparkSession, d: str) -> DataFrame:
-    x = build.build_now(inputs(spark, d), "2024-01-22 00:00:00", 1440)
-    return x.select(*KEYS, "t", "h_min", *SAMPLE_COLUMNS, F.round("fill_ratio", 9).alias("fill_ratio"), F.round("prof_p_bike", 9).alias("prof_p_bike"))
+    return rounded(build.build_now(inputs(spark, d), "2024-01-22 00:00:00", 1440))
 
 
 def fea_18_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -250,10 +254,12 @@ def pro_01_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pro_02_roll(spark: SparkSession, d: str) -> DataFrame:
-    """P(D) = P(D-1) + d(D) - d(D-14), which must equal the plain sum of 14 days."""
-    x = dailies(spark, d)
-    previous = reference.sum_dailies(x.where(F.col("day").between("2024-01-06", "2024-01-19")))
-    return reference.roll(previous, x.where(F.col("day") == "2024-01-20").drop("day"), x.where(F.col("day") == "2024-01-06").drop("day"))
+    """P(D) = P(D-1) + d(D) - d(D-28), which must equal the plain sum of 28 days. The daily table is written once and read three times."""
+    from moorline.plans.scratch import written
+
+    x = written(dailies(spark, d), "dailies")
+    previous = reference.sum_dailies(x.where(F.col("day").between("2024-01-01", "2024-01-28")))
+    return reference.roll(previous, x.where(F.col("day") == "2024-01-29").drop("day"), x.where(F.col("day") == "2024-01-01").drop("day"))
 
 
 def pro_03_serving_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -281,12 +287,15 @@ fixed AS (SELECT s.date, hol.name, CASE WHEN month(s.date) * 100 + day(s.date) >
   WHEN hol.name IS NOT NULL THEN 'holiday' WHEN dayofweek(s.date) = 0 THEN 'sun' WHEN dayofweek(s.date) = 6 THEN 'sat' END AS f FROM span s LEFT JOIN hol ON hol.date = s.date),
 around AS (SELECT *, lag(f IS NOT NULL) OVER (ORDER BY date) AS b, lead(f IS NOT NULL) OVER (ORDER BY date) AS a, max(CASE WHEN f IS NULL THEN date END) OVER (PARTITION BY date_trunc('month', date)) AS lb FROM fixed),
 cal AS (SELECT date, name AS holiday_name, coalesce(f, CASE WHEN a AND b THEN 'bridge' ELSE 'weekday' END) AS day_type, f IS NOT NULL AS is_off, coalesce(a, false) AS is_day_before_holiday, date = lb AS is_last_business_day FROM around WHERE date BETWEEN DATE '1995-01-01' AND DATE '2001-08-01')"""
-STATE = f"""{T.OBS}, {T.STATIONS}, {G.GRID}, f0 AS (
+DM = "dm AS (SELECT system_id, station_id, (observed_at + INTERVAL 9 HOUR)::DATE AS day, max(bikes + docks)::INT AS capacity_max FROM obs WHERE bikes <> -1 AND docks <> -1 GROUP BY ALL)"
+STATE = f"""{T.OBS}, {T.STATIONS}, {G.GRID}, {DM}, f0 AS (
   SELECT p.system_id, p.station_id, p.t, max(struct_pack(observed_at := o.observed_at, fetched_at := o.fetched_at, bikes := o.bikes, docks := o.docks, flags := o.flags, age := o.reported_age_s)) FILTER (o.observed_at IS NOT NULL) AS seen
   FROM points p LEFT JOIN obs o ON o.system_id = p.system_id AND o.station_id = p.station_id AND o.fetched_at <= p.t GROUP BY ALL),
-cap AS (SELECT *, CASE WHEN system_id = 'b' THEN CASE WHEN capacity_est > 0 THEN capacity_est END ELSE CASE WHEN capacity > 0 THEN capacity END END AS c FROM stations),
-state AS (SELECT f0.system_id, f0.station_id, t, seen, coalesce(seen.bikes, -1) AS bikes, coalesce(seen.docks, -1) AS docks, cap.c AS capacity,
-  coalesce(seen IS NOT NULL AND seen.bikes <> -1 AND epoch_us(t) - epoch_us(seen.observed_at) <= 86400000000, false) AS valid FROM f0 LEFT JOIN cap ON cap.system_id = f0.system_id AND cap.station_id = f0.station_id)"""
+capx AS (SELECT system_id, station_id, edition, max(capacity_max) AS est FROM (SELECT *, day + unnest([0, 1, 2, 3, 4, 5, 6])::INT AS edition FROM dm) GROUP BY ALL),
+state AS MATERIALIZED (SELECT f0.system_id, f0.station_id, t, seen, coalesce(seen.bikes, -1) AS bikes, coalesce(seen.docks, -1) AS docks,
+  CASE WHEN f0.system_id = 'b' THEN CASE WHEN est > 0 THEN est END ELSE CASE WHEN s.capacity > 0 THEN s.capacity END END AS capacity,
+  coalesce(seen IS NOT NULL AND seen.bikes <> -1 AND epoch_us(t) - epoch_us(seen.observed_at) <= 86400000000, false) AS valid FROM f0 LEFT JOIN stations s ON s.system_id = f0.system_id AND s.station_id = f0.station_id
+  LEFT JOIN capx ON capx.system_id = f0.system_id AND capx.station_id = f0.station_id AND capx.edition = (t + INTERVAL 9 HOUR)::DATE - 1)"""
 FLOW = """sf AS (SELECT *, bikes - lag(bikes) OVER (PARTITION BY system_id, station_id ORDER BY observed_at, fetched_at) AS dl, row_number() OVER (PARTITION BY system_id, station_id ORDER BY observed_at, fetched_at) AS rn FROM obs WHERE bikes <> -1),
 flow AS (SELECT system_id, station_id, observed_at, fetched_at, sum(greatest(-dl, 0)) OVER b::INT AS rentals, sum(greatest(dl, 0)) OVER b::INT AS returns, coalesce(sum((dl <> 0)::INT) OVER b, 0)::INT AS n_changes,
   CASE WHEN rn >= 2 THEN least(coalesce((epoch_us(observed_at) - max(CASE WHEN dl <> 0 THEN epoch_us(observed_at) END) OVER r) / 60000000.0, 4320.0), 4320.0) END AS since
@@ -296,12 +305,12 @@ EDGES = f"""edges AS (SELECT system_id, station_id, nb_system_id, nb_station_id,
   SELECT a.system_id, a.station_id, b.system_id AS nb_system_id, b.station_id AS nb_station_id, {HAV} AS dist FROM stations a JOIN stations b ON abs(a.lat - b.lat) < 0.0101 AND NOT (a.system_id = b.system_id AND a.station_id = b.station_id)
   WHERE NOT a.geo_suspect AND NOT b.geo_suspect AND abs(a.lon - b.lon) < 0.0101) WHERE dist <= 500)"""
 NB = """nb AS (SELECT e.system_id, e.station_id, s.t, sum(CASE WHEN distance_m <= 300 THEN greatest(s.bikes, 0) ELSE 0 END)::BIGINT AS nb_bikes, sum(CASE WHEN distance_m <= 300 THEN greatest(s.docks, 0) ELSE 0 END)::BIGINT AS nb_docks,
-  count(*) FILTER (s.bikes = 0) AS nb_empty, count(*) AS nb_count, avg(CASE WHEN s.bikes >= 0 THEN s.bikes / s.capacity::DOUBLE END) AS nb_fill,
-  sum(CASE WHEN distance_m <= 300 AND same_system THEN greatest(s.bikes, 0) ELSE 0 END)::BIGINT AS nb_bikes_same, count(*) FILTER (same_system) AS nb_count_same
+  count(*) FILTER (s.bikes = 0) AS nb_empty, count(*) AS nb_count, count(*) FILTER (distance_m <= 300) AS nb_count_near, count(*) FILTER (distance_m <= 300 AND same_system) AS nb_count_near_same, avg(CASE WHEN s.bikes >= 0 THEN s.bikes / s.capacity::DOUBLE END) AS nb_fill,
+  sum(CASE WHEN distance_m <= 300 AND same_system THEN greatest(s.bikes, 0) ELSE 0 END)::BIGINT AS nb_bikes_same, sum(CASE WHEN distance_m <= 300 AND same_system THEN greatest(s.docks, 0) ELSE 0 END)::BIGINT AS nb_docks_same, count(*) FILTER (same_system) AS nb_count_same
   FROM edges e JOIN state s ON s.system_id = e.nb_system_id AND s.station_id = e.nb_station_id GROUP BY ALL)"""
 PROFILE = f"""{EVENT_DAYS}, usable AS (SELECT s.system_id, s.station_id, s.t, seen.bikes AS bikes, seen.docks AS docks, seen.flags AS flags, fl.rentals, fl.returns, (s.t + INTERVAL 9 HOUR)::DATE AS day,
     ((hour(s.t + INTERVAL 9 HOUR) * 60 + minute(s.t + INTERVAL 9 HOUR)) // 360)::INT AS slot15 FROM state s LEFT JOIN flow fl ON fl.system_id = s.system_id AND fl.station_id = s.station_id AND fl.observed_at = s.seen.observed_at AND fl.fetched_at = s.seen.fetched_at WHERE valid),
-daily AS (SELECT system_id, station_id, day, dow_type, slot15, count(*) AS n, count(*) FILTER (NOT (flags >= 0 AND (flags & 2) > 0 AND (flags & 4) > 0)) AS n_suspended,
+daily AS MATERIALIZED (SELECT system_id, station_id, day, dow_type, slot15, count(*) AS n, count(*) FILTER (NOT (flags >= 0 AND (flags & 2) > 0 AND (flags & 4) > 0)) AS n_suspended,
   sum((bikes >= 1 AND flags >= 0 AND (flags & 2) > 0)::INT)::BIGINT AS n_bike_ok, sum((docks >= 1 AND flags >= 0 AND (flags & 4) > 0)::INT)::BIGINT AS n_dock_ok, sum(bikes)::BIGINT AS sum_bikes, sum(bikes * bikes)::BIGINT AS sum_bikes_sq,
   sum(coalesce(rentals, 0))::BIGINT AS sum_rentals, sum(coalesce(returns, 0))::BIGINT AS sum_returns FROM usable u JOIN edays e ON e.date = u.day GROUP BY ALL)"""
 
@@ -310,20 +319,20 @@ def _sum(where: str) -> str:
     return f"SELECT system_id, station_id, dow_type, slot15, count(*) AS n_days, {', '.join(f'sum({c})::BIGINT AS {c}' for c in reference.SUMS)} FROM daily WHERE {where} GROUP BY ALL"
 
 
-PROF = f"prof AS ({_sum(chr(100) + 'ay <= DATE ' + chr(39) + '2024-01-20' + chr(39))})"
-RATIOS = """round(n_bike_ok / n::DOUBLE, 6) AS prof_p_bike, round(n_dock_ok / n::DOUBLE, 6) AS prof_p_dock, round(sum_bikes / n::DOUBLE, 6) AS prof_mean,
-  CASE WHEN n IS NOT NULL THEN round(sqrt(greatest(sum_bikes_sq / n::DOUBLE - (sum_bikes / n::DOUBLE) * (sum_bikes / n::DOUBLE), 0.0)), 6) END AS prof_std, round(sum_rentals / n::DOUBLE, 6) AS prof_rentals, round(sum_returns / n::DOUBLE, 6) AS prof_returns"""
+PROF = f"""prof AS ({_sum("day <= DATE '2024-01-20'")})"""
+ECAL = """ehol AS (SELECT (ts + INTERVAL 9 HOUR)::DATE AS date, min(event_type) AS name FROM events WHERE event_id % 991 = 0 GROUP BY 1),
+efix AS (SELECT s.date, ehol.name, CASE WHEN month(s.date) * 100 + day(s.date) >= 1229 OR month(s.date) * 100 + day(s.date) <= 103 THEN 'newyear' WHEN month(s.date) * 100 + day(s.date) BETWEEN 813 AND 816 THEN 'obon'
+  WHEN ehol.name IS NOT NULL THEN 'holiday' WHEN dayofweek(s.date) = 0 THEN 'sun' WHEN dayofweek(s.date) = 6 THEN 'sat' END AS f FROM (SELECT unnest(generate_series(DATE '2023-11-21', DATE '2024-03-13', INTERVAL 1 DAY))::DATE AS date) s LEFT JOIN ehol ON ehol.date = s.date),
+earound AS (SELECT *, lag(f IS NOT NULL) OVER (ORDER BY date) AS b, lead(f IS NOT NULL) OVER (ORDER BY date) AS a, max(CASE WHEN f IS NULL THEN date END) OVER (PARTITION BY date_trunc('month', date)) AS lb FROM efix),
+ecal AS (SELECT date, name IS NOT NULL AS is_holiday, coalesce(f, CASE WHEN a AND b THEN 'bridge' ELSE 'weekday' END) AS day_type, coalesce(a, false) AS is_day_before_holiday, coalesce(date = lb, false) AS is_last_business_day FROM earound WHERE date BETWEEN DATE '2023-12-31' AND DATE '2024-02-02')"""
+EDITION = f"""pe AS (SELECT a.system_id, a.station_id, a.dow, a.slot, a.edition, count(d.day)::INT AS n_days, {', '.join(f'sum(d.{c})::BIGINT AS {c}' for c in reference.SUMS)}
+  FROM (SELECT DISTINCT system_id, station_id, dow, slot, edition FROM asks) a LEFT JOIN daily d ON d.system_id = a.system_id AND d.station_id = a.station_id AND d.dow_type = a.dow AND d.slot15 = a.slot AND d.day BETWEEN a.edition - 27 AND a.edition GROUP BY ALL)"""
+RATIOS = """round(n_bike_ok / n::DOUBLE, 9) + 0.0::DOUBLE AS prof_p_bike, round(n_dock_ok / n::DOUBLE, 9) + 0.0::DOUBLE AS prof_p_dock, round(sum_bikes / n::DOUBLE, 9) + 0.0::DOUBLE AS prof_mean,
+  CASE WHEN n IS NOT NULL THEN round(sqrt(greatest(sum_bikes_sq / n::DOUBLE - (sum_bikes / n::DOUBLE) * (sum_bikes / n::DOUBLE), 0.0)), 9) END + 0.0::DOUBLE AS prof_std, round(sum_rentals / n::DOUBLE, 9) + 0.0::DOUBLE AS prof_rentals, round(sum_returns / n::DOUBLE, 9) + 0.0::DOUBLE AS prof_returns"""
 LAGS = ", ".join(f"CASE WHEN valid THEN lag(CASE WHEN valid THEN bikes END, {m // 360}) OVER w END AS lag_{m}" for m in (360, 720, 1440))
-FULL = f"""{STATE}, {FLOW}, {EDGES}, {NB}, {PROFILE}, {PROF},
-lagged AS (SELECT *, {LAGS}, min(CASE WHEN valid THEN bikes END) OVER w4 AS roll_min, max(CASE WHEN valid THEN bikes END) OVER w4 AS roll_max, CASE WHEN lag(valid, 4) OVER w THEN lag(bikes, 4) OVER w END AS bikes_yesterday
-  FROM state WINDOW w AS (PARTITION BY system_id, station_id ORDER BY t), w4 AS (PARTITION BY system_id, station_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
-base AS (SELECT l.*, fl.rentals, fl.returns, fl.n_changes, coalesce(nb_bikes, 0) AS nb_bikes, coalesce(nb_count, 0) AS nb_count, (hour(l.t + INTERVAL 9 HOUR) * 60 + minute(l.t + INTERVAL 9 HOUR))::INT AS minute_of_day FROM lagged l
-  LEFT JOIN flow fl ON fl.system_id = l.system_id AND fl.station_id = l.station_id AND fl.observed_at = l.seen.observed_at AND fl.fetched_at = l.seen.fetched_at
-  LEFT JOIN nb ON nb.system_id = l.system_id AND nb.station_id = l.station_id AND nb.t = l.t WHERE ({G.BASE_REASON.replace("seen", "l.seen").replace("epoch_us(t)", "epoch_us(l.t)")}) IS NULL),
-tgt AS (SELECT b.*, h.h_min, b.t + to_minutes(h.h_min) AS target, e.dow_type AS target_dow_type, coalesce(p.n_days, 0)::INT AS prof_n_days, p.n_bike_ok / p.n::DOUBLE AS ppb FROM base b CROSS JOIN (SELECT unnest([360, 720, 1440]) AS h_min) h
-  LEFT JOIN edays e ON e.date = (b.t + to_minutes(h.h_min) + INTERVAL 9 HOUR)::DATE
-  LEFT JOIN prof p ON p.system_id = b.system_id AND p.station_id = b.station_id AND p.dow_type = e.dow_type AND p.slot15 = ((b.minute_of_day + h.h_min) % 1440) // 360)"""
-COLS = "system_id, station_id, t, h_min, bikes, docks, capacity, lag_360, bikes - lag_1440 AS delta_1440, roll_min, roll_max, rentals, returns, n_changes, bikes_yesterday, nb_bikes, nb_count, target_dow_type, prof_n_days, minute_of_day, round(bikes / capacity::DOUBLE, 9) AS fill_ratio, round(ppb, 9) AS prof_p_bike"
+_YB = "(bikes >= 1 AND seen.flags >= 0 AND (seen.flags & 2) > 0)::INT"
+_YD = "(docks >= 1 AND seen.flags >= 0 AND (seen.flags & 4) > 0)::INT"
+HISTORY = ", ".join(f"lag(CASE WHEN valid THEN {y} END, {(1440 - h) // 360}) OVER w AS {n}_{h}" for h in (360, 720, 1440) for n, y in (("hb", _YB), ("hd", _YD)))
 WXQ = """iss AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS issued_hour, max(date_trunc('hour', ts)::TIMESTAMP + to_minutes(35 + event_id % 50)) AS available_at FROM events WHERE event_type = 'view' GROUP BY 1),
 ti AS (SELECT t, max(issued_hour) AS i FROM (SELECT DISTINCT t FROM points) p LEFT JOIN iss ON available_at <= t GROUP BY t),
 cells AS (SELECT DISTINCT round_even(lat / 0.05, 0)::INT AS la, round_even(lon / 0.0625, 0)::INT AS lo FROM stations WHERE NOT geo_suspect),
@@ -332,12 +341,44 @@ wx AS (SELECT p.system_id, p.station_id, p.t, ti.i, round_even(s.lat / 0.05, 0):
 wv AS (SELECT system_id, station_id, t, i, la, known, (epoch(t) - epoch(i)) / 3600 AS l0, (epoch(t) + 10800 - epoch(i)) / 3600 AS l3, (epoch(t) + 7200 - epoch(i)) / 3600 AS l2 FROM wx)"""
 
 
+def _lead(lead: str, value: str) -> str:
+    return f"CASE WHEN known AND {lead} BETWEEN 0 AND 7 THEN ({value})::DOUBLE END"
+
+
 def _wx(lead: str) -> str:
-    return f"CASE WHEN known AND {lead} BETWEEN 0 AND 7 THEN ((epoch(i)::BIGINT // 3600 + {lead}::BIGINT * 3 + la) % 37)::DOUBLE END"
+    return _lead(lead, f"(epoch(i)::BIGINT // 3600 + {lead}::BIGINT * 3 + la) % 37")
 
 
 WXS = f"WITH {T.OBS}, {T.STATIONS}, {G.GRID}, {WXQ}, w AS (SELECT system_id, station_id, t, i AS issued_hour, {_wx('l0')} AS precip_t, {_wx('l3')} AS precip_target, {_wx('l2')} AS nearest_90 FROM wv)"
-DAYMAX = f"{T.OBS}, dm AS (SELECT system_id, station_id, (observed_at + INTERVAL 9 HOUR)::DATE AS day, max(bikes + docks)::INT AS capacity_max FROM obs WHERE bikes <> -1 AND docks <> -1 GROUP BY ALL), ce AS (SELECT system_id, station_id, day, max(capacity_max) OVER w AS capacity_est, (count(capacity_max) OVER w)::INT AS days_used FROM dm WINDOW w AS (PARTITION BY system_id, station_id ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW))"
+DAYMAX = f"{T.OBS}, {DM}, ce AS (SELECT system_id, station_id, day, max(capacity_max) OVER w AS capacity_est, (count(capacity_max) OVER w)::INT AS days_used FROM dm WINDOW w AS (PARTITION BY system_id, station_id ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW))"
+FULL = f"""{STATE}, {FLOW}, {EDGES}, {NB}, {PROFILE}, {ECAL}, {WXQ},
+dens AS (SELECT system_id, station_id, count(*)::INT AS urban_density FROM edges GROUP BY ALL), firsts AS (SELECT system_id, station_id, min(observed_at) AS first_at FROM obs GROUP BY ALL),
+lagged AS (SELECT *, {LAGS}, {HISTORY}, avg(CASE WHEN valid THEN bikes END) OVER w4 AS roll_mean, min(CASE WHEN valid THEN bikes END) OVER w4 AS roll_min, max(CASE WHEN valid THEN bikes END) OVER w4 AS roll_max, lag(CASE WHEN valid THEN bikes END, 4) OVER w AS bikes_yesterday
+  FROM state WINDOW w AS (PARTITION BY system_id, station_id ORDER BY t), w4 AS (PARTITION BY system_id, station_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+base AS (SELECT l.*, fl.rentals, fl.returns, fl.n_changes, fl.since, coalesce(nb_count_near, 0) AS nb_count_near, coalesce(nb_count, 0) AS nb_count, coalesce(nb_bikes, 0) AS nb_bikes, coalesce(nb_docks, 0) AS nb_docks, coalesce(nb_empty, 0) AS nb_empty, nb_fill,
+    coalesce(nb_count_near_same, 0) AS nb_count_near_same, coalesce(nb_bikes_same, 0) AS nb_bikes_same, coalesce(nb_docks_same, 0) AS nb_docks_same, (hour(l.t + INTERVAL 9 HOUR) * 60 + minute(l.t + INTERVAL 9 HOUR))::INT AS minute_of_day, (l.t + INTERVAL 9 HOUR)::DATE AS local_day FROM lagged l
+  LEFT JOIN flow fl ON fl.system_id = l.system_id AND fl.station_id = l.station_id AND fl.observed_at = l.seen.observed_at AND fl.fetched_at = l.seen.fetched_at
+  LEFT JOIN nb ON nb.system_id = l.system_id AND nb.station_id = l.station_id AND nb.t = l.t WHERE ({G.BASE_REASON.replace("seen", "l.seen").replace("epoch_us(t)", "epoch_us(l.t)")}) IS NULL),
+asks AS MATERIALIZED (SELECT b.*, h.h_min, b.t + to_minutes(h.h_min) AS target, e.dow_type AS dow, ((b.minute_of_day + h.h_min) % 1440) // 360 AS slot, b.local_day - 1 AS edition, CASE h.h_min WHEN 360 THEN hb_360 WHEN 720 THEN hb_720 ELSE hb_1440 END AS hb, CASE h.h_min WHEN 360 THEN hd_360 WHEN 720 THEN hd_720 ELSE hd_1440 END AS hd
+  FROM base b CROSS JOIN (SELECT unnest([360, 720, 1440]) AS h_min) h LEFT JOIN edays e ON e.date = (b.t + to_minutes(h.h_min) + INTERVAL 9 HOUR)::DATE), {EDITION},
+tgt AS MATERIALIZED (SELECT k.*, p.n_days, {', '.join(f'p.{c} AS {c}' for c in reference.SUMS)}, ti.i, s.lat, s.lon, s.pref_code, s.is_charging, f.first_at, dens.urban_density, c.la IS NOT NULL AS known, round_even(s.lat / 0.05, 0)::INT AS la, round_even(s.lon / 0.0625, 0)::INT AS lo,
+    (epoch(k.t) - epoch(ti.i)) / 3600 AS l0, (epoch(k.target) - epoch(ti.i)) / 3600 AS lt, cd.day_type, cd.is_holiday, cd.is_day_before_holiday, cd.is_last_business_day, bd.dow_type AS base_dow_type
+  FROM asks k LEFT JOIN pe p ON p.system_id = k.system_id AND p.station_id = k.station_id AND p.dow = k.dow AND p.slot = k.slot AND p.edition = k.edition LEFT JOIN ti ON ti.t = k.t LEFT JOIN stations s ON s.system_id = k.system_id AND s.station_id = k.station_id
+  LEFT JOIN firsts f ON f.system_id = k.system_id AND f.station_id = k.station_id LEFT JOIN dens ON dens.system_id = k.system_id AND dens.station_id = k.station_id LEFT JOIN cells c ON c.la = round_even(s.lat / 0.05, 0)::INT AND c.lo = round_even(s.lon / 0.0625, 0)::INT
+  LEFT JOIN ecal cd ON cd.date = k.local_day LEFT JOIN edays bd ON bd.date = k.local_day)"""
+
+
+def _angle(f: str, minute: str) -> str:
+    return f"round({f}(2 * pi() * (({minute}) % 1440) / 1440), 6) + 0.0::DOUBLE"
+
+
+COLS = f"""system_id, station_id, t, h_min, minute_of_day, {_angle('sin', 'minute_of_day')} AS sin_t, {_angle('cos', 'minute_of_day')} AS cos_t, (isodow(local_day) - 1)::INT AS dow, day_type, base_dow_type AS dow_type, is_holiday, is_day_before_holiday, is_last_business_day, month(local_day)::INT AS month,
+  {_angle('sin', 'minute_of_day + h_min')} AS sin_target, {_angle('cos', 'minute_of_day + h_min')} AS cos_target, dow AS target_dow_type, round(lat, 9) + 0.0::DOUBLE AS lat, round(lon, 9) + 0.0::DOUBLE AS lon, pref_code, CASE WHEN lat IS NOT NULL AND station_id::BIGINT % 40 >= 1 THEN (station_id::BIGINT % 40 - 1)::INT END AS muni_code,
+  CASE WHEN lat IS NOT NULL AND system_id = 'a' THEN (station_id::BIGINT % 9)::INT END AS region_id, is_charging, round((epoch_us(t) - epoch_us(first_at)) / 86400000000.0::DOUBLE, 9) + 0.0::DOUBLE AS station_age_days, capacity, coalesce(urban_density, 0)::INT AS urban_density,
+  bikes, docks, CASE WHEN system_id = 'a' THEN capacity - bikes - docks END AS gap, round(bikes / capacity::DOUBLE, 9) + 0.0::DOUBLE AS fill_ratio, bikes > capacity AS is_over_capacity, CASE WHEN system_id = 'b' THEN seen.age END AS staleness_s, floor((epoch_us(t) - epoch_us(seen.observed_at)) / 1000000)::BIGINT AS feed_delay_s,
+  lag_360, lag_720, lag_1440, bikes - lag_720 AS delta_720, bikes - lag_1440 AS delta_1440, round(roll_mean, 9) + 0.0::DOUBLE AS roll_mean, roll_min, roll_max, rentals, returns, n_changes, round(since, 9) + 0.0::DOUBLE AS since_change_min, bikes_yesterday, hb AS y_bike_yesterday, hd AS y_dock_yesterday,
+  nb_count_near, nb_count, nb_bikes, nb_docks, nb_empty, round(nb_fill, 9) + 0.0::DOUBLE AS nb_fill, nb_count_near_same, nb_bikes_same, nb_docks_same, {_wx('l0')} + 0.0::DOUBLE AS precip_now, {_wx('lt')} + 0.0::DOUBLE AS precip_target,
+  {_lead('l0', '(epoch(i)::BIGINT // 3600 + l0::BIGINT * 5 + lo) % 41 - 5')} + 0.0::DOUBLE AS temp_c, {_lead('l0', '(epoch(i)::BIGINT // 3600 + l0::BIGINT * 7) % 29')} + 0.0::DOUBLE AS wind_kmh, {RATIOS}, coalesce(n_days, 0)::INT AS prof_n_days"""
 
 ORACLE = {
     "fea_01_calendar": f"WITH {CAL} SELECT date, holiday_name, day_type, CASE WHEN day_type = 'sat' THEN 'sat' WHEN day_type IN ('weekday', 'bridge') THEN 'weekday' ELSE 'sun_holiday' END AS dow_type, is_off, is_day_before_holiday, coalesce(is_last_business_day, false) AS is_last_business_day FROM cal",
@@ -359,12 +400,12 @@ SELECT x.system_id, x.station_id, lat, lon, pref_code, is_charging, round((epoch
     "fea_13_neighbours": f"""WITH {STATE}, {EDGES}, {NB} SELECT s.system_id, s.station_id, s.t, coalesce(nb_bikes, 0) AS nb_bikes, coalesce(nb_docks, 0) AS nb_docks, coalesce(nb_empty, 0) AS nb_empty, coalesce(nb_count, 0) AS nb_count, round(nb_fill, 9) AS nb_fill, coalesce(nb_bikes_same, 0) AS nb_bikes_same, coalesce(nb_count_same, 0) AS nb_count_same
 FROM state s LEFT JOIN nb ON nb.system_id = s.system_id AND nb.station_id = s.station_id AND nb.t = s.t""",
     "fea_14_weather": f"{WXS} SELECT * FROM w",
-    "fea_15_profile_lookup": f"""WITH {STATE}, {FLOW}, {PROFILE}, {PROF}, x AS (SELECT p.*, h.h_min, (hour(t + INTERVAL 9 HOUR) * 60 + minute(t + INTERVAL 9 HOUR))::INT AS m FROM points p CROSS JOIN (SELECT unnest([360, 720, 1440]) AS h_min) h WHERE t >= TIMESTAMP '2024-01-22')
-SELECT x.system_id, x.station_id, x.t, x.h_min, coalesce(n_days, 0)::INT AS prof_n_days, {RATIOS} FROM x LEFT JOIN edays e ON e.date = (x.t + to_minutes(h_min) + INTERVAL 9 HOUR)::DATE
-LEFT JOIN prof p ON p.system_id = x.system_id AND p.station_id = x.station_id AND p.dow_type = e.dow_type AND p.slot15 = ((m + h_min) % 1440) // 360""",
+    "fea_15_profile_lookup": f"""WITH {STATE}, {FLOW}, {PROFILE}, asks AS MATERIALIZED (SELECT p.*, h.h_min, e.dow_type AS dow, ((hour(t + INTERVAL 9 HOUR) * 60 + minute(t + INTERVAL 9 HOUR))::INT + h.h_min) % 1440 // 360 AS slot, (t + INTERVAL 9 HOUR)::DATE - 1 AS edition
+  FROM points p CROSS JOIN (SELECT unnest([360, 720, 1440]) AS h_min) h LEFT JOIN edays e ON e.date = (t + to_minutes(h.h_min) + INTERVAL 9 HOUR)::DATE), {EDITION}
+SELECT k.system_id, k.station_id, k.t, k.h_min, coalesce(n_days, 0)::INT AS prof_n_days, {RATIOS} FROM asks k LEFT JOIN pe ON pe.system_id = k.system_id AND pe.station_id = k.station_id AND pe.dow = k.dow AND pe.slot = k.slot AND pe.edition = k.edition""",
     "fea_16_samples": f"""WITH {FULL}, lab AS (SELECT t.*, o.truth FROM tgt t JOIN (SELECT q.system_id, q.station_id, q.target, max(struct_pack(observed_at := o.observed_at, fetched_at := o.fetched_at, bikes := o.bikes, docks := o.docks, flags := o.flags)) FILTER (o.observed_at IS NOT NULL) AS truth
   FROM (SELECT DISTINCT system_id, station_id, target FROM tgt) q LEFT JOIN obs o ON o.system_id = q.system_id AND o.station_id = q.station_id AND o.observed_at <= q.target GROUP BY ALL) o ON o.system_id = t.system_id AND o.station_id = t.station_id AND o.target = t.target)
-SELECT {COLS}, (truth.bikes >= 1 AND truth.flags >= 0 AND (truth.flags & 2) > 0)::INT AS y_bike, (truth.docks >= 1 AND truth.flags >= 0 AND (truth.flags & 4) > 0)::INT AS y_dock, 4.0::DOUBLE AS weight FROM lab
+SELECT {COLS}, (truth.bikes >= 1 AND truth.flags >= 0 AND (truth.flags & 2) > 0)::INT AS y_bike, (truth.docks >= 1 AND truth.flags >= 0 AND (truth.flags & 4) > 0)::INT AS y_dock, 4.0::DOUBLE AS weight, 'uniform' AS stratum, 'v1' AS feature_set FROM lab
 WHERE ({G.TARGET_REASON}) IS NULL AND ('0x' || substr(md5(system_id || '|' || station_id || '|' || strftime(t, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT < 1073741824""",
     "fea_17_point_build": f"WITH {FULL} SELECT {COLS} FROM tgt WHERE t = TIMESTAMP '2024-01-22'",
     "fea_18_coverage": f"{WXS} SELECT t::DATE AS day, count(*) AS n, count(*) FILTER (precip_t IS NOT NULL AND precip_target IS NOT NULL AND nearest_90 IS NOT NULL) AS n_all, count(precip_t) AS n_precip_t, count(precip_target) AS n_precip_target, count(nearest_90) AS n_nearest_90 FROM w GROUP BY 1",
@@ -385,7 +426,7 @@ LEFT JOIN ce ON ce.system_id = l.system_id AND ce.station_id = l.station_id AND
     "ref_07_activity": f"""WITH {T.OBS}, s AS (SELECT DISTINCT system_id, station_id FROM obs), dd AS (SELECT system_id, station_id, date_trunc('day', observed_at)::TIMESTAMP AS seen_at, arg_min(bikes, observed_at) AS b FROM obs GROUP BY ALL)
 SELECT s.system_id, s.station_id, max(seen_at) AS last_seen_at, coalesce(max(seen_at) >= TIMESTAMP '2024-01-20 06:00:00' - INTERVAL 36 HOUR, false) AS is_active FROM s LEFT JOIN dd ON dd.system_id = s.system_id AND dd.station_id = s.station_id AND b <> -1 AND seen_at >= TIMESTAMP '2024-01-20 06:00:00' - INTERVAL 72 HOUR GROUP BY ALL""",
     "pro_01_daily": f"WITH {STATE}, {FLOW}, {PROFILE} SELECT * FROM daily",
-    "pro_02_roll": f"WITH {STATE}, {FLOW}, {PROFILE} {_sum(chr(100) + 'ay BETWEEN DATE ' + chr(39) + '2024-01-07' + chr(39) + ' AND DATE ' + chr(39) + '2024-01-20' + chr(39))}",
+    "pro_02_roll": f"""WITH {STATE}, {FLOW}, {PROFILE} {_sum("day BETWEEN DATE '2024-01-02' AND DATE '2024-01-29'")}""",
     "pro_03_serving_cells": f"""WITH {T.OBS}, {G.GRID}, {EVENT_DAYS}, x AS (SELECT DISTINCT t, (hour(t + INTERVAL 9 HOUR) * 60)::INT AS m, (t + INTERVAL 9 HOUR)::DATE AS date, h FROM points, (SELECT unnest([360, 720, 1440]) AS h))
 SELECT DISTINCT t, CASE WHEN m + h >= 1440 THEN b.dow_type ELSE a.dow_type END AS dow_type, (((m + h) % 1440) // 360)::INT AS slot15 FROM x JOIN edays a ON a.date = x.date JOIN edays b ON b.date = x.date + 1""",
     "pro_03_edition": f"""WITH {T.OBS}, d AS (SELECT DISTINCT (observed_at + INTERVAL 9 HOUR)::DATE AS day FROM obs) SELECT d.day, max(e.day) AS edition FROM d LEFT JOIN d e ON day(e.day) % 3 = 0 AND e.day BETWEEN d.day - 2 AND d.day - 1 GROUP BY 1""",

@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moorline.operators import archive, ingest
+from moorline.plans.scratch import folder as scratch
 from moorline.sources import feeds, files
 from moorline.sources import tables as T
 
 KEYS = ingest.KEYS
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder all executors share: spark.checkpoint.dir where it is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 ENTRY = """entry AS (
   SELECT CASE WHEN user_id % 3 = 0 THEN 'a' ELSE 'b' END AS system_id, ts::DATE AS day, epoch(ts::DATE)::BIGINT + 86400 AS last_updated, event_id,
     (user_id % 50)::VARCHAR AS station_id, CASE WHEN event_id % 997 = 0 THEN 99999 ELSE event_id % 23 - 2 END AS b, event_id % 17 - 1 AS d,

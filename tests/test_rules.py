@@ -193,17 +193,65 @@ def test_roll_equals_sum(spark):
 
 
 def test_serving_equals_training(spark, sf_dir):
-    """The point build and the unsampled day build agree on every shared column."""
+    """The point build and the unsampled day build agree on every shared column; serving has every training row and more (those without a usable target)."""
     from moorline.plans import q_features as Q
     from moorline.plans import q_grid as G
 
     x = Q.inputs(spark, sf_dir)
     t = "2024-01-22 00:00:00"
-    day = build.build_samples(G.grid_points(spark, sf_dir), x, sampled=False).where(F.col("t") == t)
-    now = build.build_now(x, t, 1440)
-    cols = [c for c in now.columns if c in day.columns]
-    assert len(cols) > 30 and day.count() > 0
-    assert day.select(cols).exceptAll(now.select(cols)).count() == 0
+    day = Q.rounded(build.build_samples(G.grid_points(spark, sf_dir), x, sampled=False)).where(F.col("t") == t)
+    now = Q.rounded(build.build_now(x, t, 1440))
+    assert len(build.sample_columns(DEFAULT)) == 76
+    assert day.columns == build.sample_columns(x.config) and now.columns == [c for c in day.columns if c not in build.LABEL_COLUMNS]
+    rows = {(r.system_id, r.station_id, r.h_min): r for r in now.collect()}
+    trained = day.collect()
+    assert trained and len(rows) == now.count()
+    for r in trained:
+        mine = rows[r.system_id, r.station_id, r.h_min]
+        assert all(r[c] == mine[c] for c in now.columns)
+    # the other way: a serving row that training lacks has no usable outcome
+    truth = asof.with_truth(now.withColumn("target", F.col("t") + timegrid.minutes(F.col("h_min"))), x.obs, ["bikes", "docks", "flags"], t="target")
+    bad = truth.where("truth is null or truth.bikes = -1 or truth.docks = -1 or truth.observed_at < target - interval 1 day or truth.observed_at <= t")
+    lost = {(r.system_id, r.station_id, r.h_min) for r in bad.collect()}
+    assert set(rows) - {(r.system_id, r.station_id, r.h_min) for r in trained} <= lost
+
+
+def test_no_feature_looks_ahead(spark, sf_dir):
+    """Observations that arrive after t, weather issued after t and holidays aside, change no feature at t: counts, docks and flags of all later rows are altered."""
+    import dataclasses
+
+    from moorline.plans import q_features as Q
+
+    x = Q.inputs(spark, sf_dir)
+    t = "2024-01-20 00:00:00"
+    after = F.col("fetched_at") > F.to_timestamp_ntz(F.lit(t))
+    changed = x.obs.select(*[F.when(after, (F.col(c) + 3) % 7).otherwise(F.col(c)).cast("int").alias(c) if c in ("bikes", "docks", "flags", "reported_age_s") else F.col(c) for c in x.obs.columns])
+    later_cells = x.cells.select(*[F.when(F.col("issued_hour") > F.to_timestamp_ntz(F.lit(t)), F.transform(c, lambda v: v + 100)).otherwise(F.col(c)).alias(c) if c in ("precip_mm", "temp_c", "wind_kmh") else F.col(c) for c in x.cells.columns])
+    later_days = x.daily.select(*[F.when(F.col("day") >= "2024-01-20", F.col(c) * 2).otherwise(F.col(c)).alias(c) if c in features.SUMS else F.col(c) for c in x.daily.columns])
+    later_max = x.capacities.withColumn("capacity_max", F.when(F.col("day") >= "2024-01-20", F.col("capacity_max") + 50).otherwise(F.col("capacity_max")))
+    y = dataclasses.replace(x, obs=changed, cells=later_cells, daily=later_days, capacities=later_max)
+    a, b = (sorted(map(str, Q.rounded(build.build_now(z, t, 1440)).collect())) for z in (x, y))
+    assert a and a == b
+
+
+def test_profile_edition_is_the_sum_of_its_days(spark):
+    """Running sums that days enter and leave give each edition's plain sum, days without rows included."""
+    import random
+
+    rng = random.Random(4)
+    start = dt.date(2024, 1, 1)
+    daily = [("s", str(k), "sat", 0, start + dt.timedelta(days=d), *[rng.randrange(1, 9) for _ in features.SUMS]) for k in range(3) for d in range(60) if rng.random() < 0.4]
+    df = spark.createDataFrame(daily, "system_id string, station_id string, dow_type string, slot15 int, day date, " + ", ".join(f"{c} long" for c in features.SUMS))
+    asks = [("s", str(k), "sat", 0, start + dt.timedelta(days=d)) for k in range(4) for d in range(-2, 95)]
+    got = features.with_profile(spark.createDataFrame(asks, "system_id string, station_id string, dow string, slot int, edition date"), df, 28, F.col("edition"), "slot", "dow")
+    rows = got.collect()
+    assert len(rows) == len(asks)
+    for r in rows:
+        own = [x for x in daily if x[1] == r.station_id and 0 <= (r.edition - x[4]).days < 28]
+        assert r.prof_n_days == len(own)
+        n = sum(x[5] for x in own)
+        assert r.prof_p_bike is None if not own else math.isclose(r.prof_p_bike, sum(x[7] for x in own) / n)
+        assert (r.prof_std is None) == (not own)
 
 
 def test_reliability_ties_stay_together(spark):
