@@ -91,16 +91,28 @@ def port_sums(rows: DataFrame, full: str, ablated: str) -> DataFrame:
     return rows.groupBy("system_id", "station_id").agg(e(full).alias("full"), e(ablated).alias("ablated"))
 
 
-def bootstrap(ports: DataFrame, reps: int) -> DataFrame:
-    """Relative loss of the ablation with a 95 % interval: stations are drawn again with Poisson(1) weights from a hash, one row for each repetition."""
-    u = (F.pmod(F.xxhash64("system_id", "station_id", "rep"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    steps, k = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119], 0
-    weight = F.lit(7)
-    for k in reversed(range(7)):
-        weight = F.when(u < steps[k], k).otherwise(weight)
-    drawn = ports.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("k", weight)
-    rep = drawn.groupBy("system_id", "rep").agg((F.sum(F.col("k") * (F.col("ablated") - F.col("full"))) / F.sum(F.col("k") * F.col("full"))).alias("gain"))
-    return rep.groupBy("system_id").agg(F.avg("gain").alias("gain"), F.percentile("gain", 0.025).alias("low"), F.percentile("gain", 0.975).alias("high"), F.count(F.lit(1)).alias("reps"))
+REPS = 1000
+
+
+def poisson(u: Column) -> Column:
+    """The Poisson(1) count whose cumulative share first exceeds u."""
+    import math
+
+    shares, out = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)], F.lit(9)
+    for k in reversed(range(9)):
+        out = F.when(u < shares[k], k).otherwise(out)
+    return out
+
+
+def bootstrap(ports: DataFrame, reps: int = REPS, by: tuple[str, ...] = ("system_id",)) -> DataFrame:
+    """Relative loss of the ablation by ``by``, with a 95 % interval: stations are drawn again with Poisson(1) weights from an md5 of station and repetition (the same on any engine)."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", "system_id", "station_id", F.col("rep").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    drawn = ports.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("k_", poisson((draw + 0.5) / float(1 << 32)))
+    loss = lambda w: F.sum(w * (F.col("ablated") - F.col("full"))) / F.sum(w * F.col("full"))
+    rep = drawn.groupBy(*by, "rep").agg(loss(F.col("k_")).alias("g"))
+    spread = rep.groupBy(*by).agg(F.percentile("g", 0.025).alias("low"), F.percentile("g", 0.975).alias("high"), F.count(F.lit(1)).alias("reps"))
+    whole = ports.groupBy(*by).agg(loss(F.lit(1)).alias("gain"))
+    return whole.join(spread, list(by)).select(*by, "gain", "low", "high", "reps")
 
 
 def border(cells: DataFrame) -> DataFrame:
@@ -131,11 +143,17 @@ def to_served(log: DataFrame) -> DataFrame:
     return rows.select("model_version", *KEYS, "t", F.col("z.horizons_min").alias("h_min"), F.col("z.p_bike_x1000").alias("p_bike"), F.col("z.p_dock_x1000").alias("p_dock"))
 
 
-def ablation_by_days(rows: DataFrame, k: str, full: str, ablated: str) -> DataFrame:
-    """By contributing days k: relative loss without the component, and how many (system, horizon) pairs are not worse with it."""
+def ablation_by_days(rows: DataFrame, k: str, full: str, ablated: str, reps: int = REPS) -> DataFrame:
+    """By contributing days k: relative loss without the component with its interval, and how many (system, horizon) pairs are not worse with the component."""
     e = lambda c: F.sum(F.col("w") * F.pow(F.col(c) / 1000 - F.col("y"), 2))
     pairs = rows.groupBy(F.col(k).alias("k"), "system_id", "h_min").agg(e(full).alias("full"), e(ablated).alias("ablated"))
-    return pairs.groupBy("k").agg((F.sum("ablated") / F.sum("full") - 1).alias("gain"), F.count_if(F.col("full") <= F.col("ablated")).alias("n_not_worse"), F.count(F.lit(1)).alias("n_pairs"))
+    counts = pairs.groupBy("k").agg(F.count_if(F.col("full") <= F.col("ablated")).alias("n_not_worse"), F.count(F.lit(1)).alias("n_pairs"))
+    ports = rows.groupBy(F.col(k).alias("k"), "system_id", "station_id").agg(e(full).alias("full"), e(ablated).alias("ablated"))
+    return bootstrap(ports, reps, ("k",)).join(counts, "k")
+
+
+def helped(least_pairs: int = 3) -> Column:
+    return (F.col("gain") > 0) & (F.col("low") > 0) & (F.col("n_not_worse") >= least_pairs)
 
 
 def choose_floor(measured: DataFrame, helped: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moorline.operators import evaluation
+
 KEYS = ["system_id", "station_id"]
 BUCKETS = ("0", "1", "2", "3-5", "6-10", "11+")
 
@@ -104,11 +106,12 @@ def blend_predict(rows: DataFrame, model, name: str = "p_b3") -> DataFrame:  # n
 
 
 def hourly_trend(profile: DataFrame, slots_per_hour: int, floors: dict[str, int]) -> DataFrame:
-    """Profile slots folded to hours: sums, least days over the slots present, rate of usable cells, and the port's rate over all."""
+    """Profile slots folded to hours: sums, least days over the slots present, rates of usable cells (bikes and docks), and the port's rates over all."""
     floor = F.element_at(F.create_map(*[x for k, v in floors.items() for x in (F.lit(k), F.lit(v))]), F.col("dow_type"))
-    cells = profile.groupBy(*KEYS, "dow_type", F.floor(F.col("slot15") / slots_per_hour).cast("int").alias("hour")).agg(F.sum("n").alias("n"), F.sum("n_bike_ok").alias("n_ok"), F.min("n_days").alias("n_days"))
-    port = cells.groupBy(*KEYS).agg((F.sum("n_ok") / F.sum("n")).alias("port_rate"))
-    return cells.withColumn("rate", F.when(F.col("n_days") >= floor, F.col("n_ok") / F.col("n"))).join(port, KEYS)
+    cells = profile.groupBy(*KEYS, "dow_type", F.floor(F.col("slot15") / slots_per_hour).cast("int").alias("hour")).agg(F.sum("n").alias("n"), F.sum("n_bike_ok").alias("n_ok"), F.sum("n_dock_ok").alias("n_dock_ok"), F.min("n_days").alias("n_days"))
+    port = cells.groupBy(*KEYS).agg((F.sum("n_ok") / F.sum("n")).alias("port_rate"), (F.sum("n_dock_ok") / F.sum("n")).alias("port_rate_dock"))
+    rate = lambda c: F.when(F.col("n_days") >= floor, F.col(c) / F.col("n"))
+    return cells.withColumn("rate", rate("n_ok")).withColumn("rate_dock", rate("n_dock_ok")).join(port, KEYS)
 
 
 def lagged_pairs(days: DataFrame, first: int, last: int, lag: int) -> DataFrame:
@@ -117,8 +120,53 @@ def lagged_pairs(days: DataFrame, first: int, last: int, lag: int) -> DataFrame:
     return rows.withColumn("edition", F.date_sub("day", lag))
 
 
+def trend_rows(daily: DataFrame, pairs: DataFrame, days: int, slots_per_hour: int, floors: dict[str, int]) -> DataFrame:
+    """What an edition said of an arrival day, and what came: rows (keys, target, edition, day, dow_type, hour, rate, port_rate, y, w).
+
+    ``pairs(day, edition)`` is a short list of days. The edition's trend is the fold of the
+    ``days`` daily profiles up to it; y is the realised rate of the day's points and w their
+    number. Hours whose edition is too thin have no row.
+    """
+    sums = ["n", "n_bike_ok", "n_dock_ok"]
+    wanted = F.broadcast(pairs.select("edition").distinct())
+    fed = daily.withColumn("edition", F.explode(F.sequence("day", F.date_add("day", days - 1)))).join(wanted, "edition", "left_semi")
+    cells = fed.groupBy("edition", *KEYS, "dow_type", "slot15").agg(F.count(F.lit(1)).alias("n_days"), *[F.sum(c).alias(c) for c in sums])
+    floor = F.element_at(F.create_map(*[x for k, v in floors.items() for x in (F.lit(k), F.lit(v))]), F.col("dow_type"))
+    hour = F.floor(F.col("slot15") / slots_per_hour).cast("int").alias("hour")
+    hours = cells.groupBy("edition", *KEYS, "dow_type", hour).agg(F.min("n_days").alias("n_days"), *[F.sum(c).alias(c) for c in sums])
+    port = hours.groupBy("edition", *KEYS).agg(*[F.sum(c).alias(f"p_{c}") for c in sums])
+    said = hours.where(F.col("n_days") >= floor).join(port, ["edition", *KEYS])
+    came = daily.groupBy("day", *KEYS, "dow_type", hour).agg(*[F.sum(c).alias(f"a_{c}") for c in sums])
+    came = came.join(F.broadcast(pairs.select("day", "edition").distinct()), "day")
+    x = came.join(said, ["edition", *KEYS, "dow_type", "hour"]).where("a_n > 0")
+    each = F.array(*[F.struct(F.lit(t).alias("target"), (F.col(c) / F.col("n")).alias("rate"), (F.col(f"p_{c}") / F.col("p_n")).alias("port_rate"), (F.col(f"a_{c}") / F.col("a_n")).alias("y")) for t, c in (("bike", "n_bike_ok"), ("dock", "n_dock_ok"))])
+    return x.select(*KEYS, "edition", "day", "dow_type", "hour", F.col("a_n").cast("double").alias("w"), F.explode(each).alias("z")).select(*KEYS, "edition", "day", "dow_type", "hour", "z.*", "w")
+
+
+def binomial(rows: DataFrame) -> DataFrame:
+    """Rows of a rate y and a weight w as two rows with outcomes 1 and 0 that share the weight."""
+    both = F.array(F.struct(F.lit(1).alias("y"), (F.col("w") * F.col("y")).alias("w")), F.struct(F.lit(0).alias("y"), (F.col("w") * (1 - F.col("y"))).alias("w")))
+    return rows.withColumn("_b", F.explode(both)).drop("y", "w").select("*", "_b.*").drop("_b").where("w > 0")
+
+
+ISOTONIC_BINS = 1000
+GRID = 1 << 20  #: steps that probabilities are held in before they are cut into bins, which bounds the window's rows
+
+
+def equal_weight_bins(rows: DataFrame, p: str, label: str, weight: str, bins: int = ISOTONIC_BINS) -> DataFrame:
+    """p, label and weight of bins of equal weight in the order of p; equal values (of ``GRID`` steps) stay together.
+
+    Rows fold to at most GRID + 1 values first; only these pass through the one window without a key.
+    """
+    values = rows.groupBy(F.round(F.col(p) * GRID).cast("long").alias("_v")).agg(F.sum(weight).alias("_w"), F.sum(F.col(p) * F.col(weight)).alias("_p"), F.sum(F.col(label) * F.col(weight)).alias("_y"))
+    before = F.sum("_w").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.sum("_w").over(Window.partitionBy(F.lit(0)))
+    values = values.withColumn("_b", F.least(F.floor(F.coalesce(before, F.lit(0.0)) * bins / whole), F.lit(bins - 1)))
+    return values.groupBy("_b").agg((F.sum("_p") / F.sum("_w")).alias(p), (F.sum("_y") / F.sum("_w")).alias(label), F.sum("_w").alias(weight))
+
+
 def calibrate(rows: DataFrame, label: str, weight: str):  # noqa: ANN201
-    """(logistic model, isotonic model): logistic on six features, then a monotone fit of its output."""
+    """(logistic model, isotonic model): logistic on six features, then a monotone fit of its output over bins of equal weight, read by linear interpolation."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -128,8 +176,7 @@ def calibrate(rows: DataFrame, label: str, weight: str):  # noqa: ANN201
     x = VectorAssembler(inputCols=[f"c{i}" for i in range(1, 6)], outputCol="features").transform(x)
     model = LogisticRegression(labelCol=label, weightCol=weight, maxIter=100).fit(x)
     scored = model.transform(x).select(vector_to_array("probability")[1].alias("p"), label, weight)
-    binned = scored.groupBy(F.round(F.col("p") * 1000).alias("b")).agg((F.sum(F.col("p") * F.col(weight)) / F.sum(weight)).alias("p"), (F.sum(F.col(label) * F.col(weight)) / F.sum(weight)).alias(label), F.sum(weight).alias(weight))
-    return model, IsotonicRegression(featuresCol="p", labelCol=label, weightCol=weight).fit(binned)
+    return model, IsotonicRegression(featuresCol="p", labelCol=label, weightCol=weight).fit(equal_weight_bins(scored, "p", label, weight))
 
 
 def calibration_design(rows: DataFrame) -> DataFrame:
@@ -144,15 +191,18 @@ def calibrated(rows: DataFrame, models, name: str = "p_trend") -> DataFrame:  #
     logistic, isotonic = models
     x = VectorAssembler(inputCols=[f"c{i}" for i in range(1, 6)], outputCol="features").transform(calibration_design(rows))
     x = logistic.transform(x).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-    return isotonic.transform(x).withColumnRenamed("prediction", name).drop("c1", "c2", "c3", "c4", "c5")
+    return isotonic.transform(x).withColumnRenamed("prediction", name).drop("c1", "c2", "c3", "c4", "c5", "p")
+
 
+MOST_ECE = 0.03
 
-def trend_gate(rows: DataFrame, p: str, port: str, bins: int = 20, most_ece: float = 0.03) -> DataFrame:
-    """Groups (system, target) whose calibrated trend has ECE below the bound and a better Brier score than the port mean."""
-    b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1))
+
+def trend_gate(rows: DataFrame, p: str, port: str, bins: int = 15, most_ece: float = MOST_ECE) -> DataFrame:
+    """Groups (system, target) whose calibrated trend, on rows that no part of it was fitted on, has an ECE (bins of equal weight) below the bound and a better Brier score than the port mean."""
     by = ["system_id", "target"]
-    cells = rows.groupBy(*by, b.alias("bin")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum(F.col("w") * F.col(p)).alias("wp"), F.sum(F.col("w") * F.pow(F.col(p) - F.col("y"), 2)).alias("e"), F.sum(F.col("w") * F.pow(F.col(port) - F.col("y"), 2)).alias("e0"))
-    out = cells.groupBy(*by).agg((F.sum(F.abs(F.col("wy") - F.col("wp"))) / F.sum("w")).alias("ece"), (F.sum("e") / F.sum("w")).alias("brier"), (F.sum("e0") / F.sum("w")).alias("brier_port"))
+    error = evaluation.ece(evaluation.reliability_quantile(rows.withColumn("p1000", F.rint(F.col(p) * 1000).cast("int")), by, bins), by)
+    score = rows.groupBy(*by).agg(evaluation.brier(F.col(p), F.col("y"), F.col("w")).alias("brier"), evaluation.brier(F.col(port), F.col("y"), F.col("w")).alias("brier_port"))
+    out = error.join(score, by)
     return out.withColumn("passes", (F.col("ece") < most_ece) & (F.col("brier") < F.col("brier_port")))
 
 
@@ -170,29 +220,51 @@ def trend_arrays(rows: DataFrame, p: str) -> DataFrame:
 
 
 def forest_fit(rows: DataFrame, columns: list[str], label: str, weight: str, trees: int = 20, rate: float = 0.15, depth: int = 5, categorical: dict[str, int] | None = None):  # noqa: ANN201
-    """Gradient-boosted trees over numeric columns (null is told apart by an extra flag column)."""
+    """Gradient-boosted trees. Numeric columns (null is told apart by a flag column) and ``categorical`` ones: {column: number of codes}, codes from 0, split by subsets, null a category of its own."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    x = forest_design(rows, columns)
-    names = [n for c in columns for n in (f"_{c}", f"_{c}_missing")]
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), GBTClassifier(labelCol=label, weightCol=weight, maxIter=trees, stepSize=rate, maxDepth=depth, seed=7)]).fit(x.withColumn(label, F.col(label).cast("double")))
+    codes = categorical or {}
+    x = forest_design(rows, columns, codes)
+    stages = [VectorAssembler(inputCols=forest_inputs(columns, codes), outputCol="features"), GBTClassifier(labelCol=label, weightCol=weight, maxIter=trees, stepSize=rate, maxDepth=depth, maxBins=max(32, *[n + 1 for n in codes.values()], 2), seed=7)]
+    return Pipeline(stages=stages).fit(x.withColumn(label, F.col(label).cast("double")))
+
+
+def forest_inputs(columns: list[str], categorical: dict[str, int]) -> list[str]:
+    """Names of the assembled inputs, in order."""
+    return [n for c in columns for n in ([f"_{c}"] if c in categorical else [f"_{c}", f"_{c}_missing"])]
 
 
-def forest_design(rows: DataFrame, columns: list[str]) -> DataFrame:
+def forest_design(rows: DataFrame, columns: list[str], categorical: dict[str, int] | None = None) -> DataFrame:
+    codes = categorical or {}
     for c in columns:
-        rows = rows.withColumn(f"_{c}", F.coalesce(F.col(c).cast("double"), F.lit(-1.0))).withColumn(f"_{c}_missing", F.col(c).isNull().cast("double"))
+        if c in codes:
+            known = F.col(c).between(0, codes[c] - 1)
+            rows = rows.withColumn(f"_{c}", F.when(known, F.col(c)).otherwise(codes[c]).cast("double"))
+            rows = rows.withMetadata(f"_{c}", {"ml_attr": {"type": "nominal", "name": f"_{c}", "vals": [str(i) for i in range(codes[c] + 1)]}})
+        else:
+            rows = rows.withColumn(f"_{c}", F.coalesce(F.col(c).cast("double"), F.lit(-1.0))).withColumn(f"_{c}_missing", F.col(c).isNull().cast("double"))
     return rows
 
 
-def forest_score(rows: DataFrame, model, columns: list[str], name: str = "p_forest") -> DataFrame:  # noqa: ANN001
+def forest_score(rows: DataFrame, model, columns: list[str], name: str = "p_forest", categorical: dict[str, int] | None = None) -> DataFrame:  # noqa: ANN001
     from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(forest_design(rows, columns)).withColumn(name, vector_to_array("probability")[1])
+    out = model.transform(forest_design(rows, columns, categorical)).withColumn(name, vector_to_array("probability")[1])
     return out.select(*rows.columns, name)
 
 
+def forest_candidates(fit: DataFrame, judge: DataFrame, columns: list[str], candidates: list[tuple[int, float]], label: str = "y", weight: str = "w", depth: int = 5, categorical: dict[str, int] | None = None) -> DataFrame:
+    """Forests of several (trees, rate) fitted on one set of rows and scored on another: trees, rate, brier."""
+    out = None
+    for trees, rate in candidates:
+        s = forest_score(judge, forest_fit(fit, columns, label, weight, trees, rate, depth, categorical), columns, "p", categorical)
+        one = s.agg(F.lit(trees).alias("trees"), F.lit(rate).alias("rate"), evaluation.brier(F.col("p"), F.col(label), F.col(weight)).alias("brier"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def gate(rows: DataFrame, least_brier: float = 0.001, least_gain: float = 0.1) -> DataFrame:
     """Routing by (system, target, horizon) and bucket: columns p_b0, p_b3, p_forest, y, w.
 

@@ -24,11 +24,11 @@ def with_weight(df: DataFrame, rate: float) -> DataFrame:
 
 def splitmix_uniform(seed: Column, counter: Column) -> Column:
     """[0, 1) from splitmix64(seed + counter), top 53 bits: for parity with samplers that use this generator (64-bit wrap-around needs numpy)."""
-
+    # Fixed values of the published generator: its increment, shifts and multipliers.
     @F.pandas_udf("double")
     def run(s: pd.Series, c: pd.Series) -> pd.Series:
         with np.errstate(over="ignore"):
-            z = s.to_numpy().astype(np.int64).view(np.uint64) + (c.to_numpy().astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            z = s.to_numpy().astype(np.int64).view(np.uint64) + c.to_numpy().astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
             z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             z = z ^ (z >> np.uint64(31))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,7 +107,7 @@ def eva_10_log_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eva_11_ablation(spark: SparkSession, d: str) -> DataFrame:
-    b = E.bootstrap(E.port_sums(MQ.rows(spark, d), "p1000", "q1000"), 200)
+    b = E.bootstrap(E.port_sums(MQ.rows(spark, d), "p1000", "q1000"))
     return b.select("system_id", F.round("gain", 6).alias("gain"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "reps")
 
 
@@ -115,10 +117,9 @@ def eva_11_port_sums(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eva_11_floor(spark: SparkSession, d: str) -> DataFrame:
-    """The days from which a component helps: gain above 0 and three pairs not worse."""
+    """The days from which a component helps: gain and its interval above 0, and three pairs not worse."""
     x = MQ.rows(spark, d).withColumn("days", F.col("p1000") % 7).withColumn("full", F.when(F.col("days") >= 3, F.col("y") * 400 + F.col("p1000") * 3 / 5).otherwise(F.col("p1000") * 1.0))
-    m = E.ablation_by_days(x, "days", "full", "q1000")
-    return E.choose_floor(m, (F.col("gain") > 0.02) & (F.col("n_not_worse") >= 3))
+    return E.choose_floor(E.ablation_by_days(x, "days", "full", "q1000"), E.helped())
 
 
 def eva_13_tree_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -129,6 +130,13 @@ def eva_13_tree_budget(spark: SparkSession, d: str) -> DataFrame:
     return E.tree_budget(s.select("trees", E.skill(F.col("v"), F.col("r")).alias("improvement"))).select("trees", F.round("reference", 9).alias("reference"))
 
 
+def eva_13_fitted_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The same over candidates that were fitted, on days that none of them saw."""
+    r = MQ.rows(spark, d).where(F.col("day") >= MQ.SPLIT).agg(E.brier(M.persistence(F.col("bikes")), Y(), W()).alias("r"))
+    s = MQ.mod_11_candidates(spark, d).join(F.broadcast(r))
+    return E.tree_budget(s.select("trees", E.skill(F.col("brier"), F.col("r")).alias("improvement"))).select("trees", F.round("reference", 9).alias("reference"))
+
+
 def eva_12_border(spark: SparkSession, d: str) -> DataFrame:
     table = E.border(MQ.table(spark, d)).select("system_id", "h_min", "bucket", "to_forest", "at_border")
     x = MQ.rows(spark, d).join(F.broadcast(table), ["system_id", "h_min", "bucket"])
@@ -149,6 +157,11 @@ def eva_13_top_importance(spark: SparkSession, d: str) -> DataFrame:
     return E.top_share(imp, 20).select(F.round("top_share", 9).alias("top_share"))
 
 
+def eva_13_fitted_importance(spark: SparkSession, d: str) -> DataFrame:
+    """How much of a fitted forest's importance its three most important inputs hold."""
+    return E.top_share(MQ.mod_11_forest(spark, d), 3).select(F.round("top_share", 9).alias("top_share"))
+
+
 def eva_14_arriving(spark: SparkSession, d: str) -> DataFrame:
     """Rows that arrive on a weekday: the kind of the target's day, not of the base's."""
     o = T.obs_long(spark, d).withColumn("h_min", F.explode(F.array(*[F.lit(h) for h in SPARSE.horizons_min])))
@@ -223,6 +236,10 @@ MOVES = f"{T.OBS}, seen AS (SELECT *, bikes - lag(bikes) OVER (PARTITION BY syst
 _BR = "sum(w * pow(p1000 / 1000.0::DOUBLE - y, 2)) / sum(w)"
 _SL = f"count(*) AS n, round({_BR}, 9) AS brier, round(sum(w * y) / sum(w)::DOUBLE, 9) AS positives FROM sl"
 
+_SHARES = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+DRAWN = f"""u AS (SELECT *, (('0x' || substr(md5(system_id || '|' || station_id || '|' || rep::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296 AS v FROM ports, (SELECT unnest(range(1, {E.REPS + 1})) AS rep)),
+drawn AS (SELECT *, CASE {' '.join(f"WHEN v < {x!r}::DOUBLE THEN {k}" for k, x in enumerate(_SHARES))} ELSE 9 END AS k FROM u)"""
+
 ORACLE = {
     "eva_01_scores": f"""WITH {MQ.ROWS} SELECT system_id, h_min, round({_BR}, 9) AS brier, round(-sum(w * (y * ln(least(greatest(p1000 / 1000.0::DOUBLE, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(p1000 / 1000.0::DOUBLE, 1e-15), 1 - 1e-15)))) / sum(w), 6) AS log_loss,
   round(sum(w * y) / sum(w)::DOUBLE, 9) AS positives FROM rows GROUP BY ALL""",
@@ -247,8 +264,14 @@ SELECT 'v1' AS model_version, system_id, target, h_min, bucket, count(*) AS n, r
     "eva_10_log_selection": """SELECT event_id, ts + to_minutes(event_id % 50) AS generated_at FROM events WHERE date_trunc('hour', ts) >= TIMESTAMP '2024-01-09 14:00:00' AND date_trunc('hour', ts) < TIMESTAMP '2024-01-10 15:00:00'
   AND ts + to_minutes(event_id % 50) >= TIMESTAMP '2024-01-09 15:00:00' AND ts + to_minutes(event_id % 50) < TIMESTAMP '2024-01-10 15:00:00'""",
     "eva_11_port_sums": f"WITH {MQ.ROWS} SELECT system_id, station_id, round(sum(w * pow(p1000 / 1000.0::DOUBLE - y, 2)), 6) AS full, round(sum(w * pow(q1000 / 1000.0::DOUBLE - y, 2)), 6) AS ablated FROM rows GROUP BY ALL",
-    "eva_11_floor": f"""WITH {MQ.ROWS}, x AS (SELECT *, p1000 % 7 AS k, CASE WHEN p1000 % 7 >= 3 THEN y * 400 + p1000 * 3 / 5.0::DOUBLE ELSE p1000 END AS f FROM rows),
-p AS (SELECT k, system_id, h_min, sum(w * pow(f / 1000.0::DOUBLE - y, 2)) AS a, sum(w * pow(q1000 / 1000.0::DOUBLE - y, 2)) AS b FROM x GROUP BY ALL), m AS (SELECT k, sum(b) / sum(a) - 1 > 0.02 AND count(*) FILTER (a <= b) >= 3 AS ok FROM p GROUP BY 1)
+    "eva_11_ablation": f"""WITH {MQ.ROWS}, ports AS (SELECT system_id, station_id, sum(w * pow(p1000 / 1000.0::DOUBLE - y, 2)) AS f, sum(w * pow(q1000 / 1000.0::DOUBLE - y, 2)) AS a FROM rows GROUP BY ALL), {DRAWN},
+reps AS (SELECT system_id, rep, sum(k * (a - f)) / sum(k * f) AS g FROM drawn GROUP BY ALL), sp AS (SELECT system_id, quantile_cont(g, 0.025) AS low, quantile_cont(g, 0.975) AS high, count(*) AS reps FROM reps GROUP BY ALL)
+SELECT p.system_id, round(sum(a - f) / sum(f), 6) AS gain, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high, any_value(reps) AS reps FROM ports p JOIN sp USING (system_id) GROUP BY ALL""",
+    "eva_11_floor": f"""WITH {MQ.ROWS}, x AS (SELECT *, p1000 % 7 AS d, CASE WHEN p1000 % 7 >= 3 THEN y * 400 + p1000 * 3 / 5.0::DOUBLE ELSE p1000 END AS f FROM rows),
+prs AS (SELECT d, system_id, h_min, sum(w * pow(f / 1000 - y, 2)) AS f, sum(w * pow(q1000 / 1000.0::DOUBLE - y, 2)) AS a FROM x GROUP BY ALL), cnt AS (SELECT d, count(*) FILTER (f <= a) AS ok FROM prs GROUP BY ALL),
+ports AS (SELECT d, system_id, station_id, sum(w * pow(f / 1000 - y, 2)) AS f, sum(w * pow(q1000 / 1000.0::DOUBLE - y, 2)) AS a FROM x GROUP BY ALL), {DRAWN},
+reps AS (SELECT d, rep, sum(k * (a - f)) / sum(k * f) AS g FROM drawn GROUP BY ALL), sp AS (SELECT d, quantile_cont(g, 0.025) AS low FROM reps GROUP BY ALL), tot AS (SELECT d, sum(a - f) / sum(f) AS gain FROM ports GROUP BY ALL),
+m AS (SELECT d AS k, gain > 0 AND low > 0 AND ok >= 3 AS ok FROM tot JOIN sp USING (d) JOIN cnt USING (d))
 SELECT min(k) FILTER (k > coalesce((SELECT max(k) FROM m WHERE NOT ok), -1)) AS floor FROM m""",
     "eva_13_tree_budget": f"""WITH {MQ.ROWS}, x AS (SELECT *, unnest([20, 70, 150, 300]) AS trees FROM rows), s AS (SELECT trees, 1 - sum(w * pow((y * least(trees, 100) + p1000 * 0.3::DOUBLE) / 400 - y, 2)) / sum(w * pow((bikes >= 1)::INT - y, 2)) AS i FROM x GROUP BY 1), t AS (SELECT arg_max(i, trees) AS r FROM s)
 SELECT min(trees) AS trees, round(max(r), 9) AS reference FROM s, t WHERE i >= r - 0.01""",

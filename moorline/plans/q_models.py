@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from moorline.operators import models as M
 from moorline.operators import timegrid
 from moorline.plans import q_features as Q
-from moorline.plans.q_ingest import scratch
+from moorline.plans.scratch import written
 from moorline.sources import tables as T
 
 KEYS = M.KEYS
@@ -77,8 +77,8 @@ def mod_06_blend(spark: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("system_id", "h_min").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("w") * F.pow(F.col("p_b3") - F.col("y"), 2)) / F.sum("w"), 6).alias("brier_b3"))
 
 
-def trend(spark: SparkSession, d: str) -> DataFrame:
-    return M.hourly_trend(Q.profile(spark, d), 2, {"weekday": 3, "sat": 2, "sun_holiday": 2})
+def trend(spark: SparkSession, d: str, last: str = "2024-01-20") -> DataFrame:
+    return M.hourly_trend(Q.profile(spark, d, last), 2, {"weekday": 3, "sat": 2, "sun_holiday": 2})
 
 
 def mod_07_trend(spark: SparkSession, d: str) -> DataFrame:
@@ -91,52 +91,142 @@ def mod_08_lagged_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.join(days.select(F.col("day").alias("edition")), "edition", "left_semi")
 
 
-def calibrated_trend(spark: SparkSession, d: str) -> DataFrame:
-    t = trend(spark, d).where("rate is not null").withColumn("target", F.lit("bike"))
-    yes = t.withColumn("y", F.lit(1)).withColumn("w", F.col("n_ok").cast("double"))
-    both = yes.unionByName(t.withColumn("y", F.lit(0)).withColumn("w", (F.col("n") - F.col("n_ok")).cast("double"))).where("w > 0")
-    path = scratch(spark, "trend")  # the fits pass over these rows many times
-    both.write.parquet(path)
-    both = spark.read.schema(both.schema).parquet(path)
-    return M.calibrated(both, M.calibrate(both, "y", "w"))
+PUBLISHED = "2024-01-29"
+TREND_FLOORS = {"weekday": 3, "sat": 2, "sun_holiday": 2}
+
+
+def window_pairs(spark: SparkSession, first: int, last: int, lag: int) -> DataFrame:
+    """(day, edition) of the arrival days from ``first`` to ``last`` days before the published one, with the edition ``lag`` days before each."""
+    published = spark.sql(f"SELECT DATE '{PUBLISHED}' AS day")
+    return M.lagged_pairs(published, first, last, lag).select("day", "edition")
+
+
+def trend_windows(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Rows that the served calibration is fitted on, those that the gate's is fitted on (7 days before), and those it is judged on (the newest days, by the edition of 7 days before). Written: the fits pass over them many times."""
+    daily = written(Q.dailies(spark, d), "dailies")
+    gate_test = spark.sql(f"SELECT explode(sequence(DATE '{PUBLISHED}' - 6, DATE '{PUBLISHED}')) AS day, DATE '{PUBLISHED}' - 7 AS edition")
+    pairs = {"serve": window_pairs(spark, 6, 0, 2), "gate_fit": window_pairs(spark, 13, 7, 2), "gate_test": gate_test}
+    return {n: written(M.trend_rows(daily, p, 28, 2, TREND_FLOORS), n) for n, p in pairs.items()}
+
+
+def each_group(fit: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with p_trend, calibrated for each system and target on ``fit``."""
+    out = None
+    for system in ("a", "b"):
+        for target in ("bike", "dock"):
+            own = (F.col("system_id") == system) & (F.col("target") == target)
+            one = M.calibrated(rows.where(own), M.calibrate(M.binomial(fit.where(own)), "y", "w"))
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 def mod_09_calibration(spark: SparkSession, d: str) -> DataFrame:
-    x = calibrated_trend(spark, d)
-    return x.groupBy("system_id").agg(F.round(F.sum(F.col("w") * F.col("p_trend")) / F.sum("w"), 6).alias("mean_p"), F.round(F.sum(F.col("w") * F.col("y")) / F.sum("w"), 6).alias("observed"))
+    """Calibrated trends of the served window against what came."""
+    x = trend_windows(spark, d)["serve"]
+    x = each_group(x, x)
+    return x.groupBy("system_id", "target").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("w") * F.col("p_trend")) / F.sum("w"), 6).alias("mean_p"), F.round(F.sum(F.col("w") * F.col("y")) / F.sum("w"), 6).alias("observed"))
+
+
+def judged_trend(windows: dict[str, DataFrame]) -> DataFrame:
+    return M.trend_gate(M.binomial(each_group(windows["gate_fit"], windows["gate_test"])), "p_trend", "port_rate")
+
+
+def mod_10_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The gate of each system and target: a calibration fitted a week before, judged on days it has not seen."""
+    g = judged_trend(trend_windows(spark, d))
+    return g.select("system_id", "target", F.round("ece", 6).alias("ece"), F.round("brier", 6).alias("brier"), F.round("brier_port", 6).alias("brier_port"), "passes")
 
 
 def mod_10_trend_publish(spark: SparkSession, d: str) -> DataFrame:
-    x = calibrated_trend(spark, d)
-    ok = M.trend_gate(x, "p_trend", "port_rate", most_ece=0.2).select("system_id", "target", "passes")
-    x = x.join(F.broadcast(ok), ["system_id", "target"]).withColumn("p", F.when(F.col("passes"), F.col("p_trend")))
-    return M.trend_arrays(x, "p")
+    """72 values for each entity and target from the newest edition; null where the group fails its gate."""
+    windows = trend_windows(spark, d)
+    newest = trend(spark, d, PUBLISHED).where("rate is not null")
+    rows = newest.select(*KEYS, "dow_type", "hour", F.explode(F.array(F.struct(F.lit("bike").alias("target"), "rate", "port_rate"), F.struct(F.lit("dock").alias("target"), F.col("rate_dock").alias("rate"), F.col("port_rate_dock").alias("port_rate")))).alias("z")).select(*KEYS, "dow_type", "hour", "z.*")
+    x = each_group(windows["serve"], rows)
+    x = x.join(F.broadcast(judged_trend(windows).select("system_id", "target", "passes")), ["system_id", "target"]).withColumn("p", F.when(F.col("passes"), F.col("p_trend")))
+    return M.trend_arrays(x.where("target = 'bike'"), "p").withColumn("target", F.lit("bike")).unionByName(M.trend_arrays(x.where("target = 'dock'"), "p").withColumn("target", F.lit("dock")))
 
 
 def forest_rows(spark: SparkSession, d: str) -> DataFrame:
-    return rows(spark, d).select("system_id", "h_min", "bucket", "bikes", "minute", "p1000", "y", "w", "day")
+    kind = F.when(F.col("dow_type") == "sat", 0).when(F.col("dow_type") == "sun_holiday", 1).otherwise(2)
+    return rows(spark, d).select("system_id", "h_min", "bucket", "bikes", "minute", "p1000", kind.alias("kind"), "y", "w", "day")
+
 
+COLUMNS = ["bikes", "minute", "h_min", "p1000", "kind", "bucket"]
+CODES = {"kind": 3, "bucket": 6}
 
-COLUMNS = ["bikes", "minute", "h_min", "p1000"]
+
+def fitted_forest(spark: SparkSession, d: str):  # noqa: ANN201
+    """The forest of the fit days with the operator's own trees, rate and depth. Its rows are written once: boosting passes over them for every tree."""
+    x = written(forest_rows(spark, d), "forest")
+    return x, M.forest_fit(x.where(F.col("day") < SPLIT), COLUMNS, "y", "w", categorical=CODES)
 
 
 def mod_11_forest(spark: SparkSession, d: str) -> DataFrame:
     """Feature importances of a forest fitted on the fit days."""
-    x = forest_rows(spark, d)
-    model = M.forest_fit(x.where(F.col("day") < SPLIT), COLUMNS, "y", "w", trees=3, depth=3)
-    names = [n for c in COLUMNS for n in (c, f"{c}_missing")]
+    x, model = fitted_forest(spark, d)
+    names = [n[1:] for n in M.forest_inputs(COLUMNS, CODES)]
     v = [float(i) for i in model.stages[-1].featureImportances.toArray()]
     total = x.agg(F.count(F.lit(1)).alias("n_rows"))
     return total.select("n_rows", F.explode(F.arrays_zip(F.lit(names).alias("feature"), F.lit(v).alias("importance"))).alias("z")).select("n_rows", "z.*")
 
 
+def mod_11_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Brier scores of several (trees, rate) on days that none of them was fitted on."""
+    x = written(forest_rows(spark, d), "forest")
+    c = M.forest_candidates(x.where(F.col("day") < SPLIT), x.where(F.col("day") >= SPLIT), COLUMNS, [(5, 0.15), (10, 0.15), (20, 0.15)], categorical=CODES)
+    return c.withColumn("brier", F.round("brier", 6))
+
+
 def mod_12_forest_score(spark: SparkSession, d: str) -> DataFrame:
-    x = forest_rows(spark, d)
-    model = M.forest_fit(x.where(F.col("day") < SPLIT), COLUMNS, "y", "w", trees=3, depth=3)
-    s = M.forest_score(x.where(F.col("day") >= SPLIT), model, COLUMNS)
+    x, model = fitted_forest(spark, d)
+    s = M.forest_score(x.where(F.col("day") >= SPLIT), model, COLUMNS, categorical=CODES)
     return s.groupBy("system_id", "h_min").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_forest"), 6).alias("mean_p"))
 
 
+SAMPLE_COLUMNS = ["bikes", "docks", "capacity", "h_min", "minute_of_day", "lag_360", "delta_1440", "roll_mean", "rentals", "returns", "bikes_yesterday", "y_yesterday", "nb_bikes", "nb_empty", "precip_target", "temp_c", "prof_p", "prof_n_days", "kind"]
+
+
+def routed(spark: SparkSession, d: str) -> DataFrame:
+    """Samples from observations to the routed probability, for both targets: p_b0 to p_b3, p_forest and p.
+
+    Days up to 20 January fit the baselines, the blend (on left-out baselines) and the forest;
+    the next are purged; 22 to 24 January choose the gate; later days are scored.
+    """
+    samples = written(Q.fea_16_samples(spark, d).withColumn("day", timegrid.local_date(F.col("t"), 9)), "samples")
+    kind = F.when(F.col("target_dow_type") == "sat", 0).when(F.col("target_dow_type") == "sun_holiday", 1).otherwise(2)
+    parts = []
+    for target, count in (("bike", "bikes"), ("dock", "docks")):
+        x = samples.select("*", F.lit(target).alias("target"), F.col(f"y_{target}").alias("y"), F.col("weight").alias("w"), M.bucket(F.col(count)).alias("bucket"), F.col("target_dow_type").alias("_dow"), kind.alias("kind"), F.col(f"prof_p_{target}").alias("prof_p"), F.col(f"y_{target}_yesterday").alias("y_yesterday"))
+        x = x.drop("dow_type").withColumnRenamed("_dow", "dow_type")
+        fit, later = x.where("day <= '2024-01-20'"), x.where("day >= '2024-01-22'")
+        left_out = M.climatology_leave_day_out(M.conditional_leave_one_out(fit, "p_b1"), CLIMATE, 4, TREND_FLOORS, "p_b1", "p_b2")
+        blend = M.blend_fit(left_out)
+        forest = M.forest_fit(fit, SAMPLE_COLUMNS, "y", "w", categorical={"kind": 3})
+        z = M.conditional_predict(later, M.conditional_fit(fit))
+        z = M.climatology_predict(z, M.climatology_fit(fit, CLIMATE, 4, TREND_FLOORS), CLIMATE, "p_b1")
+        z = M.forest_score(M.blend_predict(z, blend), forest, SAMPLE_COLUMNS, categorical={"kind": 3}).withColumn("p_b0", M.persistence(F.col(count)))
+        parts.append(z.select(*KEYS, "t", "h_min", "day", "target", "bucket", "y", "w", "informed", "staleness_s", "p_b0", "p_b1", "p_b2", "p_b3", "p_forest"))
+    x = written(parts[0].unionByName(parts[1]), "scored")
+    g = M.gate(x.where("day <= '2024-01-24'"))
+    h = g.groupBy("system_id", "target", "h_min").agg(F.max(F.col("reason") == "routed").alias("routed"))
+    return M.composite(x.where("day > '2024-01-24'"), M.gate_table(h, g))
+
+
+def mod_19_routed_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """From observations to the routed forecast: how each model of the chain scores on the days that chose nothing."""
+    x = routed(spark, d)
+    score = lambda c: F.round(F.sum(F.col("w") * F.pow(F.col(c) - F.col("y"), 2)) / F.sum("w"), 6).alias(c.replace("p_", "brier_") if c != "p" else "brier_routed")
+    return x.groupBy("system_id", "target", "h_min").agg(F.count(F.lit(1)).alias("n"), *[score(c) for c in ("p_b0", "p_b1", "p_b2", "p_b3", "p_forest", "p")])
+
+
+def mod_19_assembled(spark: SparkSession, d: str) -> DataFrame:
+    """The routed forecast's arrays of each entity and time."""
+    x = routed(spark, d).withColumn("station_id", F.concat_ws("@", "station_id", F.date_format("t", "yyyy-MM-dd HH:mm")))
+    both = x.groupBy(*KEYS, "h_min").agg(F.max(F.when(F.col("target") == "bike", F.col("p"))).alias("p_bike"), F.max(F.when(F.col("target") == "dock", F.col("p"))).alias("p_dock"), F.bool_and("informed").alias("informed"))
+    return M.assemble(both, F.lit(False))
+
+
 def gates(spark: SparkSession, d: str) -> DataFrame:
     return M.gate(gate_rows(spark, d))
 
@@ -167,10 +257,10 @@ def mod_16_assembly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mod_17_drop_cells(spark: SparkSession, d: str) -> DataFrame:
-    x = rows(spark, d).withColumn("target", F.lit("bike")).where(F.col("day").between("1998-01-01", "1998-01-20"))
+    x = rows(spark, d).withColumn("target", F.lit("bike"))
     m = x.groupBy("system_id", "target", "h_min", "bucket", F.col("day").alias("metric_date"), F.when(F.col("minute") % 2 == 0, "composite").otherwise("b3").alias("model_version")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("p1000") / 1000 - F.col("y"), 2)).alias("brier"))
     carried = x.where("bucket = 0 and h_min = 5").select("system_id", "target", "h_min", "bucket").distinct()
-    return M.drop_cells(m, F.to_date(F.lit("1998-01-02")), carried, 14)
+    return M.drop_cells(m, F.to_date(F.lit("1998-01-02")), carried)
 
 
 def mod_18_thickness(spark: SparkSession, d: str) -> DataFrame:
@@ -214,8 +304,8 @@ SELECT * FROM p WHERE edition IN (SELECT day FROM d)""",
     "mod_15_composite": f"WITH {GATE} SELECT g.system_id, g.h_min, count(*) AS n, round(avg(CASE WHEN to_forest THEN p_forest ELSE p_b3 END), 9) AS mean_p FROM g0 g LEFT JOIN tab t ON t.system_id = g.system_id AND t.h_min = g.h_min AND t.bucket = g.bucket GROUP BY ALL",
     "mod_16_assembly": f"""WITH {ROWS}, a AS (SELECT system_id, station_id, h_min, round_even(sum(p1000) / count(*)::DOUBLE / 1000 * 1000, 0)::INT AS b, round_even(sum(q1000) / count(*)::DOUBLE / 1000 * 1000, 0)::INT AS d, count(*) > 140 AS inf FROM rows GROUP BY ALL)
 SELECT system_id, station_id, list(h_min ORDER BY h_min) AS horizons_min, list(b ORDER BY h_min) AS p_bike_x1000, list(d ORDER BY h_min) AS p_dock_x1000, CASE WHEN any_value(station_id)::BIGINT % 10 = 0 THEN 1 WHEN count(*) FILTER (inf) * 2 > count(*) THEN 3 ELSE 2 END AS confidence FROM a GROUP BY ALL""",
-    "mod_17_drop_cells": f"""WITH {ROWS}, x AS (SELECT * FROM rows WHERE day BETWEEN DATE '1998-01-01' AND DATE '1998-01-20'), m AS (SELECT system_id, h_min, bucket, day, minute % 2 = 0 AS comp, count(*) AS n, avg(pow(p1000 / 1000.0::DOUBLE - y, 2)) AS b FROM x GROUP BY ALL),
-w AS (SELECT system_id, h_min, bucket FROM m WHERE day - DATE '1998-01-02' BETWEEN 1 AND 14 GROUP BY ALL HAVING sum(CASE WHEN comp THEN n * b END) / sum(CASE WHEN comp THEN n END) > sum(CASE WHEN NOT comp THEN n * b END) / sum(CASE WHEN NOT comp THEN n END))
+    "mod_17_drop_cells": f"""WITH {ROWS}, x AS (SELECT * FROM rows), m AS (SELECT system_id, h_min, bucket, day, minute % 2 = 0 AS comp, count(*) AS n, avg(pow(p1000 / 1000.0::DOUBLE - y, 2)) AS b FROM x GROUP BY ALL),
+w AS (SELECT system_id, h_min, bucket FROM m WHERE day - DATE '1998-01-02' BETWEEN 1 AND 7 GROUP BY ALL HAVING sum(CASE WHEN comp THEN n * b END) / sum(CASE WHEN comp THEN n END) > sum(CASE WHEN NOT comp THEN n * b END) / sum(CASE WHEN NOT comp THEN n END))
 SELECT system_id, 'bike' AS target, h_min, bucket FROM w UNION SELECT DISTINCT system_id, 'bike', h_min, bucket FROM x WHERE bucket = 0 AND h_min = 5""",
     "mod_18_thickness": f"WITH {ROWS}, {CELLS} SELECT dow_type, max(n_days) AS max_days, count(*) FILTER (usable) AS n_usable, count(*) AS n_cells FROM cells GROUP BY ALL",
 }

@@ -113,14 +113,163 @@ def test_split_and_window(spark):
 def test_splitmix_matches_integers(spark):
     def mix(seed, n):
         m = (1 << 64) - 1
-        z = (seed + (n + 1) * 0x9E3779B97F4A7C15) & m
+        z = (seed + n + 0x9E3779B97F4A7C15) & m
         z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & m
         z = ((z ^ z >> 27) * 0x94D049BB133111EB) & m
         return ((z ^ z >> 31) >> 11) / (1 << 53)
 
     df = spark.createDataFrame([(s, c) for s in (0, 5, -3) for c in (0, 1, 99)], "s long, c long")
-    for r in df.withColumn("u", sampling.splitmix_uniform(F.col("s"), F.col("c"))).collect():
-        assert r.u == mix(r.s & ((1 << 64) - 1), r.c)
+    got = {(r.s, r.c): r.u for r in df.withColumn("u", sampling.splitmix_uniform(F.col("s"), F.col("c"))).collect()}
+    assert all(u == mix(s & ((1 << 64) - 1), c) for (s, c), u in got.items())
+    # the first number of the published generator from state 0 is 0xE220A8397B1DCDAF; only seed + counter matters
+    assert got[0, 0] == (0xE220A8397B1DCDAF >> 11) / (1 << 53)
+    assert sampling_of(spark, 4, 1) == sampling_of(spark, 5, 0) == got[5, 0]
+
+
+def sampling_of(spark, seed, counter):
+    return spark.sql(f"SELECT {seed}L AS s, {counter}L AS c").select(sampling.splitmix_uniform(F.col("s"), F.col("c"))).first()[0]
+
+
+def _pools(points):
+    """Weighted pool-adjacent-violators, in plain Python: [(x, y, w)] in order of x to fitted values."""
+    blocks = []
+    for _, y, w in points:
+        blocks.append([y, w, 1])
+        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+            y2, w2, n2 = blocks.pop()
+            y1, w1, n1 = blocks.pop()
+            blocks.append([(y1 * w1 + y2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
+    return [y for y, _, n in blocks for _ in range(n)]
+
+
+def test_calibration_equals_brute_force(spark):
+    """Logistic output, bins of equal weight, pooling and linear interpolation against plain loops."""
+    import bisect
+    import random
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rng = random.Random(8)
+    data = []
+    for _ in range(4000):
+        rate, port = rng.uniform(0.02, 0.98), rng.uniform(0.1, 0.9)
+        kind = rng.choice(["sat", "weekday", "sun_holiday"])
+        data.append((rate, port, kind, int(rng.random() < 0.7 * rate + 0.1), float(rng.randrange(1, 9))))
+    df = spark.createDataFrame(data, "rate double, port_rate double, dow_type string, y int, w double")
+    logistic, isotonic = models.calibrate(df, "y", "w")
+    got = models.calibrated(df, (logistic, isotonic)).select("rate", "p_trend").collect()
+    x = VectorAssembler(inputCols=[f"c{i}" for i in range(1, 6)], outputCol="features").transform(models.calibration_design(df))
+    raw = [(r.p, float(r.y), r.w) for r in logistic.transform(x).select(vector_to_array("probability")[1].alias("p"), "y", "w").collect()]
+    values = {}
+    for p, y, w in raw:
+        v = values.setdefault(round(p * (1 << 20)), [0.0, 0.0, 0.0])
+        v[0], v[1], v[2] = v[0] + w, v[1] + w * p, v[2] + w * y
+    total, before, bins = sum(v[0] for v in values.values()), 0.0, {}
+    for k in sorted(values):
+        b = bins.setdefault(min(int(before * 1000 / total), 999), [0.0, 0.0, 0.0])
+        for i in range(3):
+            b[i] += values[k][i]
+        before += values[k][0]
+    points = [(b[1] / b[0], b[2] / b[0], b[0]) for _, b in sorted(bins.items())]
+    assert len(points) > 900
+    fitted, xs = _pools(points), [p[0] for p in points]
+
+    def at(p):
+        i = bisect.bisect_left(xs, p)
+        if i == 0 or i == len(xs):
+            return fitted[min(i, len(xs) - 1)]
+        return fitted[i - 1] + (fitted[i] - fitted[i - 1]) * (p - xs[i - 1]) / (xs[i] - xs[i - 1])
+
+    want = sorted((rate, at(p)) for (rate, *_), (p, _, _) in zip(data, raw, strict=True))
+    assert all(math.isclose(a.p_trend, b, abs_tol=1e-6) for a, (_, b) in zip(sorted(got, key=lambda r: r.rate), want, strict=True))
+
+
+def test_gate_lets_groups_fail(spark):
+    """A calibrated group passes; one that is off by more than the bound, and one no better than its port mean, fail."""
+    rows = []
+    for target, shift, port in (("good", 0.0, 0.5), ("off", 0.1, 0.5), ("idle", 0.0, None)):
+        for k in range(1, 10):
+            p = k / 10
+            for y, w in ((1, p), (0, 1 - p)):
+                rows.append(("s", target, min(1.0, p + shift), p if port is None else port, y, w * 100))
+    df = spark.createDataFrame(rows, "system_id string, target string, p double, port double, y int, w double")
+    got = {r.target: r for r in models.trend_gate(df, "p", "port").collect()}
+    assert {t: r.passes for t, r in got.items()} == {"good": True, "off": False, "idle": False}
+    assert got["off"].ece > models.MOST_ECE and got["idle"].ece < models.MOST_ECE
+
+
+def test_trend_rows_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    start, cols = dt.date(2024, 1, 1), ["n", "n_bike_ok", "n_dock_ok"]
+    daily = []
+    for d in range(40):
+        kind = ("sat", "sun_holiday", "weekday", "weekday", "weekday", "weekday", "weekday")[d % 7]
+        for st in "xy":
+            for slot in range(4):
+                if rng.random() < 0.8:
+                    n = rng.randrange(2, 6)
+                    daily.append(("s", st, start + dt.timedelta(d), kind, slot, n, rng.randrange(n + 1), rng.randrange(n + 1)))
+    df = spark.createDataFrame(daily, "system_id string, station_id string, day date, dow_type string, slot15 int, n long, n_bike_ok long, n_dock_ok long")
+    pairs = [(start + dt.timedelta(d), start + dt.timedelta(d - lag)) for d, lag in ((35, 2), (36, 2), (37, 7))]
+    floors = {"weekday": 3, "sat": 2, "sun_holiday": 2}
+    got = {(r.station_id, r.target, r.day, r.hour): (r.rate, r.port_rate, r.y, r.w) for r in models.trend_rows(df, spark.createDataFrame(pairs, "day date, edition date"), 14, 2, floors).collect()}
+    want = {}
+    for day, edition in pairs:
+        inside = [x for x in daily if 0 <= (edition - x[2]).days < 14]
+        for st in "xy":
+            for hour in (0, 1):
+                came = [x for x in daily if x[1] == st and x[2] == day and x[4] // 2 == hour]
+                if not came:
+                    continue
+                own = [x for x in inside if x[1] == st and x[3] == came[0][3] and x[4] // 2 == hour]
+                slots = {x[4]: sum(y[4] == x[4] for y in own) for x in own}
+                if not slots or min(slots.values()) < floors[came[0][3]]:
+                    continue
+                port = [x for x in inside if x[1] == st]
+                for target, c in (("bike", 6), ("dock", 7)):
+                    rate = lambda rows: sum(x[c] for x in rows) / sum(x[5] for x in rows)  # noqa: B023, E731
+                    want[st, target, day, hour] = (rate(own), rate(port), rate(came), float(sum(x[5] for x in came)))
+    assert want and set(got) == set(want)
+    assert all(math.isclose(a, b) for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+def test_forest_splits_codes_by_subsets(spark):
+    """Codes 0 and 3 against 1, 2 and null: one split of a tree of depth 1 tells them apart only where they are categories."""
+    rows = [(c, int(c in (0, 3)), 1.0) for c in (0, 1, 2, 3, None) for _ in range(40)]
+    df = spark.createDataFrame(rows, "c int, y int, w double")
+    fit = lambda codes: {r.c: r.p for r in models.forest_score(df, models.forest_fit(df, ["c"], "y", "w", trees=1, depth=1, categorical=codes), ["c"], "p", codes).collect()}
+    by_code, by_number = fit({"c": 4}), fit(None)
+    assert min(by_code[0], by_code[3]) > 0.8 and max(by_code[1], by_code[2], by_code[None]) < 0.2
+    assert max(by_number[1], by_number[2]) > 0.2
+
+
+def test_ablation_interval_from_plain_draws(spark):
+    """The bootstrap against a plain loop over repetitions with the same md5 draws, and a floor that the interval decides."""
+    import hashlib
+
+    ports = [("s", str(i), 1.0 + i % 3, 1.1 + (i * 7 % 5) / 10) for i in range(30)]
+    got = evaluation.bootstrap(spark.createDataFrame(ports, "system_id string, station_id string, full double, ablated double"), 200).first()
+    draws = []
+    for rep in range(1, 201):
+        up = down = 0.0
+        for s, st, full, ablated in ports:
+            u = (int(hashlib.md5(f"{s}|{st}|{rep}".encode()).hexdigest()[:8], 16) + 0.5) / (1 << 32)
+            k, c = 0, math.exp(-1)
+            while u >= c and k < 9:
+                k += 1
+                c += math.exp(-1) / math.factorial(k)
+            up, down = up + k * (ablated - full), down + k * full
+        draws.append(up / down)
+    draws.sort()
+    at = lambda q: draws[int(q * 199)] + (q * 199 - int(q * 199)) * (draws[int(q * 199) + 1] - draws[int(q * 199)])
+    assert math.isclose(got.gain, sum(p[3] - p[2] for p in ports) / sum(p[2] for p in ports))
+    assert math.isclose(got.low, at(0.025)) and math.isclose(got.high, at(0.975)) and got.low < got.gain < got.high
+    m = spark.createDataFrame([(2, 0.5, 0.1, 4), (3, 0.5, -0.1, 4), (4, 0.5, 0.1, 4), (5, 0.5, 0.1, 3)], "k int, gain double, low double, n_not_worse int")
+    assert evaluation.choose_floor(m, evaluation.helped()).first().floor == 4
+    assert evaluation.choose_floor(m.where("k < 4"), evaluation.helped()).first().floor is None
 
 
 def test_bad_feeds_are_quarantined(spark):
