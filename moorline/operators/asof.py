@@ -43,6 +43,23 @@ def with_truth(rows: DataFrame, obs: DataFrame, payload: list[str], out: str = "
     return seen.unionByName(ask).withColumn(out, F.max("_seen").over(running)).where("_point = 1").select("_row.*", out)
 
 
+def base_observation(obs: DataFrame, step_min: int, start: str, end: str, key: str = "system_id") -> DataFrame:
+    """(key, t, base_observed_at) for each grid time from start to end: the newest observation that had arrived by t.
+
+    Arrivals fold to the grid time from which they count, so the running maximum sees one row
+    for each key and grid time, not the observations.
+    """
+    us = F.unix_micros(F.col("fetched_at").cast("timestamp"))
+    step, first = step_min * 60_000_000, F.unix_micros(F.lit(start).cast("timestamp_ntz").cast("timestamp"))
+    slot = F.greatest(F.ceil((us - first) / step), F.lit(0)).cast("long").alias("_slot")
+    newest = obs.groupBy(key, slot).agg(F.max("observed_at").alias("_o"))
+    last = F.floor((F.unix_micros(F.lit(end).cast("timestamp_ntz").cast("timestamp")) - first) / step).cast("long")
+    grid = obs.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_slot"))
+    running = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    out = grid.join(newest, [key, "_slot"], "left").withColumn("base_observed_at", F.max("_o").over(running))
+    return out.select(key, F.timestamp_micros(first + F.col("_slot") * step).cast("timestamp_ntz").alias("t"), "base_observed_at")
+
+
 def gather(df: DataFrame, struct: str, field: str, missing: int = -1):  # noqa: ANN201
     """A field of an as-of result, or the sentinel where nothing was found."""
     return F.coalesce(F.col(f"{struct}.{field}"), F.lit(missing))

@@ -131,8 +131,45 @@ def scd2_merge(current: DataFrame, incoming: DataFrame, key: list[str], at: str,
 
 
 def at_time(points: DataFrame, history: DataFrame, key: list[str], t: str) -> DataFrame:
-    """Attributes valid at each point: valid_from <= t < valid_to."""
-    return points.join(history, key).where((F.col(t) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(t) < F.col("valid_to"))))
+    """Attributes valid at each point: valid_from <= t < valid_to. Versions of a key do not overlap, so the last one opened by t is the only candidate: one running window over versions and points, never versions times points. Points without a valid version have no row."""
+    values = [c for c in history.columns if c not in key]
+    history = history.where(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
+    seen = history.select(*key, F.col("valid_from").alias("_time"), F.lit(0).alias("_point"), F.struct(*values).alias("_v")).withColumn("_row", F.lit(None).cast(points.schema))
+    ask = points.select(*key, F.col(t).alias("_time"), F.lit(1).alias("_point"), F.lit(None).cast(seen.schema["_v"].dataType).alias("_v"), F.struct(*points.columns).alias("_row"))
+    running = Window.partitionBy(*key).orderBy("_time", "_point").rowsBetween(Window.unboundedPreceding, 0)
+    rows = seen.unionByName(ask).withColumn("_last", F.last("_v", ignorenulls=True).over(running)).where("_point = 1 and _last is not null")
+    return rows.select("_row.*", "_last.*").where(F.col("valid_to").isNull() | (F.col(t) < F.col("valid_to")))
+
+
+def fold_snapshots(state: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``latest_state`` over many whole snapshots at once, oldest first: one plan, however many there are.
+
+    Each entity meets the snapshots of its system that are newer than its state, from its
+    first appearance on; what it lacks is carried over, and the last place where something
+    differs from the place before is its state.
+    """
+    heads = snapshots.groupBy("system_id", "observed_at").agg(F.max("is_anomalous").alias("_anomalous"))
+    times = heads.groupBy("system_id").agg(F.array_sort(F.collect_list(F.struct(F.col("observed_at").alias("at"), F.col("_anomalous").alias("anomalous")))).alias("_heads"))  # bounded by the batch's snapshots
+    first = snapshots.groupBy(*KEYS).agg(F.min("observed_at").alias("_first"))
+    old = state.select(*KEYS, F.struct(*[c for c in state.columns if c not in KEYS]).alias("_old"))
+    grid = old.join(first, KEYS, "full_outer").join(times, "system_id", "left")
+    none = F.array().cast(times.schema["_heads"].dataType)
+    from_ = F.when(F.col("_old").isNull(), F.col("_first"))
+    grid = grid.withColumn("_h", F.explode_outer(F.filter(F.coalesce("_heads", none), lambda h: F.when(from_.isNotNull(), h["at"] >= from_).otherwise(h["at"] > F.col("_old.observed_at")))))
+    new = snapshots.select(*KEYS, F.col("observed_at").alias("_at"), F.struct("bikes", "docks", "flags").alias("_v"))
+    grid = grid.withColumn("_at", F.col("_h.at")).join(new, [*KEYS, "_at"], "left")
+    here = F.col("_v").isNotNull()
+    order = Window.partitionBy(*KEYS).orderBy("_at")
+    carried = F.struct("_old.bikes", "_old.docks", "_old.flags")
+    value = F.coalesce(F.last("_v", ignorenulls=True).over(order), F.when(F.col("_old").isNotNull(), carried))
+    present = F.coalesce(F.last(F.when(~(F.coalesce("_h.anomalous", F.lit(False)) & ~here), here), ignorenulls=True).over(order), F.col("_old.is_present"))
+    rows = grid.withColumn("_value", F.when(F.col("_at").isNotNull(), value).otherwise(carried)).withColumn("_present", F.when(F.col("_at").isNotNull(), present).otherwise(F.col("_old.is_present")))
+    now = F.struct("_value", "_present")
+    before = F.coalesce(F.lag(now).over(order), F.when(F.col("_old").isNotNull(), F.struct(carried.alias("_value"), F.col("_old.is_present").alias("_present"))))
+    rows = rows.withColumn("_changed", F.col("_at").isNotNull() & ~now.eqNullSafe(before))
+    last = rows.groupBy(*KEYS).agg(F.max_by(F.struct("_at", "_value", "_present"), F.when(F.col("_changed"), F.col("_at"))).alias("_l"), F.any_value("_old").alias("_old"))
+    pick = lambda new, old: F.when(F.col("_l._at").isNotNull(), new).otherwise(F.col(f"_old.{old}")).alias(old)
+    return last.select(*KEYS, pick(F.col("_l._at"), "observed_at"), *[pick(F.col(f"_l._value.{c}"), c) for c in ("bikes", "docks", "flags")], pick(F.col("_l._present"), "is_present"), pick(F.col("_l._at"), "last_changed_at"))
 
 
 def upsert(base: DataFrame, updates: DataFrame, keys: list[str], version: str, guard: Column | None = None) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,10 +103,30 @@ def job_sets(registered: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def suppress(events: DataFrame, key: str, at: str, interval_s: int) -> DataFrame:
-    """Which alerts are sent: one for each key and interval since the last *sent*, by a fold over the key's times."""
+    """Which alerts are sent: one for each key and interval since the last *sent*.
+
+    Rows stream through their task in order of key and time; only the last sent time is
+    held, and from a sent alert the next one is found by binary search.
+    """
     us = interval_s * 1_000_000
-    times = events.groupBy(key).agg(F.array_sort(F.collect_list(micros(F.col(at)))).alias("_t"))
-    empty = F.array().cast("array<bigint>")
-    fold = F.aggregate("_t", empty, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= us), F.array_append(acc, t)).otherwise(acc))
-    fold = F.when(F.size("_t") > 0, fold)
-    return times.select(key, F.explode(fold).alias("_s")).select(key, F.timestamp_micros("_s").cast("timestamp_ntz").alias("sent_at"))
+    rows = events.select(F.col(key).alias("key"), micros(F.col(at)).alias("us")).where("us is not null").repartition("key").sortWithinPartitions("key", "us")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, sent = None, None
+        for part in parts:
+            keys, out = part["key"].fillna("\0").to_numpy(), []
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
+            times = part["us"].to_numpy()
+            for i, start in enumerate(starts):
+                stop = starts[i + 1] if i + 1 < len(starts) else len(keys)
+                if keys[start] != held:
+                    held, sent = keys[start], None
+                j = start if sent is None else start + int(np.searchsorted(times[start:stop], sent + us))
+                while j < stop:
+                    sent = int(times[j])
+                    out.append(j)
+                    j = start + int(np.searchsorted(times[start:stop], sent + us))
+            yield part.iloc[out]
+
+    sent = rows.mapInPandas(run, f"key {events.schema[key].dataType.simpleString()}, us long")
+    return sent.select(F.col("key").alias(key), F.timestamp_micros("us").cast("timestamp_ntz").alias("sent_at"))

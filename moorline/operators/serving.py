@@ -17,21 +17,32 @@ def known(c: Column) -> Column:
     return F.when(c != -1, c)
 
 
-def current_stations(latest: DataFrame, attributes: DataFrame, estimates: DataFrame, dynamic: tuple[str, ...]) -> DataFrame:
-    """Latest state with current attributes: -1 is null, flags are three booleans, dynamic systems hide the declared capacity, suspects are gone."""
-    x = latest.join(attributes, KEYS, "left").join(estimates, KEYS, "left").where(~F.coalesce("geo_suspect", F.lit(False)))
+def current_stations(latest: DataFrame, systems: DataFrame, attributes: DataFrame, estimates: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """The current view: latest state of active systems with current attributes, estimated capacity and forecasts.
+
+    -1 is null, flags are three booleans (null where negative), systems of dynamic capacity
+    hide the declared one, suspect places are gone; stations without a forecast have nulls there.
+    ``systems(system_id, is_active, capacity_is_dynamic)``; ``forecasts`` holds one row a station.
+    """
+    active = F.broadcast(systems.where("is_active").select("system_id", "capacity_is_dynamic"))
+    x = latest.join(active, "system_id").join(attributes, KEYS, "left").join(estimates, KEYS, "left")
     f = F.col("flags")
+    carried = ["horizons_min", "p_bike_x1000", "p_dock_x1000", "confidence", "base_observed_at", "model_version", "generated_at"]
+    x = x.join(forecasts.select(*KEYS, *[F.col(c).alias(f"forecast_{c}") for c in carried]), KEYS, "left").where(~F.coalesce("geo_suspect", F.lit(False)))
     return x.select(
         *KEYS,
-        "observed_at",
         "name",
         "lat",
         "lon",
+        F.when(~F.col("capacity_is_dynamic"), F.col("capacity")).alias("capacity"),
         known(F.col("bikes")).alias("bikes"),
         known(F.col("docks")).alias("docks"),
         *[F.when(f >= 0, has_bit(f, b)).alias(n) for b, n in ((1, "is_installed"), (2, "is_renting"), (4, "is_returning"))],
-        F.when(~F.col("system_id").isin(*dynamic), F.col("capacity")).alias("capacity"),
+        "is_present",
+        "last_changed_at",
+        *[f"forecast_{c}" for c in carried],
         "capacity_est",
+        "capacity_days",
     )
 
 

@@ -206,10 +206,8 @@ def fea_19_encode(spark: SparkSession, d: str) -> DataFrame:
 
 def fea_20_base(spark: SparkSession, d: str) -> DataFrame:
     """For each cycle: the newest observation of its system ingested by then, at most a day old."""
-    o = T.obs_long(spark, d)
-    cycles = o.select("system_id").distinct().withColumn("t", F.explode(F.sequence(F.to_timestamp_ntz(F.lit(G.START)), F.to_timestamp_ntz(F.lit(G.END)), F.expr("INTERVAL 6 HOURS"))))
-    x = asof.as_of_feature(cycles, o, ["bikes"], keys=("system_id",))
-    return x.where(F.col("seen.observed_at") >= F.col("t") - F.expr("INTERVAL 1 DAY")).select("system_id", "t", F.col("seen.observed_at").alias("base_observed_at"))
+    x = asof.base_observation(T.obs_long(spark, d), 360, G.START, G.END)
+    return x.where(F.col("base_observed_at") >= F.col("t") - F.expr("INTERVAL 1 DAY"))
 
 
 def ref_01_neighbours(spark: SparkSession, d: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moorline.operators import archive, ingest
+from moorline.operators import archive, ingest, reference
 from moorline.plans.scratch import folder as scratch
+from moorline.plans.scratch import written
 from moorline.sources import feeds, files
 from moorline.sources import tables as T
 
@@ -14,27 +15,27 @@ KEYS = ingest.KEYS
 
 
 ENTRY = """entry AS (
-  SELECT CASE WHEN user_id % 3 = 0 THEN 'a' ELSE 'b' END AS system_id, ts::DATE AS day, epoch(ts::DATE)::BIGINT + 86400 AS last_updated, event_id,
+  SELECT CASE WHEN user_id % 3 = 0 THEN 'a' ELSE 'b' END AS system_id, date_trunc('hour', ts)::TIMESTAMP AS hour, epoch(date_trunc('hour', ts))::BIGINT + 3600 AS last_updated, event_id,
     (user_id % 50)::VARCHAR AS station_id, CASE WHEN event_id % 997 = 0 THEN 99999 ELSE event_id % 23 - 2 END AS b, event_id % 17 - 1 AS d,
     (event_id % 2 = 0)::INT AS i1, (event_id % 3 = 0)::INT AS i2, (event_id % 5 = 0)::INT AS i4,
-    CASE WHEN event_id % 13 = 0 THEN NULL ELSE epoch(ts::DATE)::BIGINT + 86400 - (event_id % 400) * 100 + 50 END AS reported,
-    row_number() OVER (PARTITION BY user_id % 3 = 0, ts::DATE ORDER BY event_id) - 1 AS pos
+    CASE WHEN event_id % 13 = 0 THEN NULL ELSE epoch(date_trunc('hour', ts))::BIGINT + 3600 - (event_id % 400) * 100 + 50 END AS reported,
+    row_number() OVER (PARTITION BY user_id % 3 = 0, date_trunc('hour', ts) ORDER BY event_id) - 1 AS pos
   FROM events)"""
-FEED_ROWS = f"""{ENTRY}, bad AS (SELECT DISTINCT system_id, day FROM entry WHERE b > 32767), good AS (SELECT * FROM entry WHERE (system_id, day) NOT IN (SELECT (system_id, day) FROM bad)),
-norm AS (SELECT system_id, day, station_id, pos, greatest(b, 0)::INT AS bikes, greatest(d, 0)::INT AS docks, i1 + 2 * i2 + 4 * i4 AS flags,
+FEED_ROWS = f"""{ENTRY}, bad AS (SELECT DISTINCT system_id, hour FROM entry WHERE b > 32767), good AS (SELECT * FROM entry WHERE (system_id, hour) NOT IN (SELECT (system_id, hour) FROM bad)),
+norm AS (SELECT system_id, hour, station_id, pos, greatest(b, 0)::INT AS bikes, greatest(d, 0)::INT AS docks, i1 + 2 * i2 + 4 * i4 AS flags,
     coalesce(least(greatest(last_updated - reported, 0), 32767), 0)::INT AS age, least(b, d) < 0 AS neg, reported IS NULL AS miss,
     reported IS NOT NULL AND NOT (last_updated - reported BETWEEN 0 AND 32767) AS clamped,
-    row_number() OVER (PARTITION BY system_id, day, station_id ORDER BY pos) AS n FROM good),
+    row_number() OVER (PARTITION BY system_id, hour, station_id ORDER BY pos) AS n FROM good),
 cmp AS (SELECT *, first_value(bikes) OVER w = bikes AND first_value(docks) OVER w = docks AND first_value(flags) OVER w = flags AND first_value(age) OVER w = age AS same
-  FROM norm WINDOW w AS (PARTITION BY system_id, day, station_id ORDER BY pos))"""
+  FROM norm WINDOW w AS (PARTITION BY system_id, hour, station_id ORDER BY pos))"""
 
 
 def feed_json(spark: SparkSession, d: str) -> DataFrame:
-    """One JSON status feed for each system and day, made from the events of that day."""
+    """One JSON status feed for each system and hour, made from the events of that hour."""
     e = T.read(spark, d, "events")
     n = F.col("event_id")
-    day = F.to_date("ts")
-    updated = F.unix_timestamp(day.cast("timestamp")) + 86400
+    day = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
+    updated = F.unix_timestamp(day.cast("timestamp")) + 3600
     station = F.struct(
         n.alias("_o"),
         (F.col("user_id") % 50).cast("string").alias("station_id"),
@@ -46,24 +47,24 @@ def feed_json(spark: SparkSession, d: str) -> DataFrame:
         F.when(n % 13 != 0, updated - (n % 400) * 100 + 50).alias("last_reported"),
     )
     system = F.when(F.col("user_id") % 3 == 0, "a").otherwise("b").alias("system_id")
-    grouped = e.groupBy(system, day.alias("day")).agg(F.array_sort(F.collect_list(station)).alias("stations"), F.first(updated).alias("last_updated"))
+    grouped = e.groupBy(system, day.alias("hour")).agg(F.array_sort(F.collect_list(station)).alias("stations"), F.first(updated).alias("last_updated"))
     body = F.struct("last_updated", F.lit(60).alias("ttl"), F.struct(F.transform("stations", lambda x: x.dropFields("_o")).alias("stations")).alias("data"))
-    return grouped.select("system_id", "day", F.to_json(body).alias("raw"))
+    return grouped.select("system_id", "hour", F.to_json(body).alias("raw"))
 
 
 def _normal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     good, _ = feeds.split(feeds.validate(feed_json(spark, d)))
-    return feeds.normalise(feeds.explode_status(good, ["system_id", "day"]), ["system_id", "day"])
+    return feeds.normalise(feeds.explode_status(good, ["system_id", "hour"]), ["system_id", "hour"])
 
 
 def src_01_validate(spark: SparkSession, d: str) -> DataFrame:
     v = feeds.validate(feed_json(spark, d))
-    return v.select("system_id", "day", F.size("issues").alias("n_issues"), F.array_join("issues", "; ").alias("issues"))
+    return v.select("system_id", "hour", F.size("issues").alias("n_issues"), F.array_join("issues", "; ").alias("issues"))
 
 
 def src_02_normalise(spark: SparkSession, d: str) -> DataFrame:
     rows, _ = _normal(spark, d)
-    return rows.select("system_id", "day", "station_id", "bikes", "docks", "flags", "reported_age_s")
+    return rows.select("system_id", "hour", "station_id", "bikes", "docks", "flags", "reported_age_s")
 
 
 def src_02_warnings(spark: SparkSession, d: str) -> DataFrame:
@@ -135,12 +136,15 @@ def src_08_insert_once(spark: SparkSession, d: str) -> DataFrame:
     return ingest.insert_once(heads.where(F.dayofmonth("observed_at") % 3 == 0), heads, ["system_id", "observed_at"])
 
 
+LAST_DAY = "2024-01-30"
+
+
 def src_09_latest_state(spark: SparkSession, d: str) -> DataFrame:
-    """State after the first ten days' history, then one more whole snapshot."""
+    """State after the whole history, then the newest whole snapshot."""
     _, rows = daily_rows(spark, d)
-    history = rows.where(F.col("observed_at") < "2024-01-11").withColumn("fetched_at", F.col("observed_at"))
+    history = rows.where(F.col("observed_at") < LAST_DAY).withColumn("fetched_at", F.col("observed_at"))
     state = ingest.latest_of_history(history).withColumn("is_present", F.lit(True)).select(*KEYS, "observed_at", "bikes", "docks", "flags", "is_present", "last_changed_at")
-    snapshot = rows.where(F.col("observed_at") == "2024-01-11").withColumn("is_anomalous", F.col("system_id") == "a")
+    snapshot = rows.where(F.col("observed_at") == LAST_DAY).withColumn("is_anomalous", F.col("system_id") == "a")
     return ingest.latest_state(state, snapshot)
 
 
@@ -167,30 +171,43 @@ def src_12_point_in_time(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src_13_holidays(spark: SparkSession, d: str) -> DataFrame:
-    """The order dates of one year as a reference list: guarded, and digested."""
-    o = T.read(spark, d, "orders").where(F.year("o_orderdate") == 1997)
+    """The order dates as a reference list: laid down as a list of YYYY/M/D,name rows in the list's encoding (their letters are the same in both), loaded, guarded and digested."""
+    o = T.read(spark, d, "orders")
     rows = o.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.min("o_orderpriority").alias("name"))
-    return files.content_digest(rows)
-
-
-WEATHER = """place AS (SELECT n_nationkey AS k, 35.0 + n_nationkey * 0.061 AS lat, 139.0 + n_nationkey * 0.077 AS lon FROM nation)"""
+    line = F.concat_ws(",", F.date_format("date", "yyyy/M/d"), "name")
+    head = spark.sql("SELECT 'date,name' AS value, 0 AS o")
+    path = scratch(spark, "holidays")
+    head.unionByName(rows.select(line.alias("value"), F.lit(1).alias("o"))).coalesce(1).sortWithinPartitions("o", "value").select("value").write.text(path)  # one file: a few thousand dates at any scale
+    return files.content_digest(files.holidays_csv(spark, path))
 
 
-def weather_raw(spark: SparkSession, d: str) -> DataFrame:
-    """Weather JSON of each day's 03:00 issue: 25 places, 48 local hours from midnight."""
-    n = T.read(spark, d, "nation")
-    k = F.col("n_nationkey").cast("int")
-    start = F.to_timestamp_ntz(F.lit("2024-01-05 00:00:00"))
+def weather_places(spark: SparkSession, d: str) -> DataFrame:
+    """Weather JSON of each cell with stations, for every third hour that has events: 48 local hours from midnight."""
+    e = T.read(spark, d, "events")
+    hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
+    issues = e.where(F.hour("ts") % 3 == 0).select(hour.alias("issued_hour")).distinct()
+    cells = reference.weather_cells(T.stations(spark, d), 0.05, 0.0625).select("lat_idx", "lon_idx")
+    every = F.sequence(F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")), F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00")), F.expr("INTERVAL 3 HOURS"))
+    rows = cells.withColumn("issued_hour", F.explode(every)).join(F.broadcast(issues), "issued_hour", "left_semi")
+    k = (F.col("lat_idx") + F.col("lon_idx")) % 25
+    start = F.date_trunc("day", F.col("issued_hour") + F.expr("INTERVAL 9 HOURS")).cast("timestamp_ntz")
     hours = F.sequence(F.lit(0), F.lit(47))
     times = F.transform(hours, lambda h: F.date_format(start + F.make_dt_interval(hours=h), "yyyy-MM-dd'T'HH:mm"))
     series = lambda m: F.transform(hours, lambda h: F.when((h + k) % 11 != 0, ((h * m + k) % 37).cast("double")))
     hourly = F.struct(times.alias("time"), series(3).alias("precipitation"), series(5).alias("temperature_2m"), series(7).alias("wind_speed_10m"))
-    place = F.struct((35.0 + k * 0.061).alias("latitude"), (139.0 + k * 0.077).alias("longitude"), hourly.alias("hourly"))
-    return n.select(F.to_timestamp_ntz(F.lit("2024-01-04 18:00:00")).alias("issued_hour"), F.to_json(place).alias("raw"))
+    place = F.struct((F.col("lat_idx") * 0.05).alias("latitude"), (F.col("lon_idx") * 0.0625).alias("longitude"), hourly.alias("hourly"))
+    return rows.select("issued_hour", F.to_json(place).alias("place"))
+
+
+def weather_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every issue's gzip file, written and scanned."""
+    path = scratch(spark, "weather")
+    files.write_weather(weather_places(spark, d), path)
+    return files.weather_batch(files.scan_weather(spark, path), "issued_hour", 0.05, 0.0625, 8, 9)
 
 
 def src_14_weather(spark: SparkSession, d: str) -> DataFrame:
-    return files.weather_batch(weather_raw(spark, d), "issued_hour", 0.05, 0.0625, 8, 9)
+    return weather_files(spark, d)
 
 
 def src_15_pending(spark: SparkSession, d: str) -> DataFrame:
@@ -244,11 +261,10 @@ def arc_05_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def arc_06_weather_check(spark: SparkSession, d: str) -> DataFrame:
-    w = files.weather_batch(weather_raw(spark, d), "issued_hour", 0.05, 0.0625, 8, 9)
-    long = w.select("lat_idx", "lon_idx", F.posexplode("temp_c").alias("lead", "temp_c"))
-    other = long.where("lead < 7").withColumn("temp_c", F.when(F.col("lead") == 3, F.col("temp_c") + 1).otherwise(F.coalesce("temp_c", F.lit(float("nan")))))
-    clean = other.withColumn("temp_c", F.when(~F.isnan("temp_c"), F.col("temp_c")))
-    return archive.reconcile(long, clean, ["lat_idx", "lon_idx", "lead"], ["temp_c"])
+    """The archive's files against a table that lacks the last lead and is off at one."""
+    long = written(weather_files(spark, d), "weather-cells").select("issued_hour", "lat_idx", "lon_idx", F.posexplode("temp_c").alias("lead", "temp_c"))
+    table = long.where("lead < 7").withColumn("temp_c", F.when(F.col("lead") == 3, F.col("temp_c") + 1).otherwise(F.col("temp_c")))
+    return archive.reconcile(long, table, ["issued_hour", "lat_idx", "lon_idx", "lead"], ["temp_c"])
 
 
 def arc_07_same_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -306,12 +322,15 @@ scd AS (SELECT station_id, fetched_at AS valid_from, lead(fetched_at) OVER (PART
 ARRAYS = "SELECT l.system_id, h.observed_at, " + ", ".join(f"list(coalesce(r.{v}, -1)::INT ORDER BY l.idx) AS {v}" for v in ingest.VALUES)
 _WX = "CASE WHEN (h + k) % 11 <> 0 THEN ((h * {m} + k) % 37)::DOUBLE END"
 
+WEATHER = f"""{T.STATIONS}, cl AS (SELECT DISTINCT round_even(lat / 0.05, 0)::INT AS lat_idx, round_even(lon / 0.0625, 0)::INT AS lon_idx FROM stations WHERE NOT geo_suspect),
+place AS (SELECT issued_hour, lat_idx, lon_idx, (lat_idx + lon_idx) % 25 AS k, hour(issued_hour + INTERVAL 9 HOUR) AS l FROM cl, (SELECT DISTINCT date_trunc('hour', ts)::TIMESTAMP AS issued_hour FROM events WHERE hour(ts) % 3 = 0))"""
+
 ORACLE = {
-    "src_01_validate": f"""WITH {ENTRY}, i AS (SELECT system_id, day, pos, 'bad bikes at ' || pos::VARCHAR AS issue FROM entry WHERE b > 32767),
-r AS (SELECT *, row_number() OVER (PARTITION BY system_id, day ORDER BY pos) AS n FROM i)
-SELECT e.system_id, e.day, count(r.issue)::INT AS n_issues, coalesce(string_agg(r.issue, '; ' ORDER BY r.pos), '') AS issues FROM (SELECT DISTINCT system_id, day FROM entry) e LEFT JOIN (SELECT * FROM r WHERE n <= 10) r USING (system_id, day) GROUP BY ALL""",
-    "src_02_normalise": f"WITH {FEED_ROWS} SELECT system_id, day, station_id, bikes, docks, flags, age AS reported_age_s FROM norm WHERE n = 1",
-    "src_02_warnings": f"""WITH {FEED_ROWS} SELECT system_id, day, count(*) FILTER (n > 1 AND same) AS exact_duplicates, count(*) FILTER (n > 1 AND NOT same) AS conflicting_duplicates,
+    "src_01_validate": f"""WITH {ENTRY}, i AS (SELECT system_id, hour, pos, 'bad bikes at ' || pos::VARCHAR AS issue FROM entry WHERE b > 32767),
+r AS (SELECT *, row_number() OVER (PARTITION BY system_id, hour ORDER BY pos) AS n FROM i)
+SELECT e.system_id, e.hour, count(r.issue)::INT AS n_issues, coalesce(string_agg(r.issue, '; ' ORDER BY r.pos), '') AS issues FROM (SELECT DISTINCT system_id, hour FROM entry) e LEFT JOIN (SELECT * FROM r WHERE n <= 10) r USING (system_id, hour) GROUP BY ALL""",
+    "src_02_normalise": f"WITH {FEED_ROWS} SELECT system_id, hour, station_id, bikes, docks, flags, age AS reported_age_s FROM norm WHERE n = 1",
+    "src_02_warnings": f"""WITH {FEED_ROWS} SELECT system_id, hour, count(*) FILTER (n > 1 AND same) AS exact_duplicates, count(*) FILTER (n > 1 AND NOT same) AS conflicting_duplicates,
   count(*) FILTER (n = 1 AND miss) AS missing_reported, count(*) FILTER (n = 1 AND clamped) AS clamped_age, count(*) FILTER (n = 1 AND neg) AS clamped_negative FROM cmp GROUP BY ALL""",
     "src_03_information": """WITH r AS (SELECT 'b' AS system_id, (c_custkey % 400)::VARCHAR AS station_id, c_name AS name, 35.0::DOUBLE + c_nationkey AS lat, CASE WHEN c_custkey % 31 = 0 THEN 39.55 ELSE 139.5 END::DOUBLE AS lon,
   coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal / 100 END, try_cast(CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE (c_custkey % 90000)::VARCHAR END AS DOUBLE)) AS c, row_number() OVER (PARTITION BY c_custkey % 400 ORDER BY c_custkey) AS n FROM customer)
@@ -323,15 +342,15 @@ SELECT system_id, station_id, (row_number() OVER (PARTITION BY system_id ORDER B
     "src_06_pack": f"WITH {DAILY}, heads AS (SELECT DISTINCT system_id, observed_at FROM daily) {ARRAYS} FROM heads h JOIN ledger l USING (system_id) LEFT JOIN daily r ON r.system_id = l.system_id AND r.station_id = l.station_id AND r.observed_at = h.observed_at GROUP BY ALL",
     "src_07_anomaly": f"""WITH {DAILY}, n AS (SELECT system_id, count(*) AS k FROM ledger GROUP BY 1) SELECT d.system_id, d.observed_at, count(DISTINCT station_id) AS n_present, any_value(k) AS n_registered, count(DISTINCT station_id) < any_value(k) * 0.8 AS is_anomalous FROM daily d JOIN n USING (system_id) GROUP BY 1, 2""",
     "src_08_insert_once": f"WITH {DAILY} SELECT DISTINCT system_id, observed_at, CASE WHEN day(observed_at) % 3 = 0 THEN 'duplicate' ELSE 'inserted' END AS outcome FROM daily",
-    "src_09_latest_state": f"""WITH {DAILY}, h AS (SELECT *, lag(struct_pack(bikes, docks, flags)) OVER (PARTITION BY system_id, station_id ORDER BY observed_at) AS p FROM daily WHERE observed_at < TIMESTAMP '2024-01-11'),
+    "src_09_latest_state": f"""WITH {DAILY}, h AS (SELECT *, lag(struct_pack(bikes, docks, flags)) OVER (PARTITION BY system_id, station_id ORDER BY observed_at) AS p FROM daily WHERE observed_at < TIMESTAMP '2024-01-30'),
 s AS (SELECT system_id, station_id, max(observed_at) AS observed_at, arg_max(bikes, observed_at) AS bikes, arg_max(docks, observed_at) AS docks, arg_max(flags, observed_at) AS flags, true AS is_present,
   max(observed_at) FILTER (p IS NULL OR p <> struct_pack(bikes, docks, flags)) AS last_changed_at FROM h GROUP BY ALL),
-n AS (SELECT *, true AS here FROM daily WHERE observed_at = TIMESTAMP '2024-01-11'),
+n AS (SELECT *, true AS here FROM daily WHERE observed_at = TIMESTAMP '2024-01-30'),
 b AS (SELECT coalesce(s.system_id, n.system_id) AS system_id, coalesce(s.station_id, n.station_id) AS station_id, s.observed_at, s.bikes, s.docks, s.flags, s.is_present, s.last_changed_at, n.bikes AS nb, n.docks AS nd, n.flags AS nf, coalesce(here, false) AS here
   FROM s FULL OUTER JOIN n ON s.system_id = n.system_id AND s.station_id = n.station_id),
 w AS (SELECT *, NOT (system_id = 'a' AND NOT here) AND (CASE WHEN here THEN nb IS DISTINCT FROM bikes OR nd IS DISTINCT FROM docks OR nf IS DISTINCT FROM flags ELSE false END OR here IS DISTINCT FROM is_present) AS wr FROM b)
-SELECT system_id, station_id, CASE WHEN wr THEN TIMESTAMP '2024-01-11' ELSE observed_at END AS observed_at, CASE WHEN wr AND here THEN nb ELSE bikes END AS bikes, CASE WHEN wr AND here THEN nd ELSE docks END AS docks, CASE WHEN wr AND here THEN nf ELSE flags END AS flags,
-  CASE WHEN wr THEN here ELSE is_present END AS is_present, CASE WHEN wr THEN TIMESTAMP '2024-01-11' ELSE last_changed_at END AS last_changed_at FROM w""",
+SELECT system_id, station_id, CASE WHEN wr THEN TIMESTAMP '2024-01-30' ELSE observed_at END AS observed_at, CASE WHEN wr AND here THEN nb ELSE bikes END AS bikes, CASE WHEN wr AND here THEN nd ELSE docks END AS docks, CASE WHEN wr AND here THEN nf ELSE flags END AS flags,
+  CASE WHEN wr THEN here ELSE is_present END AS is_present, CASE WHEN wr THEN TIMESTAMP '2024-01-30' ELSE last_changed_at END AS last_changed_at FROM w""",
     "src_10_error_fold": f"""WITH {T.JOBS}, r AS (SELECT *, sum((status <> 'failed')::INT) OVER (PARTITION BY job ORDER BY started_at, run_id ROWS UNBOUNDED PRECEDING) AS g FROM jobs)
 SELECT job, run_id, sum((status = 'failed')::INT) OVER (PARTITION BY job, g ORDER BY started_at, run_id ROWS UNBOUNDED PRECEDING)::BIGINT AS consecutive_errors FROM r""",
     "src_11_scd2": f"WITH {SCD2} SELECT * FROM scd",
@@ -345,10 +364,9 @@ UNION ALL SELECT station_id, x.f, NULL, x.n, x.c FROM o WHERE chg
 UNION ALL SELECT station_id, x.f, NULL, x.n, x.c FROM inc WHERE station_id NOT IN (SELECT station_id FROM cur)""",
     "src_12_point_in_time": f"""WITH {SCD2}, p AS (SELECT DISTINCT station_id, t FROM scd, (SELECT unnest([TIMESTAMP '1996-07-01', TIMESTAMP '1998-07-01', TIMESTAMP '2000-07-01']) AS t))
 SELECT p.station_id, p.t, name, capacity FROM p JOIN scd s ON s.station_id = p.station_id AND p.t >= valid_from AND (valid_to IS NULL OR p.t < valid_to)""",
-    "src_13_holidays": """WITH r AS (SELECT o_orderdate::DATE AS date, min(o_orderpriority) AS name FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1)
+    "src_13_holidays": """WITH r AS (SELECT o_orderdate::DATE AS date, min(o_orderpriority) AS name FROM orders GROUP BY 1)
 SELECT sha256(string_agg(strftime(date, '%Y-%m-%d') || '=' || name, chr(10) ORDER BY date)) AS digest, count(*) AS n_rows FROM r""",
-    "src_14_weather": f"""WITH {WEATHER} SELECT TIMESTAMP '2024-01-04 18:00:00' AS issued_hour, round_even(lat / 0.05, 0)::INT AS lat_idx, round_even(lon / 0.0625, 0)::INT AS lon_idx,
-  list_transform(range(3, 11), lambda h: {_WX.format(m=3)}) AS precip_mm, list_transform(range(3, 11), lambda h: {_WX.format(m=5)}) AS temp_c, list_transform(range(3, 11), lambda h: {_WX.format(m=7)}) AS wind_kmh FROM (SELECT k, 35.0::DOUBLE + k * 0.061::DOUBLE AS lat, 139.0::DOUBLE + k * 0.077::DOUBLE AS lon FROM place)""",
+    "src_14_weather": f"""WITH {WEATHER} SELECT issued_hour, lat_idx, lon_idx, list_transform(range(l, l + 8), lambda h: {_WX.format(m=3)}) AS precip_mm, list_transform(range(l, l + 8), lambda h: {_WX.format(m=5)}) AS temp_c, list_transform(range(l, l + 8), lambda h: {_WX.format(m=7)}) AS wind_kmh FROM place""",
     "src_15_pending": """WITH s AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS issued_hour, bool_or(event_id % 5 = 0) AS is_partial FROM events GROUP BY 1), l AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS issued_hour, count(*) AS n_loaded FROM events WHERE event_type = 'click' GROUP BY 1)
 SELECT s.issued_hour, is_partial, coalesce(n_loaded, 0) AS n_loaded FROM s LEFT JOIN l USING (issued_hour) WHERE coalesce(n_loaded, 0) < 3 AND (NOT is_partial OR coalesce(n_loaded, 0) = 0) ORDER BY 1 LIMIT 6""",
     "src_16_upsert": f"""WITH {T.OBS}, b AS (SELECT system_id, station_id, max(observed_at) AS m FROM obs WHERE observed_at < TIMESTAMP '2024-01-20' GROUP BY ALL),
@@ -362,8 +380,8 @@ SELECT l.system_id, l.station_id, h.observed_at, coalesce(bikes, -1) AS bikes, c
     "arc_03_hours": "WITH d AS (SELECT DISTINCT ts::DATE AS day FROM events) SELECT day, unnest(generate_series(day::TIMESTAMP - INTERVAL 35 HOUR, day::TIMESTAMP + INTERVAL 17 HOUR, INTERVAL 1 HOUR)) AS hour FROM d",
     "arc_04_gaps": f"WITH {T.OBS}, o AS (SELECT system_id, date_trunc('hour', observed_at)::TIMESTAMP AS hour, bikes FROM obs) SELECT system_id, hour FROM o GROUP BY ALL HAVING count(*) FILTER (bikes % 3 <> 0) = 0",
     "arc_05_reconcile": f"WITH {DAILY} SELECT system_id, CASE docks WHEN 3 THEN 'only_left' WHEN 4 THEN 'only_right' ELSE 'differs' END AS kind, count(*) AS n FROM daily WHERE docks IN (3, 4, 5) GROUP BY ALL",
-    "arc_06_weather_check": f"""WITH {WEATHER}, w AS (SELECT k, round_even((35.0::DOUBLE + k * 0.061::DOUBLE) / 0.05, 0)::INT AS lat_idx, round_even((139.0::DOUBLE + k * 0.077::DOUBLE) / 0.0625, 0)::INT AS lon_idx, unnest(range(8)) AS lead FROM place)
-SELECT lat_idx, lon_idx, lead, CASE WHEN lead = 7 THEN 'only_left' ELSE 'differs' END AS kind FROM w WHERE lead = 7 OR (lead = 3 AND (6 + k) % 11 <> 0)""",
+    "arc_06_weather_check": f"""WITH {WEATHER}, w AS (SELECT *, unnest(range(8)) AS lead FROM place)
+SELECT issued_hour, lat_idx, lon_idx, lead, CASE WHEN lead = 7 THEN 'only_left' ELSE 'differs' END AS kind FROM w WHERE lead = 7 OR (lead = 3 AND (l + 3 + k) % 11 <> 0)""",
     "arc_07_same_rows": f"WITH {T.OBS} SELECT count(*) FILTER (bikes = 3) AS only_left, count(*) FILTER (bikes = 4) AS only_right FROM obs",
     "arc_08_retention": f"WITH {T.JOBS} SELECT job, started_at < TIMESTAMP '2024-01-17' AS expired, count(*) AS n FROM jobs GROUP BY ALL",
     "arc_09_fingerprint": f"""WITH {T.OBS}, h AS (SELECT system_id, observed_at::DATE AS day, md5(station_id || '|' || bikes || '|' || docks || '|' || flags) AS m FROM obs)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moorline.config import SPARSE
-from moorline.operators import ingest, timegrid
+from moorline.operators import ingest, reference, timegrid
 from moorline.operators import monitors as MON
 from moorline.operators import serving as S
 from moorline.plans import q_features as Q
@@ -22,10 +22,15 @@ def now():  # noqa: ANN201
 
 
 def view(spark: SparkSession, d: str) -> DataFrame:
-    latest = ingest.latest_of_history(T.obs_long(spark, d))
+    """Everything that serving shows of a station now. Stations unseen for a day are absent; a system is active while it is seen in the last week of the table."""
+    o = T.obs_long(spark, d)
+    latest = ingest.latest_of_history(o).withColumn("is_present", F.col("observed_at") >= now() - F.expr("INTERVAL 1 DAY"))
+    systems = o.groupBy("system_id").agg((F.max("observed_at") >= now() - F.expr("INTERVAL 7 DAYS")).alias("is_active")).withColumn("capacity_is_dynamic", F.col("system_id").isin(*SPARSE.dynamic_systems))
     a = T.stations(spark, d).select(*KEYS, "name", "lat", "lon", "capacity", "geo_suspect")
-    est = T.stations(spark, d).select(*KEYS, "capacity_est")
-    return S.current_stations(latest, a, est, SPARSE.dynamic_systems)
+    est = reference.capacity_estimate(reference.daily_capacity_max(o, F.to_date("observed_at")))
+    est = est.groupBy(*KEYS).agg(F.max_by(F.struct("capacity_est", "days_used"), "day").alias("e")).select(*KEYS, "e.capacity_est", F.col("e.days_used").alias("capacity_days"))
+    f = forecasts(spark, d).withColumn("base_observed_at", F.col("generated_at") - F.expr("INTERVAL 2 MINUTES")).withColumn("model_version", F.lit("v1"))
+    return S.current_stations(latest, systems, a, est, f)
 
 
 def all_stations(spark: SparkSession, d: str) -> DataFrame:
@@ -215,8 +220,13 @@ REG = f"""{T.JOBS}, reg AS (SELECT job, registered_at, CASE WHEN starts_with(job
 ROLL = f"{T.OBS}, roll0 AS (SELECT system_id, station_id, date_trunc('hour', observed_at)::TIMESTAMP AS hour_start, count(*) AS n, round(avg(bikes), 6) AS bikes_mean, round(avg(docks), 6) AS docks_mean FROM obs WHERE bikes >= 0 AND docks >= 0 GROUP BY ALL), roll AS (SELECT * FROM roll0 WHERE hour_start + INTERVAL 1 HOUR <= {TS})"
 
 ORACLE = {
-    "qry_01_current": f"""WITH {LATEST} SELECT l.system_id, l.station_id, l.observed_at, s.name, lat, lon, CASE WHEN bikes <> -1 THEN bikes END AS bikes, CASE WHEN docks <> -1 THEN docks END AS docks, (flags & 1) > 0 AS is_installed, (flags & 2) > 0 AS is_renting, (flags & 4) > 0 AS is_returning,
-  CASE WHEN l.system_id <> 'b' THEN capacity END AS capacity, capacity_est FROM latest l LEFT JOIN stations s ON s.system_id = l.system_id AND s.station_id = l.station_id WHERE NOT coalesce(geo_suspect, false)""",
+    "qry_01_current": f"""WITH {T.OBS}, {FORE}, hh AS (SELECT *, lag(struct_pack(bikes, docks, flags)) OVER (PARTITION BY system_id, station_id ORDER BY observed_at, fetched_at) AS p FROM obs),
+latest AS (SELECT system_id, station_id, max(observed_at) AS observed_at, arg_max(bikes, observed_at) AS bikes, arg_max(docks, observed_at) AS docks, arg_max(flags, observed_at) AS flags, max(observed_at) FILTER (p IS NULL OR p <> struct_pack(bikes, docks, flags)) AS last_changed_at FROM hh GROUP BY ALL),
+act AS (SELECT system_id FROM obs GROUP BY 1 HAVING max(observed_at) >= {TS} - INTERVAL 7 DAY), dmx AS (SELECT system_id, station_id, observed_at::DATE AS day, max(bikes + docks) AS m FROM obs WHERE bikes <> -1 AND docks <> -1 GROUP BY ALL),
+top AS (SELECT system_id, station_id, max(day) AS top FROM dmx GROUP BY ALL), est AS (SELECT d.system_id, d.station_id, max(m)::INT AS capacity_est, count(*)::INT AS capacity_days FROM dmx d JOIN top t ON t.system_id = d.system_id AND t.station_id = d.station_id WHERE d.day > t.top - 7 GROUP BY ALL)
+SELECT l.system_id, l.station_id, s.name, s.lat, s.lon, CASE WHEN l.system_id <> 'b' THEN s.capacity END AS capacity, nullif(bikes, -1) AS bikes, nullif(docks, -1) AS docks, (flags & 1) > 0 AS is_installed, (flags & 2) > 0 AS is_renting, (flags & 4) > 0 AS is_returning, l.observed_at >= {TS} - INTERVAL 1 DAY AS is_present, last_changed_at,
+  CASE WHEN f.k IS NOT NULL THEN f.hs END AS forecast_horizons_min, f.pb AS forecast_p_bike_x1000, f.pd AS forecast_p_dock_x1000, f.confidence AS forecast_confidence, f.generated_at - INTERVAL 2 MINUTE AS forecast_base_observed_at, CASE WHEN f.k IS NOT NULL THEN 'v1' END AS forecast_model_version, f.generated_at AS forecast_generated_at, e.capacity_est, e.capacity_days
+FROM latest l JOIN act USING (system_id) LEFT JOIN stations s ON s.system_id = l.system_id AND s.station_id = l.station_id LEFT JOIN est e ON e.system_id = l.system_id AND e.station_id = l.station_id LEFT JOIN fore f ON f.system_id = l.system_id AND f.station_id = l.station_id WHERE NOT coalesce(s.geo_suspect, false)""",
     "qry_02_box": f"WITH {T.STATIONS} SELECT system_id, station_id, lat, lon FROM stations WHERE NOT geo_suspect AND lat BETWEEN 35.0 AND 35.05 AND lon BETWEEN 139.02 AND 139.08",
     "qry_03_plan": f"""WITH {T.STATIONS}, b AS (SELECT *, (station_id::BIGINT % 9) * 0.0625::DOUBLE AS d FROM stations), e AS (SELECT *, round(greatest((lon + d) - (lon - d), (lat + d) - (lat - d)), 9) AS side FROM b)
 SELECT system_id, station_id, round(floor(round((lon - d) / 0.01, 9)) * 0.01, 9) AS w, round(floor(round((lat - d) / 0.01, 9)) * 0.01, 9) AS s, round(ceil(round((lon + d) / 0.01, 9)) * 0.01, 9) AS e, round(ceil(round((lat + d) / 0.01, 9)) * 0.01, 9) AS n,

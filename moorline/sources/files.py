@@ -60,6 +60,18 @@ def weather_batch(raw: DataFrame, issued_hour: str, lat_step: float, lon_step: f
     return rows.select("issued_hour", cell(F.col("p.latitude"), lat_step).alias("lat_idx"), cell(F.col("p.longitude"), lon_step).alias("lon_idx"), cut("precipitation", "precip_mm"), cut("temperature_2m", "temp_c"), cut("wind_speed_10m", "wind_kmh"))
 
 
+def write_weather(places: DataFrame, path: str) -> None:
+    """One gzip JSON file for each issue below ``path``, a list of its places: places(issued_hour, place JSON). An issue's places are bounded by the cells."""
+    one = places.groupBy("issued_hour").agg(F.concat(F.lit("["), F.array_join(F.collect_list("place"), ","), F.lit("]")).alias("value"))
+    one.select("value", F.date_format("issued_hour", "yyyyMMddHH").alias("issue")).write.partitionBy("issue").text(path, compression="gzip")
+
+
+def scan_weather(spark: SparkSession, path: str) -> DataFrame:
+    """issued_hour and raw text of the gzip files below ``path``, named by their issue."""
+    rows = spark.read.option("basePath", path).schema("value string, issue string").text(f"{path}/issue=*", wholetext=True)
+    return rows.select(F.to_timestamp_ntz(F.col("issue"), F.lit("yyyyMMddHH")).alias("issued_hour"), F.col("value").alias("raw"))
+
+
 def pending_issues(files: DataFrame, loaded: DataFrame, expected: int, most: int = 6) -> DataFrame:
     """Issues whose files are there but not loaded (loaded cells below expected); partial files only while nothing is loaded; oldest first."""
     n = loaded.groupBy("issued_hour").agg(F.count(F.lit(1)).alias("n_loaded"))

@@ -34,15 +34,15 @@ OBS = """obs AS (
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger: every second customer, with coordinates, codes and a declared capacity."""
+    """The ledger: every customer as a station, with coordinates, codes and a declared capacity. Every thousand stations fill a square of their own, so their density does not grow with the table."""
     c = read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     return c.select(
         F.when(k % 3 == 0, "a").otherwise("b").alias("system_id"),
         k.cast("string").alias("station_id"),
         F.col("c_name").alias("name"),
-        F.round(35 + (k % 1000) / F.lit(5000), 6).alias("lat"),
-        F.round(139 + ((k * 7) % 1000) / F.lit(5000), 6).alias("lon"),
+        F.round(35 + (k % 1000) / F.lit(5000) + F.floor(k / 1000) % 40 * 0.25, 6).alias("lat"),
+        F.round(139 + ((k * 7) % 1000) / F.lit(5000) + F.floor(k / 40000) * 0.25, 6).alias("lon"),
         F.when(k % 11 == 0, None).otherwise(F.abs(F.col("c_acctbal")).cast("int") % 30).cast("int").alias("capacity"),
         (k % 13).cast("int").alias("capacity_est"),
         F.col("c_nationkey").cast("int").alias("pref_code"),
@@ -53,7 +53,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STATIONS = """stations AS (
   SELECT CASE WHEN c_custkey % 3 = 0 THEN 'a' ELSE 'b' END AS system_id, c_custkey::VARCHAR AS station_id, c_name AS name,
-    round(35 + (c_custkey % 1000) / 5000.0::DOUBLE, 6) AS lat, round(139 + ((c_custkey * 7) % 1000) / 5000.0::DOUBLE, 6) AS lon,
+    round(35 + (c_custkey % 1000) / 5000.0::DOUBLE + (c_custkey // 1000) % 40 * 0.25::DOUBLE, 6) AS lat, round(139 + ((c_custkey * 7) % 1000) / 5000.0::DOUBLE + (c_custkey // 40000) * 0.25::DOUBLE, 6) AS lon,
     CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE trunc(abs(c_acctbal))::INT % 30 END::INT AS capacity,
     (c_custkey % 13)::INT AS capacity_est, c_nationkey::INT AS pref_code, c_custkey % 2 = 0 AS is_charging, c_custkey % 37 = 0 AS geo_suspect
   FROM customer)"""
