@@ -149,42 +149,45 @@ def _transfer(e: np.ndarray, mask: np.ndarray, move: np.ndarray) -> np.ndarray:
     return out
 
 
-def long_marginals(e: np.ndarray, crf: Crf) -> np.ndarray:
-    """Probability of the toxic state for each word of one sentence of any length.
+def long_marginals(crf: Crf, e: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, probability of the toxic state) of each word of sentences of any length.
 
-    Pieces of PIECE words are passed through together, once to learn how each carries
-    scores over itself and once with the scores that reach it from both sides; between
-    them the sentence is one pass over its pieces.
+    Pieces of PIECE words of all sentences are passed through together, once to learn how
+    each carries scores over itself and once with the scores that reach it from both sides;
+    between these, scores are handed from piece to piece, all sentences at a time.
     """
-    pieces = -(-len(e) // PIECE)
-    padded, mask = np.zeros((pieces, PIECE)), np.zeros((pieces, PIECE), dtype=bool)
-    padded.ravel()[: len(e)], mask.ravel()[: len(e)] = e, True
+    counts = -(-length // PIECE)
+    first = np.cumsum(counts) - counts
+    number = np.arange(counts.sum()) - np.repeat(first, counts)
+    starts = np.repeat(begin, counts) + number * PIECE
+    padded, mask = _pad(e, starts, np.minimum(np.repeat(length, counts) - number * PIECE, PIECE), PIECE)
     over = _transfer(padded, mask, crf.move)
-    # scores of the two states just before each piece: start scores stand in front of the first one
-    left, right = np.zeros((pieces, 2)), np.zeros((pieces, 2))
-    first = forward_backward(padded[:1], mask[:1], crf.start, crf.move)[0][0, -1]
-    for i in range(1, pieces):
-        left[i] = first if i == 1 else np.logaddexp(left[i - 1, 0] + over[i - 1, 0], left[i - 1, 1] + over[i - 1, 1])
-    for i in range(pieces - 2, -1, -1):
-        right[i] = np.logaddexp(over[i + 1, :, 0] + right[i + 1, 0], over[i + 1, :, 1] + right[i + 1, 1])
+    left, right = np.zeros((len(starts), 2)), np.zeros((len(starts), 2))  # scores at the word before each piece, and after it
+    left[first + 1] = forward_backward(padded[first], mask[first], crf.start, crf.move)[0][:, -1]
+    for i in range(2, int(counts.max())):
+        at = first[counts > i] + i
+        left[at] = np.logaddexp(left[at - 1, :1] + over[at - 1, 0], left[at - 1, 1:] + over[at - 1, 1])
+    for i in range(int(counts.max()) - 2, -1, -1):
+        at = first[counts > i + 1] + i
+        right[at] = np.logaddexp(over[at + 1, :, 0] + right[at + 1, :1], over[at + 1, :, 1] + right[at + 1, 1:])
     enter = np.logaddexp(left[:, :1] + crf.move[0], left[:, 1:] + crf.move[1])
-    enter[0] = crf.start
-    alpha = np.zeros((pieces, PIECE, 2))
+    enter[first] = crf.start
+    alpha = np.zeros((*mask.shape, 2))
     alpha[:, 0, 0], alpha[:, 0, 1] = enter[:, 0], enter[:, 1] + padded[:, 0]
     for t in range(1, PIECE):
         prev = alpha[:, t - 1]
         alpha[:, t, 0] = np.logaddexp(prev[:, 0] + crf.move[0, 0], prev[:, 1] + crf.move[1, 0])
         alpha[:, t, 1] = np.logaddexp(prev[:, 0] + crf.move[0, 1], prev[:, 1] + crf.move[1, 1]) + padded[:, t]
-    beta = np.zeros((pieces, PIECE, 2))
+    beta = np.zeros((*mask.shape, 2))
     last = mask.sum(axis=1) - 1
-    beta[np.arange(pieces), last] = right
+    beta[np.arange(len(starts)), last] = right
     for t in range(PIECE - 2, -1, -1):
-        n0, n1 = beta[:, t + 1, 0], beta[:, t + 1, 1] + padded[:, t + 1]
         own = t < last
-        beta[own, t, 0] = np.logaddexp(crf.move[0, 0] + n0, crf.move[0, 1] + n1)[own]
-        beta[own, t, 1] = np.logaddexp(crf.move[1, 0] + n0, crf.move[1, 1] + n1)[own]
+        n0, n1 = beta[own, t + 1, 0], beta[own, t + 1, 1] + padded[own, t + 1]
+        beta[own, t, 0] = np.logaddexp(crf.move[0, 0] + n0, crf.move[0, 1] + n1)
+        beta[own, t, 1] = np.logaddexp(crf.move[1, 0] + n0, crf.move[1, 1] + n1)
     both = (alpha + beta)[mask]
-    return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700)))
+    return (starts[:, None] + np.arange(PIECE))[mask], 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700)))
 
 
 def marginals(crf: Crf, tokens: Tokens, features: np.ndarray) -> np.ndarray:
@@ -204,9 +207,11 @@ def marginals(crf: Crf, tokens: Tokens, features: np.ndarray) -> np.ndarray:
             alpha, beta, z = forward_backward(padded, mask, crf.start, crf.move)
             p = np.exp(np.minimum(alpha[:, :, 1] + beta[:, :, 1] - z[:, None], 0.0))
             out[(begin[:, None] + np.arange(mask.shape[1]))[mask]] = p[mask]
-    for i in np.flatnonzero(tokens.length > PIECE):
-        own = slice(tokens.begin[i], tokens.begin[i] + tokens.length[i])
-        out[own] = long_marginals(e[own], crf)
+    long = np.flatnonzero(tokens.length > PIECE)
+    for at in range(0, len(long), BLOCK // 4):
+        pick = long[at : at + BLOCK // 4]
+        places, p = long_marginals(crf, e, tokens.begin[pick], tokens.length[pick])
+        out[places] = p
     return out
 
 
