@@ -28,18 +28,21 @@ def run_all(stream: DataFrame, path: str, checkpoint: str, mode: str = "append")
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def feed_stream(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """JSON feed rows (keys, raw) as validated, exploded status entries; bad feeds are dropped here and quarantined by a second sink.
+def feed_sinks(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that validates and normalises raw feeds (keys, raw) into three tables below ``path``: rows, warnings and quarantine.
 
-    First-duplicate-wins is decided inside a feed, so it runs per feed row and needs no state.
+    First-entry-wins is decided inside a feed, which is one row of one batch, so the batch
+    form's windows serve. Every batch writes directories of its own number, so a batch that
+    runs again changes nothing.
     """
-    schema = ", ".join(f"{k} string" for k in keys) + ", raw string"
-    raw = spark.readStream.schema(schema).parquet(path)
-    good, _ = feeds.split(feeds.validate(raw))
-    entries = F.col("feed.data.stations")
-    first = F.filter(entries, lambda x, i: F.array_position(F.transform(entries, lambda y: y["station_id"]), x["station_id"]) == i + 1)
-    rows = good.select(*keys, F.col("feed.last_updated").alias("last_updated"), F.explode(first).alias("s"))
-    return rows.select(*keys, F.col("s.station_id").alias("station_id"), F.greatest(F.col("s.num_bikes_available"), F.lit(0)).cast("int").alias("bikes"), F.greatest(F.col("s.num_docks_available"), F.lit(0)).cast("int").alias("docks"))
+
+    def run(batch: DataFrame, number: int) -> None:
+        good, bad = feeds.split(feeds.validate(batch))
+        rows, warnings = feeds.normalise(feeds.explode_status(good, keys), keys)
+        for name, df in (("rows", rows.drop("pos")), ("warnings", warnings), ("quarantine", bad.select(*keys, "raw", "issues"))):
+            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+    return run
 
 
 def deduplicate(stream: DataFrame, late: str = "600 seconds") -> DataFrame:
@@ -55,18 +58,16 @@ def hourly(stream: DataFrame, late: str = "600 seconds") -> DataFrame:
 
 
 def merge_latest(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that folds whole snapshots, oldest first, into the latest-state table at ``path``; each batch writes a new edition, so a repeated batch changes nothing."""
+    """A foreachBatch that folds a batch's whole snapshots into the latest-state table at ``path``, all in one plan; each batch reads the edition before it and writes its own, so a repeated batch changes nothing."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        heads = sorted({r[0] for r in batch.select("observed_at").distinct().collect()})  # the snapshots of one micro-batch
-        state = spark.read.parquet(f"{path}/edition={number - 1}") if number else None
-        if state is None:
+        if number:
+            state = spark.read.parquet(f"{path}/edition={number - 1}")
+        else:
             schema = batch.select(*KEYS, "observed_at", "bikes", "docks", "flags").withColumn("is_present", F.lit(True)).withColumn("last_changed_at", F.col("observed_at")).schema
             state = spark.createDataFrame([], schema)
-        for at in heads:
-            state = ingest.latest_state(state, batch.where(F.col("observed_at") == F.lit(at)))
-        state.write.mode("overwrite").parquet(f"{path}/edition={number}")
+        ingest.fold_snapshots(state, batch).write.mode("overwrite").parquet(f"{path}/edition={number}")
 
     return run
 
@@ -100,8 +101,8 @@ class Flow(StatefulProcessor):
     """Rentals, returns and changes over the trailing window, and minutes since the last change, at each observation of an entity.
 
     State: the last count, the last change, and the changes still inside the window.
-    Rows of one micro-batch are taken in time order; rows older than the state are
-    archived elsewhere and do not roll it back.
+    Rows of one micro-batch are taken in order of observation and arrival; rows older than
+    the state are archived elsewhere and do not roll it back.
     """
 
     def __init__(self, window_min: int, cap_min: int) -> None:
@@ -112,7 +113,7 @@ class Flow(StatefulProcessor):
         self.changes = handle.getListState("changes", "us long, delta int")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = sorted((int(u), int(b)) for part in rows for u, b in zip(part["us"], part["bikes"], strict=True))
+        new = [(int(u), int(b)) for u, _, b in sorted((int(u), int(f), int(b)) for part in rows for u, f, b in zip(part["us"], part["fetched_us"], part["bikes"], strict=True))]
         at, bikes, changed, seen = self.head.get() if self.head.exists() else (None, None, None, 0)
         kept = [(int(u), int(x)) for u, x in self.changes.get()] if self.changes.exists() else []
         out = []
@@ -150,5 +151,5 @@ def suppress(stream: DataFrame, key: str, at: str, interval_s: int) -> DataFrame
 
 
 def flow(stream: DataFrame, window_min: int, cap_min: int) -> DataFrame:
-    x = stream.where("bikes <> -1").select(*KEYS, micros(F.col("observed_at")).alias("us"), "bikes")
+    x = stream.where("bikes <> -1").select(*KEYS, micros(F.col("observed_at")).alias("us"), micros(F.col("fetched_at")).alias("fetched_us"), "bikes")
     return x.groupBy(*KEYS).transformWithStateInPandas(Flow(window_min, cap_min), "system_id string, station_id string, us long, rentals int, returns int, n_changes int, since_change_min double", "append", "none")

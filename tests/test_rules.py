@@ -461,10 +461,83 @@ def test_latest_stream_is_not_written_by_one_task(spark, sf_dir, monkeypatch):
 
     seen, laid = [], q_stream.stream_of
 
-    def stream_of(spark, df, name):
+    def stream_of(spark, df, *more):
         seen.append(df)
-        return laid(spark, df, name)
+        return laid(spark, df, *more)
 
     monkeypatch.setattr(q_stream, "stream_of", stream_of)
     assert q_stream.str_03_latest(spark, sf_dir).count() > 0
     assert "Repartition 1" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["str_01_feeds", "str_02_deduplicate", "str_03_latest", "str_04_hourly", "str_05_flow", "str_06_suppress"])
+def test_streams_run_in_several_batches(spark, sf_dir, monkeypatch, name):
+    import os
+
+    from moorline.plans import q_stream
+
+    paths, scratch = [], q_stream.I.scratch
+
+    def noted(spark, n):
+        paths.append(scratch(spark, n))
+        return paths[-1]
+
+    monkeypatch.setattr(q_stream.I, "scratch", noted)
+    assert getattr(q_stream, name)(spark, sf_dir).count() > 0
+    state = [p for p in paths if os.path.isdir(f"{p}/commits")]
+    assert len(state) == 1 and len([f for f in os.listdir(f"{state[0]}/commits") if f.isdigit()]) >= 6
+
+
+def test_folding_snapshots_equals_one_by_one(spark):
+    """Many snapshots in one plan against the same fold in plain Python: absent, anomalous, unchanged, older than the state."""
+    import random
+
+    rng = random.Random(12)
+    day = lambda d: at(d * 1440)
+    snaps = [(s, d, rng.random() < 0.3) for s in ("s", "r") for d in range(2, 9)]
+    rows = [(s, st, day(d), bad, rng.randrange(2), rng.randrange(2), 7) for s, d, bad in snaps for st in "abcd" if rng.random() < 0.6]
+    seen = {(r[0], r[2]) for r in rows}
+    snaps = [x for x in snaps if (x[0], day(x[1])) in seen]
+    old = [("s", "a", day(1), 1, 1, 7, True, day(1)), ("s", "e", day(5), 0, 1, 7, True, day(5)), ("r", "b", day(20), 1, 0, 7, True, day(20)), ("q", "z", day(1), 1, 0, 7, False, day(1))]
+    want = {(r[0], r[1]): list(r[2:]) for r in old}
+    for s, d, bad in sorted(snaps, key=lambda x: x[1]):
+        now = {r[1]: r[4:7] for r in rows if r[0] == s and r[2] == day(d)}
+        for k in {k for k in want if k[0] == s} | {(s, st) for st in now}:
+            here, have = k[1] in now, want.get(k)
+            if have is None:
+                want[k] = [day(d), *now[k[1]], True, day(d)]
+            elif day(d) > have[0] and not (bad and not here):
+                value = now[k[1]] if here else tuple(have[1:4])
+                if (*value, here) != tuple(have[1:5]):
+                    want[k] = [day(d), *value, here, day(d)]
+    state = spark.createDataFrame(old, "system_id string, station_id string, observed_at timestamp_ntz, bikes int, docks int, flags int, is_present boolean, last_changed_at timestamp_ntz")
+    new = spark.createDataFrame(rows, "system_id string, station_id string, observed_at timestamp_ntz, is_anomalous boolean, bikes int, docks int, flags int")
+    got = {(r.system_id, r.station_id): list(r[2:]) for r in ingest.fold_snapshots(state, new).collect()}
+    assert got == want
+    assert {(r.system_id, r.station_id): list(r[2:]) for r in ingest.fold_snapshots(state, new.limit(0)).collect()} == {(r[0], r[1]): list(r[2:]) for r in old}
+
+
+def test_versions_meet_points_once(spark):
+    h = spark.createDataFrame([("k", at(0), at(10), "a"), ("k", at(10), at(10), "b"), ("k", at(10), at(30), "c"), ("k", at(40), None, "d"), ("j", at(5), at(6), "e")], "k string, valid_from timestamp_ntz, valid_to timestamp_ntz, v string")
+    p = spark.createDataFrame([("k", at(m), m) for m in (-1, 0, 9, 10, 29, 30, 39, 40, 99)] + [("j", at(5), 5), ("j", at(6), 6), ("i", at(6), 6)], "k string, t timestamp_ntz, m int")
+    got = {(r.k, r.m): r.v for r in ingest.at_time(p, h, ["k"], "t").collect()}
+    assert got == {("k", 0): "a", ("k", 9): "a", ("k", 10): "c", ("k", 29): "c", ("k", 40): "d", ("k", 99): "d", ("j", 5): "e"}
+
+
+def test_suppression_over_batches(spark):
+    """Many alerts of few keys, in Arrow batches smaller than a key's rows, against a plain loop."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(k, at(rng.randrange(5000), rng.randrange(60))) for k in "abc" for _ in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = sorted((r.k, r.sent_at) for r in monitors.suppress(spark.createDataFrame(rows, "k string, at timestamp_ntz"), "k", "at", 3600).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, last = [], {}
+    for k, t in sorted(rows):
+        if k not in last or (t - last[k]).total_seconds() >= 3600:
+            want.append((k, t))
+            last[k] = t
+    assert got == want
