@@ -5,27 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moorline.functions.scores import brier, log_loss, positives, skill  # noqa: F401
+
 KEYS = ["system_id", "station_id"]
 BANDS = ((0, 5, "night"), (6, 9, "morning"), (10, 15, "day"), (16, 19, "evening"), (20, 23, "late"))
 
 
-def brier(p: Column, y: Column, w: Column) -> Column:
-    return F.sum(w * F.pow(p - y, 2)) / F.sum(w)
-
-
-def log_loss(p: Column, y: Column, w: Column, clip: float = 1e-15) -> Column:
-    q = F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip))
-    return -F.sum(w * (y * F.log(q) + (1 - y) * F.log(1 - q))) / F.sum(w)
-
-
-def positives(y: Column, w: Column) -> Column:
-    return F.sum(w * y) / F.sum(w)
-
-
-def skill(value: Column, reference: Column) -> Column:
-    return F.when(reference > 0, 1 - value / reference)
-
-
 def reliability(rows: DataFrame, by: list[str], bins: int = 20) -> DataFrame:
     """Equal-width bins of p1000 (an edge belongs to the upper bin); empty bins are left out."""
     b = F.least(F.floor(F.col("p1000") * bins / 1000), F.lit(bins - 1)).cast("int")

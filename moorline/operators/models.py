@@ -5,21 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moorline.functions.scores import bucket, logit, persistence, x1000  # noqa: F401
 from moorline.operators import evaluation
 
 KEYS = ["system_id", "station_id"]
 BUCKETS = ("0", "1", "2", "3-5", "6-10", "11+")
 
 
-def bucket(count: Column) -> Column:
-    """Index of a count's bucket: at most 0, 1, 2, 3-5, 6-10, 11 or more."""
-    return F.when(count <= 0, 0).when(count == 1, 1).when(count == 2, 2).when(count <= 5, 3).when(count <= 10, 4).otherwise(5)
-
-
-def persistence(count: Column) -> Column:
-    return (count >= 1).cast("double")
-
-
 def _rate(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return df.groupBy(*by).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias(name))
 
@@ -79,11 +71,6 @@ def thickness(cells: DataFrame) -> DataFrame:
     return cells.groupBy("dow_type").agg(F.max("n_days").alias("max_days"), F.count_if("usable").alias("n_usable"), F.count(F.lit(1)).alias("n_cells"))
 
 
-def logit(p: Column, clip: float = 1e-6) -> Column:
-    q = F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip))
-    return F.log(q / (1 - q))
-
-
 def blend_fit(rows: DataFrame, label: str = "y", weight: str = "w"):  # noqa: ANN201
     """Weighted logistic regression on the logits of two baselines and the horizon."""
     from pyspark.ml import Pipeline
@@ -206,11 +193,6 @@ def trend_gate(rows: DataFrame, p: str, port: str, bins: int = 15, most_ece: flo
     return out.withColumn("passes", (F.col("ece") < most_ece) & (F.col("brier") < F.col("brier_port")))
 
 
-def x1000(p: Column) -> Column:
-    """A probability in thousandths, ties to even, within 0..1000."""
-    return F.least(F.greatest(F.rint(p * 1000), F.lit(0.0)), F.lit(1000.0)).cast("short")
-
-
 def trend_arrays(rows: DataFrame, p: str) -> DataFrame:
     """72 values (day kinds in sorted order x 24 hours) for each entity; missing cells are null."""
     kind = F.when(F.col("dow_type") == "sat", 0).when(F.col("dow_type") == "sun_holiday", 1).otherwise(2)

@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moorline.functions.geo import haversine
 from moorline.operators import features
 
 KEYS = ["system_id", "station_id"]
-EARTH_M = 6_371_000.0
-
-
-def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
 def neighbours(stations: DataFrame, radius_m: float, cell_deg: float = 0.01) -> DataFrame:

@@ -7,8 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moorline.operators.labels import has_bit
-from moorline.operators.reference import haversine
+from moorline.functions import has_bit, haversine
 
 KEYS = ["system_id", "station_id"]
 

@@ -143,9 +143,9 @@ def smp_02_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def smp_03_splitmix(spark: SparkSession, d: str) -> DataFrame:
-    """Share kept by the splitmix64 sampler, by system (no SQL form: 64-bit wrap-around)."""
+    """Share kept by the splitmix64 sampler, by event type."""
     e = T.read(spark, d, "events")
-    u = sampling.splitmix_uniform(F.xxhash64("user_id"), F.col("event_id"))
+    u = sampling.splitmix_uniform(F.col("user_id").cast("long") * 1_000_003, F.col("event_id").cast("long"))
     return e.withColumn("kept", (u < 0.25).cast("int")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("kept").alias("n_kept"))
 
 
@@ -170,6 +170,23 @@ pairs0 AS (SELECT f.system_id, f.station_id, f.t, h.h_min, f.t + to_minutes(h.h_
   LEFT JOIN obs o ON o.system_id = f.system_id AND o.station_id = f.station_id AND o.observed_at <= f.t + to_minutes(h.h_min) WHERE f.base_reason IS NULL GROUP BY ALL),
 pairs AS (SELECT *, {TARGET_REASON} AS target_reason FROM pairs0)"""
 
+
+
+def _times(z: str, c: int) -> str:
+    """z * c modulo 2**64 in 128-bit arithmetic, from halves of 32 bits."""
+    low, high = c & 0xFFFFFFFF, c >> 32
+    return f"((((({z} // 4294967296) * {low} + ({z} % 4294967296) * {high}) % 4294967296) * 4294967296 + ({z} % 4294967296) * {low}) % 18446744073709551616)"
+
+
+def _shifted(z: str, n: int) -> str:
+    return f"xor({z}::UBIGINT, {z}::UBIGINT >> {n})::HUGEINT"
+
+
+_SPLITMIX = f"""WITH a AS (SELECT event_type, (user_id::HUGEINT * 1000003 + event_id + {0x9E3779B97F4A7C15}::HUGEINT) % 18446744073709551616 AS z FROM events),
+b AS (SELECT event_type, {_shifted('z', 30)} AS z FROM a), c AS (SELECT event_type, {_times('z', 0xBF58476D1CE4E5B9)} AS z FROM b), d AS (SELECT event_type, {_shifted('z', 27)} AS z FROM c), e AS (SELECT event_type, {_times('z', 0x94D049BB133111EB)} AS z FROM d),
+f AS (SELECT event_type, {_shifted('z', 31)} AS z FROM e)
+SELECT event_type, count(*) AS n, sum((z // 2048 < {1 << 51})::INT)::BIGINT AS n_kept FROM f GROUP BY 1"""
+
 ORACLE = {
     "flagship_persistence_brier": f"""{_JUDGED}, kept AS (
   SELECT system_id, h_min, (seen.bikes >= 1)::INT AS pb, (seen.docks >= 1)::INT AS pd,
@@ -200,6 +217,7 @@ UNION ALL SELECT system_id, coalesce(target_reason, 'kept') AS reason, count(*)
 WHERE ('0x' || substr(md5(system_id || '|' || station_id || '|' || strftime(t, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT < 1073741824""",
     "smp_02_weights": f"""WITH {T.OBS}, {GRID} SELECT system_id, count(*) AS n_points,
   sum(CASE WHEN ('0x' || substr(md5(system_id || '|' || station_id || '|' || strftime(t, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT < 1073741824 THEN 4.0 ELSE 0.0 END)::DOUBLE AS sum_weight FROM points GROUP BY ALL""",
+    "smp_03_splitmix": _SPLITMIX,
     "spl_01_split": f"""WITH {T.OBS}, d AS (SELECT DISTINCT (observed_at + INTERVAL 9 HOUR)::DATE AS day FROM obs), r AS (SELECT day, row_number() OVER (ORDER BY day DESC) AS n FROM d)
 SELECT day, CASE WHEN n <= 5 THEN 'evaluate' WHEN n <= 6 THEN 'purge' ELSE 'fit' END AS part FROM r""",
     "spl_02_window": f"""WITH {T.OBS}, d AS (SELECT DISTINCT (observed_at + INTERVAL 9 HOUR)::DATE AS day FROM obs WHERE bikes = -1)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from moorline.functions.geo import cell
+
 
 def _decoded(encoding: str):  # noqa: ANN202
     """Text of a binary column: the JVM reader takes only a few encodings."""
@@ -43,11 +45,6 @@ def content_digest(rows: DataFrame) -> DataFrame:
 PLACE = T.StructType([T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()), T.StructField("hourly", T.StructType([T.StructField("time", T.ArrayType(T.StringType())), *[T.StructField(v, T.ArrayType(T.DoubleType())) for v in ("precipitation", "temperature_2m", "wind_speed_10m")]]))])
 
 
-def cell(x: Column, step: float) -> Column:
-    """Integer cell of a coordinate, ties to even."""
-    return F.rint(x / step).cast("int")
-
-
 def weather_batch(raw: DataFrame, issued_hour: str, lat_step: float, lon_step: float, leads: int, offset_h: int) -> DataFrame:
     """Cells of weather JSON (one place or a list): ``leads`` values from the local issue hour on; a file that ends sooner is an error."""
     text = F.trim("raw")
