@@ -154,11 +154,11 @@ def with_profile(rows: DataFrame, daily: DataFrame, days: int, edition: Column,
     copied. A cell without days has prof_n_days 0 and null ratios.
     """
     cell = [*KEYS, "dow_type", "slot15"]
-    enter = daily.select(*cell, "day", F.lit(0).alias("_ask"), F.lit(1).cast("long").alias("n_days"), *SUMS)
-    leave = daily.select(*cell, F.date_add("day", days).alias("day"), F.lit(0).alias("_ask"), F.lit(-1).cast("long").alias("n_days"), *[(-F.col(c)).alias(c) for c in SUMS])
+    step = F.explode(F.array(F.struct(F.col("day").alias("at"), F.lit(1).cast("long").alias("sign")), F.struct(F.date_add("day", days).alias("at"), F.lit(-1).cast("long").alias("sign")))).alias("_s")
+    steps = daily.select(*cell, *SUMS, step).select(*cell, F.col("_s.at").alias("day"), F.lit(0).alias("_ask"), F.col("_s.sign").alias("n_days"), *[(F.col("_s.sign") * F.col(c)).alias(c) for c in SUMS])
     none = [F.lit(0).cast("long").alias(c) for c in ("n_days", *SUMS)]
     ask = rows.select(*KEYS, F.col(dow).alias("dow_type"), F.col(slot).alias("slot15"), edition.alias("day"), F.lit(1).alias("_ask"), *none, F.struct(*rows.columns).alias("_row"))
-    steps = enter.unionByName(leave).withColumn("_row", F.lit(None).cast(ask.schema["_row"].dataType))
+    steps = steps.withColumn("_row", F.lit(None).cast(ask.schema["_row"].dataType))
     running = Window.partitionBy(*cell).orderBy("day", "_ask").rowsBetween(Window.unboundedPreceding, 0)
     sums = steps.unionByName(ask)
     sums = sums.select("_ask", "_row", *[F.sum(c).over(running).alias(c) for c in ("n_days", *SUMS)]).where("_ask = 1")
