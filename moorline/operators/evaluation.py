@@ -93,7 +93,7 @@ def bootstrap(ports: DataFrame, reps: int = REPS, by: tuple[str, ...] = ("system
     """Relative loss of the ablation by ``by``, with a 95 % interval: stations are drawn again with Poisson(1) weights from an md5 of station and repetition (the same on any engine)."""
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", "system_id", "station_id", F.col("rep").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     drawn = ports.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("k_", poisson((draw + 0.5) / float(1 << 32)))
-    loss = lambda w: F.sum(w * (F.col("ablated") - F.col("full"))) / F.sum(w * F.col("full"))
+    loss = lambda w: F.try_divide(F.sum(w * (F.col("ablated") - F.col("full"))), F.sum(w * F.col("full")))  # a draw of no station says nothing
     rep = drawn.groupBy(*by, "rep").agg(loss(F.col("k_")).alias("g"))
     spread = rep.groupBy(*by).agg(F.percentile("g", 0.025).alias("low"), F.percentile("g", 0.975).alias("high"), F.count(F.lit(1)).alias("reps"))
     whole = ports.groupBy(*by).agg(loss(F.lit(1)).alias("gain"))

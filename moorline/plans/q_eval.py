@@ -265,12 +265,12 @@ SELECT 'v1' AS model_version, system_id, target, h_min, bucket, count(*) AS n, r
   AND ts + to_minutes(event_id % 50) >= TIMESTAMP '2024-01-09 15:00:00' AND ts + to_minutes(event_id % 50) < TIMESTAMP '2024-01-10 15:00:00'""",
     "eva_11_port_sums": f"WITH {MQ.ROWS} SELECT system_id, station_id, round(sum(w * pow(p1000 / 1000.0::DOUBLE - y, 2)), 6) AS full, round(sum(w * pow(q1000 / 1000.0::DOUBLE - y, 2)), 6) AS ablated FROM rows GROUP BY ALL",
     "eva_11_ablation": f"""WITH {MQ.ROWS}, ports AS (SELECT system_id, station_id, sum(w * pow(p1000 / 1000.0::DOUBLE - y, 2)) AS f, sum(w * pow(q1000 / 1000.0::DOUBLE - y, 2)) AS a FROM rows GROUP BY ALL), {DRAWN},
-reps AS (SELECT system_id, rep, sum(k * (a - f)) / sum(k * f) AS g FROM drawn GROUP BY ALL), sp AS (SELECT system_id, quantile_cont(g, 0.025) AS low, quantile_cont(g, 0.975) AS high, count(*) AS reps FROM reps GROUP BY ALL)
+reps AS (SELECT system_id, rep, sum(k * (a - f)) / nullif(sum(k * f), 0) AS g FROM drawn GROUP BY ALL), sp AS (SELECT system_id, quantile_cont(g, 0.025) AS low, quantile_cont(g, 0.975) AS high, count(*) AS reps FROM reps GROUP BY ALL)
 SELECT p.system_id, round(sum(a - f) / sum(f), 6) AS gain, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high, any_value(reps) AS reps FROM ports p JOIN sp USING (system_id) GROUP BY ALL""",
     "eva_11_floor": f"""WITH {MQ.ROWS}, x AS (SELECT *, p1000 % 7 AS d, CASE WHEN p1000 % 7 >= 3 THEN y * 400 + p1000 * 3 / 5.0::DOUBLE ELSE p1000 END AS f FROM rows),
 prs AS (SELECT d, system_id, h_min, sum(w * pow(f / 1000 - y, 2)) AS f, sum(w * pow(q1000 / 1000.0::DOUBLE - y, 2)) AS a FROM x GROUP BY ALL), cnt AS (SELECT d, count(*) FILTER (f <= a) AS ok FROM prs GROUP BY ALL),
 ports AS (SELECT d, system_id, station_id, sum(w * pow(f / 1000 - y, 2)) AS f, sum(w * pow(q1000 / 1000.0::DOUBLE - y, 2)) AS a FROM x GROUP BY ALL), {DRAWN},
-reps AS (SELECT d, rep, sum(k * (a - f)) / sum(k * f) AS g FROM drawn GROUP BY ALL), sp AS (SELECT d, quantile_cont(g, 0.025) AS low FROM reps GROUP BY ALL), tot AS (SELECT d, sum(a - f) / sum(f) AS gain FROM ports GROUP BY ALL),
+reps AS (SELECT d, rep, sum(k * (a - f)) / nullif(sum(k * f), 0) AS g FROM drawn GROUP BY ALL), sp AS (SELECT d, quantile_cont(g, 0.025) AS low FROM reps GROUP BY ALL), tot AS (SELECT d, sum(a - f) / sum(f) AS gain FROM ports GROUP BY ALL),
 m AS (SELECT d AS k, gain > 0 AND low > 0 AND ok >= 3 AS ok FROM tot JOIN sp USING (d) JOIN cnt USING (d))
 SELECT min(k) FILTER (k > coalesce((SELECT max(k) FROM m WHERE NOT ok), -1)) AS floor FROM m""",
     "eva_13_tree_budget": f"""WITH {MQ.ROWS}, x AS (SELECT *, unnest([20, 70, 150, 300]) AS trees FROM rows), s AS (SELECT trees, 1 - sum(w * pow((y * least(trees, 100) + p1000 * 0.3::DOUBLE) / 400 - y, 2)) / sum(w * pow((bikes >= 1)::INT - y, 2)) AS i FROM x GROUP BY 1), t AS (SELECT arg_max(i, trees) AS r FROM s)
