@@ -7,7 +7,7 @@ labels look ahead.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,11 +150,14 @@ def build_samples(points: DataFrame, x: Inputs, sampled: bool = True) -> DataFra
 
 
 def build_now(x: Inputs, at: str, back_min: int) -> DataFrame:
-    """Serving features of one grid time: the same functions over the little grid that its windows need; no labels, no sampling."""
-    c = x.config
-    entities = x.obs.select(*KEYS).distinct()
-    start = F.to_timestamp_ntz(F.lit(at)) - timegrid.minutes(back_min)
-    times = F.sequence(start, F.to_timestamp_ntz(F.lit(at)), timegrid.minutes(c.step_min))
-    points = entities.withColumn("t", F.explode(times))
-    f = point_features(grid_state(points, x), points, x, F.col("t") == F.to_timestamp_ntz(F.lit(at)))
+    """Serving features of one grid time: the same functions over the little grid that its windows need; no labels, no sampling.
+
+    Only what had arrived by then is read, and of daily profiles the days of the edition.
+    """
+    c, now = x.config, F.to_timestamp_ntz(F.lit(at))
+    edition = F.date_sub(timegrid.local_date(now, c.local_offset_h), 1)
+    x = replace(x, obs=x.obs.where(F.col("fetched_at") <= now), daily=x.daily.where(F.col("day").between(F.date_sub(edition, c.profile_days - 1), edition)))
+    times = F.sequence(now - timegrid.minutes(back_min), now, timegrid.minutes(c.step_min))
+    points = x.obs.select(*KEYS).distinct().withColumn("t", F.explode(times))
+    f = point_features(grid_state(points, x), points, x, F.col("t") == now)
     return with_targets(f, x).select(*[n for n in sample_columns(c) if n not in LABEL_COLUMNS])
