@@ -59,8 +59,7 @@ def grid_state(points: DataFrame, x: Inputs) -> DataFrame:
     c = x.config
     flow = features.flow(x.obs, c.flow_min, c.change_cap_min, keep=["bikes", "docks", "flags", "reported_age_s"])
     s = asof.as_of_feature(points, flow, ["bikes", "docks", "flags", "reported_age_s", *FLOW])
-    s = s.withColumn("valid", asof.valid("seen", "t", c.staleness_s))
-    s = s.withColumn("bikes", asof.gather(s, "seen", "bikes")).withColumn("docks", asof.gather(s, "seen", "docks"))
+    s = s.withColumns({"valid": asof.valid("seen", "t", c.staleness_s), "bikes": asof.gather(s, "seen", "bikes"), "docks": asof.gather(s, "seen", "docks")})
     known = x.stations.select(*KEYS, F.col("capacity").alias("_declared")).join(reference.capacity_editions(x.capacities), KEYS, "full")
     s = s.join(known, KEYS, "left")
     estimate = F.try_element_at("estimates", F.date_sub(timegrid.local_date(F.col("t"), c.local_offset_h), 1))
@@ -79,12 +78,20 @@ def point_features(state: DataFrame, points: DataFrame, x: Inputs, keep: Column)
     f = features.yesterday_lags(f, c.step_min, c.horizons_min)
     f = f.where(keep & exclude.base_reason("seen", "t", c.staleness_s).isNull()).select("*", *[F.col(f"seen.{n}").alias(n) for n in FLOW])
     f = features.join_neighbours(f, features.neighbour_sums(state, x.edges, c.near_m, c.far_m, points.where(keep)))
-    f = f.withColumn("fill_ratio", features.fill_ratio(F.col("bikes"), F.col("capacity"))).withColumn("gap", features.gap(F.col("system_id"), F.col("capacity"), F.col("bikes"), F.col("docks"), c.gap_systems))
-    f = f.withColumn("is_over_capacity", F.col("bikes") > F.col("capacity")).withColumn("staleness_s", F.when(F.col("system_id").isin(*c.age_systems), F.col("seen.reported_age_s")))
-    f = f.withColumn("feed_delay_s", F.floor((timegrid.micros(t) - timegrid.micros(F.col("seen.observed_at"))) / 1_000_000))
-    f = f.withColumn("minute_of_day", timegrid.minute_of_day(t, c.local_offset_h))
-    sin, cos = calendars.cyclic(F.col("minute_of_day"))
-    f = f.withColumn("sin_t", sin).withColumn("cos_t", cos)
+    minute = timegrid.minute_of_day(t, c.local_offset_h)
+    sin, cos = calendars.cyclic(minute)
+    f = f.withColumns(
+        {
+            "fill_ratio": features.fill_ratio(F.col("bikes"), F.col("capacity")),
+            "gap": features.gap(F.col("system_id"), F.col("capacity"), F.col("bikes"), F.col("docks"), c.gap_systems),
+            "is_over_capacity": F.col("bikes") > F.col("capacity"),
+            "staleness_s": F.when(F.col("system_id").isin(*c.age_systems), F.col("seen.reported_age_s")),
+            "feed_delay_s": F.floor((timegrid.micros(t) - timegrid.micros(F.col("seen.observed_at"))) / 1_000_000),
+            "minute_of_day": minute,
+            "sin_t": sin,
+            "cos_t": cos,
+        }
+    )
     return with_weather(with_calendar(with_attributes(f, x), x), points, x)
 
 
@@ -109,12 +116,12 @@ def with_weather(f: DataFrame, points: DataFrame, x: Inputs) -> DataFrame:
     """Weather of the newest issue available at t in the entity's cell: arrays stay until horizons are known."""
     c = x.config
     f = features.newest_issue(f, x.issues, points)
-    f = f.withColumn("lat_idx", F.rint(F.col("lat") / c.weather_lat).cast("int")).withColumn("lon_idx", F.rint(F.col("lon") / c.weather_lon).cast("int"))
+    f = f.withColumns({"lat_idx": F.rint(F.col("lat") / c.weather_lat).cast("int"), "lon_idx": F.rint(F.col("lon") / c.weather_lon).cast("int")})
     f = f.join(x.cells.withColumnsRenamed({"temp_c": "_temp", "wind_kmh": "_wind"}), ["issued_hour", "lat_idx", "lon_idx"], "left").drop("lat_idx", "lon_idx")
     lead = lambda hour: features.lead_of(F.col("issued_hour"), hour, c.weather_leads)
     t = F.col("t")
     near = lead(features.nearest_hour(t))
-    return f.withColumn("precip_now", F.get("precip_mm", lead(features.containing_hour(t)))).withColumn("temp_c", F.get("_temp", near)).withColumn("wind_kmh", F.get("_wind", near)).drop("_temp", "_wind")
+    return f.withColumns({"precip_now": F.get("precip_mm", lead(features.containing_hour(t))), "temp_c": F.get("_temp", near), "wind_kmh": F.get("_wind", near)}).drop("_temp", "_wind")
 
 
 def with_targets(f: DataFrame, x: Inputs) -> DataFrame:
@@ -122,8 +129,8 @@ def with_targets(f: DataFrame, x: Inputs) -> DataFrame:
     c = x.config
     f = f.withColumn("_h", F.explode("history")).select("*", "_h.*").drop("_h", "history").withColumn("target", F.col("t") + timegrid.minutes(F.col("h_min")))
     sin, cos = calendars.cyclic(F.col("minute_of_day") + F.col("h_min"))
-    f = f.withColumn("sin_target", sin).withColumn("cos_target", cos)
-    f = f.withColumn("precip_target", F.get("precip_mm", features.lead_of(F.col("issued_hour"), features.containing_hour(F.col("target")), c.weather_leads))).drop("precip_mm", "issued_hour")
+    rain = F.get("precip_mm", features.lead_of(F.col("issued_hour"), features.containing_hour(F.col("target")), c.weather_leads))
+    f = f.withColumns({"sin_target": sin, "cos_target": cos, "precip_target": rain}).drop("precip_mm", "issued_hour")
     return with_target_profile(f, x)
 
 
@@ -144,8 +151,8 @@ def build_samples(points: DataFrame, x: Inputs, sampled: bool = True) -> DataFra
     keep = sampling.accepted(c.sample_rate, *key) if sampled else F.lit(True)
     f = with_targets(point_features(grid_state(points, x), points, x, keep), x)
     f = asof.with_truth(f, x.obs, ["bikes", "docks", "flags"], t="target").where(exclude.target_reason("truth", "target", c.staleness_s, "seen").isNull())
-    f = f.withColumn("y_bike", labels.y_bike(F.col("truth.bikes"), F.col("truth.flags"))).withColumn("y_dock", labels.y_dock(F.col("truth.docks"), F.col("truth.flags")))
-    f = sampling.with_weight(f, c.sample_rate if sampled else 1.0).withColumn("stratum", F.lit(STRATUM)).withColumn("feature_set", F.lit(FEATURE_SET))
+    f = f.withColumns({"y_bike": labels.y_bike(F.col("truth.bikes"), F.col("truth.flags")), "y_dock": labels.y_dock(F.col("truth.docks"), F.col("truth.flags")), "stratum": F.lit(STRATUM), "feature_set": F.lit(FEATURE_SET)})
+    f = sampling.with_weight(f, c.sample_rate if sampled else 1.0)
     return f.select(*sample_columns(c))
 
 

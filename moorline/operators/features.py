@@ -30,21 +30,16 @@ def gap(system: Column, cap: Column, bikes: Column, docks: Column, gap_systems:
 def lags(state: DataFrame, step_min: int, lags_min: tuple[int, ...], deltas_min: tuple[int, ...], value: str = "bikes") -> DataFrame:
     """lag_k and delta_k over a dense grid with a ``valid`` flag: null unless both points are valid."""
     w = Window.partitionBy(*KEYS).orderBy("t")
-    out = state
-    for m in sorted({*lags_min, *deltas_min}):
-        out = out.withColumn(f"_l{m}", F.when(F.col("valid"), F.lag(F.when(F.col("valid"), F.col(value)), m // step_min).over(w)))
-    for m in lags_min:
-        out = out.withColumn(f"lag_{m}", F.col(f"_l{m}"))
-    for m in deltas_min:
-        out = out.withColumn(f"delta_{m}", F.col(value) - F.col(f"_l{m}"))
-    return out.drop(*[f"_l{m}" for m in {*lags_min, *deltas_min}])
+    held = {f"_l{m}": F.when(F.col("valid"), F.lag(F.when(F.col("valid"), F.col(value)), m // step_min).over(w)) for m in sorted({*lags_min, *deltas_min})}
+    named = {f"lag_{m}": F.col(f"_l{m}") for m in lags_min} | {f"delta_{m}": F.col(value) - F.col(f"_l{m}") for m in deltas_min}
+    return state.withColumns(held).withColumns(named).drop(*held)
 
 
 def rolling(state: DataFrame, step_min: int, roll_min: int, value: str = "bikes") -> DataFrame:
     """Mean, minimum and maximum over the points of the last ``roll_min`` minutes, both ends included; invalid points do not count."""
     w = Window.partitionBy(*KEYS).orderBy("t").rowsBetween(-(roll_min // step_min), 0)
     v = F.when(F.col("valid"), F.col(value))
-    return state.withColumn("roll_mean", F.avg(v).over(w)).withColumn("roll_min", F.min(v).over(w)).withColumn("roll_max", F.max(v).over(w))
+    return state.withColumns({"roll_mean": F.avg(v).over(w), "roll_min": F.min(v).over(w), "roll_max": F.max(v).over(w)})
 
 
 def flow(obs: DataFrame, window_min: int, cap_min: int, keep: list[str] | None = None) -> DataFrame:
@@ -54,11 +49,10 @@ def flow(obs: DataFrame, window_min: int, cap_min: int, keep: list[str] | None =
     the flow of unobserved ones is null.
     """
     observed = F.col("bikes") != -1
-    seen = (obs if keep else obs.where(observed)).withColumn("_us", micros(F.col("observed_at")))
-    seen = seen.withColumn("_ok", observed)
+    seen = (obs if keep else obs.where(observed)).withColumns({"_us": micros(F.col("observed_at")), "_ok": observed})
     keys = [*KEYS, "_ok"] if keep else KEYS
     order = Window.partitionBy(*keys).orderBy("observed_at", "fetched_at")
-    seen = seen.withColumn("_d", F.col("bikes") - F.lag("bikes").over(order)).withColumn("_n", F.row_number().over(order))
+    seen = seen.withColumns({"_d": F.col("bikes") - F.lag("bikes").over(order), "_n": F.row_number().over(order)})
     back = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-window_min * US + 1, 0)
     running = Window.partitionBy(*keys).orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
     total = lambda c: F.coalesce(F.sum(c).over(back), F.lit(0)).cast("int")
@@ -139,9 +133,7 @@ def yesterday_lags(state: DataFrame, step_min: int, horizons_min: tuple[int, ...
     w = Window.partitionBy(*KEYS).orderBy("t")
     old = lambda back, c: F.lag(F.when(F.col("valid"), c), back // step_min).over(w) if back else F.when(F.col("valid"), c)
     both = F.struct(y_bike(F.col("bikes"), F.col("seen.flags")).alias("bike"), y_dock(F.col("docks"), F.col("seen.flags")).alias("dock"))
-    out = state.withColumn("bikes_yesterday", old(1440, F.col("bikes")))
-    for h in horizons_min:
-        out = out.withColumn(f"_y{h}", old(1440 - h, both))
+    out = state.withColumns({"bikes_yesterday": old(1440, F.col("bikes"))} | {f"_y{h}": old(1440 - h, both) for h in horizons_min})
     history = F.array(*[F.struct(F.lit(h).alias("h_min"), F.col(f"_y{h}.bike").alias("y_bike_yesterday"), F.col(f"_y{h}.dock").alias("y_dock_yesterday")) for h in horizons_min])
     return out.withColumn("history", history).drop(*[f"_y{h}" for h in horizons_min])
 
