@@ -24,13 +24,14 @@ STRATUM, FEATURE_SET = "uniform", "v1"
 class Inputs:
     obs: DataFrame
     stations: DataFrame  #: keys, lat, lon, capacity (declared), pref_code, muni_code, region_id, is_charging
-    edges: DataFrame
-    daily: DataFrame | None  #: daily profiles: keys, day, dow_type, slot15 and sums; an edition is the sum of its last ``profile_days``
     capacities: DataFrame  #: keys, day, capacity_max: the daily maxima that estimates come from
-    days: DataFrame  #: calendar: date, holiday_name, day_type, dow_type, is_day_before_holiday, is_last_business_day
-    issues: DataFrame | None  #: issued_hour, available_at
-    cells: DataFrame | None  #: issued_hour, lat_idx, lon_idx and arrays by lead: precip_mm, temp_c, wind_kmh
     config: Config
+    # beyond the state of the grid:
+    edges: DataFrame | None = None
+    daily: DataFrame | None = None  #: daily profiles: keys, day, dow_type, slot15 and sums; an edition is the sum of its last ``profile_days``
+    days: DataFrame | None = None  #: calendar: date, holiday_name, day_type, dow_type, is_day_before_holiday, is_last_business_day
+    issues: DataFrame | None = None  #: issued_hour, available_at
+    cells: DataFrame | None = None  #: issued_hour, lat_idx, lon_idx and arrays by lead: precip_mm, temp_c, wind_kmh
 
 
 def sample_columns(c: Config) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ EVENT_DAYS = """edays AS (SELECT date, CASE WHEN monthday >= 1229 OR monthday <=
 
 
 def state(spark: SparkSession, d: str) -> DataFrame:
-    return build.grid_state(G.grid_points(spark, d), inputs(spark, d, daily=False))
+    return build.grid_state(G.grid_points(spark, d), state_inputs(spark, d))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -55,12 +57,18 @@ def profile(spark: SparkSession, d: str, last: str = "2024-01-20") -> DataFrame:
     return reference.sum_dailies(dailies(spark, d).where(F.col("day") <= last))
 
 
-def inputs(spark: SparkSession, d: str, daily: bool = True) -> build.Inputs:
+def state_inputs(spark: SparkSession, d: str) -> build.Inputs:
+    """What the state of the grid needs: observations, attributes and capacities."""
     k = F.col("station_id").cast("long")
     stations = T.stations(spark, d).select("*", (k % 40 - 1).cast("int").alias("muni_code"), F.when(F.col("system_id") == "a", k % 9).cast("int").alias("region_id"))
     o = T.obs_long(spark, d)
     maxima = reference.daily_capacity_max(o, timegrid.local_date(F.col("observed_at"), 9))
-    return build.Inputs(o, stations, edges(spark, d), dailies(spark, d) if daily else None, maxima, event_days(spark, d), *weather(spark, d), SPARSE)
+    return build.Inputs(obs=o, stations=stations, capacities=maxima, config=SPARSE)
+
+
+def inputs(spark: SparkSession, d: str) -> build.Inputs:
+    issues, cells = weather(spark, d)
+    return dataclasses.replace(state_inputs(spark, d), edges=edges(spark, d), daily=dailies(spark, d), days=event_days(spark, d), issues=issues, cells=cells)
 
 
 def fea_01_calendar(spark: SparkSession, d: str) -> DataFrame:
