@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("catalog", "learned", "q_dedup")
+MODULES = ("catalog", "learned", "q_dedup", "q_derived")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,12 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def written_at(df: DataFrame, name: str, by: str | None = None) -> str:
+    """The folder of a new table in the shared folder that holds df, in partitions by one column if named."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: a short lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written_at(df, name))
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``written_at`` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
