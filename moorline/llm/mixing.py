@@ -97,10 +97,11 @@ def log_factorial(n: Column) -> Column:
     return F.when(n < 16, F.log(F.factorial(F.greatest(F.least(n, F.lit(16)), F.lit(0)).cast("int")).cast("double"))).otherwise(series)
 
 
-def hypergeometric(all_: Column, good: Column, drawn: Column, u: Column) -> Column:
-    """Successes among ``drawn`` of ``all_`` of which ``good`` are successes, by inversion of u in (0, 1).
+def hypergeometric(all_: Column, good: Column, drawn: Column, u: Column, v: Column, widest: float = 100.0) -> Column:
+    """Successes among ``drawn`` of ``all_`` of which ``good`` are successes, from u and v uniform in (0, 1).
 
-    Counts further than ten standard deviations and two from the mean (odds below 1e-20) are left out.
+    By inversion of u over the counts within ten standard deviations and two of the mean (odds of others below
+    1e-20); with a standard deviation above ``widest``, by the rounded normal draw of u and v.
     """
 
     def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -109,18 +110,23 @@ def hypergeometric(all_: Column, good: Column, drawn: Column, u: Column) -> Colu
     size = F.greatest(all_, F.lit(1)).cast("double")
     mean = drawn.cast("double") * good / size
     spread = F.sqrt(F.greatest(mean * (1 - good / size) * (all_ - drawn) / F.greatest(all_ - 1, F.lit(1)), F.lit(0.0)))
-    least = F.greatest(F.lit(0).cast("long"), drawn - (all_ - good), F.floor(mean - 10 * spread - 2))
-    most = F.least(drawn, good, F.ceil(mean + 10 * spread + 2))
+    least, most = F.greatest(F.lit(0).cast("long"), drawn - (all_ - good)), F.least(drawn, good)
+    known = F.struct(mean.alias("mean"), spread.alias("spread"), least.cast("long").alias("least"), most.cast("long").alias("most"))
 
     def odds(x: Column) -> Column:
         return -(log_factorial(x) + log_factorial(good - x) + log_factorial(drawn - x) + log_factorial(all_ - good - drawn + x))
 
-    def pick(x: Column) -> Column:
-        top = F.least(F.greatest(F.floor(mean).cast("long"), x.getField("least")), x.getField("most"))
-        weights = F.transform(F.sequence(x.getField("least"), x.getField("most")), lambda k: F.exp(odds(k) - odds(top)))
-        return let(weights, lambda w: x.getField("least") + _below(w, u))
+    def narrow(x: Column) -> Column:
+        low = F.greatest(x["least"], F.floor(x["mean"] - 10 * x["spread"] - 2))
+        high = F.greatest(low, F.least(x["most"], F.ceil(x["mean"] + 10 * x["spread"] + 2)))
+        top = F.least(F.greatest(F.floor(x["mean"]).cast("long"), low), high)
+        return let(odds(top), lambda best: let(F.transform(F.sequence(low, high), lambda k: F.exp(odds(k) - best)), lambda w: low + _below(w, u)))
 
-    return let(F.struct(least.cast("long").alias("least"), F.greatest(least, most).cast("long").alias("most")), pick)
+    def wide(x: Column) -> Column:
+        at = F.round(x["mean"] + x["spread"] * F.sqrt(-2 * F.log(u)) * F.cos(6.283185307179586 * v)).cast("long")
+        return F.least(F.greatest(at, x["least"]), x["most"])
+
+    return let(known, lambda x: F.when(x["spread"] > widest, wide(x)).when(x["least"] >= x["most"], x["least"]).otherwise(narrow(x)))
 
 
 def _below(weights: Column, u: Column) -> Column:
@@ -137,9 +143,8 @@ def split(quotas: Column, draws: Column, key: list[Column]) -> Column:
     start = F.struct(F.aggregate(quotas, F.lit(0).cast("long"), lambda a, q: a + q).alias("all"), draws.cast("long").alias("draws"), F.coalesce(none, F.array().cast("array<long>")).alias("out"))
 
     def step(a: Column, q: Column) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(*key, F.size(a["out"])), 11) + 0.5) / float(1 << 53)
-        x = F.element_at(F.transform(F.array(hypergeometric(a["all"], q, a["draws"], u)), lambda v: v), 1)
-        return F.element_at(F.transform(F.array(x), lambda v: F.struct((a["all"] - q).alias("all"), (a["draws"] - v).alias("draws"), F.concat(a["out"], F.array(v)).alias("out"))), 1)
+        u, v = ((F.shiftrightunsigned(F.xxhash64(*key, F.size(a["out"]), F.lit(i)), 11) + 0.5) / float(1 << 53) for i in (0, 1))
+        return F.element_at(F.transform(F.array(hypergeometric(a["all"], q, a["draws"], u, v)), lambda v: F.struct((a["all"] - q).alias("all"), (a["draws"] - v).alias("draws"), F.concat(a["out"], F.array(v)).alias("out"))), 1)
 
     return F.aggregate(quotas, start, step)["out"]
 

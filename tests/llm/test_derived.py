@@ -330,13 +330,14 @@ def test_shards_hold_exact_disjoint_blocks(spark):
 def test_hypergeometric_draws_have_the_right_odds(spark):
     from pyspark.sql import functions as F
 
-    df = spark.range(20_000).select(M.hypergeometric(F.lit(30).cast("long"), F.lit(12).cast("long"), F.lit(10).cast("long"), (F.col("id") + 0.5) / 20_000).alias("x"))
+    df = spark.range(20_000).select(M.hypergeometric(F.lit(30).cast("long"), F.lit(12).cast("long"), F.lit(10).cast("long"), (F.col("id") + 0.5) / 20_000, F.lit(0.5)).alias("x"))
     got = {r.x: r["count"] for r in df.groupBy("x").count().collect()}
     for k in range(11):
         want = math.comb(12, k) * math.comb(18, 10 - k) / math.comb(30, 10)
         assert abs(got.get(k, 0) / 20_000 - want) < 1e-3
-    big = spark.range(200).select(M.hypergeometric(F.lit(10**11), F.lit(10**10), F.lit(5 * 10**10), (F.col("id") + 0.5) / 200).alias("x")).agg(F.avg("x"), F.stddev("x")).first()
-    assert abs(big[0] - 5e9) < 3000 and abs(big[1] - math.sqrt(5e10 * 0.1 * 0.9 * 0.5)) < 1000
+    u = [(F.shiftrightunsigned(F.xxhash64("id", F.lit(i)), 11) + 0.5) / float(1 << 53) for i in (0, 1)]
+    big = spark.range(20_000).select(M.hypergeometric(F.lit(10**11), F.lit(10**10), F.lit(5 * 10**10), *u).alias("x")).agg(F.avg("x"), F.stddev("x")).first()
+    assert abs(big[0] - 5e9) < 2000 and abs(big[1] - math.sqrt(5e10 * 0.1 * 0.9 * 0.5)) < 1500
 
 
 def test_halves_add_up(spark):
