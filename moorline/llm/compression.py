@@ -6,7 +6,8 @@ is compressed in chunks with each; the normalised size difference
 a logistic calibration fitted on labelled texts that trained neither dictionary.
 
 The fit uses a bounded sample (``per_class`` texts of each class, none longer than
-``longest`` characters). Empty or null text compresses to nothing: its features are
+``longest`` characters, ``most_chars`` of a class together). An id that has both labels
+teaches neither. Empty or null text compresses to nothing: its features are
 zero and it gets the calibration's value there. When one class has no labelled text
 every score is that class's share. Repeated rows have no effect; extra columns may have
 any name: a row is carried whole, and where a result is returned beside the row's own
@@ -36,6 +37,7 @@ class Params:
     held_out: int = 0
     per_class: int = 2000
     longest: int = 32_000
+    most_chars: int = 12_000_000  #: of a class's sampled texts
     dictionary: int = 1 << 16
     chunk: int = 4096
     level: int = 3
@@ -105,7 +107,7 @@ def _own_lines(texts: list[str]) -> list[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
-    rows = sample_texts(docs, balanced_ids(labels, "quality", p.folds, p.held_out, p.per_class), p.longest)
+    rows = sample_texts(docs, balanced_ids(labels, "quality", p.folds, p.held_out, p.per_class), p.longest, p.most_chars)
     own = _own_lines([t for t, _ in rows])
     good, bad = ([(t.encode(), o.encode()) for (t, y), o in zip(rows, own, strict=True) if y == v] for v in (1, 0))
     if not good or not bad:

@@ -14,7 +14,7 @@ Words whose marginal passes ``span`` are offending spans (byte offsets); the tex
 greatest marginal. Null, empty and wordless texts have score 0 and no spans. The fit
 uses a bounded sample (``per_class`` texts and ``most_chars`` characters of each class,
 none longer than ``longest`` characters, the held-out fold excluded); without toxic
-units every score is 0. Repeated rows and extra columns have no effect.
+units every score is 0. An id that has both labels teaches neither. Repeated rows and extra columns have no effect.
 """
 
 from __future__ import annotations

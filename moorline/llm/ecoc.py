@@ -10,8 +10,9 @@ The fit uses a bounded sample (``per_class`` texts a language, none longer than
 ``longest`` characters, the held-out fold excluded); only n-gram shares of that sample
 reach the driver. Null text, or text without a letter, is ``und`` with score 0. With
 one known language all lettered texts get it; with none, all are ``und``. Of more than
-``most_languages`` values of lang (dirty data) those of most documents are learned. Repeated
-rows have no effect; extra columns may have any name: a row is carried whole, and where
+``most_languages`` values of lang (dirty data) those of most documents are learned. A row's text is
+learned with its own lang, whatever other rows of its doc_id say, in any order of rows; repeated
+rows count once; extra columns may have any name: a row is carried whole, and where
 results are returned beside its own columns, an own column of a result's name gives way.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moorline.llm.labelled import balanced_ids
+from moorline.llm.labelled import balanced
 from moorline.llm.shared import carried, carried_schema, fold, released
 from moorline.llm.textarrays import slices, text_buffer
 
@@ -112,9 +113,9 @@ class Model:
 
 
 def fit(docs: DataFrame, p: Params = Params()) -> Model:
-    ids = balanced_ids(docs.where(F.col("text").isNotNull()), "lang", p.folds, p.held_out, p.per_class, p.most, p.most_languages)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, p.longest))
-    rows = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"), "text")
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & F.col("text").isNotNull()).where(fold("doc_id", p.folds) != p.held_out)
+    rows = balanced(rows, "label", F.xxhash64(F.lit("sample"), "doc_id", "text"), p.per_class, p.most, p.most_languages).where(F.length("text").between(1, p.longest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +123,9 @@ def fit(docs: DataFrame, p: Params = Params()) -> Model:
                 x = shares(part.column(2), p.bins)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], type=pa.binary())], names=["doc_id", "label", "x"])
 
-    seen = {(r.label, bytes(r.x)): r.doc_id for r in rows.mapInArrow(run, "doc_id long, label string, x binary").collect()}
+    seen: dict[tuple[str, bytes], int] = {}
+    for r in rows.mapInArrow(run, "doc_id long, label string, x binary").collect():
+        seen[r.label, bytes(r.x)] = min(r.doc_id, seen.get((r.label, bytes(r.x)), r.doc_id))
     picked = sorted((doc, label, x) for (label, x), doc in seen.items())
     languages = sorted({label for _, label, _ in picked})
     code = codewords(len(languages))

@@ -12,20 +12,26 @@ from pyspark.sql import functions as F
 from moorline.llm.shared import cut, fold
 
 
-def balanced_ids(labels: DataFrame, label: str, parts: int, held_out: int, per_class: int, most: int | None = None, most_classes: int = 200) -> DataFrame:
-    """doc_id and label of about ``per_class`` rows at most of each class and ``most`` of all, never of the held-out fold.
+def balanced(rows: DataFrame, label: str, key: Column, per_class: int, most: int | None = None, most_classes: int = 200) -> DataFrame:
+    """About ``per_class`` rows at most of each label and ``most`` of all, by a hash of ``key``, whatever the rows' order.
 
     Beyond ``most_classes`` distinct labels, those of most rows are kept (ties by label).
     """
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
-    rows = rows.where(fold("doc_id", parts) != held_out)
-    top = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label").limit(most_classes)
-    counts = {r["label"]: r["n"] for r in top.collect()}
+    top = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), label).limit(most_classes)
+    counts = {r[label]: r["n"] for r in top.collect()}
     each = min(per_class, most // max(1, len(counts))) if most else per_class
     share: Column = F.lit(0)
     for value, n in counts.items():
-        share = F.when(F.col("label") == F.lit(value), F.lit(int(min(1.0, each / n) * (1 << 32)))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 32)) < share).dropDuplicates(["doc_id"])
+        share = F.when(F.col(label) == F.lit(value), F.lit(int(min(1.0, each / n) * (1 << 32)))).otherwise(share)
+    return rows.where(F.pmod(key, F.lit(1 << 32)) < share)
+
+
+def balanced_ids(labels: DataFrame, label: str, parts: int, held_out: int, per_class: int) -> DataFrame:
+    """doc_id and label of a balanced sample of ids, never of the held-out fold; an id that has two labels has none."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+    rows = rows.where(fold("doc_id", parts) != held_out)
+    agreed = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
+    return balanced(agreed, "label", F.xxhash64(F.lit("sample"), "doc_id"), per_class)
 
 
 def sample_texts(docs: DataFrame, ids: DataFrame, longest: int, most_chars: int | None = None) -> list[tuple[str, object]]:

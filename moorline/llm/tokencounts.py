@@ -7,7 +7,8 @@ many tokens lie in longer documents, and how many remain when every document is
 truncated to L. The sums run inside blocks of lengths, and over the few block totals,
 so no task holds the whole histogram.
 
-Null text has no tokens (length 0); repeated rows count each; extra columns are
+Null text has no tokens (length 0); texts may be of any length, long runs of white space
+included; repeated rows count each; extra columns are
 ignored; an empty table gives no rows.
 """
 
