@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from moorline.llm import compression, ecoc, minhash, packing, winnow
 from moorline.llm.shared import carried, cut, shared_dir, table
 
-LEAST_LANGUAGE_SCORE = 0.3  #: below it the best language is no better than a guess
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier scores at its threshold or above."""
@@ -25,24 +23,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language is told apart."""
-    found = ecoc.tell(docs, ecoc.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select("own.*")
+    """Documents that have a language: the operator's ``und`` (no letter, or no language known) go."""
+    return ecoc.tell(docs, ecoc.fit(docs)).where(F.col("lang_pred") != "und").select("own.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: the one of smallest doc_id, rows without an id last.
 
     Groups are those of rows, not of ids: every row gets a key of its own, written before it is used. A text
-    without words is near no other; of its rows with equal doc_id and text one stays.
+    without words is near no other, so each of its rows stays.
     """
     keyed = cut(carried(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
     groups = minhash.near_duplicates(keyed.select(F.col("row").alias("doc_id"), F.col("own.text").alias("text"))).select(F.col("doc_id").alias("row"), "component_id")
-    text, doc_id = F.col("own.text"), F.col("own.doc_id")
-    wordless = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    ids = keyed.select("row", doc_id.alias("doc_id"), F.when(wordless, F.coalesce(F.sha2(text, 256), F.lit("null"))).alias("bare"))
-    group = [F.when(F.col("bare").isNull(), F.col("component_id")).alias("a"), F.col("bare").alias("b"), F.when(F.col("bare").isNotNull(), F.col("doc_id")).alias("c")]
-    first = groups.join(ids, "row").groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
+    ids = keyed.select("row", F.col("own.doc_id").alias("doc_id"))
+    first = groups.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
     return keyed.join(first.select("first.row"), "row", "left_semi").select("own.*")
 
 
