@@ -16,7 +16,7 @@ def persistence(count: Column) -> Column:
 
 
 def logit(p: Column, clip: float = 1e-6) -> Column:
-    q = F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip))
+    q = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip)))
     return F.log(q / (1 - q))
 
 

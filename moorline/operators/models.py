@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moorline.functions.scores import bucket, logit, persistence, x1000  # noqa: F401
-from moorline.operators import evaluation
+from moorline.operators import evaluation, grouped
 
 KEYS = ["system_id", "station_id"]
 BUCKETS = ("0", "1", "2", "3-5", "6-10", "11+")
@@ -71,25 +71,17 @@ def thickness(cells: DataFrame) -> DataFrame:
     return cells.groupBy("dow_type").agg(F.max("n_days").alias("max_days"), F.count_if("usable").alias("n_usable"), F.count(F.lit(1)).alias("n_cells"))
 
 
-def blend_fit(rows: DataFrame, label: str = "y", weight: str = "w"):  # noqa: ANN201
-    """Weighted logistic regression on the logits of two baselines and the horizon."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    design = VectorAssembler(inputCols=["x1", "x2", "x3"], outputCol="features")
-    return Pipeline(stages=[design, LogisticRegression(labelCol=label, weightCol=weight, standardization=True, maxIter=100, tol=1e-9)]).fit(blend_design(rows).withColumn(label, F.col(label).cast("double")))
+def blend_features() -> list[Column]:
+    return [logit(F.col("p_b1")), logit(F.col("p_b2")), F.col("h_min") / 180]
 
 
-def blend_design(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("x1", logit(F.col("p_b1"))).withColumn("x2", logit(F.col("p_b2"))).withColumn("x3", F.col("h_min") / 180)
+def blend_fit(rows: DataFrame, by: list[str] | None = None, label: str = "y", weight: str = "w") -> DataFrame:
+    """Coefficients of a weighted logistic regression on the logits of two baselines and the horizon, for each group of ``by``."""
+    return grouped.logistic(rows, by or [], blend_features(), label, weight)
 
 
-def blend_predict(rows: DataFrame, model, name: str = "p_b3") -> DataFrame:  # noqa: ANN001
-    from pyspark.ml.functions import vector_to_array
-
-    out = model.transform(blend_design(rows))
-    return out.withColumn(name, vector_to_array("probability")[1]).drop("x1", "x2", "x3", "features", "rawPrediction", "probability", "prediction")
+def blend_predict(rows: DataFrame, coefficients: DataFrame, by: list[str] | None = None, name: str = "p_b3") -> DataFrame:
+    return grouped.predicted(rows, coefficients, by or [], blend_features(), name)
 
 
 def hourly_trend(profile: DataFrame, slots_per_hour: int, floors: dict[str, int]) -> DataFrame:
@@ -136,49 +128,19 @@ def binomial(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_b", F.explode(both)).drop("y", "w").select("*", "_b.*").drop("_b").where("w > 0")
 
 
-ISOTONIC_BINS = 1000
-GRID = 1 << 20  #: steps that probabilities are held in before they are cut into bins, which bounds the window's rows
+def calibration_features() -> list[Column]:
+    """Logits of the rate and of the port's rate, and on days off the same and an intercept of their own."""
+    a, b, off = logit(F.col("rate")), logit(F.col("port_rate")), (F.col("dow_type") != "weekday").cast("double")
+    return [a, b, off, a * off, b * off]
 
 
-def equal_weight_bins(rows: DataFrame, p: str, label: str, weight: str, bins: int = ISOTONIC_BINS) -> DataFrame:
-    """p, label and weight of bins of equal weight in the order of p; equal values (of ``GRID`` steps) stay together.
+def calibrate(rows: DataFrame, by: list[str], label: str = "y", weight: str = "w") -> grouped.Calibration:
+    """Logistic on six features, then a monotone fit of its output over bins of equal weight, for each group; the label may be a rate."""
+    return grouped.calibrate(rows, by, calibration_features(), label, weight)
 
-    Rows fold to at most GRID + 1 values first; only these pass through the one window without a key.
-    """
-    values = rows.groupBy(F.round(F.col(p) * GRID).cast("long").alias("_v")).agg(F.sum(weight).alias("_w"), F.sum(F.col(p) * F.col(weight)).alias("_p"), F.sum(F.col(label) * F.col(weight)).alias("_y"))
-    before = F.sum("_w").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
-    whole = F.sum("_w").over(Window.partitionBy(F.lit(0)))
-    values = values.withColumn("_b", F.least(F.floor(F.coalesce(before, F.lit(0.0)) * bins / whole), F.lit(bins - 1)))
-    return values.groupBy("_b").agg((F.sum("_p") / F.sum("_w")).alias(p), (F.sum("_y") / F.sum("_w")).alias(label), F.sum("_w").alias(weight))
-
-
-def calibrate(rows: DataFrame, label: str, weight: str):  # noqa: ANN201
-    """(logistic model, isotonic model): logistic on six features, then a monotone fit of its output over bins of equal weight, read by linear interpolation."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import IsotonicRegression
-
-    x = calibration_design(rows).withColumn(label, F.col(label).cast("double"))
-    x = VectorAssembler(inputCols=[f"c{i}" for i in range(1, 6)], outputCol="features").transform(x)
-    model = LogisticRegression(labelCol=label, weightCol=weight, maxIter=100).fit(x)
-    scored = model.transform(x).select(vector_to_array("probability")[1].alias("p"), label, weight)
-    return model, IsotonicRegression(featuresCol="p", labelCol=label, weightCol=weight).fit(equal_weight_bins(scored, "p", label, weight))
-
-
-def calibration_design(rows: DataFrame) -> DataFrame:
-    a, b, e = logit(F.col("rate")), logit(F.col("port_rate")), (F.col("dow_type") != "weekday").cast("double")
-    return rows.withColumn("c1", a).withColumn("c2", b).withColumn("c3", e).withColumn("c4", a * e).withColumn("c5", b * e)
-
-
-def calibrated(rows: DataFrame, models, name: str = "p_trend") -> DataFrame:  # noqa: ANN001
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    logistic, isotonic = models
-    x = VectorAssembler(inputCols=[f"c{i}" for i in range(1, 6)], outputCol="features").transform(calibration_design(rows))
-    x = logistic.transform(x).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-    return isotonic.transform(x).withColumnRenamed("prediction", name).drop("c1", "c2", "c3", "c4", "c5", "p")
+def calibrated(rows: DataFrame, fit: grouped.Calibration, name: str = "p_trend") -> DataFrame:
+    return grouped.calibrated(rows, fit, name)
 
 
 MOST_ECE = 0.03

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moorline.operators import models as M
-from moorline.operators import timegrid
+from moorline.operators import routing, timegrid, trees
 from moorline.plans import q_features as Q
 from moorline.plans.scratch import written
 from moorline.sources import tables as T
@@ -73,7 +73,7 @@ def mod_05_leave_day_out(spark: SparkSession, d: str) -> DataFrame:
 def mod_06_blend(spark: SparkSession, d: str) -> DataFrame:
     x = with_baselines(spark, d)
     half = F.pmod(F.xxhash64("station_id", "day"), F.lit(2)) == 0
-    scored = M.blend_predict(x.where(~half), M.blend_fit(x.where(half)))
+    scored = M.blend_predict(x.where(~half), M.blend_fit(written(x.where(half), "blend")))
     return scored.groupBy("system_id", "h_min").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("w") * F.pow(F.col("p_b3") - F.col("y"), 2)) / F.sum("w"), 6).alias("brier_b3"))
 
 
@@ -109,15 +109,12 @@ def trend_windows(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {n: written(M.trend_rows(daily, p, 28, 2, TREND_FLOORS), n) for n, p in pairs.items()}
 
 
+TREND_GROUP = ["system_id", "target"]
+
+
 def each_group(fit: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with p_trend, calibrated for each system and target on ``fit``."""
-    out = None
-    for system in ("a", "b"):
-        for target in ("bike", "dock"):
-            own = (F.col("system_id") == system) & (F.col("target") == target)
-            one = M.calibrated(rows.where(own), M.calibrate(M.binomial(fit.where(own)), "y", "w"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    """rows with p_trend, calibrated for each system and target on ``fit``: all groups in the same few passes."""
+    return M.calibrated(rows, M.calibrate(fit, TREND_GROUP))
 
 
 def mod_09_calibration(spark: SparkSession, d: str) -> DataFrame:
@@ -184,6 +181,58 @@ def mod_12_forest_score(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("system_id", "h_min").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_forest"), 6).alias("mean_p"))
 
 
+BOUNDED = trees.Params(trees=3, leaves=31, least_leaf=50, rising=("bikes",))
+
+
+def bounded_forest(spark: SparkSession, d: str) -> tuple[DataFrame, trees.Forest]:
+    """Forest rows, and a forest of bounded leaves that never falls along the own count, fitted on the fit days."""
+    x = written(forest_rows(spark, d), "forest")
+    return x, trees.fit(x.where(F.col("day") < SPLIT), COLUMNS, "y", "w", written, BOUNDED, CODES)
+
+
+def mod_11_bounded_forest(spark: SparkSession, d: str) -> DataFrame:
+    """Splits and gain of each column, least rows of a leaf, and leaves of the largest tree."""
+    _, forest = bounded_forest(spark, d)
+    leaves = forest.table.where("column is null")
+    held = leaves.groupBy("tree").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("leaves")).agg(F.min("least").alias("least_leaf"), F.max("leaves").alias("most_leaves"))
+    return forest.importance().join(F.broadcast(held)).withColumn("gain", F.round("gain", 4))
+
+
+def mod_12_bounded_score(spark: SparkSession, d: str) -> DataFrame:
+    """Days that the bounded forest was not fitted on, scored from its table of nodes."""
+    x, forest = bounded_forest(spark, d)
+    s = trees.scored(x.where(F.col("day") >= SPLIT), forest.table, COLUMNS, forest.depth, forest.base)
+    return s.groupBy("system_id", "h_min").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("w") * F.pow(F.col("p_forest") - F.col("y"), 2)) / F.sum("w"), 6).alias("brier"))
+
+
+#: An imported forest: tree, node, column, threshold, nan_left, codes, left, right, value.
+IMPORTED = [
+    (0, 0, "bikes", 2.5, False, None, 1, 2, None),
+    (0, 1, "p1000", 400.0, True, None, 3, 4, None),
+    (0, 2, "kind", None, None, [0, 2], 5, 6, None),
+    (0, 3, None, None, None, None, None, None, -0.75),
+    (0, 4, None, None, None, None, None, None, -0.25),
+    (0, 5, None, None, None, None, None, None, 0.5),
+    (0, 6, None, None, None, None, None, None, 0.125),
+    (1, 0, "p1000", 650.0, False, None, 1, 2, None),
+    (1, 1, "bucket", None, None, [1, 4], 3, 4, None),
+    (1, 2, None, None, None, None, None, None, 0.375),
+    (1, 3, "h_min", 15.0, True, None, 5, 6, None),
+    (1, 4, None, None, None, None, None, None, -0.5),
+    (1, 5, None, None, None, None, None, None, 0.25),
+    (1, 6, None, None, None, None, None, None, -0.125),
+]
+
+
+def mod_12_node_walk(spark: SparkSession, d: str) -> DataFrame:
+    """All rows, with nulls among numbers and codes, scored by an imported table of nodes."""
+    hole = lambda c, k: F.when(F.col("minute") % k != 0, F.col(c)).alias(c)
+    x = forest_rows(spark, d).select("system_id", "minute", "bikes", "h_min", "bucket", hole("p1000", 7), hole("kind", 11))
+    table = spark.createDataFrame([(*r, None, None) for r in IMPORTED], trees.NODES)
+    s = trees.scored(x, table, COLUMNS, 3)
+    return s.groupBy("system_id", "h_min", "bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_forest"), 9).alias("mean_p"), F.round(F.min("p_forest"), 9).alias("least_p"), F.round(F.max("p_forest"), 9).alias("most_p"))
+
+
 SAMPLE_COLUMNS = ["bikes", "docks", "capacity", "h_min", "minute_of_day", "lag_360", "delta_1440", "roll_mean", "rentals", "returns", "bikes_yesterday", "y_yesterday", "nb_bikes", "nb_empty", "precip_target", "temp_c", "prof_p", "prof_n_days", "kind"]
 
 
@@ -201,7 +250,7 @@ def routed(spark: SparkSession, d: str) -> DataFrame:
         x = x.drop("dow_type").withColumnRenamed("_dow", "dow_type")
         fit, later = x.where("day <= '2024-01-20'"), x.where("day >= '2024-01-22'")
         left_out = M.climatology_leave_day_out(M.conditional_leave_one_out(fit, "p_b1"), CLIMATE, 4, TREND_FLOORS, "p_b1", "p_b2")
-        blend = M.blend_fit(left_out)
+        blend = M.blend_fit(written(left_out, "blend"))
         forest = M.forest_fit(fit, SAMPLE_COLUMNS, "y", "w", categorical={"kind": 3})
         z = M.conditional_predict(later, M.conditional_fit(fit))
         z = M.climatology_predict(z, M.climatology_fit(fit, CLIMATE, 4, TREND_FLOORS), CLIMATE, "p_b1")
@@ -235,6 +284,31 @@ def mod_13_gate(spark: SparkSession, d: str) -> DataFrame:
     return gates(spark, d).withColumn("gain", F.round("gain", 9))
 
 
+COST = {"a": 1.35}  #: what a row of a system costs in the forest, relative to others
+
+
+def held_out(rows: DataFrame) -> DataFrame:
+    """Gain and forest share of every routing unit, chosen and measured on all days, and chosen on the first and measured on the rest; the means have null system and target."""
+    _, measured = routing.judge(rows, COST)
+    each = measured.select("mode", "unit", "system_id", "target", "n", F.round("brier_b3", 9).alias("brier_b3"), F.round("brier_served", 9).alias("brier_served"), F.round("gain", 9).alias("gain"), F.round(F.col("forest_cost") / F.col("whole_cost"), 9).alias("forest_share"))
+    return each.unionByName(routing.summary(measured).withColumns({"gain": F.round("gain", 9), "forest_share": F.round("forest_share", 9)}), allowMissingColumns=True)
+
+
+def mod_13_holdout(spark: SparkSession, d: str) -> DataFrame:
+    return held_out(gate_rows(spark, d).where("day >= DATE '1995-01-01'").withColumn("day", F.year("day")))
+
+
+def mod_13_units(spark: SparkSession, d: str) -> DataFrame:
+    """What each unit decides for every cell, and why."""
+    x = gate_rows(spark, d).withColumn("day", F.year("day"))
+    return routing.chosen(routing.part_sums(x))
+
+
+def mod_19_holdout(spark: SparkSession, d: str) -> DataFrame:
+    """The routing units on the forecasts of the whole chain."""
+    return held_out(routed(spark, d))
+
+
 def table(spark: SparkSession, d: str) -> DataFrame:
     g = gates(spark, d)
     h = g.groupBy("system_id", "target", "h_min").agg(F.max(F.col("reason") == "routed").alias("routed"))
@@ -282,7 +356,39 @@ gate AS (SELECT c.system_id, c.target, c.h_min, bucket, n, CASE WHEN b0 < 0.001
 tab AS (SELECT h.system_id, h.target, h.h_min, h.routed, b.bucket, coalesce(g.to_forest, h.routed) AS to_forest FROM (SELECT system_id, target, h_min, bool_or(reason = 'routed') AS routed FROM gate GROUP BY ALL) h CROSS JOIN (SELECT unnest(range(6))::INT AS bucket) b
   LEFT JOIN gate g ON g.system_id = h.system_id AND g.target = h.target AND g.h_min = h.h_min AND g.bucket = b.bucket AND g.bucket <> 2)"""
 
+UNITS = f"""{GATE}, y0 AS (SELECT *, year(day) AS d FROM g0 WHERE {{days}}), part AS (SELECT system_id, target, h_min, bucket, d = (SELECT min(d) FROM y0) AS is_first, count(*) AS n, sum(w) AS w, sum(w * pow(p_b0 - y, 2)) AS e0, sum(w * pow(p_b3 - y, 2)) AS e3, sum(w * pow(p_forest - y, 2)) AS ef FROM y0 GROUP BY ALL),
+choose AS (SELECT 'all' AS mode, * FROM part UNION ALL SELECT 'holdout', * FROM part WHERE is_first),
+measure AS (SELECT 'all' AS mode, * FROM part UNION ALL SELECT 'holdout', * FROM part WHERE NOT is_first),
+cs AS (SELECT mode, system_id, target, h_min, bucket, sum(w) AS w, sum(e0) AS e0, sum(e3) AS e3, sum(ef) AS ef FROM choose GROUP BY ALL),
+hs AS (SELECT mode, system_id, target, h_min, sum(w) AS w, sum(e0) AS e0, sum(e3) AS e3, sum(ef) AS ef FROM choose GROUP BY ALL),
+cr AS (SELECT *, CASE WHEN e0 < 0.001 * w THEN 'excluded' WHEN e3 > 0 AND (e3 - ef) / e3 >= 0.1 THEN 'passed' ELSE 'below' END AS cell_reason FROM cs),
+hr AS (SELECT *, CASE WHEN e0 < 0.001 * w THEN 'excluded' WHEN e3 > 0 AND (e3 - ef) / e3 >= 0.1 THEN 'passed' ELSE 'below' END AS horizon_reason FROM hs),
+decided AS (SELECT c.mode, c.system_id, c.target, c.h_min, c.bucket, cell_reason, horizon_reason, u.unit, CASE u.unit WHEN 'none' THEN true WHEN 'cell' THEN cell_reason = 'passed' ELSE horizon_reason = 'passed' AND NOT (cell_reason <> 'excluded' AND c.ef > c.e3) END AS to_forest
+  FROM cr c JOIN hr h ON h.mode = c.mode AND h.system_id = c.system_id AND h.target = c.target AND h.h_min = c.h_min CROSS JOIN (SELECT unnest(['none', 'horizon', 'cell']) AS unit) u)"""
+HOLDOUT = f"""WITH {UNITS.format(days="day >= DATE '1995-01-01'")}, m AS (SELECT m.*, u.unit, coalesce(d.to_forest, u.unit = 'none') AS f, CASE WHEN m.system_id = 'a' THEN 1.35 ELSE 1 END::DOUBLE AS price FROM measure m CROSS JOIN (SELECT unnest(['none', 'horizon', 'cell']) AS unit) u
+  LEFT JOIN decided d ON d.mode = m.mode AND d.unit = u.unit AND d.system_id = m.system_id AND d.target = m.target AND d.h_min = m.h_min AND d.bucket = m.bucket),
+each AS (SELECT mode, unit, system_id, target, sum(n)::BIGINT AS n, sum(e3) / sum(w) AS b3, sum(CASE WHEN f THEN ef ELSE e3 END) / sum(w) AS bs, sum(CASE WHEN f THEN n * price ELSE 0 END) AS fc, sum(n * price) AS wc FROM m GROUP BY ALL)
+SELECT mode, unit, system_id, target, n, round(b3, 9) AS brier_b3, round(bs, 9) AS brier_served, round(CASE WHEN b3 > 0 THEN 1 - bs / b3 END, 9) AS gain, round(fc / wc, 9) AS forest_share FROM each
+UNION ALL SELECT mode, unit, NULL, NULL, sum(n)::BIGINT, NULL, NULL, round(coalesce(avg(CASE WHEN b3 > 0 THEN 1 - bs / b3 END), 0), 9), round(sum(fc) / sum(wc), 9) FROM each GROUP BY mode, unit"""
+
+
+def _values(x: object) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+WALK = f"""WITH RECURSIVE {ROWS}, node(tree, node, col, threshold, nan_left, codes, l, r, value) AS (VALUES {", ".join("(" + ", ".join(map(_values, r)) + ")" for r in IMPORTED)}),
+x AS (SELECT row_number() OVER () AS id, system_id, h_min, bucket, bikes::DOUBLE AS bikes, CASE WHEN minute % 7 <> 0 THEN p1000 END::DOUBLE AS p1000, CASE WHEN minute % 11 <> 0 THEN CASE dow_type WHEN 'sat' THEN 0 WHEN 'sun_holiday' THEN 1 ELSE 2 END END AS kind FROM rows),
+walk(id, tree, place) AS (SELECT x.id, t.tree, 0 FROM x CROSS JOIN (SELECT DISTINCT tree FROM node) t UNION ALL
+  SELECT w.id, w.tree, CASE WHEN CASE WHEN n.codes IS NOT NULL THEN coalesce(list_contains(n.codes, CASE n.col WHEN 'kind' THEN x.kind ELSE x.bucket END), false)
+      ELSE coalesce(CASE n.col WHEN 'bikes' THEN x.bikes WHEN 'p1000' THEN x.p1000 ELSE x.h_min END <= n.threshold, n.nan_left) END THEN n.l ELSE n.r END
+  FROM walk w JOIN node n ON n.tree = w.tree AND n.node = w.place JOIN x ON x.id = w.id WHERE n.col IS NOT NULL),
+p AS (SELECT w.id, 1 / (1 + exp(-sum(n.value))) AS p FROM walk w JOIN node n ON n.tree = w.tree AND n.node = w.place WHERE n.col IS NULL GROUP BY w.id)
+SELECT system_id, h_min, bucket, count(*) AS n, round(avg(p), 9) AS mean_p, round(min(p), 9) AS least_p, round(max(p), 9) AS most_p FROM x JOIN p USING (id) GROUP BY ALL"""
+
 ORACLE = {
+    "mod_12_node_walk": WALK,
+    "mod_13_holdout": HOLDOUT,
+    "mod_13_units": f"WITH {UNITS.format(days='true')} SELECT * FROM decided",
     "mod_00_bucket": f"WITH {ROWS} SELECT bucket, count(*) AS n, min(bikes) AS low, max(bikes) AS high FROM rows GROUP BY 1",
     "mod_01_persistence": f"WITH {ROWS} SELECT h_min, round(sum(w * pow((bikes >= 1)::INT - y, 2)) / sum(w), 9) AS brier FROM rows GROUP BY 1",
     "mod_02_conditional": f"""WITH {ROWS}, f AS (SELECT * FROM fit WHERE NOT (h_min = 60 AND bucket = 5)), c AS (SELECT system_id, h_min, bucket, sum(w * y) / sum(w)::DOUBLE AS r FROM f GROUP BY ALL), h AS (SELECT system_id, h_min, sum(w * y) / sum(w)::DOUBLE AS r FROM f GROUP BY ALL)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moorline.config import DEFAULT
-from moorline.operators import archive, asof, build, calendars, evaluation, exclude, features, ingest, labels, models, monitors, reference, sampling, serving, timegrid
+from moorline.operators import archive, asof, build, calendars, evaluation, exclude, features, grouped, ingest, labels, models, monitors, reference, sampling, serving, timegrid
 from moorline.sources import feeds, files
 
 T0 = dt.datetime(2026, 9, 7, 0, 0)
@@ -147,9 +147,6 @@ def test_calibration_equals_brute_force(spark):
     import bisect
     import random
 
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
     rng = random.Random(8)
     data = []
     for _ in range(4000):
@@ -157,10 +154,9 @@ def test_calibration_equals_brute_force(spark):
         kind = rng.choice(["sat", "weekday", "sun_holiday"])
         data.append((rate, port, kind, int(rng.random() < 0.7 * rate + 0.1), float(rng.randrange(1, 9))))
     df = spark.createDataFrame(data, "rate double, port_rate double, dow_type string, y int, w double")
-    logistic, isotonic = models.calibrate(df, "y", "w")
-    got = models.calibrated(df, (logistic, isotonic)).select("rate", "p_trend").collect()
-    x = VectorAssembler(inputCols=[f"c{i}" for i in range(1, 6)], outputCol="features").transform(models.calibration_design(df))
-    raw = [(r.p, float(r.y), r.w) for r in logistic.transform(x).select(vector_to_array("probability")[1].alias("p"), "y", "w").collect()]
+    fit = models.calibrate(df, [])
+    got = models.calibrated(df, fit).select("rate", "p_trend").collect()
+    raw = [(r.p, float(r.y), r.w) for r in grouped.predicted(df, fit.coefficients, [], models.calibration_features(), "p").select("p", "y", "w").collect()]
     values = {}
     for p, y, w in raw:
         v = values.setdefault(round(p * (1 << 20)), [0.0, 0.0, 0.0])
