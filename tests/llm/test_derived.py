@@ -8,7 +8,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow.dataset as ds
 import pytest
 
 from moorline.llm import mixing as M
@@ -85,12 +84,6 @@ def test_variants_equal_all_deletions(spark, frequent, whole, most_broadcast):
     assert found(S.variants(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), p)) == want
 
 
-def test_variants_of_the_table(spark, sf_dir):
-    t = ds.dataset(f"{sf_dir}/documents.parquet").to_table(["doc_id", "text"])
-    want = plain_variants(plain_words(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True), S.Params()))
-    assert found(Q.op11_gram_variants(spark, sf_dir)) == want
-
-
 def test_near_words_share_a_list():
     """The bound's promise, without Spark: words one edit apart are indexed under a common gram, at most one place apart."""
     rng = random.Random(5)
@@ -191,11 +184,6 @@ def test_codes_equal_plain_rounds(spark, first_b):
     check_codes(V.compressed(df, p, most_labels=0), rows, p)
 
 
-def test_codes_of_the_table(spark, sf_dir):
-    t = ds.dataset(f"{sf_dir}/embeddings.parquet").to_table(["vec_id", "embedding", "label"])
-    check_codes(Q.op12_bounded_codes(spark, sf_dir), list(zip(*(t[c].to_pylist() for c in t.column_names), strict=True)))
-
-
 @pytest.mark.parametrize("scale", [1e3, 1e16])
 def test_large_components_are_exact(spark, scale):
     rng = random.Random(4)
@@ -349,11 +337,6 @@ def test_halves_add_up(spark):
     assert abs(sum(x[0] for x in rows) / 3000 - 20) < 0.2 and abs(sum(x[3] for x in rows) / 3000 - 17.2) < 0.2
 
 
-def test_mix_of_the_table(spark, sf_dir):
-    t = ds.dataset(f"{sf_dir}/documents.parquet").to_table(["doc_id", "text", "source"])
-    assert mixed(Q.op13_splitting_tree(spark, sf_dir)) == plain_mix(list(zip(*(t[c].to_pylist() for c in t.column_names), strict=True)))
-
-
 def test_mix_of_nothing(spark, no_docs):
     assert M.taken(M.draw(no_docs)).count() == 0
     rows = [(1, None, None), (2, " ", "a")]

@@ -58,8 +58,8 @@ def test_license_rules(spark, docs, no_docs):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(no_docs).count() == 0
 
 
-# op2, op10 against SQL
-@pytest.mark.parametrize("name", ["op2_license_sentences", "op3_superminhash", "op10_winnowing"])
+# Those with an SQL form against it
+@pytest.mark.parametrize("name", ["op2_license_sentences", "op3_superminhash", "op10_winnowing", "op11_gram_variants", "op12_bounded_codes", "op13_splitting_tree"])
 def test_sql_forms(spark, sf_dir, name):
     from moorline.llm import queries
 
