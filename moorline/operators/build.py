@@ -145,12 +145,21 @@ def with_target_profile(f: DataFrame, x: Inputs) -> DataFrame:
     return features.with_profile(f, x.daily, c.profile_days, edition, "_slot", "target_dow_type").drop("_slot")
 
 
-def build_samples(points: DataFrame, x: Inputs, sampled: bool = True) -> DataFrame:
-    """Labelled samples of a grid: base and target exclusions, sampling, weights, labels; columns of ``sample_columns``."""
+def drawn_state(points: DataFrame, x: Inputs, sampled: bool = True) -> DataFrame:
+    """The grid's state with ``_draws``, a flag for each horizon: which (point, horizon) pairs are drawn. To be written: samples read it several times."""
+    c, t = x.config, F.col("t")
+    state, n = grid_state(points, x), len(c.horizons_min)
+    if not sampled:
+        return state.withColumn("_draws", F.array_repeat(F.lit(True), n))
+    index = F.floor(timegrid.minute_of_day(t, c.local_offset_h) / c.step_min)
+    return sampling.with_draws(state, timegrid.local_date(t, c.local_offset_h), [F.col(k) for k in KEYS], index, n, c.sample_rate)
+
+
+def build_samples(state: DataFrame, x: Inputs, sampled: bool = True) -> DataFrame:
+    """Labelled samples of the table that ``drawn_state`` made: base and target exclusions, drawn pairs, weights, labels; columns of ``sample_columns``."""
     c = x.config
-    key = (F.col("system_id"), F.col("station_id"), F.date_format("t", "yyyy-MM-dd HH:mm:ss"))
-    keep = sampling.accepted(c.sample_rate, *key) if sampled else F.lit(True)
-    f = with_targets(point_features(grid_state(points, x), points, x, keep), x)
+    f = point_features(state, state.select(*KEYS, "t", "_draws"), x, F.exists("_draws", lambda drawn: drawn))
+    f = with_targets(f.withColumn("history", F.filter("history", lambda _, i: F.get("_draws", i))).drop("_draws"), x)
     f = asof.with_truth(f, x.obs, ["bikes", "docks", "flags"], t="target").where(exclude.target_reason("truth", "target", c.staleness_s, "seen").isNull())
     f = f.withColumns({"y_bike": labels.y_bike(F.col("truth.bikes"), F.col("truth.flags")), "y_dock": labels.y_dock(F.col("truth.docks"), F.col("truth.flags")), "stratum": F.lit(STRATUM), "feature_set": F.lit(FEATURE_SET)})
     f = sampling.with_weight(f, c.sample_rate if sampled else 1.0)

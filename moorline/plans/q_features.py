@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from moorline.config import SPARSE
 from moorline.operators import asof, build, calendars, features, reference, timegrid
 from moorline.plans import q_grid as G
+from moorline.plans.scratch import written
 from moorline.sources import tables as T
 
 KEYS = features.KEYS
@@ -33,24 +34,33 @@ EVENT_DAYS = """edays AS (SELECT date, CASE WHEN monthday >= 1229 OR monthday <=
   FROM (SELECT unnest(generate_series(DATE '2023-12-31', DATE '2024-02-02', INTERVAL 1 DAY))::DATE AS date)))"""
 
 
-def state(spark: SparkSession, d: str) -> DataFrame:
-    return build.grid_state(G.grid_points(spark, d), state_inputs(spark, d))
+def state(spark: SparkSession, d: str, days: tuple[str, str] | None = None) -> DataFrame:
+    """State of the grid, of the local days from one to another if named."""
+    points = G.grid_points(spark, d)
+    if days:
+        points = points.where(timegrid.local_date(F.col("t"), 9).between(*days))
+    return build.grid_state(points, state_inputs(spark, d))
+
+
+def sample_state(spark: SparkSession, d: str, sampled: bool = True) -> DataFrame:
+    """The whole grid's state with its drawn pairs, written once for all that a sample reads of it."""
+    return written(build.drawn_state(G.grid_points(spark, d), state_inputs(spark, d), sampled), "state")
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     return reference.neighbours(T.stations(spark, d), 500.0)
 
 
-def usable_points(spark: SparkSession, d: str) -> DataFrame:
-    """Grid points for profiles: a fresh observed row exists; suspended ones stay."""
-    s = state(spark, d).where("valid").select(*KEYS, "t", "seen.*")
+def usable_points(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
+    """Grid points for profiles, of a state that is at hand or of the whole grid: a fresh observed row exists; suspended ones stay."""
+    s = (state(spark, d) if s is None else s).where("valid").select(*KEYS, "t", "seen.*")
     days = event_days(spark, d).select(F.col("date").alias("day"), "dow_type")
     s = s.withColumn("day", timegrid.local_date(F.col("t"), 9)).withColumn("slot15", F.floor(timegrid.minute_of_day(F.col("t"), 9) / SPARSE.slot_min).cast("int"))
     return s.join(F.broadcast(days), "day")
 
 
-def dailies(spark: SparkSession, d: str) -> DataFrame:
-    return reference.daily_profile(usable_points(spark, d), ["day", "dow_type", "slot15"])
+def dailies(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
+    return reference.daily_profile(usable_points(spark, d, s), ["day", "dow_type", "slot15"])
 
 
 def profile(spark: SparkSession, d: str, last: str = "2024-01-20") -> DataFrame:
@@ -66,9 +76,9 @@ def state_inputs(spark: SparkSession, d: str) -> build.Inputs:
     return build.Inputs(obs=o, stations=stations, capacities=maxima, config=SPARSE)
 
 
-def inputs(spark: SparkSession, d: str) -> build.Inputs:
+def inputs(spark: SparkSession, d: str, s: DataFrame | None = None) -> build.Inputs:
     issues, cells = weather(spark, d)
-    return dataclasses.replace(state_inputs(spark, d), edges=edges(spark, d), daily=dailies(spark, d), days=event_days(spark, d), issues=issues, cells=cells)
+    return dataclasses.replace(state_inputs(spark, d), edges=edges(spark, d), daily=dailies(spark, d, s), days=event_days(spark, d), issues=issues, cells=cells)
 
 
 def fea_01_calendar(spark: SparkSession, d: str) -> DataFrame:
@@ -191,11 +201,13 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def fea_16_samples(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(build.build_samples(G.grid_points(spark, d), inputs(spark, d)))
+    s = sample_state(spark, d)
+    return rounded(build.build_samples(s, inputs(spark, d, s)))
 
 
 def fea_17_point_build(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(build.build_now(inputs(spark, d), "2024-01-22 00:00:00", 1440))
+    edition = state(spark, d, ("2023-12-25", "2024-01-22"))  # its days and the day of t, of which build_now takes the edition's
+    return rounded(build.build_now(inputs(spark, d, edition), "2024-01-22 00:00:00", 1440))
 
 
 def fea_18_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -261,8 +273,6 @@ def pro_01_daily(spark: SparkSession, d: str) -> DataFrame:
 
 def pro_02_roll(spark: SparkSession, d: str) -> DataFrame:
     """P(D) = P(D-1) + d(D) - d(D-28), which must equal the plain sum of 28 days. The daily table is written once and read three times."""
-    from moorline.plans.scratch import written
-
     x = written(dailies(spark, d), "dailies")
     previous = reference.sum_dailies(x.where(F.col("day").between("2024-01-01", "2024-01-28")))
     return reference.roll(previous, x.where(F.col("day") == "2024-01-29").drop("day"), x.where(F.col("day") == "2024-01-01").drop("day"))
@@ -409,10 +419,10 @@ FROM state s LEFT JOIN nb ON nb.system_id = s.system_id AND nb.station_id = s.st
     "fea_15_profile_lookup": f"""WITH {STATE}, {FLOW}, {PROFILE}, asks AS MATERIALIZED (SELECT p.*, h.h_min, e.dow_type AS dow, ((hour(t + INTERVAL 9 HOUR) * 60 + minute(t + INTERVAL 9 HOUR))::INT + h.h_min) % 1440 // 360 AS slot, (t + INTERVAL 9 HOUR)::DATE - 1 AS edition
   FROM points p CROSS JOIN (SELECT unnest([360, 720, 1440]) AS h_min) h LEFT JOIN edays e ON e.date = (t + to_minutes(h.h_min) + INTERVAL 9 HOUR)::DATE), {EDITION}
 SELECT k.system_id, k.station_id, k.t, k.h_min, coalesce(n_days, 0)::INT AS prof_n_days, {RATIOS} FROM asks k LEFT JOIN pe ON pe.system_id = k.system_id AND pe.station_id = k.station_id AND pe.dow = k.dow AND pe.slot = k.slot AND pe.edition = k.edition""",
-    "fea_16_samples": f"""WITH {FULL}, lab AS (SELECT t.*, o.truth FROM tgt t JOIN (SELECT q.system_id, q.station_id, q.target, max(struct_pack(observed_at := o.observed_at, fetched_at := o.fetched_at, bikes := o.bikes, docks := o.docks, flags := o.flags)) FILTER (o.observed_at IS NOT NULL) AS truth
+    "fea_16_samples": f"""WITH {FULL}, {G.DRAWN}, lab AS (SELECT t.*, o.truth FROM tgt t JOIN (SELECT q.system_id, q.station_id, q.target, max(struct_pack(observed_at := o.observed_at, fetched_at := o.fetched_at, bikes := o.bikes, docks := o.docks, flags := o.flags)) FILTER (o.observed_at IS NOT NULL) AS truth
   FROM (SELECT DISTINCT system_id, station_id, target FROM tgt) q LEFT JOIN obs o ON o.system_id = q.system_id AND o.station_id = q.station_id AND o.observed_at <= q.target GROUP BY ALL) o ON o.system_id = t.system_id AND o.station_id = t.station_id AND o.target = t.target)
 SELECT {COLS}, (truth.bikes >= 1 AND truth.flags >= 0 AND (truth.flags & 2) > 0)::INT AS y_bike, (truth.docks >= 1 AND truth.flags >= 0 AND (truth.flags & 4) > 0)::INT AS y_dock, 4.0::DOUBLE AS weight, 'uniform' AS stratum, 'v1' AS feature_set FROM lab
-WHERE ({G.TARGET_REASON}) IS NULL AND ('0x' || substr(md5(system_id || '|' || station_id || '|' || strftime(t, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT < 1073741824""",
+WHERE ({G.TARGET_REASON}) IS NULL AND (system_id, station_id, t, h_min) IN (SELECT (system_id, station_id, t, h_min) FROM drawn)""",
     "fea_17_point_build": f"WITH {FULL} SELECT {COLS} FROM tgt WHERE t = TIMESTAMP '2024-01-22'",
     "fea_18_coverage": f"{WXS} SELECT t::DATE AS day, count(*) AS n, count(*) FILTER (precip_t IS NOT NULL AND precip_target IS NOT NULL AND nearest_90 IS NOT NULL) AS n_all, count(precip_t) AS n_precip_t, count(precip_target) AS n_precip_target, count(nearest_90) AS n_nearest_90 FROM w GROUP BY 1",
     "fea_18_spread": f"{WXS}, c AS (SELECT t::DATE AS day, count(*) FILTER (precip_t IS NOT NULL AND precip_target IS NOT NULL AND nearest_90 IS NOT NULL) / count(*)::DOUBLE * 100 AS s FROM w GROUP BY 1) SELECT round(max(s) - min(s), 6) AS spread_pp FROM c",

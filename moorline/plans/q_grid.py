@@ -130,23 +130,30 @@ def exc_03_accounting(spark: SparkSession, d: str) -> DataFrame:
     return exclude.account(points, pairs, len(SPARSE.horizons_min), ["system_id"])
 
 
+def drawn_points(spark: SparkSession, d: str) -> DataFrame:
+    t, n = F.col("t"), len(SPARSE.horizons_min)
+    index = F.floor(timegrid.minute_of_day(t, 9) / SPARSE.step_min)
+    return sampling.with_draws(grid_points(spark, d), timegrid.local_date(t, 9), [F.col(k) for k in KEYS], index, n, SPARSE.sample_rate)
+
+
 def smp_01_sample(spark: SparkSession, d: str) -> DataFrame:
-    keys = (F.col("system_id"), F.col("station_id"), F.date_format("t", "yyyy-MM-dd HH:mm:ss"))
-    return grid_points(spark, d).where(sampling.accepted(SPARSE.sample_rate, *keys)).select(*KEYS, "t")
+    """The drawn (point, horizon) pairs."""
+    x = drawn_points(spark, d).select(*KEYS, "t", F.explode(F.arrays_zip(F.array(*[F.lit(h) for h in SPARSE.horizons_min]).alias("h_min"), F.col("_draws").alias("drawn"))).alias("z"))
+    return x.select(*KEYS, "t", "z.h_min", "z.drawn").where("drawn").drop("drawn")
 
 
 def smp_02_weights(spark: SparkSession, d: str) -> DataFrame:
-    points = grid_points(spark, d)
-    keys = (F.col("system_id"), F.col("station_id"), F.date_format("t", "yyyy-MM-dd HH:mm:ss"))
-    kept = sampling.with_weight(points.withColumn("kept", sampling.accepted(SPARSE.sample_rate, *keys)), SPARSE.sample_rate)
-    return kept.groupBy("system_id").agg(F.count(F.lit(1)).alias("n_points"), F.sum(F.when(F.col("kept"), F.col("weight")).otherwise(0.0)).alias("sum_weight"))
+    """All pairs, and the weights of the drawn ones, which come to about as many."""
+    x = sampling.with_weight(drawn_points(spark, d), SPARSE.sample_rate)
+    kept = F.size(F.filter("_draws", lambda drawn: drawn)) * F.col("weight")
+    return x.groupBy("system_id").agg(F.sum(F.size("_draws")).cast("long").alias("n_pairs"), F.sum(kept).alias("sum_weight"))
 
 
 def smp_03_splitmix(spark: SparkSession, d: str) -> DataFrame:
     """Share kept by the splitmix64 sampler, by event type."""
     e = T.read(spark, d, "events")
-    u = sampling.splitmix_uniform(F.col("user_id").cast("long") * 1_000_003, F.col("event_id").cast("long"))
-    return e.withColumn("kept", (u < 0.25).cast("int")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("kept").alias("n_kept"))
+    e = sampling.with_uniforms(e, [F.col("user_id").cast("long") * 1_000_003 + F.col("event_id")], "u")
+    return e.withColumn("kept", (F.col("u")[0] < 0.25).cast("int")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("kept").alias("n_kept"))
 
 
 def spl_01_split(spark: SparkSession, d: str) -> DataFrame:
@@ -182,11 +189,21 @@ def _shifted(z: str, n: int) -> str:
     return f"xor({z}::UBIGINT, {z}::UBIGINT >> {n})::HUGEINT"
 
 
-_SPLITMIX = f"""WITH a AS (SELECT event_type, (user_id::HUGEINT * 1000003 + event_id + {0x9E3779B97F4A7C15}::HUGEINT) % 18446744073709551616 AS z FROM events),
-b AS (SELECT event_type, {_shifted('z', 30)} AS z FROM a), c AS (SELECT event_type, {_times('z', 0xBF58476D1CE4E5B9)} AS z FROM b), d AS (SELECT event_type, {_shifted('z', 27)} AS z FROM c), e AS (SELECT event_type, {_times('z', 0x94D049BB133111EB)} AS z FROM d),
-f AS (SELECT event_type, {_shifted('z', 31)} AS z FROM e)
+def splitmix_sql(source: str, keep: str, state: str) -> str:
+    """CTEs a to f over a source: its columns ``keep``, and z, the 64 bits of splitmix64 of a state."""
+    return f"""a AS (SELECT {keep}, (({state}) + {0x9E3779B97F4A7C15}::HUGEINT) % 18446744073709551616 AS z FROM {source}),
+b AS (SELECT {keep}, {_shifted('z', 30)} AS z FROM a), c AS (SELECT {keep}, {_times('z', 0xBF58476D1CE4E5B9)} AS z FROM b), d AS (SELECT {keep}, {_shifted('z', 27)} AS z FROM c), e AS (SELECT {keep}, {_times('z', 0x94D049BB133111EB)} AS z FROM d),
+f AS (SELECT {keep}, {_shifted('z', 31)} AS z FROM e)"""
+
+
+_SPLITMIX = f"""WITH {splitmix_sql("events", "event_type", "user_id::HUGEINT * 1000003 + event_id")}
 SELECT event_type, count(*) AS n, sum((z // 2048 < {1 << 51})::INT)::BIGINT AS n_kept FROM f GROUP BY 1"""
 
+#: drawn(system_id, station_id, t, h_min): pairs of ``points`` that the sample holds.
+DRAWN = f"""asked AS (SELECT system_id, station_id, t, h.h_min, h.i, md5(strftime(t + INTERVAL 9 HOUR, '%Y-%m-%d') || '|' || system_id || '|' || station_id) AS m, (hour(t + INTERVAL 9 HOUR) * 60 + minute(t + INTERVAL 9 HOUR)) // 360 AS g FROM points CROSS JOIN (SELECT unnest([360, 720, 1440]) AS h_min, unnest([0, 1, 2]) AS i) h),
+{splitmix_sql("asked", "system_id, station_id, t, h_min", "('0x' || substr(m, 1, 8))::BIGINT::HUGEINT * 4294967296 + ('0x' || substr(m, 9, 8))::BIGINT + g * 3 + i")},
+drawn AS (SELECT system_id, station_id, t, h_min FROM f WHERE z // 2048 < {1 << 51})"""
+
 ORACLE = {
     "flagship_persistence_brier": f"""{_JUDGED}, kept AS (
   SELECT system_id, h_min, (seen.bikes >= 1)::INT AS pb, (seen.docks >= 1)::INT AS pd,
@@ -213,10 +230,8 @@ SELECT system_id, h_min, count(*) FILTER (seen.observed_at = truth.observed_at A
     "exc_02_target": f"{_JUDGED} SELECT system_id, h_min, coalesce(target_reason, 'kept') AS reason, count(*) AS n_pairs FROM pairs GROUP BY ALL",
     "exc_03_accounting": f"""{_JUDGED} SELECT system_id, base_reason AS reason, count(*) * 3 AS n_pairs FROM judged WHERE base_reason IS NOT NULL GROUP BY ALL
 UNION ALL SELECT system_id, coalesce(target_reason, 'kept') AS reason, count(*) AS n_pairs FROM pairs GROUP BY ALL""",
-    "smp_01_sample": f"""WITH {T.OBS}, {GRID} SELECT system_id, station_id, t FROM points
-WHERE ('0x' || substr(md5(system_id || '|' || station_id || '|' || strftime(t, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT < 1073741824""",
-    "smp_02_weights": f"""WITH {T.OBS}, {GRID} SELECT system_id, count(*) AS n_points,
-  sum(CASE WHEN ('0x' || substr(md5(system_id || '|' || station_id || '|' || strftime(t, '%Y-%m-%d %H:%M:%S')), 1, 8))::BIGINT < 1073741824 THEN 4.0 ELSE 0.0 END)::DOUBLE AS sum_weight FROM points GROUP BY ALL""",
+    "smp_01_sample": f"WITH {T.OBS}, {GRID}, {DRAWN} SELECT * FROM drawn",
+    "smp_02_weights": f"WITH {T.OBS}, {GRID}, {DRAWN}, n AS (SELECT system_id, count(*) * 4.0::DOUBLE AS sum_weight FROM drawn GROUP BY 1) SELECT p.system_id, (count(*) * 3)::BIGINT AS n_pairs, coalesce(any_value(sum_weight), 0) AS sum_weight FROM points p LEFT JOIN n USING (system_id) GROUP BY 1",
     "smp_03_splitmix": _SPLITMIX,
     "spl_01_split": f"""WITH {T.OBS}, d AS (SELECT DISTINCT (observed_at + INTERVAL 9 HOUR)::DATE AS day FROM obs), r AS (SELECT day, row_number() OVER (ORDER BY day DESC) AS n FROM d)
 SELECT day, CASE WHEN n <= 5 THEN 'evaluate' WHEN n <= 6 THEN 'purge' ELSE 'fit' END AS part FROM r""",

@@ -118,16 +118,32 @@ def test_splitmix_matches_integers(spark):
         z = ((z ^ z >> 27) * 0x94D049BB133111EB) & m
         return ((z ^ z >> 31) >> 11) / (1 << 53)
 
-    df = spark.createDataFrame([(s, c) for s in (0, 5, -3) for c in (0, 1, 99)], "s long, c long")
-    got = {(r.s, r.c): r.u for r in df.withColumn("u", sampling.splitmix_uniform(F.col("s"), F.col("c"))).collect()}
-    assert all(u == mix(s & ((1 << 64) - 1), c) for (s, c), u in got.items())
-    # the first number of the published generator from state 0 is 0xE220A8397B1DCDAF; only seed + counter matters
-    assert got[0, 0] == (0xE220A8397B1DCDAF >> 11) / (1 << 53)
-    assert sampling_of(spark, 4, 1) == sampling_of(spark, 5, 0) == got[5, 0]
+    states = [0, 5, -3, (1 << 62) + 12345, -(1 << 63), (1 << 63) - 1] + [k * 0x123456789ABCDEF % (1 << 63) for k in range(1, 200)]
+    df = sampling.with_uniforms(spark.createDataFrame([(s,) for s in states], "s long"), [F.col("s"), sampling.wrapped_sum(F.col("s"), F.lit((1 << 63) - 1))], "u")
+    got = {r.s: tuple(r.u) for r in df.collect()}
+    assert all(u == (mix(s & ((1 << 64) - 1), 0), mix((s + (1 << 63) - 1) & ((1 << 64) - 1), 0)) for s, u in got.items())
+    # the first number of the published generator from state 0 is 0xE220A8397B1DCDAF
+    assert got[0][0] == (0xE220A8397B1DCDAF >> 11) / (1 << 53)
 
 
-def sampling_of(spark, seed, counter):
-    return spark.sql(f"SELECT {seed}L AS s, {counter}L AS c").select(sampling.splitmix_uniform(F.col("s"), F.col("c"))).first()[0]
+def test_pairs_are_drawn_by_day_entity_and_counter(spark):
+    """Draws equal hand-worked ones, do not depend on other rows, and horizons of a point are drawn apart."""
+    import hashlib
+
+    rows = [(f"e{i}", dt.date(2024, 1, 1 + i % 3), g) for i in range(40) for g in range(24)]
+    df = spark.createDataFrame(rows, "k string, day date, g int").repartition(5)
+    draw = lambda x: {(r.k, r.day, r.g): r.d for r in sampling.with_draws(x, F.col("day"), [F.col("k")], F.col("g"), 10, 0.2, "d").collect()}
+    got, m = draw(df), (1 << 64) - 1
+    assert draw(df.where("g = 7 and k = 'e3'")).items() <= got.items()
+    for (k, day, g), flags in got.items():
+        seed = int(hashlib.md5(f"{day.isoformat()}|{k}".encode()).hexdigest()[:16], 16)
+        for i, flag in enumerate(flags):
+            z = (seed + g * 10 + i + 0x9E3779B97F4A7C15) & m
+            z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & m
+            z = ((z ^ z >> 27) * 0x94D049BB133111EB) & m
+            assert flag == (((z ^ z >> 31) >> 11) / (1 << 53) < 0.2)
+    sizes = [sum(f) for f in got.values()]
+    assert abs(sum(sizes) / len(sizes) - 2) < 0.15 and len(set(sizes)) > 4
 
 
 def _pools(points):
@@ -342,9 +358,10 @@ def test_serving_equals_training(spark, sf_dir):
     from moorline.plans import q_features as Q
     from moorline.plans import q_grid as G
 
-    x = Q.inputs(spark, sf_dir)
+    s = Q.sample_state(spark, sf_dir, sampled=False)
+    x = Q.inputs(spark, sf_dir, s)
     t = "2024-01-22 00:00:00"
-    day = Q.rounded(build.build_samples(G.grid_points(spark, sf_dir), x, sampled=False)).where(F.col("t") == t)
+    day = Q.rounded(build.build_samples(s, x, sampled=False)).where(F.col("t") == t)
     now = Q.rounded(build.build_now(x, t, 1440))
     assert len(build.sample_columns(DEFAULT)) == 76
     assert day.columns == build.sample_columns(x.config) and now.columns == [c for c in day.columns if c not in build.LABEL_COLUMNS]
