@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moorline.operators import keyed
+
 
 def write_hourly(long: DataFrame, path: str, before: Column | None = None, every_h: int = 1) -> None:
     """Long rows to system_id/date/hour directories (UTC), zstd, sorted by entity and time; a rerun overwrites just its partitions.
@@ -44,8 +46,11 @@ def local_day_hours(days: DataFrame, day: str, offset_h: int, back_h: int, ahead
     return days.select(day, F.explode(F.sequence(start, end, F.expr("INTERVAL 1 HOUR"))).alias("hour"))
 
 
-def gaps(observed: DataFrame, archived: DataFrame, keys: list[str]) -> DataFrame:
-    """Hours that hold snapshots but no archive file."""
+def gaps(observed: DataFrame, archived: DataFrame, keys: list[str], now: Column | None = None, hours: int = 6) -> DataFrame:
+    """Hours that hold snapshots but no archive file; with ``now``, of the last ``hours`` hours without the newest, which may still be open."""
+    if now is not None:
+        newest = F.date_trunc("hour", now).cast("timestamp_ntz")
+        observed = observed.where((F.col("hour") >= newest - F.make_dt_interval(hours=F.lit(hours))) & (F.col("hour") < newest))
     return observed.select(*keys).distinct().join(archived.select(*keys).distinct(), keys, "left_anti")
 
 
@@ -79,6 +84,28 @@ def expired(df: DataFrame, at: str, now: Column, days: int) -> Column:
     return F.col(at) < now - F.make_dt_interval(days=F.lit(days))
 
 
+#: Days that each kind of row is kept. Of job runs, those of these jobs that ended well outlive the others.
+KEEP_DAYS = {"job_runs": 30, "inference_ok": 90, "fetch_log": 30, "weather": 30, "profiles": 35}
+KEEP_HOURS, KEEP_MONTHS_DAYS = 26, 60
+
+
+def kept_run(job: str, status: str, at: str, now: Column, inference: tuple[str, ...]) -> Column:
+    """Whether a job run stays: good runs of inference jobs longer than the rest."""
+    days = F.when(F.col(job).isin(*inference) & (F.col(status) == "ok"), KEEP_DAYS["inference_ok"]).otherwise(KEEP_DAYS["job_runs"])
+    return F.col(at) >= now - F.make_dt_interval(days=days)
+
+
+def kept_hour(at: str, now: Column) -> Column:
+    """Whether a row of the hourly rollup stays."""
+    return F.col(at) >= now - F.make_dt_interval(hours=F.lit(KEEP_HOURS))
+
+
+def kept_month(at: str, now: Column) -> Column:
+    """Whether a snapshot's month stays: a month goes as a whole, once all of it is older than the window."""
+    end = F.add_months(F.trunc(F.to_date(at), "month"), 1)
+    return end.cast("timestamp_ntz") > now - F.make_dt_interval(days=F.lit(KEEP_MONTHS_DAYS))
+
+
 def pending_replay(objects: DataFrame, ingested: DataFrame, first: str, last: str) -> DataFrame:
     """Raw objects of a day range whose epoch (from the file name) is not ingested yet, in time order."""
     epoch = F.regexp_extract("path", r"(\d{10})\.json(\.gz)?$", 1)
@@ -93,6 +120,10 @@ def write_profile(profile: DataFrame, path: str) -> None:
 
 
 def write_forecast_log(forecasts: DataFrame, path: str, every_h: int = 1) -> None:
-    """One row for each station and cycle, arrays by horizon, under system, UTC date and hour of the base time."""
-    rows = forecasts.withColumn("date", F.date_format("base_observed_at", "yyyy-MM-dd")).withColumn("hour", F.lpad((F.floor(F.hour("base_observed_at") / every_h) * every_h).cast("string"), 2, "0"))
-    rows.repartition("system_id", "date", "hour").write.mode("append").partitionBy("system_id", "date", "hour").parquet(path)
+    """One row for each station and cycle, arrays by horizon, under system, UTC date and hour of the base time, cycle and model version.
+
+    A cycle that runs again replaces its own directory, whatever else the hour holds. ``every_h``: hours in a directory.
+    """
+    at = F.col("base_observed_at")
+    rows = forecasts.withColumns({"date": F.date_format(at, "yyyy-MM-dd"), "hour": F.lpad((F.floor(F.hour(at) / every_h) * every_h).cast("string"), 2, "0"), "cycle": F.unix_timestamp(at.cast("timestamp")), "version": F.col("model_version")})
+    keyed.swing(rows, path, ["system_id", "date", "hour", "cycle", "version"], ["station_id"])

@@ -171,7 +171,7 @@ def build_now(x: Inputs, at: str, back_min: int) -> DataFrame:
 
     Only what had arrived by then is read, and of daily profiles the days of the edition.
     """
-    c, now = x.config, F.to_timestamp_ntz(F.lit(at))
+    c, now = x.config, F.to_timestamp_ntz(F.lit(timegrid.on_grid(at, x.config.step_min)))
     edition = F.date_sub(timegrid.local_date(now, c.local_offset_h), 1)
     x = replace(x, obs=x.obs.where(F.col("fetched_at") <= now), daily=x.daily.where(F.col("day").between(F.date_sub(edition, c.profile_days - 1), edition)))
     times = F.sequence(now - timegrid.minutes(back_min), now, timegrid.minutes(c.step_min))

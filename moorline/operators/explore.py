@@ -82,3 +82,26 @@ def leave_one_out_mae(values: DataFrame, groups: dict[str, list[str]], value: st
         mean = F.when(F.col(f"c_{name}") > 1, (F.col(f"s_{name}") - F.col(value)) / (F.col(f"c_{name}") - 1)).otherwise(total)
         out.append(F.round(F.avg(F.abs(mean - F.col(value))), 6).alias(f"mae_{name}"))
     return x.agg(*out)
+
+
+def banded_mae(places: DataFrame, edges: DataFrame, group: str, value: str, bands: tuple[int, ...] = (0, 1, 5, 20)) -> DataFrame:
+    """How well a value is told from elsewhere, by how many neighbours a place has.
+
+    ``edges(keys, nb keys)`` are directed pairs within the radius: a place is in the group of each of its neighbours, so
+    groups overlap. Mean absolute error, by band of the number of neighbours, of the mean over all other places, over the
+    others of its ``group`` (over all where it stands alone), and over its neighbours (over its group where it has none).
+    """
+    known = places.where(F.col(value).isNotNull()).select(*KEYS, group, F.col(value).cast("double").alias("v"))
+    nb = known.select(F.col("system_id").alias("nb_system_id"), F.col("station_id").alias("nb_station_id"), F.col("v").alias("nb_v"))
+    near = edges.join(nb, ["nb_system_id", "nb_station_id"]).groupBy(*KEYS).agg(F.avg("nb_v").alias("near"), F.count(F.lit(1)).alias("n_near"))
+    sums = known.groupBy(group).agg(F.sum("v").alias("_s"), F.count(F.lit(1)).alias("_c"))
+    whole = sums.agg(F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc"))
+    x = known.join(sums, known[group].eqNullSafe(sums[group])).drop(sums[group]).join(F.broadcast(whole)).join(near, KEYS, "left")
+    all_ = F.try_divide(F.col("_ts") - F.col("v"), F.col("_tc") - 1)
+    own = F.when(F.col("_c") > 1, (F.col("_s") - F.col("v")) / (F.col("_c") - 1)).otherwise(all_)
+    band = F.lit(0)
+    for b in bands:
+        band = F.when(F.coalesce("n_near", F.lit(0)) >= b, b).otherwise(band)
+    err = lambda c: F.round(F.avg(F.abs(c - F.col("v"))), 6)
+    x = x.withColumns({"_all": all_, "_own": own, "_near": F.coalesce("near", own)})
+    return x.groupBy(band.alias("least_neighbours")).agg(F.count(F.lit(1)).alias("n"), err(F.col("_all")).alias("mae_all"), err(F.col("_own")).alias("mae_group"), err(F.col("_near")).alias("mae_near"))

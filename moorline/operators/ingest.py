@@ -112,19 +112,30 @@ def scd2(versions: DataFrame, key: list[str], at: str, order: list[str], values:
     return opens.withColumn("valid_to", F.lead(at).over(by)).select(*key, F.col(at).alias("valid_from"), "valid_to", *values)
 
 
-def scd2_merge(current: DataFrame, incoming: DataFrame, key: list[str], at: str, values: list[str]) -> DataFrame:
-    """One merge step onto ``current(key, valid_from, valid_to, values)``: (rows to keep) with closed and opened versions.
-
-    Ids absent from the input stay open; input older than the open version is skipped.
-    """
+def _met(current: DataFrame, incoming: DataFrame, key: list[str], at: str, values: list[str], loose: dict[str, Column] | None) -> DataFrame:
+    """Open versions beside the input, with ``outcome``."""
     new = incoming.select(*key, F.col(at).alias("_at"), *[F.col(v).alias(f"_{v}") for v in values])
-    open_ = current.where(F.col("valid_to").isNull()).join(new, key, "full_outer")
+    x = current.where(F.col("valid_to").isNull()).join(new, key, "full_outer")
     same = F.lit(True)
     for v in values:
-        same = same & F.col(v).eqNullSafe(F.col(f"_{v}"))
-    fresh = F.col("_at").isNotNull() & F.col("valid_from").isNull()
-    change = F.col("_at").isNotNull() & F.col("valid_from").isNotNull() & ~same & (F.col("_at") >= F.col("valid_from"))
-    open_ = open_.withColumn("_new", fresh | change)
+        equal = F.col(v).eqNullSafe(F.col(f"_{v}"))
+        same = same & (equal | loose[v] if loose and v in loose else equal)
+    outcome = F.when(F.col("_at").isNull(), F.lit(None)).when(F.col("valid_from").isNull(), "new").when(same, "unchanged").when(F.col("_at") > F.col("valid_from"), "changed").otherwise("skipped_older")
+    return x.withColumn("outcome", outcome)
+
+
+def scd2_outcomes(current: DataFrame, incoming: DataFrame, key: list[str], at: str, values: list[str], loose: dict[str, Column] | None = None) -> DataFrame:
+    """key and outcome of each id of the input: new, changed, unchanged, or skipped_older (it differs from a version that opened no earlier)."""
+    return _met(current, incoming, key, at, values, loose).where("outcome is not null").select(*key, "outcome")
+
+
+def scd2_merge(current: DataFrame, incoming: DataFrame, key: list[str], at: str, values: list[str], loose: dict[str, Column] | None = None) -> DataFrame:
+    """One merge step onto ``current(key, valid_from, valid_to, values)``: all rows to keep, with closed and opened versions.
+
+    Ids absent from the input stay open; input that is not newer than the open version is skipped. ``loose`` names values
+    that do not count as changed where a condition on the key holds (a capacity that its system reports as it goes).
+    """
+    open_ = _met(current, incoming, key, at, values, loose).withColumn("_new", F.coalesce(F.col("outcome").isin("new", "changed"), F.lit(False)))
     kept = open_.where(F.col("valid_from").isNotNull()).select(*key, "valid_from", F.when(F.col("_new"), F.col("_at")).alias("valid_to"), *values)
     opened = open_.where("_new").select(*key, F.col("_at").alias("valid_from"), F.lit(None).cast(current.schema["valid_to"].dataType).alias("valid_to"), *[F.col(f"_{v}").alias(v) for v in values])
     return current.where(F.col("valid_to").isNotNull()).select(*key, "valid_from", "valid_to", *values).unionByName(kept).unionByName(opened)

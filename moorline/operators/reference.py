@@ -39,6 +39,20 @@ def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str,
     return rows.join(best, key, "left").select(*rows.columns, "_m.*")
 
 
+def places(rows: DataFrame, text: str, first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
+    """Each row with the longest listed first-level prefix of its text and, inside it, the longest second-level prefix of the rest.
+
+    ``first(code, name)``, ``second(code, sub_code, sub_name)``: bounded reference lists. Adds code and sub_code, null where
+    nothing matches; a second level is looked for among those of the matched first level alone.
+    """
+    x = longest_prefix(rows, text, first.select(F.col("name").alias("_name"), "code"), "_name", key)
+    x = x.withColumn("_rest", F.expr(f"substring(`{text}`, length(_name) + 1)"))
+    lengths = [r[0] for r in second.select(F.length("sub_name")).distinct().collect()]  # a few lengths of a reference list
+    cuts = x.where("code is not null").select(*key, "code", F.explode(F.array_distinct(F.array(*[F.substring("_rest", 1, n) for n in lengths] or [F.lit("")]))).alias("sub_name"))
+    best = cuts.join(second, ["code", "sub_name"]).groupBy(*key).agg(F.max_by("sub_code", F.length("sub_name")).alias("sub_code"))
+    return x.join(best, key, "left").select(*rows.columns, "code", "sub_code")
+
+
 def daily_capacity_max(obs: DataFrame, day: Column) -> DataFrame:
     """Greatest bikes + docks of each entity and day over observed rows; totals beyond 16 bits are noise."""
     total = F.col("bikes") + F.col("docks")

@@ -87,12 +87,23 @@ def with_draws(df: DataFrame, day: Column, keys: list[Column], grid_index: Colum
 
 
 def window_days(available: DataFrame, end: str, days: int) -> DataFrame:
-    """The days of a window that ends at ``end``: ``present`` tells which partitions exist."""
+    """The days of a window that ends at ``end``: ``present`` tells which partitions exist. Missing days are told; reading a window whose last day is missing is an error."""
     wanted = available.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(F.to_date(F.lit(end)), days - 1), F.to_date(F.lit(end)))).alias("day"))
-    return wanted.join(available.select("day", F.lit(True).alias("present")).distinct(), "day", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    x = wanted.join(available.select("day", F.lit(True).alias("present")).distinct(), "day", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    missing = (F.col("day") == F.to_date(F.lit(end))) & ~F.col("present")
+    return x.withColumn("present", F.when(missing, F.raise_error(F.lit(f"the window's last day {end} is missing")).cast("boolean")).otherwise(F.col("present")))
 
 
-def split_days(days: DataFrame, evaluate: int, purge: int = 1) -> DataFrame:
-    """Newest ``evaluate`` days are for evaluation, the ``purge`` days before them are left out, the rest is for fitting."""
+def split_days(days: DataFrame, evaluate: int, purge: int = 1, baseline: int = 7) -> DataFrame:
+    """Newest ``evaluate`` days are for evaluation, the ``purge`` days before them are left out, the rest is for fitting; ``is_baseline`` marks the newest ``baseline`` fit days.
+
+    Reading a split that leaves no day for fitting is an error.
+    """
+    if evaluate < 1 or purge < 0:
+        raise ValueError(f"{evaluate} evaluation and {purge} purged days make no split")
     rank = F.row_number().over(Window.orderBy(F.col("day").desc()))
-    return days.select("day").distinct().withColumn("part", F.when(rank <= evaluate, "evaluate").when(rank <= evaluate + purge, "purge").otherwise("fit"))
+    total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    x = days.select("day").distinct().withColumns({"_r": rank, "_n": total})
+    few = F.raise_error(F.concat(F.col("_n").cast("string"), F.lit(f" days are too few for {evaluate} evaluation and {purge} purged days"))).cast("string")
+    part = F.when(F.col("_n") <= evaluate + purge, few).when(F.col("_r") <= evaluate, "evaluate").when(F.col("_r") <= evaluate + purge, "purge").otherwise("fit")
+    return x.select("day", part.alias("part"), F.col("_r").between(evaluate + purge + 1, evaluate + purge + baseline).alias("is_baseline"))

@@ -162,8 +162,9 @@ def spl_01_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spl_02_window(spark: SparkSession, d: str) -> DataFrame:
-    days = T.obs_long(spark, d).where(F.col("bikes") == -1).select(timegrid.local_date(F.col("observed_at"), 9).alias("day"))
-    return sampling.window_days(days, "2024-01-30", 28)
+    """A window that begins before the first day: missing days are told."""
+    days = T.obs_long(spark, d).select(timegrid.local_date(F.col("observed_at"), 9).alias("day"))
+    return sampling.window_days(days, "2024-01-28", 35)
 
 
 _NAMES = """flagship_persistence_brier grd_01_grid grd_02_local_time aso_01_feature_asof aso_02_label_asof aso_03_gather aso_04_unreferenced aso_05_validity aso_06_aligned
@@ -234,7 +235,7 @@ UNION ALL SELECT system_id, coalesce(target_reason, 'kept') AS reason, count(*)
     "smp_02_weights": f"WITH {T.OBS}, {GRID}, {DRAWN}, n AS (SELECT system_id, count(*) * 4.0::DOUBLE AS sum_weight FROM drawn GROUP BY 1) SELECT p.system_id, (count(*) * 3)::BIGINT AS n_pairs, coalesce(any_value(sum_weight), 0) AS sum_weight FROM points p LEFT JOIN n USING (system_id) GROUP BY 1",
     "smp_03_splitmix": _SPLITMIX,
     "spl_01_split": f"""WITH {T.OBS}, d AS (SELECT DISTINCT (observed_at + INTERVAL 9 HOUR)::DATE AS day FROM obs), r AS (SELECT day, row_number() OVER (ORDER BY day DESC) AS n FROM d)
-SELECT day, CASE WHEN n <= 5 THEN 'evaluate' WHEN n <= 6 THEN 'purge' ELSE 'fit' END AS part FROM r""",
-    "spl_02_window": f"""WITH {T.OBS}, d AS (SELECT DISTINCT (observed_at + INTERVAL 9 HOUR)::DATE AS day FROM obs WHERE bikes = -1)
-SELECT w.day, d.day IS NOT NULL AS present FROM (SELECT unnest(generate_series(DATE '2024-01-03', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS day) w LEFT JOIN d ON d.day = w.day""",
+SELECT day, CASE WHEN n <= 5 THEN 'evaluate' WHEN n <= 6 THEN 'purge' ELSE 'fit' END AS part, n BETWEEN 7 AND 13 AS is_baseline FROM r""",
+    "spl_02_window": f"""WITH {T.OBS}, d AS (SELECT DISTINCT (observed_at + INTERVAL 9 HOUR)::DATE AS day FROM obs)
+SELECT w.day, d.day IS NOT NULL AS present FROM (SELECT unnest(generate_series(DATE '2024-01-28' - 34, DATE '2024-01-28', INTERVAL 1 DAY))::DATE AS day) w LEFT JOIN d ON d.day = w.day""",
 }

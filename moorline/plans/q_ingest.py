@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moorline.operators import archive, ingest, reference
@@ -157,11 +157,23 @@ def src_11_scd2(spark: SparkSession, d: str) -> DataFrame:
     return ingest.scd2(T.attribute_versions(spark, d), ["station_id"], "fetched_at", ["seq"], ["name", "capacity"])
 
 
-def src_11_scd2_merge(spark: SparkSession, d: str) -> DataFrame:
+def loose() -> dict[str, Column]:
+    """Stations whose capacity is reported as it goes: a change of it alone is none."""
+    return {"capacity": F.col("station_id").cast("long") % 3 == 0}
+
+
+def versions_to_merge(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A history up to 2000 and one input row an id, of which some are no newer than the open version."""
     v = T.attribute_versions(spark, d)
     current = ingest.scd2(v.where(F.col("fetched_at") < "2000-01-01"), ["station_id"], "fetched_at", ["seq"], ["name", "capacity"])
-    incoming = v.where(F.year("fetched_at") >= 1999).groupBy("station_id").agg(F.max_by(F.struct("fetched_at", "name", "capacity"), F.struct("fetched_at", "seq")).alias("x")).select("station_id", "x.*")
-    return ingest.scd2_merge(current, incoming, ["station_id"], "fetched_at", ["name", "capacity"])
+    back = F.when(F.col("station_id").cast("long") % 4 == 0, F.col("fetched_at") - F.expr("INTERVAL 900 DAYS")).otherwise(F.col("fetched_at"))
+    incoming = v.where(F.year("fetched_at") >= 1997).groupBy("station_id").agg(F.max_by(F.struct("fetched_at", "name", (F.col("capacity") + F.col("seq") % 2).alias("capacity")), F.struct("fetched_at", "seq")).alias("x")).select("station_id", "x.*")
+    return current, incoming.withColumn("fetched_at", back)
+
+
+def src_11_scd2_merge(spark: SparkSession, d: str) -> DataFrame:
+    current, incoming = versions_to_merge(spark, d)
+    return ingest.scd2_merge(current, incoming, ["station_id"], "fetched_at", ["name", "capacity"], loose())
 
 
 def src_12_point_in_time(spark: SparkSession, d: str) -> DataFrame:
@@ -302,13 +314,15 @@ def snk_01_profile_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snk_02_forecast_log(spark: SparkSession, d: str) -> DataFrame:
-    """Forecast arrays by station and cycle, logged and read back."""
+    """Forecast arrays by station, half-day cycle and version, logged, logged again for some cycles, and read back."""
     o = T.obs_long(spark, d)
-    f = o.select(*KEYS, F.col("observed_at").alias("base_observed_at"), F.array(F.lit(5), F.lit(60)).alias("horizons_min"), F.array((F.col("docks") * 60).cast("int"), (F.col("docks") * 50).cast("int")).alias("p_bike_x1000"))
+    base = F.date_trunc("day", F.col("observed_at")).cast("timestamp_ntz") + F.make_dt_interval(hours=(F.floor(F.hour("observed_at") / 12) * 12).cast("int"))
+    f = o.select(*KEYS, base.alias("base_observed_at"), F.array(F.lit(5), F.lit(60)).alias("horizons_min"), F.array((F.col("docks") * 60).cast("int"), (F.col("docks") * 50).cast("int")).alias("p_bike_x1000"), F.when(F.col("observed_at") < "2024-01-16", "v1").otherwise("v2").alias("model_version"))
     path = scratch(spark, "log")
-    archive.write_forecast_log(f, path, every_h=12)
+    for run in (f, f.where(F.hour("base_observed_at") == 12)):
+        archive.write_forecast_log(run, path, every_h=12)
     back = spark.read.parquet(path)
-    return back.groupBy("system_id", F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.element_at("p_bike_x1000", 2)).alias("sum_60"))
+    return back.groupBy("system_id", F.col("date").cast("string").alias("date"), "model_version").agg(F.count(F.lit(1)).alias("n"), F.sum(F.element_at("p_bike_x1000", 2)).alias("sum_60"))
 
 
 _NAMES = """src_01_validate src_02_normalise src_02_warnings src_03_information src_04_skip_stale src_05_ledger src_06_pack src_07_anomaly src_08_insert_once src_09_latest_state src_10_error_fold
@@ -325,6 +339,12 @@ _WX = "CASE WHEN (h + k) % 11 <> 0 THEN ((h * {m} + k) % 37)::DOUBLE END"
 WEATHER = f"""{T.STATIONS}, cl AS (SELECT DISTINCT round_even(lat / 0.05, 0)::INT AS lat_idx, round_even(lon / 0.0625, 0)::INT AS lon_idx FROM stations WHERE NOT geo_suspect),
 place AS (SELECT issued_hour, lat_idx, lon_idx, (lat_idx + lon_idx) % 25 AS k, hour(issued_hour + INTERVAL 9 HOUR) AS l FROM cl, (SELECT DISTINCT date_trunc('hour', ts)::TIMESTAMP AS issued_hour FROM events WHERE hour(ts) % 3 = 0))"""
 
+MERGE = f"""{T.VERSIONS}, old AS (SELECT *, lag(struct_pack(n := name, c := capacity)) OVER (PARTITION BY station_id ORDER BY fetched_at, seq) AS p FROM versions WHERE fetched_at < TIMESTAMP '2000-01-01'),
+cur AS (SELECT station_id, fetched_at AS valid_from, lead(fetched_at) OVER (PARTITION BY station_id ORDER BY fetched_at, seq) AS valid_to, name, capacity FROM old WHERE p IS NULL OR p.n IS DISTINCT FROM name OR p.c IS DISTINCT FROM capacity),
+newest AS (SELECT station_id, max(struct_pack(f := fetched_at, s := seq, n := name, c := (capacity + seq % 2)::INT)) AS x FROM versions WHERE year(fetched_at) >= 1997 GROUP BY 1),
+inc AS (SELECT station_id, struct_pack(f := CASE WHEN station_id::BIGINT % 4 = 0 THEN x.f - INTERVAL 900 DAY ELSE x.f END, n := x.n, c := x.c) AS x FROM newest)"""
+CHANGED = "x.n IS DISTINCT FROM name OR (x.c IS DISTINCT FROM capacity AND station_id::BIGINT % 3 <> 0)"
+
 ORACLE = {
     "src_01_validate": f"""WITH {ENTRY}, i AS (SELECT system_id, hour, pos, 'bad bikes at ' || pos::VARCHAR AS issue FROM entry WHERE b > 32767),
 r AS (SELECT *, row_number() OVER (PARTITION BY system_id, hour ORDER BY pos) AS n FROM i)
@@ -354,10 +374,8 @@ SELECT system_id, station_id, CASE WHEN wr THEN TIMESTAMP '2024-01-30' ELSE obse
     "src_10_error_fold": f"""WITH {T.JOBS}, r AS (SELECT *, sum((status <> 'failed')::INT) OVER (PARTITION BY job ORDER BY started_at, run_id ROWS UNBOUNDED PRECEDING) AS g FROM jobs)
 SELECT job, run_id, sum((status = 'failed')::INT) OVER (PARTITION BY job, g ORDER BY started_at, run_id ROWS UNBOUNDED PRECEDING)::BIGINT AS consecutive_errors FROM r""",
     "src_11_scd2": f"WITH {SCD2} SELECT * FROM scd",
-    "src_11_scd2_merge": f"""WITH {T.VERSIONS}, old AS (SELECT *, lag(struct_pack(n := name, c := capacity)) OVER (PARTITION BY station_id ORDER BY fetched_at, seq) AS p FROM versions WHERE fetched_at < TIMESTAMP '2000-01-01'),
-cur AS (SELECT station_id, fetched_at AS valid_from, lead(fetched_at) OVER (PARTITION BY station_id ORDER BY fetched_at, seq) AS valid_to, name, capacity FROM old WHERE p IS NULL OR p.n IS DISTINCT FROM name OR p.c IS DISTINCT FROM capacity),
-inc AS (SELECT station_id, max(struct_pack(f := fetched_at, s := seq, n := name, c := capacity)) AS x FROM versions WHERE year(fetched_at) >= 1999 GROUP BY 1),
-o AS (SELECT cur.*, inc.x, inc.x IS NOT NULL AND (x.n IS DISTINCT FROM name OR x.c IS DISTINCT FROM capacity) AND x.f >= valid_from AS chg FROM cur LEFT JOIN inc USING (station_id) WHERE valid_to IS NULL)
+    "src_11_scd2_merge": f"""WITH {MERGE},
+o AS (SELECT cur.*, inc.x, inc.x IS NOT NULL AND ({CHANGED}) AND x.f > valid_from AS chg FROM cur LEFT JOIN inc USING (station_id) WHERE valid_to IS NULL)
 SELECT station_id, valid_from, valid_to, name, capacity FROM cur WHERE valid_to IS NOT NULL
 UNION ALL SELECT station_id, valid_from, CASE WHEN chg THEN x.f END, name, capacity FROM o
 UNION ALL SELECT station_id, x.f, NULL, x.n, x.c FROM o WHERE chg
@@ -390,5 +408,5 @@ SELECT system_id, day, count(*) AS n_rows, sum(('0x' || substr(m, 1, 8))::BIGINT
 SELECT system_id, epoch_s, system_id || '/raw/' || epoch_s::VARCHAR || CASE WHEN event_id % 2 = 0 THEN '.json.gz' ELSE '.json' END AS path FROM o
 WHERE to_timestamp(epoch_s)::TIMESTAMP::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' AND (system_id, epoch_s) NOT IN (SELECT (system_id, epoch_s) FROM o WHERE event_id % 3 = 0)""",
     "snk_01_profile_layout": f"""WITH {T.OBS} SELECT system_id, station_id, 'sat' AS dow_type, (hour(observed_at) // 6)::INT AS slot15, count(*) AS n, sum(bikes)::BIGINT AS sum_bikes FROM obs WHERE bikes <> -1 AND dayofweek(observed_at) = 6 AND hour(observed_at) // 6 IN (1, 2) GROUP BY ALL""",
-    "snk_02_forecast_log": f"WITH {T.OBS} SELECT system_id, strftime(observed_at, '%Y-%m-%d') AS date, count(*) AS n, sum(docks * 50)::BIGINT AS sum_60 FROM obs GROUP BY ALL",
+    "snk_02_forecast_log": f"WITH {T.OBS} SELECT system_id, strftime(observed_at, '%Y-%m-%d') AS date, CASE WHEN observed_at < TIMESTAMP '2024-01-16' THEN 'v1' ELSE 'v2' END AS model_version, count(*) AS n, sum(docks * 50)::BIGINT AS sum_60 FROM obs GROUP BY ALL",
 }

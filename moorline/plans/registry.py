@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that hold QUERIES and ORACLE.
-MODULES: tuple[str, ...] = ("q_grid", "q_ingest", "q_features", "q_models", "q_eval", "q_read", "q_stream")
+MODULES: tuple[str, ...] = ("q_grid", "q_ingest", "q_features", "q_models", "q_eval", "q_read", "q_stream", "q_merge")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
