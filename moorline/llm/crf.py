@@ -9,7 +9,7 @@ of known stems still count.
 
 Scoring runs forward-backward over every sentence of every whole text, however long: a
 sentence beyond ``PIECE`` words is read in pieces between which the scores are carried,
-which is exact. In the fit alone longer sentences count as several of ``chain`` words.
+which is exact, and a text beyond ``LONG`` bytes some whole sentences at a time. In the fit alone longer sentences count as several of ``chain`` words.
 Words whose marginal passes ``span`` are offending spans (byte offsets); the text's score is its
 greatest marginal. Null, empty and wordless texts have score 0 and no spans. The fit
 uses a bounded sample (``per_class`` texts and ``most_chars`` characters of each class,
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from moorline.llm.labelled import balanced_ids, sample_texts
 from moorline.llm.shared import fold
-from moorline.llm.textarrays import ALNUM, mix, slices, text_buffer, word_bounds, word_hashes
+from moorline.llm.textarrays import ALNUM, as_column, mix, sentence_pieces, slices, text_buffer, word_bounds, word_hashes
 
 
 @dataclass(frozen=True)
@@ -58,6 +58,8 @@ class Params:
 
 PREFIXES, SUFFIX = (3, 4, 5, 6), 3
 BLOCK = 8192  #: sentences (or pieces of long ones) that forward-backward pads together
+MARKS = b".!?\n"  #: bytes after a word that end its sentence
+LONG = 1 << 20  #: bytes of a text beyond which it is scored some sentences at a time
 PIECE = 64  #: words of a piece of a long sentence
 
 
@@ -87,7 +89,7 @@ class Tokens:
         first = np.zeros(n, dtype=bool)
         if n:
             first[0] = True
-            first[1:] = (self.rows[1:] != self.rows[:-1]) | np.isin(after[:-1], np.frombuffer(b".!?\n", dtype=np.uint8))
+            first[1:] = (self.rows[1:] != self.rows[:-1]) | np.isin(after[:-1], np.frombuffer(MARKS, dtype=np.uint8))
         if chain:
             begin = np.flatnonzero(first)
             place = np.arange(n) - np.repeat(begin, np.diff(np.concatenate([begin, [n]])))
@@ -305,6 +307,30 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Crf:
     return crf
 
 
+def spotted(column: pa.Array, crf: Crf, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score of each text, row and byte bounds of each offending word)."""
+    tokens = Tokens(column)
+    m = marginals(crf, tokens, tokens.features(p.slots))
+    top = np.zeros(tokens.n_rows)
+    np.maximum.at(top, tokens.rows, m)
+    bad = np.flatnonzero(m >= p.span)
+    rows = tokens.rows[bad]
+    base = tokens.offsets[rows]
+    return top, rows, np.stack([tokens.starts[bad] - base, tokens.ends[bad] - base], axis=1)
+
+
+def spotted_long(column: pa.Array, crf: Crf, p: Params, piece: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``spotted`` of a column of one text, a few sentences at a time: sentences are scored apart, so the result is the same."""
+    data, _ = text_buffer(column)
+    top, pairs = np.zeros(1), [np.zeros((0, 2), dtype=np.int64)]
+    for start, end in sentence_pieces(data, piece, ALNUM, MARKS):
+        t, _, found = spotted(as_column(data[start:end]), crf, p)
+        top = np.maximum(top, t)
+        pairs.append(found + start)
+    pairs = np.concatenate(pairs)
+    return top, np.zeros(len(pairs), dtype=np.int64), pairs
+
+
 def score(docs: DataFrame, crf: Crf, p: Params = Params()) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (byte offsets start, end of each offending word) of each row of ``docs(doc_id, text)``."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)
@@ -313,16 +339,10 @@ def score(docs: DataFrame, crf: Crf, p: Params = Params()) -> DataFrame:
         crf = shared.value
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
-                tokens = Tokens(part.column(1))
-                m = marginals(crf, tokens, tokens.features(p.slots))
-                top = np.zeros(part.num_rows)
-                np.maximum.at(top, tokens.rows, m)
-                bad = np.flatnonzero(m >= p.span)
-                rows = tokens.rows[bad]
-                base = tokens.offsets[rows]
-                pairs = np.stack([tokens.starts[bad] - base, tokens.ends[bad] - base], axis=1).ravel()
+                long = part.num_rows == 1 and len(text_buffer(part.column(1))[0]) > LONG
+                top, rows, pairs = (spotted_long if long else spotted)(part.column(1), crf, p)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=part.num_rows) * 2)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(top), pa.ListArray.from_arrays(ends, pa.array(pairs.astype(np.int64)))], names=["doc_id", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(top), pa.ListArray.from_arrays(ends, pa.array(pairs.ravel().astype(np.int64)))], names=["doc_id", "score", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = rows.mapInArrow(run, "doc_id long, score double, spans array<long>")

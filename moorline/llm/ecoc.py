@@ -8,7 +8,8 @@ a text whose runner-up is close is flagged ambiguous.
 
 The fit uses a bounded sample (``per_class`` texts a language, none longer than
 ``longest`` characters, the held-out fold excluded); only n-gram shares of that sample
-reach the driver. Null text, or text without a letter, is ``und`` with score 0. With
+reach the driver. Null text, or text without a letter, is ``und`` with score 0. A text of any length is
+counted in pieces of a megabyte. With
 one known language all lettered texts get it; with none, all are ``und``. Of more than
 ``most_languages`` values of lang (dirty data) those of most documents are learned. A row's text is
 learned with its own lang, whatever other rows of its doc_id say, in any order of rows; repeated
@@ -51,6 +52,10 @@ _LETTER[0x41:0x5B] = np.arange(0x61, 0x7B)
 _LETTER[0x80:] = np.arange(0x80, 0x100)
 
 
+def _slot(gram: np.ndarray, size: int, bins: int) -> np.ndarray:
+    return (((gram * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size)) >> np.uint64(40)) % np.uint64(bins)).astype(np.int64)
+
+
 def shares(column: pa.Array, bins: int) -> np.ndarray:
     """Rows x bins: root of the share of each hashed 1-, 2- and 3-gram, each length apart; unit rows."""
     data, offsets = text_buffer(column)
@@ -69,12 +74,36 @@ def shares(column: pa.Array, bins: int) -> np.ndarray:
             inside &= (x[:count] != 0x20) | (x[size - 1 :] != 0x20)
         else:
             inside &= x != 0x20
-        slot = ((gram * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size)) >> np.uint64(40)) % np.uint64(bins)
-        out += np.bincount((rows[:count] * bins + slot.astype(np.int64))[inside], minlength=n * bins)
-    out = np.sqrt(out.reshape(n, bins))
+        out += np.bincount((rows[:count] * bins + _slot(gram, size, bins))[inside], minlength=n * bins)
+    return _unit(out.reshape(n, bins))
+
+
+def long_shares(column: pa.Array, bins: int, piece: int = 1 << 20) -> np.ndarray:
+    """``shares`` of a column of one text, counted piece by piece in constant memory: a gram counts where it begins."""
+    data, _ = text_buffer(column)
+    out = np.zeros(bins)
+    for start in range(0, len(data), piece):
+        x = _LETTER[data[start : start + piece + 2]]
+        gram = np.zeros(len(x), dtype=np.uint64)
+        for size in (1, 2, 3):
+            count = len(x) - size + 1
+            if count <= 0:
+                break
+            gram = gram[:count] * np.uint64(257) + x[size - 1 :]
+            inside = (x[:count] != 0x20) | (x[size - 1 :] != 0x20)
+            inside[piece:] = False
+            out += np.bincount(_slot(gram, size, bins)[inside], minlength=bins)
+    return _unit(out.reshape(1, bins))
+
+
+def _unit(counts: np.ndarray) -> np.ndarray:
+    out = np.sqrt(counts)
     return (out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)).astype(np.float32)
 
 
+LONG = 1 << 20  #: bytes of a text beyond which it is counted in pieces
+
+
 def codewords(n: int) -> np.ndarray:
     """n x bits of +1 and -1: every split of the languages while there are few, else seeded random splits far apart."""
     if n <= 1:
@@ -165,7 +194,8 @@ def tell(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, "text", 1 << 19):
                 lettered = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 if model.languages:
-                    best, score = model.decode(shares(part.column(1), p.bins))
+                    long = part.num_rows == 1 and len(text_buffer(part.column(1))[0]) > LONG
+                    best, score = model.decode((long_shares if long else shares)(part.column(1), p.bins))
                     names = [model.languages[i] if ok else "und" for i, ok in zip(best, lettered, strict=True)]
                     score = np.where(lettered, score, 0.0)
                 else:

@@ -98,6 +98,29 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
+def as_column(data: np.ndarray) -> pa.Array:
+    """One text as a column, without a copy."""
+    return pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(data)], dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def sentence_pieces(data: np.ndarray, limit: int, sep: np.ndarray, marks: bytes) -> Iterator[tuple[int, int]]:
+    """Bounds of pieces of at least ``limit`` bytes that end behind a mark right after a word (what is left ends the last)."""
+    mark = np.zeros(256, dtype=bool)
+    mark[list(marks)] = True
+    start, at = 0, limit
+    while at < len(data):
+        stop = min(len(data), at + limit)
+        found = np.flatnonzero(mark[data[at:stop]] & ~sep[data[at - 1 : stop - 1]])
+        if len(found):
+            end = at + int(found[0]) + 1
+            yield start, end
+            start, at = end, end + limit
+        else:
+            at = stop
+    if start < len(data) or not len(data):
+        yield start, len(data)
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each word, in order. Words never cross rows."""
     if not len(data):

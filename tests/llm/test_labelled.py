@@ -67,3 +67,26 @@ def test_long_white_space_gives_the_tokenizers_ids(text):
 def test_other_long_runs_do_not_crash(text):
     short = encode_text(encoder("byte_bpe_50k.tiktoken"), text)
     assert len(short) and encoder("byte_bpe_50k.tiktoken").decode(short.tolist()) == text
+
+
+def test_long_texts_in_pieces_equal_whole_ones():
+    """Counts of n-grams and marginals of sentences do not depend on where a long text is taken apart."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    words = ["abc", "défi", "the", "hund", "x1", "vile", "vileness", "日本", "a"]
+    text = "".join(rng.choice(words) + rng.choice([" ", ", ", ". ", "!\n", "...", "?", "  "], p=[0.6, 0.1, 0.1, 0.05, 0.05, 0.05, 0.05]) for _ in range(4000))
+    column = pa.array([text])
+    for piece in (64, 1000, 1 << 20):
+        assert np.array_equal(ecoc.long_shares(column, 512, piece), ecoc.shares(column, 512))
+    p = crf.Params(slots=1 << 10)
+    model = crf.Crf(rng.normal(size=p.slots).astype(np.float32), -1.0, np.array([0.2, -0.3]), np.array([[0.4, -0.5], [-0.2, 0.6]]))
+    top, _, pairs = crf.spotted(column, model, p)
+    assert len(pairs) > 50
+    for piece in (16, 100, 5000, 1 << 20):
+        t, _, found = crf.spotted_long(column, model, p, piece)
+        assert np.allclose(t, top) and np.array_equal(found, pairs)
+    for odd in ("", "no mark at all " * 50, "...", "a."):
+        t, _, found = crf.spotted_long(pa.array([odd]), model, p, 8)
+        whole = crf.spotted(pa.array([odd]), model, p)
+        assert np.allclose(t, whole[0]) and np.array_equal(found, whole[2])
