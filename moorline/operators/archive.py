@@ -16,8 +16,7 @@ def write_hourly(long: DataFrame, path: str, before: Column | None = None, every
     rows = long.withColumn("date", F.date_format("observed_at", "yyyy-MM-dd")).withColumn("hour", F.lpad((F.floor(F.hour("observed_at") / every_h) * every_h).cast("string"), 2, "0"))
     if before is not None:
         rows = rows.where(F.date_trunc("hour", F.col("observed_at")) + F.expr("INTERVAL 1 HOUR") <= before)
-    rows = rows.repartition("system_id", "date", "hour").sortWithinPartitions("system_id", "date", "hour", "station_id", "observed_at")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("system_id", "date", "hour").parquet(path)
+    keyed.swing(rows, path, ["system_id", "date", "hour"], ["station_id", "observed_at"])
 
 
 def read_hours(spark: SparkSession, path: str, schema, hours: list[tuple[str, str]]) -> DataFrame:  # noqa: ANN001

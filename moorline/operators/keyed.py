@@ -20,10 +20,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def swing(rows: DataFrame, path: str, by: list[str], order: list[str]) -> None:
-    """Replace the partitions that rows hold, and no other; a large partition is dealt over several files by ``order``."""
+    """Replace the partitions that rows hold, and no other; a large partition is dealt over several zstd files by ``order``."""
     dealt = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
 def effective(base: DataFrame, updates: DataFrame, keys: list[str], version: str, guard: Column | None = None) -> DataFrame:

@@ -114,13 +114,15 @@ def suppress(events: DataFrame, key: str, at: str, interval_s: int) -> DataFrame
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, sent = None, None
         for part in parts:
-            keys, out = part["key"].fillna("\0").to_numpy(), []
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
+            keys, null, out = part["key"].to_numpy(), part["key"].isna().to_numpy(), []
+            other = (null[1:] != null[:-1]) | (~null[1:] & ~null[:-1] & (keys[1:] != keys[:-1]))
+            starts = np.flatnonzero(np.concatenate([[True], other])) if len(keys) else []
             times = part["us"].to_numpy()
             for i, start in enumerate(starts):
                 stop = starts[i + 1] if i + 1 < len(starts) else len(keys)
-                if keys[start] != held:
-                    held, sent = keys[start], None
+                name = None if null[start] else (keys[start],)  # null is a key of its own
+                if i or name != held or sent is None:
+                    held, sent = name, None
                 j = start if sent is None else start + int(np.searchsorted(times[start:stop], sent + us))
                 while j < stop:
                     sent = int(times[j])

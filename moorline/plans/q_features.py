@@ -63,7 +63,7 @@ def dailies(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFram
     return reference.daily_profile(usable_points(spark, d, s), ["day", "dow_type", "slot15"])
 
 
-def profile(spark: SparkSession, d: str, last: str = "2024-01-20") -> DataFrame:
+def profile(spark: SparkSession, d: str, last: str = "2024-12-31") -> DataFrame:
     return reference.sum_dailies(dailies(spark, d).where(F.col("day") <= last))
 
 
@@ -335,7 +335,7 @@ def _sum(where: str) -> str:
     return f"SELECT system_id, station_id, dow_type, slot15, count(*) AS n_days, {', '.join(f'sum({c})::BIGINT AS {c}' for c in reference.SUMS)} FROM daily WHERE {where} GROUP BY ALL"
 
 
-PROF = f"""prof AS ({_sum("day <= DATE '2024-01-20'")})"""
+PROF = f"""prof AS ({_sum("true")})"""
 ECAL = """ehol AS (SELECT (ts + INTERVAL 9 HOUR)::DATE AS date, min(event_type) AS name FROM events WHERE event_id % 991 = 0 GROUP BY 1),
 efix AS (SELECT s.date, ehol.name, CASE WHEN month(s.date) * 100 + day(s.date) >= 1229 OR month(s.date) * 100 + day(s.date) <= 103 THEN 'newyear' WHEN month(s.date) * 100 + day(s.date) BETWEEN 813 AND 816 THEN 'obon'
   WHEN ehol.name IS NOT NULL THEN 'holiday' WHEN dayofweek(s.date) = 0 THEN 'sun' WHEN dayofweek(s.date) = 6 THEN 'sat' END AS f FROM (SELECT unnest(generate_series(DATE '2023-11-21', DATE '2024-03-13', INTERVAL 1 DAY))::DATE AS date) s LEFT JOIN ehol ON ehol.date = s.date),

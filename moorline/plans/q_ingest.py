@@ -194,12 +194,12 @@ def src_13_holidays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weather_places(spark: SparkSession, d: str) -> DataFrame:
-    """Weather JSON of each cell with stations, for every third hour that has events: 48 local hours from midnight."""
+    """Weather JSON of each cell with stations, for every hour that has events: 48 local hours from midnight."""
     e = T.read(spark, d, "events")
     hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
-    issues = e.where(F.hour("ts") % 3 == 0).select(hour.alias("issued_hour")).distinct()
+    issues = e.select(hour.alias("issued_hour")).distinct()
     cells = reference.weather_cells(T.stations(spark, d), 0.05, 0.0625).select("lat_idx", "lon_idx")
-    every = F.sequence(F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")), F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00")), F.expr("INTERVAL 3 HOURS"))
+    every = F.sequence(F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")), F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00")), F.expr("INTERVAL 1 HOUR"))
     rows = cells.withColumn("issued_hour", F.explode(every)).join(F.broadcast(issues), "issued_hour", "left_semi")
     k = (F.col("lat_idx") + F.col("lon_idx")) % 25
     start = F.date_trunc("day", F.col("issued_hour") + F.expr("INTERVAL 9 HOURS")).cast("timestamp_ntz")
@@ -337,7 +337,7 @@ ARRAYS = "SELECT l.system_id, h.observed_at, " + ", ".join(f"list(coalesce(r.{v}
 _WX = "CASE WHEN (h + k) % 11 <> 0 THEN ((h * {m} + k) % 37)::DOUBLE END"
 
 WEATHER = f"""{T.STATIONS}, cl AS (SELECT DISTINCT round_even(lat / 0.05, 0)::INT AS lat_idx, round_even(lon / 0.0625, 0)::INT AS lon_idx FROM stations WHERE NOT geo_suspect),
-place AS (SELECT issued_hour, lat_idx, lon_idx, (lat_idx + lon_idx) % 25 AS k, hour(issued_hour + INTERVAL 9 HOUR) AS l FROM cl, (SELECT DISTINCT date_trunc('hour', ts)::TIMESTAMP AS issued_hour FROM events WHERE hour(ts) % 3 = 0))"""
+place AS (SELECT issued_hour, lat_idx, lon_idx, (lat_idx + lon_idx) % 25 AS k, hour(issued_hour + INTERVAL 9 HOUR) AS l FROM cl, (SELECT DISTINCT date_trunc('hour', ts)::TIMESTAMP AS issued_hour FROM events))"""
 
 MERGE = f"""{T.VERSIONS}, old AS (SELECT *, lag(struct_pack(n := name, c := capacity)) OVER (PARTITION BY station_id ORDER BY fetched_at, seq) AS p FROM versions WHERE fetched_at < TIMESTAMP '2000-01-01'),
 cur AS (SELECT station_id, fetched_at AS valid_from, lead(fetched_at) OVER (PARTITION BY station_id ORDER BY fetched_at, seq) AS valid_to, name, capacity FROM old WHERE p IS NULL OR p.n IS DISTINCT FROM name OR p.c IS DISTINCT FROM capacity),

@@ -77,7 +77,7 @@ def mod_06_blend(spark: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("system_id", "h_min").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("w") * F.pow(F.col("p_b3") - F.col("y"), 2)) / F.sum("w"), 6).alias("brier_b3"))
 
 
-def trend(spark: SparkSession, d: str, last: str = "2024-01-20") -> DataFrame:
+def trend(spark: SparkSession, d: str, last: str = "2024-12-31") -> DataFrame:
     return M.hourly_trend(Q.profile(spark, d, last), 2, {"weekday": 3, "sat": 2, "sun_holiday": 2})
 
 

@@ -180,7 +180,7 @@ def mon_09_stale_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mon_10_model_age(spark: SparkSession, d: str) -> DataFrame:
-    o = T.obs_long(spark, d).where("bikes = -1")
+    o = T.obs_long(spark, d)
     m = o.groupBy(F.concat(F.lit("m"), (F.col("station_id").cast("long") % 40).cast("string")).alias("model")).agg(F.collect_set(F.to_date("observed_at")).alias("train_days"))
     return MON.model_age(m, "2024-01-31")
 
@@ -266,7 +266,7 @@ SELECT reg.job, last_ok_at FROM reg LEFT JOIN l USING (job) WHERE floor((epoch_u
     "mon_08_inference": f"""WITH {T.JOBS}, j AS (SELECT * FROM jobs WHERE started_at <= {TS}) SELECT system_id, max(started_at) FILTER (status = 'ok') AS last_ok_at, count(*) FILTER (status = 'running' AND floor((epoch_us({TS}) - epoch_us(started_at)) / 1000000) > 900) AS n_stuck,
   count(*) FILTER (status = 'ok' AND run_id % 10 = 0) AS n_unlogged, floor((epoch_us({TS}) - epoch_us(max(started_at) FILTER (status = 'ok'))) / 1000000) > 900 AS is_stale FROM j GROUP BY 1""",
     "mon_09_stale_tables": f"""WITH {T.OBS}, a AS (SELECT 'weather' AS what, max(fetched_at) AS newest, 1200 AS l FROM obs WHERE system_id = 'a' AND fetched_at <= {TS} UNION ALL SELECT 'holidays', max(o_orderdate), 90 * 86400 FROM orders) SELECT what, newest, floor((epoch_us({TS}) - epoch_us(newest)) / 1000000) > l AS fires FROM a""",
-    "mon_10_model_age": f"WITH {T.OBS}, m AS (SELECT 'm' || (station_id::BIGINT % 40)::VARCHAR AS model, max(observed_at::DATE) AS last_day FROM obs WHERE bikes = -1 GROUP BY 1) SELECT model, last_day, (DATE '2024-01-31' - last_day)::INT AS age_days, DATE '2024-01-31' - last_day >= 8 AS fires FROM m",
+    "mon_10_model_age": f"WITH {T.OBS}, m AS (SELECT 'm' || (station_id::BIGINT % 40)::VARCHAR AS model, max(observed_at::DATE) AS last_day FROM obs GROUP BY 1) SELECT model, last_day, (DATE '2024-01-31' - last_day)::INT AS age_days, DATE '2024-01-31' - last_day >= 8 AS fires FROM m",
     "mon_11_shadow": f"""WITH {T.JOBS}, r AS (SELECT job AS system_id, run_id, started_at, CASE WHEN run_id % 5 <> 0 THEN run_id % 2 = 0 END AS h, row_number() OVER (PARTITION BY job ORDER BY started_at DESC, run_id DESC) AS n FROM jobs WHERE status = 'ok')
 SELECT system_id, count(*) AS n, count(h) AS n_judged, count(*) FILTER (h) AS n_healthy, string_agg(run_id::VARCHAR, ',' ORDER BY started_at, run_id) AS runs, count(*) = 3 AND count(h) = 3 AND count(*) FILTER (h) = 0 AS fires FROM r WHERE n <= 3 GROUP BY 1""",
     "mon_12_suppress": f"""WITH RECURSIVE {T.JOBS}, f AS (SELECT job, started_at AS t FROM jobs WHERE status = 'failed'), s AS (SELECT job, min(t) AS t FROM f GROUP BY 1 UNION ALL SELECT s.job, (SELECT min(f.t) FROM f WHERE f.job = s.job AND f.t >= s.t + INTERVAL 1 DAY) AS t FROM s WHERE s.t IS NOT NULL) SELECT job, t AS sent_at FROM s WHERE t IS NOT NULL""",

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from moorline.operators import ingest
+from moorline.operators import ingest, keyed
 from moorline.operators.timegrid import micros
 from moorline.sources import feeds
 
@@ -58,7 +58,7 @@ def hourly(stream: DataFrame, late: str = "600 seconds") -> DataFrame:
 
 
 def merge_latest(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that folds a batch's whole snapshots into the latest-state table at ``path``, all in one plan; each batch reads the edition before it and writes its own, so a repeated batch changes nothing."""
+    """A foreachBatch that folds a batch's whole snapshots into the latest-state table at ``path``, all in one plan; each batch reads the edition before it and writes its own, so a repeated batch changes nothing. Older editions are removed."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -68,6 +68,7 @@ def merge_latest(path: str) -> Callable[[DataFrame, int], None]:
             schema = batch.select(*KEYS, "observed_at", "bikes", "docks", "flags").withColumn("is_present", F.lit(True)).withColumn("last_changed_at", F.col("observed_at")).schema
             state = spark.createDataFrame([], schema)
         ingest.fold_snapshots(state, batch).write.mode("overwrite").parquet(f"{path}/edition={number}")
+        keyed.removed(spark, f"{path}/edition={number - 2}")
 
     return run
 
@@ -100,15 +101,17 @@ class Suppressor(StatefulProcessor):
 class Flow(StatefulProcessor):
     """Rentals, returns and changes over the trailing window, and minutes since the last change, at each observation of an entity.
 
-    State: the last count, the last change, and the changes still inside the window.
-    Rows of one micro-batch are taken in order of observation and arrival; rows older than
+    State: the last count, the last change, and the changes still inside the window. An
+    event-time timer clears an entity's state once the watermark is ``forget_min`` past its last
+    observation; if it comes back later, it starts anew. Rows of one micro-batch are taken in order of observation and arrival; rows older than
     the state are archived elsewhere and do not roll it back.
     """
 
-    def __init__(self, window_min: int, cap_min: int) -> None:
-        self.window_us, self.cap = window_min * 60_000_000, float(cap_min)
+    def __init__(self, window_min: int, cap_min: int, forget_min: int) -> None:
+        self.window_us, self.cap, self.forget_ms = window_min * 60_000_000, float(cap_min), forget_min * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.head = handle.getValueState("head", "us long, bikes int, changed long, seen int")
         self.changes = handle.getListState("changes", "us long, delta int")
 
@@ -129,6 +132,9 @@ class Flow(StatefulProcessor):
             since = None if seen < 2 else self.cap if changed is None else min(self.cap, (us - changed) / 60_000_000)
             out.append((key[0], key[1], us, sum(max(-x, 0) for _, x in kept), sum(max(x, 0) for _, x in kept), len(kept), since))
         if at is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at // 1000 + self.forget_ms)
             self.head.update((at, bikes, changed, seen))
             if kept:
                 self.changes.put(kept)
@@ -136,6 +142,11 @@ class Flow(StatefulProcessor):
                 self.changes.clear()
         yield pd.DataFrame(out, columns=["system_id", "station_id", "us", "rentals", "returns", "n_changes", "since_change_min"]).astype({"us": "int64", "rentals": "int32", "returns": "int32", "n_changes": "int32", "since_change_min": "float64"})
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.head.clear()
+        self.changes.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -150,6 +161,11 @@ def suppress(stream: DataFrame, key: str, at: str, interval_s: int) -> DataFrame
     return x.groupBy("key").transformWithStateInPandas(Suppressor(interval_s), "key string, us long", "append", "none")
 
 
-def flow(stream: DataFrame, window_min: int, cap_min: int) -> DataFrame:
-    x = stream.where("bikes <> -1").select(*KEYS, micros(F.col("observed_at")).alias("us"), micros(F.col("fetched_at")).alias("fetched_us"), "bikes")
-    return x.groupBy(*KEYS).transformWithStateInPandas(Flow(window_min, cap_min), "system_id string, station_id string, us long, rentals int, returns int, n_changes int, since_change_min double", "append", "none")
+FORGET_MIN = 30 * 1440  #: without an observation, after which an entity's state goes
+
+
+def flow(stream: DataFrame, window_min: int, cap_min: int, forget_min: int = FORGET_MIN, late: str = "600 seconds") -> DataFrame:
+    """Flow at each observation. Rows older than the watermark are dropped; state is bounded by the entities of the last ``forget_min``."""
+    x = stream.where("bikes <> -1").withColumn("observed_at", F.col("observed_at").cast("timestamp")).withWatermark("observed_at", late)
+    x = x.select(*KEYS, "observed_at", F.unix_micros("observed_at").alias("us"), micros(F.col("fetched_at")).alias("fetched_us"), "bikes")
+    return x.groupBy(*KEYS).transformWithStateInPandas(Flow(window_min, cap_min, max(forget_min, window_min, cap_min)), "system_id string, station_id string, us long, rentals int, returns int, n_changes int, since_change_min double", "append", "EventTime")
