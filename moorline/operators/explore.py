@@ -105,3 +105,25 @@ def banded_mae(places: DataFrame, edges: DataFrame, group: str, value: str, band
     err = lambda c: F.round(F.avg(F.abs(c - F.col("v"))), 6)
     x = x.withColumns({"_all": all_, "_own": own, "_near": F.coalesce("near", own)})
     return x.groupBy(band.alias("least_neighbours")).agg(F.count(F.lit(1)).alias("n"), err(F.col("_all")).alias("mae_all"), err(F.col("_own")).alias("mae_group"), err(F.col("_near")).alias("mae_near"))
+
+
+def count_mismatch(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """mismatch: groups whose row counts differ, those on one side only included."""
+    n = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    both = n(left, "_a").join(n(right, "_b"), by, "full_outer")
+    return both.agg(F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).cast("double").alias("mismatch"))
+
+
+def gap_spread(rows: DataFrame, by: list[str], at: str, prefix: str) -> DataFrame:
+    """Median, 95th percentile and greatest of the seconds between a group's successive times; repeated times count once."""
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    gap = (us(F.col(at)) - us(F.lag(at).over(Window.partitionBy(*by).orderBy(at)))) / 1_000_000
+    g = rows.select(*by, at).distinct().withColumn("_g", gap)
+    return g.agg(F.percentile("_g", 0.5).alias(f"{prefix}_median_s"), F.percentile("_g", 0.95).alias(f"{prefix}_p95_s"), F.coalesce(F.max("_g"), F.lit(0.0)).alias(f"{prefix}_max_s"))
+
+
+def verdicts(row: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """The one row's values as check, value, verdict: FAIL above a limit, PASS at it, below it or without one."""
+    long = row.unpivot([], row.columns, "check", "value")
+    limit = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])[F.col("check")]
+    return long.withColumn("verdict", F.when(F.coalesce(F.col("value") <= limit, F.lit(True)), "PASS").otherwise("FAIL"))

@@ -212,17 +212,20 @@ def eda_08_geo_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eda_09_acceptance(spark: SparkSession, d: str) -> DataFrame:
-    """Counts, greatest gap, duplicates and failure rate as one verdict table."""
+    """Counts, greatest gap, duplicates, failure rate, full-outer mismatch, and the spread of feed and poll gaps as one verdict table."""
     o, j = T.obs_long(spark, d), T.job_runs(spark, d)
     heads = o.select("system_id", F.date_trunc("hour", F.col("observed_at")).cast("timestamp_ntz").alias("h")).distinct()
     gap = (timegrid.micros(F.col("h")) - timegrid.micros(F.lag("h").over(Window.partitionBy("system_id").orderBy("h")))) / 60_000_000
     a = heads.withColumn("g", gap).agg(F.max("g").cast("double").alias("max_gap_min"), F.count(F.lit(1)).cast("double").alias("snapshots"))
     b = o.groupBy(*KEYS, "observed_at").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).cast("double").alias("duplicates"))
     c = j.agg(F.round(F.avg((F.col("status") == "failed").cast("double")), 6).alias("failure_rate"), F.percentile(F.col("run_id") % 90, 0.95).alias("p95_s"))
-    row = a.join(b).join(c)
-    long = row.unpivot([], ["max_gap_min", "snapshots", "duplicates", "failure_rate", "p95_s"], "check", "value")
-    limit = F.create_map(*[x for k, v in (("max_gap_min", 600.0), ("duplicates", 0.0), ("failure_rate", 0.1), ("p95_s", 60.0)) for x in (F.lit(k), F.lit(v))])[F.col("check")]
-    return long.withColumn("verdict", F.when(F.coalesce(F.col("value") <= limit, F.lit(True)), "PASS").otherwise("FAIL"))
+    # Raw objects against snapshots, of which one system lacks some and another has no snapshot.
+    snaps = o.select("system_id", "observed_at").distinct()
+    stored = snaps.where("system_id = 'a' or day(observed_at) <> 9").unionByName(snaps.limit(1).select(F.lit("c").alias("system_id"), "observed_at"))
+    row = a.join(b).join(c).join(explore.count_mismatch(snaps, stored, ["system_id"]))
+    row = row.join(explore.gap_spread(o, ["system_id"], "observed_at", "feed")).join(explore.gap_spread(j, ["system_id"], "started_at", "poll"))
+    row = row.select(*[F.round(n, 6).alias(n) for n in row.columns])
+    return explore.verdicts(row, {"max_gap_min": 600.0, "duplicates": 0.0, "failure_rate": 0.1, "p95_s": 60.0, "mismatch": 0.0, "feed_max_s": 1800.0, "poll_max_s": 180.0})
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[:4] in ("eva_", "eda_")}
@@ -300,8 +303,13 @@ SELECT system_id, hour, count(*) FILTER (big) AS n_events, count(DISTINCT statio
     "eda_08_geo_fallback": """WITH c AS (SELECT c_nationkey AS n, c_mktsegment AS s, round(c_acctbal)::BIGINT AS v FROM customer), x AS (SELECT v, sum(v) OVER () AS sa, count(*) OVER () AS ca, sum(v) OVER (PARTITION BY n) AS sn, count(*) OVER (PARTITION BY n) AS cn, sum(v) OVER (PARTITION BY n, s) AS ss, count(*) OVER (PARTITION BY n, s) AS cs FROM c),
 y AS (SELECT v, (sa - v) / (ca - 1)::DOUBLE AS a, CASE WHEN cn > 1 THEN (sn - v) / (cn - 1)::DOUBLE ELSE (sa - v) / (ca - 1)::DOUBLE END AS b, CASE WHEN cs > 1 THEN (ss - v) / (cs - 1)::DOUBLE ELSE (sa - v) / (ca - 1)::DOUBLE END AS c FROM x)
 SELECT round(avg(abs(a - v)), 6) AS mae_all, round(avg(abs(b - v)), 6) AS mae_nation, round(avg(abs(c - v)), 6) AS mae_segment FROM y""",
-    "eda_09_acceptance": f"""WITH {T.OBS}, {T.JOBS}, h AS (SELECT DISTINCT system_id, date_trunc('hour', observed_at) AS h FROM obs), g AS (SELECT (epoch(h) - epoch(lag(h) OVER (PARTITION BY system_id ORDER BY h))) / 60 AS g FROM h),
+    "eda_09_acceptance": f"""WITH {T.OBS}, {T.JOBS}, snap AS (SELECT DISTINCT system_id, observed_at FROM obs), stored AS (SELECT system_id FROM snap WHERE system_id = 'a' OR day(observed_at) <> 9 UNION ALL SELECT 'c'),
+fg AS (SELECT (epoch_us(observed_at) - epoch_us(lag(observed_at) OVER (PARTITION BY system_id ORDER BY observed_at))) / 1000000.0::DOUBLE AS g FROM snap),
+pg AS (SELECT (epoch_us(started_at) - epoch_us(lag(started_at) OVER (PARTITION BY system_id ORDER BY started_at))) / 1000000.0::DOUBLE AS g FROM (SELECT DISTINCT system_id, started_at FROM jobs)), h AS (SELECT DISTINCT system_id, date_trunc('hour', observed_at) AS h FROM obs), g AS (SELECT (epoch(h) - epoch(lag(h) OVER (PARTITION BY system_id ORDER BY h))) / 60 AS g FROM h),
 r AS (SELECT 'max_gap_min' AS "check", max(g)::DOUBLE AS value FROM g UNION ALL SELECT 'snapshots', count(*)::DOUBLE FROM g UNION ALL SELECT 'duplicates', count(*) FILTER (n > 1)::DOUBLE FROM (SELECT count(*) AS n FROM obs GROUP BY system_id, station_id, observed_at)
-  UNION ALL SELECT 'failure_rate', round(avg((status = 'failed')::INT), 6) FROM jobs UNION ALL SELECT 'p95_s', quantile_cont(run_id % 90, 0.95) FROM jobs)
-SELECT *, CASE WHEN coalesce(value <= CASE "check" WHEN 'max_gap_min' THEN 600.0 WHEN 'duplicates' THEN 0.0 WHEN 'failure_rate' THEN 0.1 WHEN 'p95_s' THEN 60.0 END, true) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM r""",
+  UNION ALL SELECT 'failure_rate', round(avg((status = 'failed')::INT), 6) FROM jobs UNION ALL SELECT 'p95_s', quantile_cont(run_id % 90, 0.95) FROM jobs
+  UNION ALL SELECT 'mismatch', count(*) FILTER (a.n IS DISTINCT FROM b.n)::DOUBLE FROM (SELECT system_id, count(*) AS n FROM snap GROUP BY 1) a FULL JOIN (SELECT system_id, count(*) AS n FROM stored GROUP BY 1) b USING (system_id)
+  UNION ALL SELECT 'feed_median_s', quantile_cont(g, 0.5) FROM fg UNION ALL SELECT 'feed_p95_s', quantile_cont(g, 0.95) FROM fg UNION ALL SELECT 'feed_max_s', max(g) FROM fg
+  UNION ALL SELECT 'poll_median_s', quantile_cont(g, 0.5) FROM pg UNION ALL SELECT 'poll_p95_s', quantile_cont(g, 0.95) FROM pg UNION ALL SELECT 'poll_max_s', max(g) FROM pg)
+SELECT "check", round(value, 6) AS value, CASE WHEN coalesce(round(value, 6) <= CASE "check" WHEN 'max_gap_min' THEN 600.0 WHEN 'duplicates' THEN 0.0 WHEN 'failure_rate' THEN 0.1 WHEN 'p95_s' THEN 60.0 WHEN 'mismatch' THEN 0.0 WHEN 'feed_max_s' THEN 1800.0 WHEN 'poll_max_s' THEN 180.0 END, true) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM r""",
 }
