@@ -20,9 +20,12 @@ Steps, each a Spark job over all rows:
    texts of candidate classes are shuffled: a bitmap of fixed greatest size drops the
    others in the scan. A class in many pairs has its text copied once for every
    ``share`` of them, so no task holds all pairs of one class;
-5. links become components by distributed union-find. Large buckets that still hold
-   more than one component are then compared in tiles of bounded size, with the
-   signatures deciding which pairs are worth confirming, and components are rebuilt.
+5. links become components by distributed union-find. The members of large buckets that
+   still hold more than one component are compared by their rarest shingles: in one
+   fixed order, rarest first, two sets of the wanted similarity share a shingle within
+   the first quarter of each (no such pair is lost, and texts that share only a common
+   passage meet nowhere). A longer sketch then decides which of these pairs are worth
+   confirming, and components are rebuilt.
 
 Repeated rows are documents like others (equal sets, one class). Rows are linked by
 their own texts, never by their ids: rows that repeat an id with another text belong to
@@ -58,11 +61,10 @@ class Params:
     pivots: int = 4  #: central members that each member of a larger bucket meets
     share: int = 256  #: pairs that one copy of a class's text serves
     bitmap_bits: int = 1 << 27  #: most bits of the bitmap of candidate classes (16 MB)
-    tile: int = 2048  #: members in each side of a tile of the last step (5 MB)
-    slack: float = 0.13  #: how far below the threshold a signature estimate may lie and still be compared (4.8 standard errors of 256 slots)
-    size: int = 256  #: slots of the last step's first look
-    fine: int = 2048  #: signature slots of the last step
-    fine_slack: float = 0.046  #: the same for these (4.8 standard errors)
+    places: int = 1 << 20  #: counters of the last step, by which shingles are ordered; any number gives the same links
+    deal: int = 1024  #: members of one shingle that one task compares with the others
+    fine: int = 512  #: sketch slots of the last step
+    slack: float = 0.1  #: how far below the threshold a sketch's estimate may lie and still be confirmed (5.2 standard errors)
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,18 +219,29 @@ def class_texts(ids: DataFrame, classes: DataFrame, docs: DataFrame, p: Params)
     return wanted.hint("merge").join(own, same).select(*ids.columns, "text")
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """Those of ``pairs(u, v)`` of classes whose full shingle sets are similar enough."""
+def _dealt(pairs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """``pairs(u, v)`` with the copy of each end that serves them, and the copies (id, end, part) that are asked for."""
     asked = []
     for end, other in (("u", "v"), ("v", "u")):
         copies = pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / p.share).alias("copies"))
         pairs = pairs.join(copies, end).withColumn(f"{end}_part", F.pmod(F.xxhash64(other), "copies")).drop("copies")
         asked.append(copies.select(F.col(end).alias("id"), F.lit(end).alias("end"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("part")))
-    texts = cut(class_texts(asked[0].unionByName(asked[1]), classes, docs, p), "texts")
+    return pairs, asked[0].unionByName(asked[1])
+
+
+def _met(pairs: DataFrame, held: DataFrame, value: str) -> DataFrame:
+    """(u, v, value_u, value_v) of dealt pairs, from ``held(id, end, part, value)``."""
     for end in ("u", "v"):
-        own = texts.where(F.col("end") == end).select(F.col("id").alias(end), F.col("part").alias(f"{end}_part"), F.col("text").alias(f"text_{end}"))
+        own = held.where(F.col("end") == end).select(F.col("id").alias(end), F.col("part").alias(f"{end}_part"), F.col(value).alias(f"{value}_{end}"))
         pairs = pairs.join(own, [end, f"{end}_part"])
-    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(_verifier(p), "u long, v long")
+    return pairs.select("u", "v", f"{value}_u", f"{value}_v")
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """Those of ``pairs(u, v)`` of classes whose full shingle sets are similar enough."""
+    pairs, asked = _dealt(pairs, p)
+    texts = cut(class_texts(asked, classes, docs, p), "texts")
+    return _met(pairs, texts, "text").mapInArrow(_verifier(p), "u long, v long")
 
 
 def _alike(a: Column, b: Column, p: Params) -> Column:
@@ -250,47 +263,107 @@ def _fine(p: Params):
     return run
 
 
-def _tiler(p: Params):
-    def run(key, left, right):  # noqa: ANN001
-        import pandas as pd
-
-        found = {"u": [], "v": []}
-        if len(left) and len(right):
-            a, b = (np.frombuffer(b"".join(x.sketch), dtype=np.uint8).reshape(len(x), -1) for x in (left, right))
-            bands_a, bands_b = (np.stack(x.bands.to_list()) for x in (left, right))
-            band = int(np.flatnonzero(bands_a[0] == key[0])[0])
-            comp, size = right.comp.to_numpy(), right.n.to_numpy()
-            for i in range(len(left)):
-                n = left.n.iat[i]
-                at = (comp != left.comp.iat[i]) & (np.minimum(n, size) * 100 >= np.maximum(n, size) * p.percent)
-                at &= ~(bands_a[i, :band] == bands_b[:, :band]).any(axis=1)  # the pair has met in an earlier bucket
-                at = np.flatnonzero(at)
-                at = at[(a[i, : p.size] == b[at, : p.size]).mean(axis=1) >= p.percent / 100 - p.slack]
-                at = at[(a[i] == b[at]).mean(axis=1) >= p.percent / 100 - p.fine_slack]
-                found["v"] += right.id.to_numpy()[at].tolist()
-                found["u"] += [left.id.iat[i]] * len(at)
-        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+def _looker(p: Params):
+    """Pairs whose sketches agree in nearly enough slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                near = pa.array((a == b).mean(axis=1) >= p.percent / 100 - p.slack)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["u", "v"])
+
+    return run
+
+
+def _place(h: np.ndarray, p: Params) -> np.ndarray:
+    return (mix(h) % np.uint64(p.places)).astype(np.int64)
+
+
+def _counter(p: Params):
+    """Shingles at each place of the counters, summed over the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(p.places, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                h, _ = shingle_sets(part.column(0), p.k)
+                np.add.at(total, _place(h, p), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["place", "n"])
 
     return run
 
 
+def _levels(texts: DataFrame, p: Params) -> np.ndarray:
+    """How common the shingles of each place are: 1 for a single one, then four levels for each doubling. One byte a place."""
+    counts = texts.select("text").mapInArrow(_counter(p), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # at most p.places rows
+    levels = np.zeros(p.places, dtype=np.uint8)
+    levels[counts.column("place").to_numpy()] = 1 + np.floor(4 * np.log2(counts.column("n").to_numpy()))
+    return levels
+
+
+def _prefixer(levels: np.ndarray, p: Params):
+    """The rarest shingles of each set, with their ranks.
+
+    Sets of sizes n <= m and the wanted similarity share at least percent / (100 + percent) * (n + m)
+    shingles. Their first common one therefore stands among the first n - percent / 100 * n + 1 of
+    either set, and, in the smaller one, among the first n - 2 * percent / (100 + percent) * n + 1
+    (``leads``). A shingle that no other open text has is ranked but not emitted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                h, owner = shingle_sets(part.column(2), p.k)
+                level = levels[_place(h, p)]
+                order = np.lexsort((h, level, owner))
+                h, level = h[order], level[order]
+                at = row_ranges(owner, part.num_rows)
+                n = np.diff(at)[owner]
+                rank = np.arange(len(h)) - at[owner]
+                keep = (rank * 100 <= n * (100 - p.percent)) & (level > 1)
+                leads = rank * (100 + p.percent) <= n * (100 - p.percent)
+                rows = pa.array(owner[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(as_long(h[keep])), part.column(0).take(rows), part.column(1).take(rows), pa.array(n[keep]), pa.array(rank[keep]), pa.array(leads[keep])],
+                    names=["token", "id", "comp", "n", "rank", "leads"],
+                )
+
+    return run
+
+
+def rare_pairs(texts: DataFrame, p: Params) -> DataFrame:
+    """Pairs (u, v) of ``texts(id, comp, text)`` in different components that share a rare shingle early enough.
+
+    Every pair of different components with the wanted similarity is among them. Members of a
+    shingle's first component meet only those of the others, and a shingle of many members is
+    dealt over tasks.
+    """
+    rare = cut(texts.select("id", "comp", "text").mapInArrow(_prefixer(_levels(texts, p), p), "token long, id long, comp long, n long, rank long, leads boolean"), "rare")
+    met = rare.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("cnt"), F.max("leads").alias("led")).where("low < high and led")
+    rare = rare.join(met.select("token", "low", "cnt"), "token").withColumn("tasks", F.ceil(F.col("cnt") / p.deal))
+    other = F.col("comp") != F.col("low")
+    lead = rare.where("leads").withColumn("other", F.explode(F.when(other, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    lead = lead.select("token", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("part"), F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("rank").alias("ru"))
+    rest = rare.select("token", other.alias("other"), F.pmod(F.xxhash64("id"), "tasks").alias("part"), F.col("id").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("rank").alias("rv"))
+    enough = F.least(F.col("nu") - F.col("ru"), F.col("nv") - F.col("rv")) * (100 + p.percent) >= (F.col("nu") + F.col("nv")) * p.percent
+    pairs = lead.join(rest, ["token", "other", "part"]).where((F.col("cu") != F.col("cv")) & (F.col("nu") <= F.col("nv")) & enough)
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def _rest(large: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """Pairs still to confirm in large buckets that hold several components: members outside the bucket's first component against all members."""
+    """Pairs still to confirm among the members of large buckets that hold several components."""
     at = large.join(comps.withColumnRenamed("component_id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    spread = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "low")
-    open_ = cut(at.join(spread, "key"), "open")
+    spread = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    open_ = cut(at.join(spread, "key").select("id", "comp").distinct(), "open")
     if open_.isEmpty():
         return open_.select(F.col("id").alias("u"), F.col("id").alias("v"))
-    own = class_texts(open_.select("id").distinct(), classes, docs, p).mapInArrow(_fine(p), "id long, sketch binary")
-    own = cut(own.join(classes.select("id", "bands"), "id"), "fine")
-    tiles = F.ceil(F.col("cnt") / p.tile).cast("int")
-    mine = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    cols = ["key", "id", "n", "comp", "sketch", "bands"]
-    open_ = open_.join(own, "id")
-    left = open_.where("comp <> low").withColumn("i", mine).select(*cols, "i", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("j")).toDF(*cols, "i", "j")
-    right = open_.withColumn("j", mine).select(*cols, "j", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("i")).toDF(*cols, "j", "i")
-    pairs = left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInPandas(_tiler(p), "u long, v long")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    texts = cut(class_texts(open_, classes, docs, p), "open_texts")
+    pairs, asked = _dealt(cut(rare_pairs(texts, p), "rare_pairs"), p)
+    ends = asked.select("id").distinct()
+    sketches = cut(texts.join(ends, "id").select("id", "text").mapInArrow(_fine(p), "id long, sketch binary"), "sketches")
+    return _met(pairs, asked.join(sketches, "id"), "sketch").mapInArrow(_looker(p), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:

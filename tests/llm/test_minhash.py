@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from helpers import DOCS, components
+from helpers import DOCS, components, shingles
 
 from moorline.llm import minhash as M
 from moorline.llm.components import connected_components
@@ -37,11 +37,57 @@ def test_groups_equal_brute_force(spark):
 def test_large_group_needs_the_last_step(spark):
     """Copies far from each other but near one centre, in buckets larger than the all-pairs limit."""
     rows = list(enumerate(family(77, 200, 60, 12)))[::-1]
-    p = M.Params(small_bucket=3, pivots=1, tile=8)
+    p = M.Params(small_bucket=3, pivots=1, deal=8)
     df = M.near_duplicates(spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS), p)
     assert got(df) == components(rows)
 
 
+def test_rare_pairs_miss_none(spark):
+    """Texts of one common passage and own words, some near each other: all near pairs of different components are met, few others."""
+    rng = random.Random(4)
+    shared = [f"c{i}" for i in range(80)]
+    texts = []
+    for g in range(30):
+        own = [f"o{g}x{i}" for i in range(rng.randrange(18, 40))]
+        for _ in range(3):
+            w = shared + own
+            for _ in range(rng.randrange(6)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    comp = [i // 2 for i in range(len(texts))]
+    near = {
+        (i, j)
+        for j in range(len(texts))
+        for i in range(j)
+        if comp[i] != comp[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    }
+    assert near
+    df = spark.createDataFrame([(i, comp[i], t) for i, t in enumerate(texts)], "id long, comp long, text string").repartition(4)
+    for p in (M.Params(), M.Params(places=64, deal=4)):
+        found = {(r.u, r.v) for r in M.rare_pairs(df, p).collect()}
+        assert near <= found and all(comp[u] != comp[v] for u, v in found)
+    passages = [" ".join([f"c{i}" for i in range(76)] + [f"p{g}q{i}" for i in range(24)]) for g in range(40)]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(passages)], "id long, comp long, text string")
+    assert M.rare_pairs(df, M.Params()).isEmpty()
+
+
+def test_last_step_keeps_borderline_pairs(spark):
+    """Pairs at similarity 0.75 to 0.8 in large buckets of other texts that share a passage: groups equal brute force."""
+    rng = random.Random(11)
+    shared = [f"c{i}" for i in range(90)]
+    rows = []
+    for g in range(60):
+        own = [f"o{g}x{i}" for i in range(40)]
+        twin = own[:20] + [f"t{g}x{i}" for i in range(rng.randrange(12, 20))]
+        rows += [" ".join(shared + own), " ".join(shared + twin)]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS).repartition(3)
+    want = components(rows)
+    assert 60 < len({c for _, c in want.values()}) < 120
+    assert got(M.near_duplicates(df, M.Params(small_bucket=3, pivots=1))) == want
+
+
 def test_awkward_rows(docs):
     rows = M.near_duplicates(docs).collect()
     assert len(rows) == docs.count()
