@@ -116,9 +116,8 @@ def with_calendar(f: DataFrame, x: Inputs) -> DataFrame:
 def with_weather(f: DataFrame, points: DataFrame, x: Inputs) -> DataFrame:
     """Weather of the newest issue available at t in the entity's cell: arrays stay until horizons are known."""
     c = x.config
-    f = features.newest_issue(f, x.issues, points)
     f = f.withColumns({"lat_idx": F.rint(F.col("lat") / c.weather_lat).cast("int"), "lon_idx": F.rint(F.col("lon") / c.weather_lon).cast("int")})
-    f = f.join(x.cells.withColumnsRenamed({"temp_c": "_temp", "wind_kmh": "_wind"}), ["issued_hour", "lat_idx", "lon_idx"], "left").drop("lat_idx", "lon_idx")
+    f = features.newest_cells(f, x.issues, x.cells.withColumnsRenamed({"temp_c": "_temp", "wind_kmh": "_wind"}), points).drop("lat_idx", "lon_idx")
     lead = lambda hour: features.lead_of(F.col("issued_hour"), hour, c.weather_leads)
     t = F.col("t")
     near = lead(features.nearest_hour(t))

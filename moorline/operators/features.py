@@ -114,14 +114,24 @@ def join_neighbours(points: DataFrame, sums: DataFrame) -> DataFrame:
     return out.na.fill(0, counts)
 
 
-def newest_issue(points: DataFrame, issues: DataFrame, grid: DataFrame | None = None) -> DataFrame:
-    """The newest weather issue available at each time (of ``grid``, where given: a cheaper source of the same times): points(t) gains issued_hour. An issue with two times counts from the later one."""
+def issue_times(grid: DataFrame, issues: DataFrame) -> DataFrame:
+    """(t, issued_hour) of distinct grid times: the newest weather issue available at each, null where none was. An issue with two times counts from the later one."""
     once = issues.groupBy("issued_hour").agg(F.max("available_at").alias("_time"))
     rows = once.select("_time", F.lit(0).alias("_p"), F.col("issued_hour").alias("_i"), F.lit(None).cast("timestamp_ntz").alias("t"))
-    ask = (grid if grid is not None else points).select("t").distinct().select(F.col("t").alias("_time"), F.lit(1).alias("_p"), F.lit(None).cast("timestamp_ntz").alias("_i"), "t")
+    ask = grid.select(F.col("t").alias("_time"), F.lit(1).alias("_p"), F.lit(None).cast("timestamp_ntz").alias("_i"), "t")
     w = Window.orderBy("_time", "_p").rowsBetween(Window.unboundedPreceding, 0)  # no key: one row for each grid time and issue, whatever the entities
-    times = rows.unionByName(ask).withColumn("issued_hour", F.max("_i").over(w)).where("_p = 1").select("t", "issued_hour")
-    return points.join(F.broadcast(times), "t")
+    return rows.unionByName(ask).withColumn("issued_hour", F.max("_i").over(w)).where("_p = 1").select("t", "issued_hour")
+
+
+def newest_cells(points: DataFrame, issues: DataFrame, cells: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+    """points(t, lat_idx, lon_idx) with the newest issue's hour and its cell's arrays, null where the cell has none. ``grid``: a cheaper source of the same times.
+
+    Only the issues that some grid time asks for are looked at. Cells may have grown their hours by an explode, which
+    no estimate of their size counts: they are joined by a sort, never broadcast.
+    """
+    times = issue_times((grid if grid is not None else points).select("t").distinct(), issues)
+    asked = cells.join(F.broadcast(times.select("issued_hour").distinct()), "issued_hour", "left_semi")
+    return points.join(F.broadcast(times), "t").join(asked.hint("merge"), ["issued_hour", "lat_idx", "lon_idx"], "left")
 
 
 def yesterday_lags(state: DataFrame, step_min: int, horizons_min: tuple[int, ...]) -> DataFrame:

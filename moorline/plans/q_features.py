@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from moorline.config import SPARSE
 from moorline.operators import asof, build, calendars, features, reference, timegrid
 from moorline.plans import q_grid as G
-from moorline.plans.scratch import written
+from moorline.plans.scratch import dealt, written
 from moorline.sources import tables as T
 
 KEYS = features.KEYS
@@ -168,7 +168,7 @@ def weather(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = T.read(spark, d, "events").where("event_type = 'view'")
     hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
     issues = e.select(hour.alias("issued_hour"), (hour + F.make_dt_interval(mins=35 + F.col("event_id") % 50)).alias("available_at"))
-    cells = reference.weather_cells(T.stations(spark, d), SPARSE.weather_lat, SPARSE.weather_lon).select("lat_idx", "lon_idx")
+    cells = dealt(reference.weather_cells(T.stations(spark, d), SPARSE.weather_lat, SPARSE.weather_lon).select("lat_idx", "lon_idx"), "lat_idx", "lon_idx")
     hours = F.sequence(F.to_timestamp_ntz(F.lit("2023-12-31 00:00:00")), F.to_timestamp_ntz(F.lit("2024-02-02 00:00:00")), F.expr("INTERVAL 1 HOUR"))
     rows = cells.withColumn("issued_hour", F.explode(hours)).join(issues.select("issued_hour").distinct(), "issued_hour", "left_semi")
     start = (timegrid.micros(F.col("issued_hour")) / 3_600_000_000).cast("long")
@@ -180,9 +180,8 @@ def weather(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def fea_14_weather(spark: SparkSession, d: str) -> DataFrame:
     issues, cells = weather(spark, d)
     p = G.grid_points(spark, d).join(T.stations(spark, d).select(*KEYS, "lat", "lon"), KEYS)
-    p = features.newest_issue(p, issues)
     p = p.withColumn("lat_idx", F.rint(F.col("lat") / SPARSE.weather_lat).cast("int")).withColumn("lon_idx", F.rint(F.col("lon") / SPARSE.weather_lon).cast("int"))
-    p = p.join(cells, ["issued_hour", "lat_idx", "lon_idx"], "left")
+    p = features.newest_cells(p, issues, cells, timegrid.grid(spark, G.START, G.END, SPARSE.step_min))
     at = lambda t: F.get("precip_mm", features.lead_of(F.col("issued_hour"), t, SPARSE.weather_leads))
     t = F.col("t")
     return p.select(*KEYS, "t", "issued_hour", at(features.containing_hour(t)).alias("precip_t"), at(features.containing_hour(t + timegrid.minutes(180))).alias("precip_target"), at(features.nearest_hour(t + timegrid.minutes(90))).alias("nearest_90"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from moorline.config import SPARSE
 from moorline.operators import asof, exclude, labels, sampling, timegrid
+from moorline.plans.scratch import dealt
 from moorline.sources import tables as T
 
 START, END = "2024-01-02 00:00:00", "2024-01-29 00:00:00"
@@ -29,7 +30,7 @@ TARGET_REASON = """CASE WHEN truth IS NULL THEN 'no_asof_at_target' WHEN epoch_u
 
 
 def grid_points(spark: SparkSession, d: str) -> DataFrame:
-    return timegrid.entity_grid(T.obs_long(spark, d).select(*KEYS).distinct(), START, END, SPARSE.step_min)
+    return timegrid.entity_grid(dealt(T.obs_long(spark, d).select(*KEYS).distinct(), *KEYS), START, END, SPARSE.step_min)
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
