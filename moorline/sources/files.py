@@ -49,22 +49,22 @@ def weather_batch(raw: DataFrame, issued_hour: str, lat_step: float, lon_step: f
     """Cells of weather JSON (one place or a list): ``leads`` values from the local issue hour on; a file that ends sooner is an error."""
     text = F.trim("raw")
     places = F.when(text.startswith("["), F.from_json(text, T.ArrayType(PLACE))).otherwise(F.array(F.from_json(text, PLACE)))
-    rows = raw.select(F.col(issued_hour).alias("issued_hour"), F.explode(places).alias("p"))
-    local = F.date_format(F.col("issued_hour") + F.make_dt_interval(hours=F.lit(offset_h)), "yyyy-MM-dd'T'HH:mm")
-    rows = rows.withColumn("_at", F.array_position("p.hourly.time", local).cast("int"))
+    local = F.date_format(F.col(issued_hour) + F.make_dt_interval(hours=F.lit(offset_h)), "yyyy-MM-dd'T'HH:mm")
+    rows = raw.select(F.col(issued_hour).alias("issued_hour"), local.alias("_local"), F.explode(places).alias("p"))
+    rows = rows.withColumn("_at", F.array_position("p.hourly.time", F.col("_local")).cast("int"))
     short = (F.col("_at") == 0) | (F.col("_at") + leads - 1 > F.size("p.hourly.time"))
     cut = lambda v, name: F.when(short, F.raise_error(F.lit("weather file too short")).cast("array<double>")).otherwise(F.slice(F.col(f"p.hourly.{v}"), F.col("_at"), leads)).alias(name)
     return rows.select("issued_hour", cell(F.col("p.latitude"), lat_step).alias("lat_idx"), cell(F.col("p.longitude"), lon_step).alias("lon_idx"), cut("precipitation", "precip_mm"), cut("temperature_2m", "temp_c"), cut("wind_speed_10m", "wind_kmh"))
 
 
 def write_weather(places: DataFrame, path: str) -> None:
-    """One gzip JSON file for each issue below ``path``, a list of its places: places(issued_hour, place JSON). An issue's places are bounded by the cells."""
-    one = places.groupBy("issued_hour").agg(F.concat(F.lit("["), F.array_join(F.collect_list("place"), ","), F.lit("]")).alias("value"))
-    one.select("value", F.date_format("issued_hour", "yyyyMMddHH").alias("issue")).write.partitionBy("issue").text(path, compression="gzip")
+    """A gzip JSON file for each issue and tile below ``path``, a list of the tile's places: places(issued_hour, tile, place JSON). What is gathered into one row is bounded by the cells of a tile, not of the issue."""
+    one = places.groupBy("issued_hour", "tile").agg(F.concat(F.lit("["), F.array_join(F.collect_list("place"), ","), F.lit("]")).alias("value"))
+    one.select("value", F.date_format("issued_hour", "yyyyMMddHH").alias("issue"), "tile").write.partitionBy("issue", "tile").text(path, compression="gzip")
 
 
 def scan_weather(spark: SparkSession, path: str) -> DataFrame:
-    """issued_hour and raw text of the gzip files below ``path``, named by their issue."""
+    """issued_hour and raw text of the gzip files below ``path``, named by their issue; an issue may have several."""
     rows = spark.read.option("basePath", path).schema("value string, issue string").text(f"{path}/issue=*", wholetext=True)
     return rows.select(F.to_timestamp_ntz(F.col("issue"), F.lit("yyyyMMddHH")).alias("issued_hour"), F.col("value").alias("raw"))
 

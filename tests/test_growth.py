@@ -1,8 +1,11 @@
 """Steps whose rows grow from a small table, or whose sizes no estimate sees: they stay dealt over tasks and out of broadcasts."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from moorline.plans import q_features, q_grid
+from moorline.plans import q_features, q_grid, q_ingest
+from moorline.sources import files
 
 
 def tasks(df):
@@ -21,3 +24,13 @@ def test_weather_cells_are_never_broadcast(spark, sf_dir):
 def test_points_and_weather_cells_are_dealt_before_they_grow(spark, sf_dir):
     assert tasks(q_grid.grid_points(spark, sf_dir)) > 1
     assert tasks(q_features.weather(spark, sf_dir)[1]) > 1
+    assert tasks(q_ingest.weather_places(spark, sf_dir)) > 1
+
+
+def test_an_issue_has_a_weather_file_for_each_tile(spark, tmp_path):
+    path, hour = str(tmp_path / "w"), dt.datetime(2026, 9, 7)
+    rows = [(hour, t, f'{{"latitude": {35.0 + i}}}') for i, t in enumerate(("a", "a", "b"))]
+    files.write_weather(spark.createDataFrame(rows, "issued_hour timestamp_ntz, tile string, place string"), path)
+    got = files.scan_weather(spark, path).collect()
+    assert {r.issued_hour for r in got} == {hour} and sorted(r.raw.count("latitude") for r in got) == [1, 2]
+    assert all(r.raw.strip().startswith("[") and r.raw.strip().endswith("]") for r in got)
