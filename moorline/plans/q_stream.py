@@ -9,20 +9,23 @@ from moorline.config import SPARSE
 from moorline.plans import q_features as Q
 from moorline.plans import q_ingest as I
 from moorline.plans import q_read as R
-from moorline.plans.scratch import written
+from moorline.plans.scratch import files_in
 from moorline.sources import tables as T
 from moorline.streaming import streams as S
 
 KEYS = S.KEYS
 
 
-#: Starts of the slices of the event tables: each becomes one file, and each file one micro-batch.
+#: Starts of the slices of the event tables: each becomes one micro-batch.
 SLICES = ("2024-01-06", "2024-01-11", "2024-01-16", "2024-01-21", "2024-01-26")
+FILE_BYTES = 2 << 20  #: about what a file of a slice holds
 
 
 def stream_of(spark: SparkSession, df: DataFrame, name: str, time: str, late: str | None = None) -> DataFrame:
-    """A batch table laid down as one file for each slice of ``time``, oldest first, and read as a stream of one file a trigger.
+    """A batch table laid down in slices of ``time``, oldest first, and read as a stream of one slice a trigger.
 
+    All slices have the same number of files, by the table's size, and a trigger takes that many: a large slice is
+    written and read by many tasks. Slices with fewer filled files get empty ones.
     Rows where the flag ``late`` is true come with the last slice, whatever their time.
     """
     path = I.scratch(spark, name)
@@ -31,11 +34,16 @@ def stream_of(spark: SparkSession, df: DataFrame, name: str, time: str, late: st
         place = place + (F.col(time).cast("timestamp_ntz") >= F.to_timestamp_ntz(F.lit(f"{start} 00:00:00"))).cast("int")
     if late:
         place = F.when(F.col(late), len(SLICES)).otherwise(place)
-    rows = written(df.withColumn("_slice", place), f"{name}-slices")
-    schema = rows.drop("_slice").schema
+    sliced = I.scratch(spark, f"{name}-slices")
+    df.withColumn("_slice", place).write.partitionBy("_slice").parquet(sliced)
+    rows = spark.read.schema(df.withColumn("_slice", place).schema).parquet(sliced)
+    n_files = -(-files_in(spark, sliced)[1] // (FILE_BYTES * (len(SLICES) + 1))) or 1
     for n in range(len(SLICES) + 1):
-        rows.where(F.col("_slice") == n).drop("_slice").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        one = rows.where(F.col("_slice") == n).drop("_slice")
+        (one.repartition(n_files) if n_files > 1 else one.coalesce(1)).write.mode("append").parquet(path)
+        for _ in range(files_in(spark, path)[0], n_files * (n + 1)):
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", n_files).parquet(path)
 
 
 def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:

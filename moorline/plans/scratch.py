@@ -37,3 +37,15 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
     It is dealt by a hash of the columns: a deal by the columns themselves is taken out where a grouping by them stands before, and that one's shuffle is cut to its size.
     """
     return df.repartition(2 * max(df.sparkSession.sparkContext.defaultParallelism, 4), F.xxhash64(*by))
+
+
+def files_in(spark: SparkSession, path: str) -> tuple[int, int]:
+    """How many Parquet files a folder and its partitions hold, and their bytes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    n = size = 0
+    while found.hasNext():
+        x = found.next()
+        if x.getPath().getName().endswith(".parquet"):
+            n, size = n + 1, size + x.getLen()
+    return n, size

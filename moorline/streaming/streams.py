@@ -37,10 +37,12 @@ def feed_sinks(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        good, bad = feeds.split(feeds.validate(batch))
+        checked = feeds.validate(batch).persist()  # parsed once, not by each table and each condition
+        good, bad = feeds.split(checked)
         rows, warnings = feeds.normalise(feeds.explode_status(good, keys), keys)
         for name, df in (("rows", rows.drop("pos")), ("warnings", warnings), ("quarantine", bad.select(*keys, "raw", "issues"))):
             df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        checked.unpersist()
 
     return run
 
@@ -101,8 +103,8 @@ class Suppressor(StatefulProcessor):
 class Flow(StatefulProcessor):
     """Rentals, returns and changes over the trailing window, and minutes since the last change, at each observation of an entity.
 
-    State: the last count, the last change, and the changes still inside the window. An
-    event-time timer clears an entity's state once the watermark is ``forget_min`` past its last
+    State: the last count, the last change, the changes still inside the window and the timer's time, all in
+    one value: each call to the state store costs more than a row. An event-time timer clears an entity's state once the watermark is ``forget_min`` past its last
     observation; if it comes back later, it starts anew. Rows of one micro-batch are taken in order of observation and arrival; rows older than
     the state are archived elsewhere and do not roll it back.
     """
@@ -112,13 +114,12 @@ class Flow(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", "us long, bikes int, changed long, seen int")
-        self.changes = handle.getListState("changes", "us long, delta int")
+        self.head = handle.getValueState("head", "us long, bikes int, changed long, seen int, timer long, change_us array<long>, change_delta array<int>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new = [(int(u), int(b)) for u, _, b in sorted((int(u), int(f), int(b)) for part in rows for u, f, b in zip(part["us"], part["fetched_us"], part["bikes"], strict=True))]
-        at, bikes, changed, seen = self.head.get() if self.head.exists() else (None, None, None, 0)
-        kept = [(int(u), int(x)) for u, x in self.changes.get()] if self.changes.exists() else []
+        at, bikes, changed, seen, timer, times, deltas = self.head.get() or (None, None, None, 0, None, [], [])
+        kept = list(zip(times, deltas, strict=True))
         out = []
         for us, b in new:
             if at is not None and us < at:
@@ -132,19 +133,16 @@ class Flow(StatefulProcessor):
             since = None if seen < 2 else self.cap if changed is None else min(self.cap, (us - changed) / 60_000_000)
             out.append((key[0], key[1], us, sum(max(-x, 0) for _, x in kept), sum(max(x, 0) for _, x in kept), len(kept), since))
         if at is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(at // 1000 + self.forget_ms)
-            self.head.update((at, bikes, changed, seen))
-            if kept:
-                self.changes.put(kept)
-            else:
-                self.changes.clear()
+            due = at // 1000 + self.forget_ms
+            if due != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(due)
+            self.head.update((at, bikes, changed, seen, due, [u for u, _ in kept], [x for _, x in kept]))
         yield pd.DataFrame(out, columns=["system_id", "station_id", "us", "rentals", "returns", "n_changes", "since_change_min"]).astype({"us": "int64", "rentals": "int32", "returns": "int32", "n_changes": "int32", "since_change_min": "float64"})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self.head.clear()
-        self.changes.clear()
         return iter([])
 
     def close(self) -> None:

@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from moorline.plans import q_features, q_grid, q_ingest
+from moorline.plans import q_features, q_grid, q_ingest, q_stream
 from moorline.sources import files
+from moorline.streaming import streams
 
 
 def tasks(df):
@@ -34,3 +36,60 @@ def test_an_issue_has_a_weather_file_for_each_tile(spark, tmp_path):
     got = files.scan_weather(spark, path).collect()
     assert {r.issued_hour for r in got} == {hour} and sorted(r.raw.count("latitude") for r in got) == [1, 2]
     assert all(r.raw.strip().startswith("[") and r.raw.strip().endswith("]") for r in got)
+
+
+def test_a_slice_of_many_files_is_still_one_batch(spark, monkeypatch):
+    monkeypatch.setattr(q_stream, "FILE_BYTES", 512)
+    days = [dt.datetime(2024, 1, d) for d in (1, 6, 11, 16, 26)]  # no row from 21 January on, and few from the 26th
+    rows = [(t, n) for t in days for n in range(3 if t.day == 26 else 400)]
+    stream = q_stream.stream_of(spark, spark.createDataFrame(rows, "at timestamp_ntz, n int").repartition(4), "many", "at")
+    seen = []
+    q_stream.folded(stream, lambda batch, _: seen.append((sorted(r[0].day for r in batch.select("at").distinct().collect()), batch.count(), batch.rdd.getNumPartitions())), "many")
+    assert [(d, n) for d, n, _ in seen] == [([1], 400), ([6], 400), ([11], 400), ([16], 400), ([], 0), ([26], 3)]
+    assert seen[0][2] > 1
+
+
+class Store:
+    """A state store of one key that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.held = 0, None
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    getListState = getValueState  # noqa: N815
+
+    def get(self):
+        self.calls += 1
+        return self.held
+
+    def exists(self):
+        self.calls += 1
+        return self.held is not None
+
+    def update(self, value):
+        self.calls += 1
+        self.held = value
+
+    put = update
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+
+    deleteTimer = registerTimer  # noqa: N815
+
+    def listTimers(self):  # noqa: N802
+        self.calls += 1
+        return []
+
+
+def test_the_flow_of_a_batch_asks_the_state_store_four_times_at_most():
+    store, flow = Store(), streams.Flow(60, 180, 1440)
+    flow.init(store)
+    for at, bikes in ((0, 5), (10, 3)):
+        store.calls = 0
+        us = at * 60_000_000
+        (out,) = flow.handleInputRows(("s", "x"), iter([pd.DataFrame({"us": [us], "fetched_us": [us], "bikes": [bikes]})]), None)
+        assert store.calls <= 4
+    assert out.iloc[0].tolist()[2:] == [600_000_000, 2, 0, 1, 0.0]
