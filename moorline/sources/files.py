@@ -60,7 +60,19 @@ def weather_batch(raw: DataFrame, issued_hour: str, lat_step: float, lon_step: f
 def write_weather(places: DataFrame, path: str) -> None:
     """A gzip JSON file for each issue and tile below ``path``, a list of the tile's places: places(issued_hour, tile, place JSON). What is gathered into one row is bounded by the cells of a tile, not of the issue."""
     one = places.groupBy("issued_hour", "tile").agg(F.concat(F.lit("["), F.array_join(F.collect_list("place"), ","), F.lit("]")).alias("value"))
-    one.select("value", F.date_format("issued_hour", "yyyyMMddHH").alias("issue"), "tile").write.partitionBy("issue", "tile").text(path, compression="gzip")
+    write_tiles(in_order(one), path)
+
+
+def in_order(tiles: DataFrame) -> DataFrame:
+    """tiles(issued_hour, tile, ...) of a task in the order of their files, which are named by ``issue`` and tile. Rows that get their text after it are written without a sort of texts."""
+    name = lambda c: F.coalesce(c, F.lit(""))  # noqa: E731  # never null, or the writer sorts again
+    rows = tiles.withColumns({"issue": name(F.date_format("issued_hour", "yyyyMMddHH")), "tile": name(F.col("tile"))})
+    return rows.sortWithinPartitions("issue", "tile")
+
+
+def write_tiles(tiles: DataFrame, path: str) -> None:
+    """The gzip files of tiles(issue, tile, value) that ``in_order`` sorted: value is the list of the tile's places."""
+    tiles.select("value", "issue", "tile").write.partitionBy("issue", "tile").text(path, compression="gzip")
 
 
 def scan_weather(spark: SparkSession, path: str) -> DataFrame:

@@ -38,6 +38,17 @@ def test_an_issue_has_a_weather_file_for_each_tile(spark, tmp_path):
     assert all(r.raw.strip().startswith("[") and r.raw.strip().endswith("]") for r in got)
 
 
+def test_weather_texts_are_neither_shuffled_nor_sorted(spark, sf_dir, tmp_path):
+    tiles = q_ingest.weather_places(spark, sf_dir)
+    steps = plan(tiles).split("== Physical Plan ==")[1].splitlines()
+    value = next(i for i, x in enumerate(steps) if "AS value" in x)
+    assert value < min(i for i, x in enumerate(steps) if "Sort " in x or "Exchange " in x or "Aggregate" in x)
+    path = str(tmp_path / "w")
+    files.write_tiles(tiles, path)
+    got = files.weather_batch(files.scan_weather(spark, path), "issued_hour", 0.05, 0.0625, 8, 9)
+    assert got.count() == got.select("issued_hour", "lat_idx", "lon_idx").distinct().count() > 0
+
+
 def test_a_slice_of_many_files_is_still_one_batch(spark, monkeypatch):
     monkeypatch.setattr(q_stream, "FILE_BYTES", 512)
     days = [dt.datetime(2024, 1, d) for d in (1, 6, 11, 16, 26)]  # no row from 21 January on, and few from the 26th
