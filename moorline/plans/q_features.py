@@ -48,7 +48,8 @@ def sample_state(spark: SparkSession, d: str, sampled: bool = True) -> DataFrame
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    return reference.neighbours(T.stations(spark, d), 500.0)
+    """Pairs of stations within 500 m: the stations are dealt before each meets those of nine cells."""
+    return reference.neighbours(dealt(T.stations(spark, d), *KEYS), 500.0)
 
 
 def usable_points(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:

@@ -38,6 +38,10 @@ def test_an_issue_has_a_weather_file_for_each_tile(spark, tmp_path):
     assert all(r.raw.strip().startswith("[") and r.raw.strip().endswith("]") for r in got)
 
 
+def test_stations_are_dealt_before_they_meet_their_neighbours(spark, sf_dir):
+    assert tasks(q_features.edges(spark, sf_dir)) > 1
+
+
 def test_weather_texts_are_neither_shuffled_nor_sorted(spark, sf_dir, tmp_path):
     tiles = q_ingest.weather_places(spark, sf_dir)
     steps = plan(tiles).split("== Physical Plan ==")[1].splitlines()
