@@ -7,6 +7,7 @@ labels look ahead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,7 @@ class Inputs:
     # beyond the state of the grid:
     edges: DataFrame | None = None
     daily: DataFrame | None = None  #: daily profiles: keys, day, dow_type, slot15 and sums; an edition is the sum of its last ``profile_days``
+    profile: DataFrame | None = None  #: the one edition that all rows ask for, as a plain sum; without it each row's own is summed from ``daily``
     days: DataFrame | None = None  #: calendar: date, holiday_name, day_type, dow_type, is_day_before_holiday, is_last_business_day
     issues: DataFrame | None = None  #: issued_hour, available_at
     cells: DataFrame | None = None  #: issued_hour, lat_idx, lon_idx and arrays by lead: precip_mm, temp_c, wind_kmh
@@ -55,12 +57,18 @@ def sample_columns(c: Config) -> list[str]:
 LABEL_COLUMNS = ("y_bike", "y_dock", "weight", "stratum", "feature_set")
 
 
-def grid_state(points: DataFrame, x: Inputs) -> DataFrame:
-    """As-of state of every entity at every grid point, with flow, validity and capacity. Other features derive from it."""
+def observed_state(points: DataFrame, x: Inputs) -> DataFrame:
+    """As-of state of every entity at every grid point, with flow and validity: all that profiles need."""
     c = x.config
     flow = features.flow(x.obs, c.flow_min, c.change_cap_min, keep=["bikes", "docks", "flags", "reported_age_s"])
     s = asof.as_of_feature(points, flow, ["bikes", "docks", "flags", "reported_age_s", *FLOW])
-    s = s.withColumns({"valid": asof.valid("seen", "t", c.staleness_s), "bikes": asof.gather(s, "seen", "bikes"), "docks": asof.gather(s, "seen", "docks")})
+    return s.withColumns({"valid": asof.valid("seen", "t", c.staleness_s), "bikes": asof.gather(s, "seen", "bikes"), "docks": asof.gather(s, "seen", "docks")})
+
+
+def grid_state(points: DataFrame, x: Inputs) -> DataFrame:
+    """The observed state with capacity. Other features derive from it."""
+    c = x.config
+    s = observed_state(points, x)
     known = x.stations.select(*KEYS, F.col("capacity").alias("_declared")).join(reference.capacity_editions(x.capacities), KEYS, "full")
     s = s.join(known, KEYS, "left")
     estimate = F.try_element_at("estimates", F.date_sub(timegrid.local_date(F.col("t"), c.local_offset_h), 1))
@@ -140,6 +148,8 @@ def with_target_profile(f: DataFrame, x: Inputs) -> DataFrame:
     f = f.withColumn("_date", timegrid.local_date(F.col("target"), c.local_offset_h))
     f = f.join(F.broadcast(x.days.select(F.col("date").alias("_date"), F.col("dow_type").alias("target_dow_type"))), "_date", "left").drop("_date")
     f = f.withColumn("_slot", features.target_slot(F.col("minute_of_day"), F.col("h_min"), c.slot_min))
+    if x.profile is not None:
+        return features.with_edition(f, x.profile, "_slot", "target_dow_type").drop("_slot")
     edition = F.date_sub(timegrid.local_date(F.col("t"), c.local_offset_h), 1)
     return features.with_profile(f, x.daily, c.profile_days, edition, "_slot", "target_dow_type").drop("_slot")
 
@@ -165,15 +175,20 @@ def build_samples(state: DataFrame, x: Inputs, sampled: bool = True) -> DataFram
     return f.select(*sample_columns(c))
 
 
-def build_now(x: Inputs, at: str, back_min: int) -> DataFrame:
+def build_now(x: Inputs, at: str, back_min: int, written: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """Serving features of one grid time: the same functions over the little grid that its windows need; no labels, no sampling.
 
-    Only what had arrived by then is read, and of daily profiles the days of the edition.
+    Only what had arrived by then is read: of daily profiles the days of the edition, of capacities those that the
+    grid's editions look back on. ``written(df, name)`` may write the little grid, which is read several times.
     """
     c, now = x.config, F.to_timestamp_ntz(F.lit(timegrid.on_grid(at, x.config.step_min)))
-    edition = F.date_sub(timegrid.local_date(now, c.local_offset_h), 1)
-    x = replace(x, obs=x.obs.where(F.col("fetched_at") <= now), daily=x.daily.where(F.col("day").between(F.date_sub(edition, c.profile_days - 1), edition)))
-    times = F.sequence(now - timegrid.minutes(back_min), now, timegrid.minutes(c.step_min))
-    points = x.obs.select(*KEYS).distinct().withColumn("t", F.explode(times))
-    f = point_features(grid_state(points, x), points, x, F.col("t") == now)
+    first = now - timegrid.minutes(back_min)
+    before = lambda t: F.date_sub(timegrid.local_date(t, c.local_offset_h), 1)
+    edition = before(now)
+    profile = reference.sum_dailies(x.daily.where(F.col("day").between(F.date_sub(edition, c.profile_days - 1), edition)))
+    capacities = x.capacities.where(F.col("day").between(F.date_sub(before(first), reference.CAPACITY_DAYS - 1), edition))
+    x = replace(x, obs=x.obs.where(F.col("fetched_at") <= now), profile=profile, capacities=capacities)
+    points = x.obs.select(*KEYS).distinct().withColumn("t", F.explode(F.sequence(first, now, timegrid.minutes(c.step_min))))
+    state = written(grid_state(points, x), "little")
+    f = point_features(state, state.select(*KEYS, "t").where(F.col("t") == now), x, F.col("t") == now)
     return with_targets(f, x).select(*[n for n in sample_columns(c) if n not in LABEL_COLUMNS])

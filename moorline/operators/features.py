@@ -167,6 +167,14 @@ def with_profile(rows: DataFrame, daily: DataFrame, days: int, edition: Column,
     return sums.select("_row.*", F.col("n_days").cast("int").alias("prof_n_days"), *[e.alias(n) for n, e in profile_ratios().items()])
 
 
+def with_edition(rows: DataFrame, profile: DataFrame, slot: str, dow: str) -> DataFrame:
+    """The same of one edition that is summed already: the rows join their cells, and no day travels through a window."""
+    cells = profile.select(*KEYS, F.col("dow_type").alias("_dow"), F.col("slot15").alias("_at"), F.col("n_days").cast("int").alias("prof_n_days"), *[e.alias(n) for n, e in profile_ratios().items()])
+    kind, at = rows[dow], rows[slot]
+    found = rows.withColumns({"_dow": kind, "_at": at}).join(cells, [*KEYS, "_dow", "_at"], "left").drop("_dow", "_at")
+    return found.na.fill(0, ["prof_n_days"])
+
+
 def lead_of(issued: Column, hour: Column, leads: int) -> Column:
     """Index of an hour in an issue's arrays, or null outside them."""
     n = ((micros(hour) - micros(issued)) / (60 * US)).cast("int")

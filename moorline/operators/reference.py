@@ -60,7 +60,10 @@ def daily_capacity_max(obs: DataFrame, day: Column) -> DataFrame:
     return seen.groupBy(*KEYS, day.alias("day")).agg(F.max(total).alias("capacity_max"))
 
 
-def capacity_estimate(daily: DataFrame, days: int = 7) -> DataFrame:
+CAPACITY_DAYS = 7  #: how many days an estimate looks back on, its own included
+
+
+def capacity_estimate(daily: DataFrame, days: int = CAPACITY_DAYS) -> DataFrame:
     """Greatest daily maximum of a day and the ``days - 1`` calendar days before it, and how many days counted."""
     number = F.datediff("day", F.lit("2000-01-01"))
     w = Window.partitionBy(*KEYS).orderBy("_n").rangeBetween(-(days - 1), 0)
@@ -68,7 +71,7 @@ def capacity_estimate(daily: DataFrame, days: int = 7) -> DataFrame:
     return rows.select(*KEYS, "day", F.max("capacity_max").over(w).alias("capacity_est"), F.count("capacity_max").over(w).cast("int").alias("days_used"))
 
 
-def capacity_editions(daily: DataFrame, days: int = 7) -> DataFrame:
+def capacity_editions(daily: DataFrame, days: int = CAPACITY_DAYS) -> DataFrame:
     """Each entity's estimates by edition, as a map from the edition's day: the greatest daily maximum of the ``days`` days up to it. Editions without such a day are absent."""
     each = daily.select(*KEYS, F.explode(F.sequence("day", F.date_add("day", days - 1))).alias("edition"), "capacity_max")
     each = each.groupBy(*KEYS, "edition").agg(F.max("capacity_max").alias("estimate"))

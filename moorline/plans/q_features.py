@@ -34,12 +34,17 @@ EVENT_DAYS = """edays AS (SELECT date, CASE WHEN monthday >= 1229 OR monthday <=
   FROM (SELECT unnest(generate_series(DATE '2023-12-31', DATE '2024-02-02', INTERVAL 1 DAY))::DATE AS date)))"""
 
 
-def state(spark: SparkSession, d: str, days: tuple[str, str] | None = None) -> DataFrame:
-    """State of the grid, of the local days from one to another if named."""
+def state(spark: SparkSession, d: str) -> DataFrame:
+    """State of the grid."""
+    return build.grid_state(G.grid_points(spark, d), state_inputs(spark, d))
+
+
+def observed(spark: SparkSession, d: str, days: tuple[str, str] | None = None) -> DataFrame:
+    """State of the grid without capacities, of the local days from one to another if named."""
     points = G.grid_points(spark, d)
     if days:
         points = points.where(timegrid.local_date(F.col("t"), 9).between(*days))
-    return build.grid_state(points, state_inputs(spark, d))
+    return build.observed_state(points, state_inputs(spark, d))
 
 
 def sample_state(spark: SparkSession, d: str, sampled: bool = True) -> DataFrame:
@@ -54,7 +59,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 def usable_points(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
     """Grid points for profiles, of a state that is at hand or of the whole grid: a fresh observed row exists; suspended ones stay."""
-    s = (state(spark, d) if s is None else s).where("valid").select(*KEYS, "t", "seen.*")
+    s = (observed(spark, d) if s is None else s).where("valid").select(*KEYS, "t", "seen.*")
     days = event_days(spark, d).select(F.col("date").alias("day"), "dow_type")
     s = s.withColumn("day", timegrid.local_date(F.col("t"), 9)).withColumn("slot15", F.floor(timegrid.minute_of_day(F.col("t"), 9) / SPARSE.slot_min).cast("int"))
     return s.join(F.broadcast(days), "day")
@@ -77,11 +82,21 @@ def state_inputs(spark: SparkSession, d: str) -> build.Inputs:
     return build.Inputs(obs=o, stations=stations, capacities=maxima, config=SPARSE)
 
 
-def inputs(spark: SparkSession, d: str, s: DataFrame | None = None) -> build.Inputs:
-    issues, cells = weather(spark, d)
+def inputs(spark: SparkSession, d: str, s: DataFrame | None = None, times: DataFrame | None = None) -> build.Inputs:
+    issues, cells = weather(spark, d, times)
     return dataclasses.replace(state_inputs(spark, d), edges=edges(spark, d), daily=dailies(spark, d, s), days=event_days(spark, d), issues=issues, cells=cells)
 
 
+def grid_times(spark: SparkSession) -> DataFrame:
+    return timegrid.grid(spark, G.START, G.END, SPARSE.step_min)
+
+
+def build_inputs(spark: SparkSession, d: str, s: DataFrame, times: DataFrame) -> build.Inputs:
+    """Inputs of a build at ``times(t)``: pairs of stations are written once, since sums and densities both read them."""
+    x = inputs(spark, d, s, times)
+    return dataclasses.replace(x, edges=written(x.edges, "edges"))
+
+
 def fea_01_calendar(spark: SparkSession, d: str) -> DataFrame:
     return calendars.calendar(spark, "1995-01-01", "2001-08-01", holidays(spark, d))
 
@@ -164,14 +179,17 @@ def fea_13_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return x.select(*KEYS, "t", "nb_bikes", "nb_docks", "nb_empty", "nb_count", F.round("nb_fill", 9).alias("nb_fill"), "nb_bikes_same", "nb_count_same")
 
 
-def weather(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(issues, cells with arrays by lead) from the hours of view events."""
+def weather(spark: SparkSession, d: str, times: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(issues, cells with arrays by lead) from the hours of view events. With ``times(t)`` cells grow only the issues that some of these times asks for, which are those that ``newest_cells`` keeps."""
     e = T.read(spark, d, "events").where("event_type = 'view'")
     hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
     issues = e.select(hour.alias("issued_hour"), (hour + F.make_dt_interval(mins=35 + F.col("event_id") % 50)).alias("available_at"))
     cells = dealt(reference.weather_cells(T.stations(spark, d), SPARSE.weather_lat, SPARSE.weather_lon).select("lat_idx", "lon_idx"), "lat_idx", "lon_idx")
     hours = F.sequence(F.to_timestamp_ntz(F.lit("2023-12-31 00:00:00")), F.to_timestamp_ntz(F.lit("2024-02-02 00:00:00")), F.expr("INTERVAL 1 HOUR"))
-    rows = cells.withColumn("issued_hour", F.explode(hours)).join(issues.select("issued_hour").distinct(), "issued_hour", "left_semi")
+    held = spark.range(1).select(F.explode(hours).alias("issued_hour")).join(issues.select("issued_hour").distinct(), "issued_hour", "left_semi")
+    if times is not None:
+        held = held.join(features.issue_times(times, issues).select("issued_hour").distinct(), "issued_hour", "left_semi")
+    rows = cells.crossJoin(F.broadcast(held))  # a calendar's hours
     start = (timegrid.micros(F.col("issued_hour")) / 3_600_000_000).cast("long")
     by_lead = lambda value: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: value(k).cast("double"))
     rows = rows.withColumn("precip_mm", by_lead(lambda k: (start + k * 3 + F.col("lat_idx")) % 37))
@@ -179,10 +197,11 @@ def weather(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def fea_14_weather(spark: SparkSession, d: str) -> DataFrame:
-    issues, cells = weather(spark, d)
+    times = grid_times(spark)
+    issues, cells = weather(spark, d, times)
     p = G.grid_points(spark, d).join(T.stations(spark, d).select(*KEYS, "lat", "lon"), KEYS)
     p = p.withColumn("lat_idx", F.rint(F.col("lat") / SPARSE.weather_lat).cast("int")).withColumn("lon_idx", F.rint(F.col("lon") / SPARSE.weather_lon).cast("int"))
-    p = features.newest_cells(p, issues, cells, timegrid.grid(spark, G.START, G.END, SPARSE.step_min))
+    p = features.newest_cells(p, issues, cells, times)
     at = lambda t: F.get("precip_mm", features.lead_of(F.col("issued_hour"), t, SPARSE.weather_leads))
     t = F.col("t")
     return p.select(*KEYS, "t", "issued_hour", at(features.containing_hour(t)).alias("precip_t"), at(features.containing_hour(t + timegrid.minutes(180))).alias("precip_target"), at(features.nearest_hour(t + timegrid.minutes(90))).alias("nearest_90"))
@@ -202,12 +221,16 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def fea_16_samples(spark: SparkSession, d: str) -> DataFrame:
     s = sample_state(spark, d)
-    return rounded(build.build_samples(s, inputs(spark, d, s)))
+    return rounded(build.build_samples(s, build_inputs(spark, d, s, grid_times(spark))))
+
+
+SERVED = "2024-01-22 00:00:00"
 
 
 def fea_17_point_build(spark: SparkSession, d: str) -> DataFrame:
-    edition = state(spark, d, ("2023-12-25", "2024-01-22"))  # its days and the day of t, of which build_now takes the edition's
-    return rounded(build.build_now(inputs(spark, d, edition), "2024-01-22 00:00:00", 1440))
+    edition = observed(spark, d, ("2023-12-25", "2024-01-22"))  # its days and the day of t, of which build_now takes the edition's
+    x = build_inputs(spark, d, edition, grid_times(spark).where(f"t = '{SERVED}'"))
+    return rounded(build.build_now(x, SERVED, 1440, written))
 
 
 def fea_18_coverage(spark: SparkSession, d: str) -> DataFrame:

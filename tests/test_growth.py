@@ -5,6 +5,7 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import functions as F
 
+from moorline.operators import features, reference
 from moorline.plans import q_features, q_grid, q_ingest, q_stream
 from moorline.sources import files
 from moorline.streaming import streams
@@ -29,6 +30,30 @@ def test_points_and_weather_cells_are_dealt_before_they_grow(spark, sf_dir):
     assert tasks(q_ingest.weather_places(spark, sf_dir)) > 1
 
 
+def test_weather_cells_grow_asked_hours_alone(spark, sf_dir):
+    times = q_features.grid_times(spark).where("t <= '2024-01-03'")
+    issues, cells = q_features.weather(spark, sf_dir, times)
+    asked = {r.issued_hour for r in features.issue_times(times, issues).collect()} - {None}
+    assert asked and {r.issued_hour for r in cells.select("issued_hour").distinct().collect()} == asked
+    assert cells.select("issued_hour", "lat_idx", "lon_idx").distinct().count() == cells.count()
+
+
+def test_a_point_build_makes_its_little_grid_once_and_sums_its_one_edition(spark, sf_dir):
+    steps = plan(q_features.fea_17_point_build(spark, sf_dir)).split("== Physical Plan ==")[1].splitlines()
+    assert len([x for x in steps if "Window" in x and "RangeFrame" in x and "rentals" in x]) <= 1  # that of the edition's days
+    assert not [x for x in steps if "Window" in x and "_ask" in x]
+
+
+def test_an_edition_joined_equals_an_edition_in_the_running_sums(spark):
+    day = lambda n, **c: (*{"s": "s", "x": "x", "k": "sat", "slot": 3, **c}.values(), dt.date(2024, 1, n), *[n] * 8)
+    daily = spark.createDataFrame([day(1), day(2), day(9), day(5, slot=4)], "system_id string, station_id string, dow_type string, slot15 int, day date, " + ", ".join(f"{c} long" for c in features.SUMS))
+    rows = spark.createDataFrame([("s", "x", "sat", 3), ("s", "x", "sat", 4), ("s", "x", "weekday", 3), ("s", "y", "sat", 3), ("s", "x", None, 3)], "system_id string, station_id string, dow string, slot int")
+    within = reference.sum_dailies(daily.where("day between '2023-12-12' and '2024-01-08'"))
+    a = features.with_profile(rows, daily, 28, F.to_date(F.lit("2024-01-08")), "slot", "dow")
+    b = features.with_edition(rows, within, "slot", "dow")
+    assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_an_issue_has_a_weather_file_for_each_tile(spark, tmp_path):
     path, hour = str(tmp_path / "w"), dt.datetime(2026, 9, 7)
     rows = [(hour, t, f'{{"latitude": {35.0 + i}}}') for i, t in enumerate(("a", "a", "b"))]
