@@ -164,15 +164,26 @@ def drawn_state(points: DataFrame, x: Inputs, sampled: bool = True) -> DataFrame
     return sampling.with_draws(state, timegrid.local_date(t, c.local_offset_h), [F.col(k) for k in KEYS], index, n, c.sample_rate)
 
 
-def build_samples(state: DataFrame, x: Inputs, sampled: bool = True) -> DataFrame:
-    """Labelled samples of the table that ``drawn_state`` made: base and target exclusions, drawn pairs, weights, labels; columns of ``sample_columns``."""
+#: What targets, labels and exclusions read of a point beside a sample's own columns.
+INNER = (*KEYS, "t", "minute_of_day", "issued_hour", "precip_mm", "history", "_draws")
+
+
+def build_samples(state: DataFrame, x: Inputs, sampled: bool = True, columns: list[str] | None = None) -> DataFrame:
+    """Labelled samples of the table that ``drawn_state`` made: base and target exclusions, drawn pairs, weights, labels; columns of ``sample_columns``, or those named.
+
+    Rows travel whole through the windows of profiles and labels, where nothing is pruned by itself: what no one
+    reads is left behind before each.
+    """
     c = x.config
+    wanted = columns or sample_columns(c)
+    kept = lambda f, *more: f.select(*[n for n in f.columns if n in wanted or n in more])
     f = point_features(state, state.select(*KEYS, "t", "_draws"), x, F.exists("_draws", lambda drawn: drawn))
-    f = with_targets(f.withColumn("history", F.filter("history", lambda _, i: F.get("_draws", i))).drop("_draws"), x)
-    f = asof.with_truth(f, x.obs, ["bikes", "docks", "flags"], t="target").where(exclude.target_reason("truth", "target", c.staleness_s, "seen").isNull())
+    f = kept(f.withColumn("_base", F.struct("seen.observed_at", "seen.fetched_at")), *INNER, "_base")
+    f = kept(with_targets(f.withColumn("history", F.filter("history", lambda _, i: F.get("_draws", i))).drop("_draws"), x), *KEYS, "target", "_base")
+    f = asof.with_truth(f, x.obs, ["bikes", "docks", "flags"], t="target").where(exclude.target_reason("truth", "target", c.staleness_s, "_base").isNull())
     f = f.withColumns({"y_bike": labels.y_bike(F.col("truth.bikes"), F.col("truth.flags")), "y_dock": labels.y_dock(F.col("truth.docks"), F.col("truth.flags")), "stratum": F.lit(STRATUM), "feature_set": F.lit(FEATURE_SET)})
     f = sampling.with_weight(f, c.sample_rate if sampled else 1.0)
-    return f.select(*sample_columns(c))
+    return f.select(*wanted)
 
 
 def build_now(x: Inputs, at: str, back_min: int, written: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:

@@ -219,9 +219,14 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(n, 6 if n[:4] in ("sin_", "cos_") else 9) + F.lit(0.0)).alias(n) if kind == "double" else F.col(n) for n, kind in df.dtypes])
 
 
-def fea_16_samples(spark: SparkSession, d: str) -> DataFrame:
+def samples(spark: SparkSession, d: str, columns: list[str] | None = None) -> DataFrame:
+    """Samples with all their columns, or with those named."""
     s = sample_state(spark, d)
-    return rounded(build.build_samples(s, build_inputs(spark, d, s, grid_times(spark))))
+    return rounded(build.build_samples(s, build_inputs(spark, d, s, grid_times(spark)), columns=columns))
+
+
+def fea_16_samples(spark: SparkSession, d: str) -> DataFrame:
+    return samples(spark, d)
 
 
 SERVED = "2024-01-22 00:00:00"

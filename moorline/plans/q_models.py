@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -236,26 +240,36 @@ def mod_12_node_walk(spark: SparkSession, d: str) -> DataFrame:
 SAMPLE_COLUMNS = ["bikes", "docks", "capacity", "h_min", "minute_of_day", "lag_360", "delta_1440", "roll_mean", "rentals", "returns", "bikes_yesterday", "y_yesterday", "nb_bikes", "nb_empty", "precip_target", "temp_c", "prof_p", "prof_n_days", "kind"]
 
 
+#: What the chain reads of a sample: names and outcomes, and what SAMPLE_COLUMNS are made of.
+CHAIN_COLUMNS = [*KEYS, "t", "h_min", "y_bike", "y_dock", "weight", "staleness_s", "target_dow_type", "minute_of_day", "capacity", "bikes", "docks", "lag_360", "delta_1440", "roll_mean", "rentals", "returns", "bikes_yesterday", "y_bike_yesterday", "y_dock_yesterday", "nb_bikes", "nb_empty", "precip_target", "temp_c", "prof_p_bike", "prof_p_dock", "prof_n_days"]
+
+
+def chain(samples: DataFrame, target: str, count: str) -> DataFrame:
+    """Samples of one target with the probabilities of each model of the chain, on the days that no fit saw."""
+    kind = F.when(F.col("target_dow_type") == "sat", 0).when(F.col("target_dow_type") == "sun_holiday", 1).otherwise(2)
+    x = samples.select("*", F.lit(target).alias("target"), F.col(f"y_{target}").alias("y"), F.col("weight").alias("w"), M.bucket(F.col(count)).alias("bucket"), F.col("target_dow_type").alias("dow_type"), kind.alias("kind"), F.col(f"prof_p_{target}").alias("prof_p"), F.col(f"y_{target}_yesterday").alias("y_yesterday"))
+    fit, later = x.where("day <= '2024-01-20'"), x.where("day >= '2024-01-22'")
+    base = fit.select(*CLIMATE, "day", "h_min", "bucket", "y", "w")  # a row of the baselines: the rest would be shuffled and written with it
+    left_out = M.climatology_leave_day_out(M.conditional_leave_one_out(base, "p_b1"), CLIMATE, 4, TREND_FLOORS, "p_b1", "p_b2")
+    blend = M.blend_fit(written(left_out, "blend"))
+    forest = M.forest_fit(fit, SAMPLE_COLUMNS, "y", "w", categorical={"kind": 3})
+    z = M.conditional_predict(later, M.conditional_fit(base))
+    z = M.climatology_predict(z, M.climatology_fit(base, CLIMATE, 4, TREND_FLOORS), CLIMATE, "p_b1")
+    z = M.forest_score(M.blend_predict(z, blend), forest, SAMPLE_COLUMNS, categorical={"kind": 3}).withColumn("p_b0", M.persistence(F.col(count)))
+    return z.select(*KEYS, "t", "h_min", "day", "target", "bucket", "y", "w", "informed", "staleness_s", "p_b0", "p_b1", "p_b2", "p_b3", "p_forest")
+
+
 def routed(spark: SparkSession, d: str) -> DataFrame:
     """Samples from observations to the routed probability, for both targets: p_b0 to p_b3, p_forest and p.
 
     Days up to 20 January fit the baselines, the blend (on left-out baselines) and the forest;
-    the next are purged; 22 to 24 January choose the gate; later days are scored.
+    the next are purged; 22 to 24 January choose the gate; later days are scored. Both targets are fitted
+    side by side: a fit is hundreds of short jobs, between which executors would wait.
     """
-    samples = written(Q.fea_16_samples(spark, d).withColumn("day", timegrid.local_date(F.col("t"), 9)), "samples")
-    kind = F.when(F.col("target_dow_type") == "sat", 0).when(F.col("target_dow_type") == "sun_holiday", 1).otherwise(2)
-    parts = []
-    for target, count in (("bike", "bikes"), ("dock", "docks")):
-        x = samples.select("*", F.lit(target).alias("target"), F.col(f"y_{target}").alias("y"), F.col("weight").alias("w"), M.bucket(F.col(count)).alias("bucket"), F.col("target_dow_type").alias("_dow"), kind.alias("kind"), F.col(f"prof_p_{target}").alias("prof_p"), F.col(f"y_{target}_yesterday").alias("y_yesterday"))
-        x = x.drop("dow_type").withColumnRenamed("_dow", "dow_type")
-        fit, later = x.where("day <= '2024-01-20'"), x.where("day >= '2024-01-22'")
-        left_out = M.climatology_leave_day_out(M.conditional_leave_one_out(fit, "p_b1"), CLIMATE, 4, TREND_FLOORS, "p_b1", "p_b2")
-        blend = M.blend_fit(written(left_out, "blend"))
-        forest = M.forest_fit(fit, SAMPLE_COLUMNS, "y", "w", categorical={"kind": 3})
-        z = M.conditional_predict(later, M.conditional_fit(fit))
-        z = M.climatology_predict(z, M.climatology_fit(fit, CLIMATE, 4, TREND_FLOORS), CLIMATE, "p_b1")
-        z = M.forest_score(M.blend_predict(z, blend), forest, SAMPLE_COLUMNS, categorical={"kind": 3}).withColumn("p_b0", M.persistence(F.col(count)))
-        parts.append(z.select(*KEYS, "t", "h_min", "day", "target", "bucket", "y", "w", "informed", "staleness_s", "p_b0", "p_b1", "p_b2", "p_b3", "p_forest"))
+    samples = written(Q.samples(spark, d, CHAIN_COLUMNS).withColumn("day", timegrid.local_date(F.col("t"), 9)), "samples")
+    fits = [inheritable_thread_target(partial(chain, samples, target, count)) for target, count in (("bike", "bikes"), ("dock", "docks"))]
+    with ThreadPoolExecutor(len(fits)) as pool:
+        parts = list(pool.map(lambda fit: fit(), fits))
     x = written(parts[0].unionByName(parts[1]), "scored")
     g = M.gate(x.where("day <= '2024-01-24'"))
     h = g.groupBy("system_id", "target", "h_min").agg(F.max(F.col("reason") == "routed").alias("routed"))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from moorline.operators import features, reference
-from moorline.plans import q_features, q_grid, q_ingest, q_stream
+from moorline.plans import q_features, q_grid, q_ingest, q_models, q_stream
 from moorline.sources import files
 from moorline.streaming import streams
 
@@ -133,3 +133,13 @@ def test_the_flow_of_a_batch_asks_the_state_store_four_times_at_most():
         (out,) = flow.handleInputRows(("s", "x"), iter([pd.DataFrame({"us": [us], "fetched_us": [us], "bikes": [bikes]})]), None)
         assert store.calls <= 4
     assert out.iloc[0].tolist()[2:] == [600_000_000, 2, 0, 1, 0.0]
+
+
+def test_the_chain_reads_its_own_columns_of_samples_and_no_others(spark, sf_dir):
+    """What the chain does not read is in no window of its samples; what it reads equals the whole samples' columns."""
+    some = q_features.samples(spark, sf_dir, q_models.CHAIN_COLUMNS)
+    assert some.columns == q_models.CHAIN_COLUMNS
+    steps = plan(some).split("== Physical Plan ==")[1].splitlines()
+    assert not [x for x in steps if "Window" in x and ("nb_docks" in x or "wind_kmh" in x or "urban_density" in x)]
+    whole = q_features.fea_16_samples(spark, sf_dir).select(*q_models.CHAIN_COLUMNS)
+    assert sorted(map(str, some.collect())) == sorted(map(str, whole.collect()))
