@@ -175,6 +175,42 @@ def forest_fit(rows: DataFrame, columns: list[str], label: str, weight: str, tre
     return Pipeline(stages=stages).fit(x.withColumn(label, F.col(label).cast("double")))
 
 
+def forest_cells(rows: DataFrame, columns: list[str], label: str, weight: str, categorical: dict[str, int] | None = None, bins: int = 32) -> DataFrame:
+    """The rows as weighted cells for ``forest_fit``: columns, label and the sum of the weights of all rows that its trees cannot tell apart.
+
+    Trees cut a number into at most ``bins`` parts, so numbers of more values are cut beforehand, at quantiles of all rows,
+    and each stands as the least value of its part. A tree's sums over cells are those over rows, and cells are
+    bounded by the bins, whatever the rows. It pays for few columns; with many, nearly every row is a cell of its own.
+    """
+    numbers = [c for c in columns if c not in (categorical or {})]
+    cuts = forest_cuts(rows, numbers, bins)
+
+    def part(c: Column, least: list[float]) -> Column:
+        """The greatest of ``least`` that c reaches, by halves."""
+        if len(least) == 1:
+            return F.lit(least[0])
+        half = len(least) // 2
+        return F.when(c < least[half], part(c, least[:half])).otherwise(part(c, least[half:]))
+
+    held = {c: F.when(F.col(c).isNotNull(), part(F.col(c), v)).alias(c) for c, v in cuts.items()}
+    kept = rows.where(F.col(label).isNotNull() & F.col(weight).isNotNull())
+    return kept.select(*[held.get(c, F.col(c)) for c in columns], label, weight).groupBy(*columns, label).agg(F.sum(weight).alias(weight))
+
+
+def forest_cuts(rows: DataFrame, numbers: list[str], bins: int) -> dict[str, list[float]]:
+    """Least values of the parts of each number that has more than ``bins`` values, by quantiles of all rows."""
+    if not numbers:
+        return {}
+    values = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in numbers]).first()
+    wide = [c for c in numbers if values[c] > bins * 0.75]  # the count may be too low by a few parts in a hundred
+    if not wide:
+        return {}
+    shares = [i / bins for i in range(1, bins)]
+    each = lambda c: F.struct(F.min(F.col(c).cast("double")).alias("least"), F.percentile_approx(F.col(c).cast("double"), shares, 10_000).alias("at")).alias(c)
+    r = rows.agg(*[each(c) for c in wide]).first()
+    return {c: sorted({r[c]["least"], *r[c]["at"]}) for c in wide}
+
+
 def forest_inputs(columns: list[str], categorical: dict[str, int]) -> list[str]:
     """Names of the assembled inputs, in order."""
     return [n for c in columns for n in ([f"_{c}"] if c in categorical else [f"_{c}", f"_{c}_missing"])]

@@ -158,9 +158,14 @@ CODES = {"kind": 3, "bucket": 6}
 
 
 def fitted_forest(spark: SparkSession, d: str):  # noqa: ANN201
-    """The forest of the fit days with the operator's own trees, rate and depth. Its rows are written once: boosting passes over them for every tree."""
-    x = written(forest_rows(spark, d), "forest")
-    return x, M.forest_fit(x.where(F.col("day") < SPLIT), COLUMNS, "y", "w", categorical=CODES)
+    """The forest of the fit days with the operator's own trees, rate and depth."""
+    x = forest_rows(spark, d)
+    return x, M.forest_fit(fit_cells(x), COLUMNS, "y", "w", categorical=CODES)
+
+
+def fit_cells(x: DataFrame) -> DataFrame:
+    """The fit days' rows as cells, written once: boosting passes over them for every tree, and their number does not grow with the rows."""
+    return written(M.forest_cells(x.where(F.col("day") < SPLIT), COLUMNS, "y", "w", CODES), "cells")
 
 
 def mod_11_forest(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +180,7 @@ def mod_11_forest(spark: SparkSession, d: str) -> DataFrame:
 def mod_11_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Brier scores of several (trees, rate) on days that none of them was fitted on."""
     x = written(forest_rows(spark, d), "forest")
-    c = M.forest_candidates(x.where(F.col("day") < SPLIT), x.where(F.col("day") >= SPLIT), COLUMNS, [(5, 0.15), (10, 0.15), (20, 0.15)], categorical=CODES)
+    c = M.forest_candidates(fit_cells(x), x.where(F.col("day") >= SPLIT), COLUMNS, [(5, 0.15), (10, 0.15), (20, 0.15)], categorical=CODES)
     return c.withColumn("brier", F.round("brier", 6))
 
 

@@ -217,3 +217,37 @@ def test_units_and_holdout_equal_loops(spark, days):
     want = plain_routing(rows, {"a": 1.35})
     assert set(got) == set(want) and len(got) == (3 if days == 1 else 6)
     assert all(math.isclose(x, y, abs_tol=1e-9) for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
+# Cells of a forest's rows -------------------------------------------------------------------
+
+
+def test_cells_hold_all_weight_and_do_not_grow_with_rows(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice([None, *range(500)]), rng.randrange(4), rng.choice([None, 0, 1, 2]), int(rng.random() < 0.4), rng.randrange(1, 5)) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "x int, h int, kind int, y int, w long")
+    names = ["x", "h", "kind"]
+    cells = models.forest_cells(df, names, "y", "w", {"kind": 3}, 32)
+    held = cells.collect()
+    xs = sorted({r.x for r in held if r.x is not None})
+    assert xs[0] == 0 and 20 <= len(xs) <= 32 and {r.h for r in held} == {0, 1, 2, 3}
+    part = lambda x: None if x is None else max(v for v in xs if v <= x)
+    want = {}
+    for x, h, k, y, w in rows:
+        want[part(x), h, k, y] = want.get((part(x), h, k, y), 0) + w
+    assert {(r.x, r.h, r.kind, r.y): r.w for r in held} == want
+    assert models.forest_cells(df.union(df).union(df), names, "y", "w", {"kind": 3}, 32).count() == len(held)
+    assert models.forest_cells(df.where("false"), names, "y", "w", {"kind": 3}).count() == 0
+
+
+def test_a_forest_of_cells_is_the_forest_of_rows(spark):
+    """Of numbers with few values nothing is cut: the sums of a tree over cells are those over rows."""
+    rng = random.Random(12)
+    rows = [(h := rng.randrange(6), k := rng.choice([None, 0, 1, 2]), int(rng.random() < 0.1 + 0.1 * h + 0.15 * (k == 1)), float(rng.randrange(1, 5))) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "h int, kind int, y int, w double")
+    names, codes = ["h", "kind"], {"kind": 3}
+    fit = lambda x: models.forest_score(df, models.forest_fit(x, names, "y", "w", trees=3, depth=3, categorical=codes), names, "p", codes)
+    score = lambda x: {(r.h, r.kind): r.p for r in fit(x).select("h", "kind", "p").distinct().collect()}
+    a, b = score(df), score(models.forest_cells(df, names, "y", "w", codes))
+    assert a.keys() == b.keys() and len(set(a.values())) > 4
+    assert all(math.isclose(a[k], b[k], abs_tol=1e-9) for k in a)
