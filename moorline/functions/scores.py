@@ -29,6 +29,12 @@ def brier(p: Column, y: Column, w: Column) -> Column:
     return F.sum(w * F.pow(p - y, 2)) / F.sum(w)
 
 
+def brier_x1000(p1000: Column, y: Column) -> Column:
+    """The plain mean for probabilities in thousandths, summed in integers: no order of the rows moves its last digit."""
+    e = (p1000 - 1000 * y).cast("long")
+    return F.try_divide(F.sum(e * e), F.count(e) * 1_000_000)
+
+
 def log_loss(p: Column, y: Column, w: Column, clip: float = 1e-15) -> Column:
     q = F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip))
     return -F.sum(w * (y * F.log(q) + (1 - y) * F.log(1 - q))) / F.sum(w)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moorline.functions.scores import brier, log_loss, positives, skill  # noqa: F401
+from moorline.functions.scores import brier, brier_x1000, log_loss, positives, skill  # noqa: F401
 
 KEYS = ["system_id", "station_id"]
 BANDS = ((0, 5, "night"), (6, 9, "morning"), (10, 15, "day"), (16, 19, "evening"), (20, 23, "late"))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from moorline.operators import features, reference
-from moorline.plans import q_features, q_grid, q_ingest, q_models, q_stream
+from moorline.plans import q_eval, q_features, q_grid, q_ingest, q_models, q_stream
 from moorline.sources import files
 from moorline.streaming import streams
 
@@ -24,6 +24,23 @@ def test_weather_cells_are_never_broadcast(spark, sf_dir):
     assert joins and all("SortMergeJoin" in x for x in joins), joins
 
 
+def sent_whole(df):
+    """Steps of the run of df that grow grid times of entities and send the grown rows to every task, with no shuffle between that would count them."""
+    df.collect()
+    above, out = [], []
+    for x in plan(df).split("== Final Plan ==")[1].split("== Initial Plan ==")[0].splitlines():
+        depth = len(x) - len(x.lstrip(" :+-"))
+        above = [(d, y) for d, y in above if d < depth]
+        if "Generate explode" in x and "station_id" in x and "[t#" in x.rsplit(", ", 1)[-1]:
+            out += [x.strip() for _, y in [z for z in above if "Exchange" in z[1]][-1:] if "BroadcastExchange" in y]
+        above.append((depth, x))
+    return out
+
+
+def test_served_forecasts_are_never_broadcast(spark, sf_dir):
+    assert not sent_whole(q_eval.eva_09_served(spark, sf_dir))
+
+
 def test_points_and_weather_cells_are_dealt_before_they_grow(spark, sf_dir):
     assert tasks(q_grid.grid_points(spark, sf_dir)) > 1
     assert tasks(q_features.weather(spark, sf_dir)[1]) > 1

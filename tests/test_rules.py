@@ -554,3 +554,12 @@ def test_suppression_over_batches(spark):
             want.append((k, t))
             last[k] = t
     assert got == want
+
+
+def test_a_score_of_thousandths_is_the_same_in_any_order_of_its_rows(spark):
+    """Sixteen errors whose mean is a tie at nine digits: in floats it falls to either side as the rows stand."""
+    rows = [(137, 0), (261, 0), (507, 1), (483, 1), (807, 0), (96, 1), (29, 1), (443, 0), (712, 1), (272, 0), (605, 0), (923, 1), (31, 0), (26, 0), (961, 1), (702, 0)]
+    for own in (rows, rows[::-1]):
+        df = spark.createDataFrame(own, "p int, y int").coalesce(1)
+        assert df.agg(F.round(evaluation.brier_x1000(F.col("p"), F.col("y")), 9)).first()[0] == 0.264351688
+    assert spark.createDataFrame([(None, 1)], "p int, y int").agg(evaluation.brier_x1000(F.col("p"), F.col("y"))).first()[0] is None
