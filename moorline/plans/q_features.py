@@ -199,8 +199,8 @@ def weather(spark: SparkSession, d: str, times: DataFrame | None = None) -> tupl
 def fea_14_weather(spark: SparkSession, d: str) -> DataFrame:
     times = grid_times(spark)
     issues, cells = weather(spark, d, times)
-    p = G.grid_points(spark, d).join(T.stations(spark, d).select(*KEYS, "lat", "lon"), KEYS)
-    p = p.withColumn("lat_idx", F.rint(F.col("lat") / SPARSE.weather_lat).cast("int")).withColumn("lon_idx", F.rint(F.col("lon") / SPARSE.weather_lon).cast("int"))
+    index = lambda at, step: F.rint(F.col(at) / step).cast("int")
+    p = G.grid_points(spark, d, T.stations(spark, d).select(*KEYS, index("lat", SPARSE.weather_lat).alias("lat_idx"), index("lon", SPARSE.weather_lon).alias("lon_idx")))
     p = features.newest_cells(p, issues, cells, times)
     at = lambda t: F.get("precip_mm", features.lead_of(F.col("issued_hour"), t, SPARSE.weather_leads))
     t = F.col("t")

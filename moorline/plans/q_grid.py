@@ -29,8 +29,10 @@ TARGET_REASON = """CASE WHEN truth IS NULL THEN 'no_asof_at_target' WHEN epoch_u
   WHEN truth.bikes = -1 OR truth.docks = -1 THEN 'unobserved_at_target' WHEN seen.observed_at = truth.observed_at AND seen.fetched_at = truth.fetched_at THEN 'collision' END"""
 
 
-def grid_points(spark: SparkSession, d: str) -> DataFrame:
-    return timegrid.entity_grid(dealt(T.obs_long(spark, d).select(*KEYS).distinct(), *KEYS), START, END, SPARSE.step_min)
+def grid_points(spark: SparkSession, d: str, facts: DataFrame | None = None) -> DataFrame:
+    """Observed entities at all grid times. With ``facts(keys, ...)`` those that it knows, with its columns, which join them before they grow: no estimate of size counts the grown rows."""
+    entities = T.obs_long(spark, d).select(*KEYS).distinct()
+    return timegrid.entity_grid(dealt(entities if facts is None else entities.join(facts.hint("merge"), KEYS), *KEYS), START, END, SPARSE.step_min)
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:

@@ -3,11 +3,12 @@
 import datetime as dt
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from moorline.operators import features, reference
 from moorline.plans import q_eval, q_features, q_grid, q_ingest, q_models, q_stream
-from moorline.sources import files
+from moorline.sources import files, tables
 from moorline.streaming import streams
 
 
@@ -41,6 +42,27 @@ def test_served_forecasts_are_never_broadcast(spark, sf_dir):
     assert not sent_whole(q_eval.eva_09_served(spark, sf_dir))
 
 
+@pytest.fixture
+def bound(spark):
+    """As where tables are large: a broadcast may be larger than the entities that a run counts and no larger than the stations or any file."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "2KB")
+    yield
+    spark.conf.set(name, old)
+
+
+@pytest.mark.parametrize("name", ["fea_14_weather"])
+def test_points_of_weather_are_never_broadcast(spark, sf_dir, bound, name):
+    assert not sent_whole(q_features.QUERIES[name](spark, sf_dir))
+
+
+def test_points_with_facts_are_those_of_known_entities(spark, sf_dir):
+    facts = tables.stations(spark, sf_dir).where("capacity > 9").select(*q_grid.KEYS, "capacity")
+    early, late = q_grid.grid_points(spark, sf_dir, facts), q_grid.grid_points(spark, sf_dir).join(facts, q_grid.KEYS)
+    assert sorted(map(str, early.select(*late.columns).collect())) == sorted(map(str, late.collect())) != []
+
+
 def test_points_and_weather_cells_are_dealt_before_they_grow(spark, sf_dir):
     assert tasks(q_grid.grid_points(spark, sf_dir)) > 1
     assert tasks(q_features.weather(spark, sf_dir)[1]) > 1
