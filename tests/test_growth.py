@@ -52,7 +52,7 @@ def bound(spark):
     spark.conf.set(name, old)
 
 
-@pytest.mark.parametrize("name", ["fea_14_weather", "fea_18_coverage"])
+@pytest.mark.parametrize("name", ["fea_14_weather", "fea_18_coverage", "fea_18_spread"])
 def test_points_of_weather_are_never_broadcast(spark, sf_dir, bound, name):
     assert not sent_whole(q_features.QUERIES[name](spark, sf_dir))
 
